@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evirank.llm import media
+from evirank.llm import bpe, media
 from evirank.llm.common import table
 
 
+def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op4_media_columns": op4_media_columns}
+QUERIES = {"op2_bpe_codec": op2_bpe_codec, "op4_media_columns": op4_media_columns}
 ORACLES: dict[str, str] = {}
