@@ -1,4 +1,4 @@
-"""Toxicity by a counterfactually regularised linear classifier over word presence.
+"""Toxicity by a counterfactually regularised linear classifier over the presence of words and of their beginnings.
 
 The fit takes a bounded sample of labelled rows (MAX_POSITIVE and MAX_NEGATIVE, by a hash of the id), never held-out ones.
 Each sampled text that names identity terms is swapped: every such term becomes the next of its group. The loss is the
@@ -27,8 +27,9 @@ from pyspark.sql import functions as F
 
 from evirank.llm.common import crc_of_id
 
-MAX_POSITIVE, MAX_NEGATIVE, MAX_WORDS, MIN_POSITIVE_TEXTS = 2_000, 4_000, 20_000, 4
-L1, CF_WEIGHT, STEPS, REMEMBER = 2e-3, 1.0, 300, 400_000
+MAX_POSITIVE, MAX_NEGATIVE, MAX_WORDS, MIN_POSITIVE_TEXTS = 2_000, 4_000, 6_000, 4
+L1, CF_WEIGHT, STEPS, REMEMBER = 3e-4, 1.0, 250, 400_000
+BEGINNINGS = (3, 4, 5, 6)
 #: Groups of terms that may be exchanged for one another in a neutral sentence. A parameter of the fit.
 IDENTITY_GROUPS = (
     ("he", "she", "they"), ("him", "her", "them"), ("man", "woman", "person"), ("men", "women", "people"),
@@ -46,6 +47,11 @@ def words_in(text: str) -> set[str]:
     return {w for piece in set(text.split()) for w in _WORD.findall(piece.lower())}
 
 
+def features_of(word: str) -> list[str]:
+    """The word, and its beginnings, which inflected forms share."""
+    return [word, *("^" + word[:k] for k in BEGINNINGS if len(word) > k)]
+
+
 @dataclass
 class Model:
     weights: dict[str, float]
@@ -61,7 +67,7 @@ class Model:
         if len(self.remembered) > REMEMBER:
             self.remembered.clear()
         for p in filterfalse(self.remembered.__contains__, pieces):
-            self.remembered[p] = tuple(w for w in _WORD.findall(p.lower()) if w in self.weights)
+            self.remembered[p] = tuple(f for w in _WORD.findall(p.lower()) for f in features_of(w) if f in self.weights)
         found = set(map(self.remembered.__getitem__, pieces))
         return self.intercept + math.fsum(sorted(self.weights[w] for w in {w for ws in found for w in ws}))
 
@@ -86,17 +92,25 @@ class Rows:
 
 
 def fit(texts: list[set[str]], labels: list[int], share: float | None = None, groups=IDENTITY_GROUPS, cf_weight: float = CF_WEIGHT, l1: float = L1, steps: int = STEPS) -> Model:
-    """Fit on word sets. share: the true share of positives, for the intercept, where the sample is stratified."""
+    """Fit on word sets. share: the share of positives, which is the score where there is nothing to learn from.
+
+    The intercept is set so that 0.5 is the cut with the best F1 on the sample.
+    """
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         share = share if share is not None else (float(y.mean()) if len(y) else 0.5)
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, math.log(share / (1 - share)))
     swap = swaps(groups)
-    seen = Counter(w for s, t in zip(texts, labels, strict=True) if t for w in s)
-    kept = sorted((w for w, n in seen.items() if n >= MIN_POSITIVE_TEXTS), key=lambda w: (-seen[w], w))[:MAX_WORDS]
+    bags = [{f for w in s for f in features_of(w)} for s in texts]
+    seen = Counter(f for s, t in zip(bags, labels, strict=True) if t for f in s)
+    seen = {f: n for f, n in seen.items() if n >= MIN_POSITIVE_TEXTS}
+    calm = Counter(f for s, t in zip(bags, labels, strict=True) if not t for f in s if f in seen)
+    many, few = y.sum(), (1 - y).sum()
+    apart = {f: (n / many - calm[f] / few) / math.sqrt(n + calm[f]) for f, n in seen.items()}
+    kept = sorted(seen, key=lambda f: (-apart[f], f))[:MAX_WORDS]
     index = {w: i for i, w in enumerate(dict.fromkeys([*kept, *swap]))}
-    rows = Rows([[(index[w], 1.0) for w in sorted(s) if w in index] for s in texts], len(index))
+    rows = Rows([[(index[f], 1.0) for f in sorted(s) if f in index] for s in bags], len(index))
     change = []
     for s in texts:
         if own := s & swap.keys():
@@ -121,11 +135,19 @@ def fit(texts: list[set[str]], labels: list[int], share: float | None = None, gr
             t2 = 1.0
         wa, ba = new + (t - 1) / t2 * (new - w), b2 + (t - 1) / t2 * (b2 - b)
         w, b, t = new, b2, t2
-    if share:
-        b += math.log(share / (1 - share))
+    b -= best_cut(rows.dot(w) + b, y)
     return Model({k: float(w[i]) for k, i in index.items() if abs(w[i]) > 1e-6}, float(b))
 
 
+def best_cut(logits: np.ndarray, y: np.ndarray) -> float:
+    """The logit with the best F1 when everything from it on is positive: half way to the next lower value."""
+    order = np.argsort(-logits, kind="stable")
+    hits, n, v = np.cumsum(y[order]), np.arange(1, len(y) + 1), logits[order]
+    ends = np.flatnonzero(np.append(v[:-1] > v[1:], True))
+    best = ends[np.argmax(2 * hits[ends] / (n[ends] + y.sum()))]
+    return float((v[best] + v[best + 1]) / 2) if best + 1 < len(v) else float(v[best])
+
+
 def counterfactual_gap(model: Model, texts: list[str], groups=IDENTITY_GROUPS) -> float:
     """Mean absolute change of the score when identity terms are swapped."""
     swap = swaps(groups)
@@ -157,7 +179,8 @@ def train(documents: DataFrame, labels: DataFrame, held_out, **options) -> Model
     got = rows.select(F.col("id").cast("bigint"), "text", F.col("target").cast("bigint")).mapInArrow(run, "id bigint, bag string, target bigint").toArrow().sort_by([("id", "ascending"), ("bag", "ascending")])
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else None
-    return fit([set(x.split("\n")) - {""} for x in got["bag"].to_pylist()], got["target"].to_pylist(), share, **options)
+    distinct = dict(zip(got["bag"].to_pylist(), got["target"].to_pylist(), strict=True))  # copies of a text count once
+    return fit([set(x.split("\n")) - {""} for x in distinct], list(distinct.values()), share, **options)
 
 
 _SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
