@@ -27,6 +27,7 @@ _RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW}
 _NEVER = frozenset("nav footer aside form select button dialog menu audio video map head datalist fieldset".split())
 _BLOCK = frozenset("p div h1 h2 h3 h4 h5 h6 li ul ol dl dt dd table thead tbody tfoot tr caption section article main blockquote pre figure figcaption hr address header footer nav aside form body html details summary center".split())
 _SPACE = frozenset("br td th wbr img option".split())
+_FRAME = frozenset("nav header footer aside".split())
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr param".split())
 _ROLES = re.compile(r"\brole\s*=\s*[\"']?(navigation|banner|contentinfo|complementary|search|dialog|alertdialog|alert|menu|menubar|toolbar|form)\b", re.IGNORECASE)
 _NAMES = re.compile(r"(?<![\w-])(?:class|id)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
@@ -57,7 +58,11 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
 
 
 def lines_of(page: str) -> list[tuple[str, bool]]:
-    """(raw text, wanted) of each block in page order; unwanted stretches give one empty line that is not wanted."""
+    """(raw text, wanted) of each block in page order.
+
+    An unwanted element gives lines that are empty and not wanted: as many as a window has where it frames the page, so that every
+    window falls to nothing there, else one, which a window spans.
+    """
     out: list[tuple[str, bool]] = []
     text: list[str] = []
     marked = bool(_ARTICLE.search(page))
@@ -114,7 +119,7 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             if end is not None:
                 end_block(wanted)
                 if not inside:
-                    out.append(("", False))
+                    out += [("", False)] * (WINDOW if name in _FRAME else 1)
                 at = end
                 tags = _TAG.scanner(page, at, last)
                 continue
@@ -159,13 +164,7 @@ def _element_ends(page: str, name: str) -> dict[int, int]:
 
 def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
     lines = [(" ".join(html.unescape(raw).split()) if wanted else "", wanted) for raw, wanted in lines_of(page or "")]
-    spread: list[str] = []
-    for text, wanted in lines:
-        if wanted:
-            spread.append(text)
-        else:
-            spread += [""] * window  # long enough for every window to fall to nothing
-    spread = [*[""] * window, *spread, *[""] * window]
+    spread = [*[""] * window, *(text for text, _ in lines), *[""] * window]
     length = np.fromiter(map(len, spread), np.int64, len(spread))
     total = np.concatenate([[0], np.cumsum(length)])
     sums = total[window:] - total[:-window]  # of lines i to i + window - 1
