@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evirank.llm import bpe, media, packing, pages, quality, toxicity
+from evirank.llm import bpe, media, packing, pages, pii, quality, toxicity
 from evirank.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digests(table(spark, sf_dir, "documents"))
+
+
 def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
@@ -37,6 +41,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe_codec": op2_bpe_codec,
     "op4_media_columns": op4_media_columns,
+    "op5_pii": op5_pii,
     "op6_main_text": op6_main_text,
     "op8_quality": op8_quality,
     "op10_packing": op10_packing,
