@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evirank.llm import bpe, media, packing, pages, pii, quality, toxicity
+from evirank.llm import bpe, jaccard, media, packing, pages, pii, quality, substrings, toxicity
 from evirank.llm.common import table
 
 
@@ -29,10 +29,18 @@ def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op7_jaccard_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -43,7 +51,9 @@ QUERIES = {
     "op4_media_columns": op4_media_columns,
     "op5_pii": op5_pii,
     "op6_main_text": op6_main_text,
+    "op7_jaccard_components": op7_jaccard_components,
     "op8_quality": op8_quality,
+    "op9_repeated_substrings": op9_repeated_substrings,
     "op10_packing": op10_packing,
 }
 ORACLES: dict[str, str] = {}
