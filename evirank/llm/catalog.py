@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evirank.llm import bpe, jaccard, media, packing, pages, pii, quality, substrings, toxicity
+from evirank.llm import bpe, jaccard, media, nearest, packing, pages, pii, quality, substrings, toxicity
 from evirank.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op2_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.search(table(spark, sf_dir, "embeddings"))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digests(table(spark, sf_dir, "documents"))
 
@@ -48,6 +52,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_bpe_codec": op2_bpe_codec,
+    "op3_nearest_neighbours": op3_nearest_neighbours,
     "op4_media_columns": op4_media_columns,
     "op5_pii": op5_pii,
     "op6_main_text": op6_main_text,
