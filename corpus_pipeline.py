@@ -1,10 +1,70 @@
-"""Corpus pipeline over documents; see STAGES."""
+"""Corpus pipeline: quality, near duplicates, repeated substrings, personal data, packing.
+
+Each stage is (name, function); a function takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but
+the last return the columns of documents, with n_chars brought up to date where texts change.
+
+Defined results: null texts are scored, compared and packed as empty ones; repeated rows of a kept document stay out as near
+duplicates; an empty table gives no rows; extra columns are carried through all but the last stage.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from evirank.llm import jaccard, packing, pii, quality, substrings
+from evirank.llm.common import table, written
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast("bigint"))
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier accepts."""
+    good = quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
+    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each component of near duplicates."""
+    kept = jaccard.link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
+    rest = [c for c in docs.columns if c != "doc_id"]
+    ordered = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
+    return ordered.select("doc_id", *(F.col(f"row.{c}").alias(c) for c in rest)).select(*docs.columns)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the long substrings that also stand elsewhere."""
+    return _measured(substrings.deduplicated(docs)).select(*docs.columns)
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with protected values and the terms that disclose them replaced or removed."""
+    return _measured(pii.sanitised(docs)).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token pieces of all texts with their sequences and places."""
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("quality", keep_quality),
+    ("near_duplicates", one_of_each_group),
+    ("repeated_substrings", without_repeats),
+    ("personal_data", without_personal_data),
+    ("packing", packed),
+]
+
+#: The classifier, the shingle sets of whole tables and the tokenizer are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each result is written and read again before the next."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
