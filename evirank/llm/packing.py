@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import defaultdict
 from functools import lru_cache, partial
-from itertools import filterfalse
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -30,11 +31,14 @@ from evirank.llm.common import written
 CAPACITY, END_ID, PER_PART, MAX_ROUNDS, REMEMBER = 4096, 1, 20_000, 8, 400_000
 #: Characters that str.split() takes as white space though the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
+#: Where lower-casing a text first or parting its marks could change the ids: capital sigma, dotted I, combining marks.
+_CASED = re.compile("[\u03a3\u0130\u0300-\u036f]")
+_MARK = re.compile(r"(?<=[^\W\d_])([.,;:!?])(?=\s|\Z)")
 _BLANKS = re.compile(r"[ \n\r\t]+")
 
 
 class Words:
-    """Ids of white-space-delimited words, remembered as little-endian bytes; the tokenizer never joins across white space."""
+    """Ids of white-space-delimited words, remembered by number in flat arrays; the tokenizer never joins across white space."""
 
     def __init__(self, path: str):
         import os
@@ -43,24 +47,60 @@ class Words:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> None:
-        for k in range(0, len(words), 20_000):
-            part = words[k : k + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBER:
-            self.known.clear()
-        cut = [x.split() if not _SEPARATORS.search(x) else [w for w in _BLANKS.split(x) if w] for x in texts]
-        new: set[str] = set()
-        for words in cut:
-            new.update(filterfalse(self.known.__contains__, words))
-        self.learn(list(new))
-        get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in cut]
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a run of letters or signs
+        self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.number: dict[str, int] = defaultdict(lambda: len(self.number))
+        self.ids = np.empty(0, "<u4")
+        self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def tokens(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each word). Letters, and letters with one mark, are encoded as one text and cut at word ends."""
+        parts = np.fromiter((1 if w.isalpha() else 2 if w[-1] in ".,;:!?" and w[:-1].isalpha() else 0 for w in words), np.int64, len(words))
+        easy = np.flatnonzero(parts)
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[i] for i in easy])], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != parts.sum():  # a letter whose lower case is more than letters: take every word by itself
+            parts[:] = 0
+            easy, ids, ends = easy[:0], ids[:0], ends[:0]
+        size = np.zeros(len(words), np.int64)
+        size[easy] = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(parts[easy])])])
+        hard = np.flatnonzero(parts == 0)
+        other = [e.ids for k in range(0, len(hard), 20_000) for e in self.tokenizer.encode_batch_fast([words[i] for i in hard[k : k + 20_000]], add_special_tokens=False)]
+        size[hard] = [len(x) for x in other]
+        out, from_easy = np.empty(int(size.sum()), "<u4"), np.repeat(parts > 0, size)
+        out[from_easy] = ids
+        out[~from_easy] = [i for x in other for i in x]
+        return out, size
+
+    def cut(self, text: str) -> list[str]:
+        """Words of a text, a lone mark after letters by itself; in lower case, as the tokenizer takes them, where that is safe."""
+        if _SEPARATORS.search(text):
+            return [w for w in _BLANKS.split(text) if w]
+        if not text.isascii() and _CASED.search(text):
+            return text.split()
+        return _MARK.sub(r" \1", text.lower()).split()
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.number) > REMEMBER:
+            self.forget()
+        cut = [self.cut(x) for x in texts]
+        before = len(self.number)
+        get = self.number.__getitem__
+        count = np.fromiter(map(len, cut), np.int64, len(cut))
+        word = np.fromiter(map(get, chain.from_iterable(cut)), np.int64, int(count.sum()))
+        if len(self.number) > before:
+            ids, size = self.tokens(list(islice(self.number, before, None)))
+            self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+            self.size, self.ids = np.concatenate([self.size, size]), np.concatenate([self.ids, ids])
+        size = self.size[word]
+        total = np.cumsum(size)
+        flat = self.ids[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.start[word] - total + size, size)]
+        bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
 @lru_cache(maxsize=2)
@@ -88,7 +128,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                     k += 1
                 rows = [[], [], [], [], []]
                 for doc, raw in zip(ids[first:k], words.encode(texts[first:k]), strict=True):
-                    raw += end
+                    raw = raw.tobytes() + end
                     for i, at in enumerate(range(0, len(raw), step)):
                         part = raw[at : at + step]
                         for c, v in zip(rows, (doc, i, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
