@@ -23,16 +23,19 @@ def _measured(docs: DataFrame) -> DataFrame:
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier accepts."""
-    good = quality.classify(docs, table(spark, sf_dir, "labels")).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(good, "doc_id", "left_semi").select(*docs.columns)
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates."""
-    kept = jaccard.link_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    rest = [c for c in docs.columns if c != "doc_id"]
-    ordered = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row"))
-    return ordered.select("doc_id", *(F.col(f"row.{c}").alias(c) for c in rest)).select(*docs.columns)
+    found = written(jaccard.link_components(docs), "near-duplicates")
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    few = gone.count() <= jaccard.SMALL_IDS
+    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    rest = [c for c in docs.columns if c != "doc_id"]  # rows that share an id: the least of them stays
+    return kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in rest)).select(*docs.columns)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
