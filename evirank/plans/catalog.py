@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from evirank.plans import star
+
+QUERIES: dict = dict(star.QUERIES)
+ORACLES: dict[str, str] = dict(star.ORACLES)
