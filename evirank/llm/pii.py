@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from evirank.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, GENERALISE, REMOVE, LEAST_TERM, BLOCK, SMALL = 100, 3, 0.6, 0.9, 3, 256, 50_000
+CONTEXT, SUPPORT, GENERALISE, REMOVE, LEAST_TERM, BLOCK = 100, 3, 0.6, 0.9, 3, 256
 #: A match begins where a run of its first characters begins or where the last match ended, so no run is tried twice.
 _PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -136,14 +136,9 @@ def disclosures(documents: DataFrame, scanned: DataFrame, id_col: str = "doc_id"
     judged = written(pairs.join(of_entity, "entity"), "pii-pairs")
     terms = judged.select("term").distinct()
     total = documents.count()
-    n_terms = terms.count()
-    words = documents.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text_col), F.lit(""))))).alias("term"))
-    if n_terms == 0:
-        of_term = terms.select("term", F.lit(0).cast("bigint").alias("n_t"))
-    elif n_terms <= SMALL:
-        of_term = words.join(F.broadcast(terms), "term").groupBy("term").agg(F.count("*").alias("n_t"))
-    else:  # too many to send everywhere: count all words first, which combines them before the shuffle
-        of_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
+    # words are counted first, which combines them before the shuffle, so the join meets each word once
+    words = documents.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text_col), F.lit(""))))).alias("term")).where(F.length("term") >= LEAST_TERM)
+    of_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
     n_t = F.greatest("n_t", "n_et")
     info = F.log2(F.lit(float(max(total, 2))) / F.col("n_e"))
     rate = F.log2(F.col("n_et") * F.lit(float(max(total, 2))) / (F.col("n_e") * n_t)) / F.greatest(info, F.lit(1e-9))
