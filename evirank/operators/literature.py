@@ -97,4 +97,4 @@ def replayed(requests: DataFrame, records: DataFrame, strict: bool = True) -> Da
     if strict:
         j = j.where(F.coalesce(F.col("text").isNotNull() | F.raise_error(F.concat(F.lit("no record of "), F.col("request_digest"))).cast("boolean"), F.lit(True)))
     fenced = F.regexp_extract("text", r"(?s)```(?:json)?\s*(.*?)```", 1)
-    return j.withColumn("json", F.when(F.length(fenced) > 0, fenced).otherwise(F.col("text"))).withColumn("parsed", F.try_parse_json("json").isNotNull())
+    return j.withColumn("json", F.when(F.length(fenced) > 0, F.regexp_replace(fenced, r"\s+$", "")).otherwise(F.col("text"))).withColumn("parsed", F.try_parse_json("json").isNotNull())
