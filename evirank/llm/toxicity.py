@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from evirank.llm.common import crc_of_id
 
 MAX_POSITIVE, MAX_NEGATIVE, MAX_WORDS, MIN_POSITIVE_TEXTS = 2_000, 4_000, 6_000, 4
-L1, CF_WEIGHT, STEPS, REMEMBER = 3e-4, 1.0, 250, 400_000
+L1, CF_WEIGHT, STEPS, REMEMBER = 3e-4, 1.0, 250, 100_000
 BEGINNINGS = (3, 4, 5, 6)
 #: Groups of terms that may be exchanged for one another in a neutral sentence. A parameter of the fit.
 IDENTITY_GROUPS = (
@@ -91,6 +91,18 @@ class Rows:
         return np.bincount(self.col, self.val * g[self.row], self.width)
 
 
+def curvature(rows: Rows, balance: np.ndarray, cf: Rows, cf_weight: float, rounds: int = 20) -> float:
+    """An upper estimate of the loss's greatest curvature, by power iteration over weights and intercept."""
+    v, b, size = np.full(rows.width, 1.0), 1.0, 1.0
+    for _ in range(rounds):
+        scale = math.sqrt(float(v @ v) + b * b)
+        v, b = v / scale, b / scale
+        out = balance * (rows.dot(v) + b) / 4
+        v, b = rows.back(out) + (2 * cf_weight / cf.n * cf.back(cf.dot(v)) if cf.n else 0.0), float(out.sum())
+        size = math.sqrt(float(v @ v) + b * b)
+    return 1.2 * size + 1e-12
+
+
 def fit(texts: list[set[str]], labels: list[int], share: float | None = None, groups=IDENTITY_GROUPS, cf_weight: float = CF_WEIGHT, l1: float = L1, steps: int = STEPS) -> Model:
     """Fit on word sets. share: the share of positives, which is the score where there is nothing to learn from.
 
@@ -109,17 +121,16 @@ def fit(texts: list[set[str]], labels: list[int], share: float | None = None, gr
     many, few = y.sum(), (1 - y).sum()
     apart = {f: (n / many - calm[f] / few) / math.sqrt(n + calm[f]) for f, n in seen.items()}
     kept = sorted(seen, key=lambda f: (-apart[f], f))[:MAX_WORDS]
-    index = {w: i for i, w in enumerate(dict.fromkeys([*kept, *swap]))}
+    index = {f: i for i, f in enumerate(dict.fromkeys([*kept, *(f for term in swap for f in features_of(term))]))}
     rows = Rows([[(index[f], 1.0) for f in sorted(s) if f in index] for s in bags], len(index))
     change = []
-    for s in texts:
-        if own := s & swap.keys():
-            other = {swap[w] for w in own}
-            change.append([(index[w], 1.0) for w in sorted(other - own)] + [(index[w], -1.0) for w in sorted(own - other)])
+    for words, bag in zip(texts, bags, strict=True):
+        if own := words & swap.keys():
+            swapped = {f for w in (words - own) | {swap[w] for w in own} for f in features_of(w)}
+            change.append([(index[f], 1.0) for f in sorted(swapped - bag) if f in index] + [(index[f], -1.0) for f in sorted(bag - swapped) if f in index])
     cf = Rows(change, len(index))
     balance = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh the same
-    squared = np.bincount(rows.row, rows.val**2, rows.n)
-    top = 0.25 * float((balance * (squared + 1)).sum()) + 2 * cf_weight * (float((cf.val**2).sum()) / max(1, cf.n) if cf.n else 0.0)
+    step = 1 / curvature(rows, balance, cf, cf_weight)
     w, b = np.zeros(len(index)), 0.0
     wa, ba, t = w, b, 1.0
     for _ in range(steps):
@@ -127,9 +138,9 @@ def fit(texts: list[set[str]], labels: list[int], share: float | None = None, gr
         slope = rows.back(miss)
         if cf.n:
             slope += 2 * cf_weight / cf.n * cf.back(cf.dot(wa))
-        new = wa - slope / top * 8
-        new = np.sign(new) * np.maximum(np.abs(new) - l1 / top * 8, 0)
-        b2 = ba - miss.sum() / top * 8
+        new = wa - step * slope
+        new = np.sign(new) * np.maximum(np.abs(new) - l1 * step, 0)
+        b2 = ba - step * miss.sum()
         t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
         if float((wa - new) @ (new - w)) > 0:  # going uphill: begin the momentum anew
             t2 = 1.0
