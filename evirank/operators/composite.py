@@ -49,6 +49,32 @@ def recurrence(probands: Column, cohort: Column, rate: float = 1e-4, floor: floa
     return F.when(cohort.isNotNull(), probands / F.greatest(cohort * rate, F.lit(floor)))
 
 
+def saturation(rules: list[tuple[Column, float]], default: float = 0.0) -> Column:
+    """How much of an allele's question is already answered: the level of the first rule that holds."""
+    return first_match([(test, float(level)) for test, level in rules], float(default))
+
+
+def effective_level(level: Column, critic: Column, order: tuple[str, ...]) -> Column:
+    """The evidence level after a critic, who may lower but never raise it. order: most direct first."""
+    def place(c: Column) -> Column:
+        return first_match([(c == v, i) for i, v in enumerate(order)], 0)
+
+    worst = F.greatest(place(level), F.coalesce(F.when(critic.isNotNull(), place(critic)), F.lit(0)))
+    return first_match([(worst == i, v) for i, v in enumerate(order)], F.lit(None).cast("string"))
+
+
+def distinct_observations(df: DataFrame, key: list[str], prefer: list[Column]) -> DataFrame:
+    """One row for each observation key, the preferred one, with the number of rows it stands for."""
+    own = Window.partitionBy(*key)
+    return df.withColumn("__r", F.row_number().over(own.orderBy(*prefer))).withColumn("observations", F.count("*").over(own)).where("__r = 1").drop("__r")
+
+
+def gated(branches: dict[str, Column], mechanism: Column, gates: dict[str, float], gate: Column) -> Column:
+    """The branch score of a mechanism times the multiplier of its gate; an unknown gate leaves the score as it is."""
+    score = first_match([(mechanism == m, v) for m, v in branches.items()], F.lit(None).cast("double"))
+    return score * first_match([(gate == g, float(x)) for g, x in gates.items()], 1.0)
+
+
 def composite(parts: list[tuple[float, Column]], saturation: Column, alpha: float) -> Column:
     """Renormalised sum, raised for what is not yet saturated."""
     return weighted(parts) * (1 + alpha * (1 - F.coalesce(saturation, F.lit(1.0))))

@@ -248,7 +248,7 @@ def scope_filter(spark, sf_dir):
 def must_match_join(spark, sf_dir):
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus", "o_custkey")
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    return EV.must_match(lines.join(orders.select("l_orderkey"), "l_orderkey", "left_semi"), orders, ["l_orderkey"], "a line item has no order")
+    return EV.must_match(lines, orders, ["l_orderkey"], "a line item has no order")
 
 
 @query("""SELECT p_partkey, CASE WHEN l.l_partkey IS NULL THEN 'searched_not_found' ELSE 'value_present' END AS status, l.frequency FROM part
@@ -529,3 +529,50 @@ def stratified_rank(spark, sf_dir):
     return CO.stratified(scored, ["p_type"], "score", "p_partkey").select("p_partkey", "position")
 
 
+# ---- more of the composite profile and of sources ------------------------------------------------------------------
+
+@query("""SELECT o_custkey, o_orderpriority, min(o_orderkey) AS kept, count(*) AS n FROM orders GROUP BY 1, 2""")
+def distinct_observations(spark, sf_dir):
+    kept = CO.distinct_observations(read(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"], [F.col("o_orderkey")])
+    return kept.select("o_custkey", "o_orderpriority", F.col("o_orderkey").alias("kept"), F.col("observations").alias("n"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, CAST(CASE WHEN l_quantity > 45 AND l_returnflag = 'A' THEN 1.0 WHEN l_quantity > 45 THEN 0.7 WHEN l_discount > 0.08 THEN 0.45 WHEN l_tax > 0.06 THEN 0.15 ELSE 0.0 END AS DOUBLE) AS saturation, l_extendedprice,
+  CASE greatest(CASE l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END, CASE WHEN l_tax > 0.04 THEN 2 ELSE 0 END) WHEN 0 THEN 'variant_direct' WHEN 1 THEN 'variant_indirect' ELSE 'gene' END AS level FROM lineitem""")
+def saturation_and_level(spark, sf_dir):
+    q, flag = F.col("l_quantity"), F.col("l_returnflag")
+    rules = [((q > 45) & (flag == "A"), 1.0), (q > 45, 0.7), (F.col("l_discount") > 0.08, 0.45), (F.col("l_tax") > 0.06, 0.15)]
+    levels = ("variant_direct", "variant_indirect", "gene")
+    own = RA.first_match([(flag == "A", levels[0]), (flag == "N", levels[1])], levels[2])
+    critic = F.when(F.col("l_tax") > 0.04, levels[2])
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", CO.saturation(rules).alias("saturation"), "l_extendedprice", CO.effective_level(own, critic, levels).alias("level"))
+
+
+@query("SELECT c_custkey, round((c_acctbal > 0)::INT * count(o_orderkey) / greatest(count(o_orderkey) FILTER (WHERE o_orderstatus = 'O') * 0.1, 0.5), 6) AS recurrence FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_acctbal")
+def recurrence(spark, sf_dir):
+    counted = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("n"), F.count_if(F.col("o_orderstatus") == "O").alias("open"))
+    j = read(spark, sf_dir, "customer").join(counted, "c_custkey", "left")
+    probands = F.when(F.col("c_acctbal") > 0, F.coalesce("n", F.lit(0))).otherwise(0)
+    return j.select("c_custkey", F.round(CO.recurrence(probands, F.coalesce("open", F.lit(0)), 0.1, 0.5), 6).alias("recurrence"))
+
+
+@query("""SELECT conv_id, count(*) AS n_turns, arg_max(role, turn) FILTER (WHERE role <> 'system') AS last_role, bool_and(length(text) > 0) AS all_said FROM conversations GROUP BY 1""")
+def last_by_sequence(spark, sf_dir):
+    other = F.col("role") != "system"
+    return read(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"), F.max_by(F.when(other, F.col("role")), F.when(other, F.col("turn"))).alias("last_role"), F.bool_and(F.length("text") > 0).alias("all_said"))
+
+
+@query("""SELECT doc_id, coalesce(l.toxic = 1 AND n_chars > 500, false) AS review, CASE WHEN n_chars % 2 = 0 AND lang = 'en' THEN 'full_text_open' WHEN length(text) > 0 THEN 'abstract_only' ELSE 'metadata_only' END AS access,
+  CASE WHEN n_chars % 3 <> 0 THEN 'none' WHEN n_chars % 2 = 0 AND lang = 'en' THEN 'available' ELSE 'needs_access' END AS supplement FROM documents LEFT JOIN labels l USING (doc_id)""")
+def document_rules(spark, sf_dir):
+    n = F.col("n_chars")
+    j = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
+    flags = j.select("doc_id", F.col("text").alias("abstract"), (n % 2 == 0).alias("is_open_access"), (F.col("lang") == "en").alias("in_pmc"), (n % 3 == 0).alias("has_suppl"), F.when((F.col("toxic") == 1) & (n > 500), F.array(F.lit("Review"))).otherwise(F.array(F.lit("Article"))).alias("pub_types"))
+    return LI.rule_fields(flags).select("doc_id", F.col("rule_review").alias("review"), "access", "supplement")
+
+
+@query("SELECT p_partkey, CASE WHEN starts_with(p_name, 'red') THEN 'p.' WHEN starts_with(p_name, 'small') THEN 'rs' END AS kind, regexp_matches(p_brand, '^Brand#[0-9]+$') AS plain FROM part")
+def text_classes(spark, sf_dir):
+    text = F.when(F.startswith("p_name", F.lit("red")), "p.Arg5Ter").when(F.startswith("p_name", F.lit("small")), "rs123").otherwise("chr1")
+    status = ID.classify_text(text)
+    return read(spark, sf_dir, "part").select("p_partkey", F.when(status == "unsupported", "p.").when(status == "insufficient", "rs").alias("kind"), F.col("p_brand").rlike("^Brand#[0-9]+$").alias("plain"))

@@ -113,3 +113,22 @@ def test_stream_of_decisions(spark, tmp_path):
         decisions.maintain(stream, str(tmp_path / "log"), str(tmp_path / "state"), str(tmp_path / "cp"), ["link_id", "claim_revision"]).awaitTermination()
         now = decisions.current(spark.read.parquet(str(tmp_path / "state")), ["link_id", "claim_revision"]).first()
         assert now["state"] == state
+
+
+def test_saved_replies(spark, tmp_path):
+    from evirank.sources import replies
+
+    key = replies.request_key("s", "1", {"q": "x"})
+    assert key == replies.request_key("s", "1", {"q": "x"}) != replies.request_key("s", "2", {"q": "x"})
+    (tmp_path / "a.jsonl").write_text(json.dumps({"request_key": key, "retrieved_at": "2024-01-01T00:00:00Z", "body": {"n": 1}}) + "\n" + json.dumps({"request_key": "b", "status": 500, "retrieved_at": "2024-01-02T00:00:00Z", "body": ""}) + "\n")
+    spark.dataSource.register(replies.SavedReplies)
+    saved = spark.read.format("saved_replies").option("paths", str(tmp_path / "a.jsonl")).load()
+    asked = spark.createDataFrame([(key,), ("b",)], "request_key string")
+    for ttl, hits in ((float("inf"), 1), (5.0, 0), (None, 0)):
+        hit, miss = replies.lookup(asked, saved, F.lit("2024-02-01T00:00:00Z").cast("timestamp"), ttl)
+        assert (hit.count(), miss.count()) == (hits, 2 - hits)
+    assert [replies.wait_seconds(n) for n in (0, 3, 9)] == [1.0, 8.0, 30.0] and replies.wait_seconds(0, "7") == 7.0
+    budget = replies.Budget(2, 100)
+    assert [budget.reserve() for _ in range(3)] == [True, True, False]
+    lines = spark.createDataFrame([("{'a': 1, 'b': ['x']}",), ("oops(",)], "value string")
+    assert [tuple(r) for r in replies.python_literals(lines, "value", "a int, b array<string>").collect()] == [(1, ["x"]), (None, None)]
