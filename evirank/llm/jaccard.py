@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard components by count-vector R-trees.
 
 A text's set is its distinct word shingles as 64-bit hashes; equal sets are one node, named by a hash of the set. Shingles are grouped
-by their leading hash bits, and a node's point is the number of its shingles in each group (4 to 8 a group on average).
+by their leading hash bits, and a node's point is the number of its shingles in each group (2 to 4 a group on average).
 The overlap of two sets is at most the sum of the coordinate minima of their points, and of a point and the upper corner of a box.
 
 The index is spread over the cluster by prefix keys: with any one order of all shingles, two sets that link share a shingle
@@ -18,6 +18,7 @@ one shingle; repeated rows and equal texts share a component; an empty table giv
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pandas as pd
@@ -28,19 +29,34 @@ from pyspark.sql import functions as F
 
 from evirank.llm.common import components, written
 
-WIDTH, PERCENT, BLOCK_ROWS, FANOUT, REMEMBER, SMALL_IDS = 5, 75, 2_000, 16, 400_000, 300_000
+WIDTH, PERCENT, BLOCK_ROWS, FANOUT, LEAF, SMALL_IDS = 5, 75, 2_000, 16, 256, 300_000
+TREE_WIDTH = 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > REMEMBER:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
+_STEP, _PIECE = 0xD1342543DE82EF95, 1 << 22
+_UPPER = np.arange(256)
+_UPPER[65:91] += 32  # A-Z count as a-z
+_IS_SPACE = np.isin(np.arange(256), (9, 10, 11, 12, 13, 32)).astype(np.int8)
+_SPACE_RUN = re.compile(rb"[\x09-\x0d\x20]")
+
+
+class _Powers:
+    """Powers of the step and of its inverse, as far as some text has needed them."""
+
+    def __init__(self):
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def grow(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 1 << 16)
+            for name, base in (("up", _STEP), ("down", pow(_STEP, -1, 1 << 64))):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps))
 
 
-_HASHES = _Hashes()
+_POWERS = _Powers()
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -49,18 +65,54 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(raw: bytes | None, width: int = WIDTH) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of UTF-8 text; A-Z are lower-cased and ASCII white space parts words."""
-    words = (raw or b"").lower().split()
-    n = len(words)
-    if not n:
+_VALUES = _mix(np.arange(1, 257, dtype=np.uint64) * _ODD[0])[_UPPER]
+
+
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: a running sum of its bytes' values times powers, cut at white space."""
+    parts, at = [], 0
+    while at < len(raw):
+        end = at + _PIECE
+        if end < len(raw):
+            cut = _SPACE_RUN.search(raw, end)
+            end = cut.start() if cut else len(raw)
+        b = np.frombuffer(raw, np.uint8)[at:end]
+        at = end
+        edge = np.flatnonzero(np.diff(_IS_SPACE[b], prepend=1, append=1))
+        first, last = edge[0::2], edge[1::2]
+        _POWERS.grow(len(b) + 1)
+        total = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(_VALUES[b] * _POWERS.up[: len(b)], out=total[1:])
+        parts.append((total[last] - total[first]) * _POWERS.down[first] + (last - first).astype(np.uint64))
+    return np.concatenate(parts) if len(parts) != 1 else parts[0]
+
+
+def all_shingles(raw: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Hashes of all word n-grams, in the order of the text."""
+    if not raw:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    h = word_hashes(raw)
+    n = len(h)
+    if not n:
+        return h
     take = min(n, width)
-    out = np.zeros(n - take + 1, np.uint64)
-    for i in range(take):
+    out = h[: n - take + 1] * _ODD[0]
+    for i in range(1, take):
         out += h[i : n - take + 1 + i] * (_ODD[i % len(_ODD)] + np.uint64(2 * (i // len(_ODD))))
-    return np.unique(_mix(out + np.uint64(take)))
+    return _mix(out + np.uint64(take))
+
+
+def shingles(raw: bytes | None, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct hashes of the word n-grams of UTF-8 text; A-Z count as a-z and ASCII white space parts words."""
+    h = all_shingles(raw, width)
+    h.sort()
+    return h[np.concatenate([[True], h[1:] != h[:-1]])] if len(h) else h
+
+
+def named(hashes: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of a set; the first is its node."""
+    whole = xxhash.xxh3_128_intdigest(hashes.tobytes())
+    return (whole & (1 << 64) - 1) - (1 << 63), (whole >> 64) - (1 << 63)
 
 
 def needed(a, b, percent: int = PERCENT):
@@ -72,24 +124,21 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def bits_for(n: int) -> int:
-    return max(3, math.ceil(math.log2(max(n, 1) / 8)))
-
-
 def point(hashes: np.ndarray) -> np.ndarray:
-    k = bits_for(len(hashes))
-    return np.bincount((hashes >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype(np.uint16)
+    """How many of a set's shingles fall into each group; there are two to four shingles a group on average, and eight groups at least."""
+    k = max(3, math.ceil(math.log2(max(len(hashes), 1) / 4)))
+    return np.bincount((hashes >> np.uint64(64 - k)).astype(np.int64), minlength=1 << k).astype("<u2")
 
 
-def folded(p: np.ndarray, size: int) -> np.ndarray:
-    while len(p) > size:
-        p = p[0::2] + p[1::2]
-    return p
+def folded(p: np.ndarray, width: int) -> np.ndarray:
+    """The point over fewer groups; groups are leading bits, so neighbours are added."""
+    return p.reshape(width, -1).sum(axis=1, dtype=np.uint32)
 
 
-def bound(p: np.ndarray, q: np.ndarray) -> int:
-    size = min(len(p), len(q))
-    return int(np.minimum(folded(p, size), folded(q, size)).sum(dtype=np.int64))
+def may_overlap(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> bool:
+    """Whether the summed coordinate minima of two points reach the overlap their sets need."""
+    width = min(len(p), len(q))
+    return int(np.minimum(folded(p, width), folded(q, width)).sum()) >= needed(int(p.sum(dtype=np.int64)), int(q.sum(dtype=np.int64)), percent)
 
 
 class CountTree:
@@ -123,19 +172,59 @@ class CountTree:
         return self.order[at]
 
 
-def tree_pairs(ids: np.ndarray, sizes: np.ndarray, points: list[np.ndarray], component: np.ndarray, side: np.ndarray | None = None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Pairs across components that the bounds leave, among all members or, with side, between its two values."""
-    width = np.array([len(p) for p in points])
-    out = []
-    for w in np.unique(width):
-        own, twice = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
-        member = np.concatenate([own, twice])
-        tree = CountTree(np.stack([folded(points[i], w) for i in member]), sizes[member])
-        for i in own:
-            for j in member[tree.search(points[i], int(sizes[i]), percent)]:
-                if component[i] != component[j] and (width[j] != w or ids[i] < ids[j]) and (side is None or side[i] != side[j]):
-                    out.append((int(ids[i]), int(ids[j])))
-    return out
+def _may_link(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether a pair whose first common key stands at these places of the order can still reach the overlap it needs."""
+    return 1 + np.minimum(n[a] - at[a] - 1, n[b] - at[b] - 1) >= needed(n[a], n[b], percent)
+
+
+def leaf_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, component: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Pairs (least node first) across components that share a key and that sizes and places leave, for buckets that are one leaf.
+
+    Rows are sorted by (key, n) and swept together: each against the next of its bucket, the one after it and so on, for as long
+    as sizes allow.
+    """
+    found: list[np.ndarray] = []
+    last = np.repeat(np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)), np.diff(np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])))
+    row, step = np.arange(len(key)), 1
+    while len(row):
+        row = row[row + step < last[row]]
+        row = row[100 * n[row] >= percent * n[row + step]]
+        other = row + step
+        ok = (component[row] != component[other]) & _may_link(n, at, row, other, percent)
+        a, b = node[row[ok]], node[other[ok]]
+        if len(a):
+            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
+        step += 1
+    return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
+
+
+def overlap(p: np.ndarray, q: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets."""
+    if len(p) > len(q):
+        p, q = q, p
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return int((q[at] == p).sum())
+
+
+def tree_links(node: np.ndarray, n: np.ndarray, at: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links that join the components of one large bucket: the tree's bounds choose pairs, and these are verified at once.
+
+    Members already joined are not tried against each other, so at most one link for each member is returned; pairs lie across sides.
+    """
+    width = min(TREE_WIDTH, min(len(point(h)) for h in sets))
+    points = np.stack([folded(point(h), width) for h in sets])
+    tree, links = CountTree(points, n), []
+    _, label = np.unique(component, return_inverse=True)
+    for i in range(len(n)):
+        hits = tree.search(points[i], int(n[i]), percent)
+        hits = hits[(label[hits] != label[i]) & (side[hits] != side[i])]
+        hits = hits[_may_link(n, at, np.full(len(hits), i), hits, percent)]
+        for j in hits.tolist():
+            if label[j] != label[i] and overlap(sets[i], sets[j]) >= needed(int(n[i]), int(n[j]), percent):
+                links.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+                label[label == label[j]] = label[i]
+    return links
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -151,7 +240,7 @@ def frequent(documents: DataFrame, text_col: str = "text", cells: int = 1 << 18,
             held, n = [], 0
             for raw in [*batch.column(0).to_pylist(), None]:
                 if raw:
-                    held.append((shingles(raw, width) & np.uint64(cells - 1)).astype(np.int64))
+                    held.append((all_shingles(raw, width) & np.uint64(cells - 1)).astype(np.int64))
                     n += len(held[-1])
                 if held and (n > cells or raw is None):
                     total += np.bincount(np.concatenate(held), minlength=cells)
@@ -171,7 +260,7 @@ def frequent(documents: DataFrame, text_col: str = "text", cells: int = 1 << 18,
     return np.packbits(total > mean + 8 * math.sqrt(mean + 1) + 24).tobytes()
 
 
-_NODES = "doc_id bigint, n_shingles bigint, node bigint, check bigint, keys array<bigint>"
+_NODES = "doc_id bigint, n_shingles bigint, node bigint, check bigint, point binary, keys array<bigint>"
 
 
 def nodes(documents: DataFrame, bits: bytes, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
@@ -181,100 +270,126 @@ def nodes(documents: DataFrame, bits: bytes, id_col: str = "doc_id", text_col: s
         last = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
         mask = np.uint64(len(last) - 1)
         for batch in batches:
-            count, node, check, keys = [], [], [], []
+            count, node, check, points, keys = [], [], [], [], []
             for raw in batch.column(1).to_pylist():
                 h = shingles(raw, width)
                 count.append(len(h))
                 if not len(h):
-                    node.append(None), check.append(None), keys.append(None)
+                    node.append(None), check.append(None), points.append(None), keys.append(None)
                     continue
-                whole = xxhash.xxh3_128_intdigest(h.tobytes())
-                node.append((whole & (1 << 64) - 1) - (1 << 63)), check.append((whole >> 64) - (1 << 63))
+                name = named(h)
+                node.append(name[0]), check.append(name[1]), points.append(point(h).tobytes())
                 common = last[(h & mask).astype(np.int64)]
                 first = h[~common]
                 most = prefix_length(len(h), percent)
                 keys.append(_signed(first[:most] if len(first) >= most else np.concatenate([first, h[common][: most - len(first)]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], [x.split()[0] for x in _NODES.split(", ")])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [x.split()[0] for x in _NODES.split(", ")])
 
     return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, _NODES)
 
 
-_SETS = "node bigint, n bigint, point binary, hashes binary"
+_SETS = "node bigint, hashes binary"
 
 
-def node_sets(documents: DataFrame, chosen: DataFrame, n_chosen: int, id_col: str, text_col: str, width: int) -> DataFrame:
-    """The points and sets of chosen (doc_id, node) rows, worked out again from the texts."""
+def node_sets(documents: DataFrame, table: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    """The sets of some nodes, worked out again from one text of each."""
 
     def run(batches):
         for batch in batches:
-            sets = [shingles(raw, width) for raw in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(h) for h in sets], pa.int64()), pa.array([point(h).astype("<u2").tobytes() for h in sets], pa.binary()), pa.array([h.astype("<u8").tobytes() for h in sets], pa.binary())], ["node", "n", "point", "hashes"])
+            own, sets = [], []
+            for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h = shingles(raw, width)
+                if len(h) and named(h)[0] == node:  # else another text with the same id
+                    own.append(node), sets.append(h.astype("<u8").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
 
+    chosen = written(table.select("node", "doc_id").join(wanted.distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-chosen")
     left = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    right = F.broadcast(chosen) if n_chosen <= SMALL_IDS else chosen
+    right = F.broadcast(chosen) if chosen.count() <= SMALL_IDS else chosen
     return left.join(right, "doc_id").select("node", "raw").mapInArrow(run, _SETS)
 
 
-def _two_sided(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    a = sets.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col(column).alias("x_a"))
-    b = sets.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col(column).alias("x_b"))
+def _two_sided(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    a = values.select(F.col("node").alias("a"), F.col(column).alias("x_a"))
+    b = values.select(F.col("node").alias("b"), F.col(column).alias("x_b"))
     return pairs.join(a, "a").join(b, "b")
 
 
-def _bounded(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _checked(pairs: DataFrame, dtype: str, linked) -> DataFrame:
+    """The pairs (a, b) for whose two arrays (x_a, x_b) linked holds."""
+
     def run(batches):
         for batch in batches:
-            a, b, na, nb, xa, xb = (batch.column(i).to_pylist() for i in range(6))
-            kept = [i for i in range(len(a)) if bound(np.frombuffer(xa[i], "<u2"), np.frombuffer(xb[i], "<u2")) >= needed(na[i], nb[i], percent)]
+            a, b, xa, xb = (batch.column(i).to_pylist() for i in range(4))
+            kept = [i for i in range(len(a)) if linked(np.frombuffer(xa[i], dtype), np.frombuffer(xb[i], dtype))]
             yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], ["a", "b"])
 
-    near = _two_sided(pairs, sets, "point").where((F.col("n_a") * 100 >= F.col("n_b") * percent) & (F.col("n_b") * 100 >= F.col("n_a") * percent))
-    return near.select("a", "b", "n_a", "n_b", "x_a", "x_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "x_a", "x_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def bounded(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the summed coordinate minima of their points leave."""
+    points = table.where("node is not null").groupBy("node").agg(F.first("point").alias("point"))
+    return _checked(_two_sided(pairs, points, "point"), "<u2", lambda p, q: may_overlap(p, q, percent))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that link: 100 * overlap >= percent * union."""
 
-    def run(batches):
-        for batch in batches:
-            a, b, xa, xb = (batch.column(i).to_pylist() for i in range(4))
-            kept = []
-            for i in range(len(a)):
-                p, q = np.frombuffer(xa[i], "<u8"), np.frombuffer(xb[i], "<u8")
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                at[at == len(q)] = 0
-                if int((q[at] == p).sum()) >= needed(len(p), len(q), percent):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], ["a", "b"])
+    return _checked(_two_sided(pairs, sets, "hashes"), "<u8", lambda p, q: overlap(p, q) >= needed(len(p), len(q), percent))
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
+
+
+def leaf_candidates(sized: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """Pairs across components within buckets of up to LEAF rows (key, node, n, at, component) that the bounds leave, each pair once."""
 
-    return _two_sided(pairs, sets, "hashes").select("a", "b", "x_a", "x_b").mapInArrow(run, "a bigint, b bigint")
+    def sweep(frames):
+        held: list[pd.DataFrame] = []
+        size = 0
 
+        def flush(whole: pd.DataFrame) -> pd.DataFrame:
+            found = leaf_pairs(*(whole[c].to_numpy() for c in ("key", "node", "n", "at", "component")), percent)
+            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-def _block_pairs(rows: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs across components within each bucket, by an R-tree for each block or pair of blocks."""
-    sized = rows.join(rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")), "key")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("key", "node", "component", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-    dealt = dealt.join(sets.select("node", "n", "point"), "node")
+        for frame in frames:
+            held.append(frame)
+            size += len(frame)
+            if size >= 100_000:
+                whole = pd.concat(held, ignore_index=True)
+                rest = whole["key"] == whole["key"].iloc[-1]  # may go on in the next frame
+                if not rest.all():
+                    yield flush(whole[~rest])
+                    whole = whole[rest]
+                held, size = [whole], len(whole)
+        if size:
+            yield flush(pd.concat(held, ignore_index=True))
 
-    def search(key, part: pd.DataFrame) -> pd.DataFrame:
-        side = part["own"].to_numpy() if key[1] != key[2] else None
-        found = tree_pairs(part["node"].to_numpy(), part["n"].to_numpy(), [np.frombuffer(x, "<u2") for x in part["point"]], part["component"].to_numpy(), side, percent)
+    leaves = sized.where(F.col("m") <= LEAF).select("key", "node", "n", "at", "component").repartition("key").sortWithinPartitions("key", "n", "node")
+    return bounded(leaves.mapInPandas(sweep, "a bigint, b bigint").distinct(), table, percent)
+
+
+def large_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within larger buckets: a tree for each, and for those over BLOCK_ROWS one for each block and pair of blocks."""
+    blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
+    dealt = sized.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "at", "component").join(sets, "node")
+
+    def search(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        part = part.drop_duplicates("node").sort_values(["n", "node"])
+        side = np.arange(len(part)) if key[1] == key[2] else part["own"].to_numpy()  # pairs of one block are that block's own task
+        found = tree_links(*(part[c].to_numpy() for c in ("node", "n", "at", "component")), side, [np.frombuffer(x, "<u8") for x in part["hashes"]], percent)
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("key", "i", "j").applyInPandas(search, "a bigint, b bigint").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return dealt.groupBy("key", "i", "j").applyInPandas(search, "a bigint, b bigint").distinct()
 
 
-def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Rows (key, node) of the buckets that span several components, with their component."""
-    if labels is None:
-        own = rows.withColumn("component", F.col("node"))
-    else:
-        own = rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
+def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that span several components, with their component and the size m of their bucket."""
+    own = rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
     return own.join(open_keys, "key")
 
 
@@ -283,23 +398,44 @@ def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str
     n_docs = documents.count()
     cells = 1 << min(24, max(16, math.ceil(math.log2(max(n_docs, 2)))))
     table = written(nodes(documents, frequent(documents, text_col, cells, width), id_col, text_col, width, percent), "jaccard-nodes")
-    keys = table.where("node is not null").select(F.explode("keys").alias("key"), "node")
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("key")
-    rows = written(keys.join(written(shared, "jaccard-shared"), "key").distinct(), "jaccard-rows")
-    active = table.select("node", "doc_id").join(rows.select("node").distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    active = written(active, "jaccard-active")
-    sets = written(node_sets(documents, active, active.count(), id_col, text_col, width), "jaccard-sets")
-
-    # each member of a bucket against the least member and against the member with most shared keys
-    weight = rows.groupBy("node").agg(F.count("*").alias("w"))
-    pivots = rows.join(weight, "node").groupBy("key").agg(F.min("node").alias("least"), F.max_by("node", F.struct("w", "node")).alias("most"))
-    star = rows.join(pivots, "key").select("node", F.explode(F.array_distinct(F.array("least", "most"))).alias("b")).where("node <> b").select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
-    links = written(verified(_bounded(star, sets, percent), sets, percent), "jaccard-links")
+    # one text of each set gives keys; the list of copies is sent around only while it is short
+    of_node = table.where("node is not null").select("node", "doc_id")
+    copies = written(of_node.join(of_node.groupBy("node").agg(F.min("doc_id").alias("least")), "node").where("doc_id <> least").select("doc_id", "node").distinct(), "jaccard-copies")
+    single = table.where("node is not null").join(F.broadcast(copies) if copies.count() <= SMALL_IDS else copies, ["doc_id", "node"], "left_anti")
+    every = single.select("node", "n_shingles", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("n_shingles") * F.lit(1 << 31) + F.col("at")).alias("size_at"))
+    dealt = every.repartition("key")  # one exchange serves both the counts and the join
+    # all columns are used here too, else the exchange would be planned twice
+    shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size_at").alias("top")).where("lo < hi and top >= 0").select("key")
+    rows = dealt.join(shared.hint("shuffle_hash"), "key").select("key", "node", F.shiftright("size_at", 31).alias("n"), F.col("size_at").bitwiseAND(F.lit((1 << 31) - 1)).alias("at"))
+    rows = written(rows, "jaccard-rows")
+
+    # each member of a bucket against its least member, and in an eighth of the buckets against the member with most shared keys
+    member = F.struct("node", "n", "at")
+    by_key = rows.repartition("key")
+    least = by_key.join(by_key.groupBy("key").agg(F.min(member).alias("p")), "key")
+    some = rows.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0)
+    some = some.join(some.groupBy("node").agg(F.count("*").alias("w")), "node")
+    most = some.join(some.groupBy("key").agg(F.max_by(member, F.struct("w", "node")).alias("p")), "key")
+    near = least.select("node", "n", "at", "p").unionAll(most.select("node", "n", "at", "p")).where("node <> p.node")
+    need = F.expr(f"({percent} * (n + p.n) + {99 + percent}) div {100 + percent}")  # rounded up in whole numbers
+    near = near.where((1 + F.least(F.col("n") - F.col("at") - 1, F.col("p.n") - F.col("p.at") - 1) >= need) & (F.col("n") * 100 >= F.col("p.n") * percent) & (F.col("p.n") * 100 >= F.col("n") * percent))
+    star = near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    candidates = written(bounded(star, table, percent), "jaccard-star")
+    links = written(verified(candidates, node_sets(documents, table, ends(candidates), id_col, text_col, width), percent), "jaccard-links")
     labels = written(components(links), "jaccard-labels")
 
     for share in (8, 1):  # an eighth of the open buckets settles most of what is left, then all that are still open
-        open_rows = _labelled(rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), labels)
-        more = written(verified(_block_pairs(open_rows, sets, percent), sets, percent), "jaccard-more")
+        open_rows = _open_rows(rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), labels)
+        large = written(open_rows.where(F.col("m") > LEAF), "jaccard-large")
+        if not large.isEmpty():
+            sets = written(node_sets(documents, table, large.select("node"), id_col, text_col, width), "jaccard-sets")
+            links = links.unionAll(written(large_links(large, sets, percent), "jaccard-large-links"))
+            labels = written(components(links), "jaccard-labels")
+            open_rows = _open_rows(rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), labels)
+        candidates = written(leaf_candidates(open_rows, table, percent), "jaccard-candidates")
+        if candidates.isEmpty():
+            continue
+        more = written(verified(candidates, node_sets(documents, table, ends(candidates), id_col, text_col, width), percent), "jaccard-more")
         if more.isEmpty():
             continue
         links = links.unionAll(more)
