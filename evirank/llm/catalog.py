@@ -61,4 +61,12 @@ QUERIES = {
     "op9_repeated_substrings": op9_repeated_substrings,
     "op10_packing": op10_packing,
 }
-ORACLES: dict[str, str] = {}
+#: Shingle sets, links and the smallest id reachable by links; the other operators are held against plain versions in tests.
+ORACLES: dict[str, str] = {
+    "op7_jaccard_components": """WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM d, LATERAL (SELECT unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n AS k ON k.doc_id = x JOIN n AS l ON l.doc_id = y WHERE 100 * c >= 75 * (k.n + l.n - c)), u AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS a, doc_id AS b FROM d UNION SELECT r.a, u.y FROM r JOIN u ON u.x = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, min(r.b) AS component_id FROM d LEFT JOIN n USING (doc_id) JOIN r ON r.a = d.doc_id GROUP BY 1, 2""",
+}
