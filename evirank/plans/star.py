@@ -445,10 +445,10 @@ def quote_check(spark, sf_dir):
     """Each quote is looked for only in documents that hold its first words, so no text meets every quote."""
     first = F.array_join(F.slice(F.split(TX.squashed(F.col("text")), " "), 1, 4), " ")
     quotes = read(spark, sf_dir, "benchmark").where(F.length("text") > 8).select("item_id", TX.squashed(F.col("text")).alias("quote"), first.alias("lead"))
-    words = F.split(F.col("body"), " ")
+    words = F.col("words")  # a column of its own, so that it is split once for each text
     leads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 3)), lambda i: F.array_join(F.slice(words, i, 4), " ")))
     docs = read(spark, sf_dir, "documents").select("doc_id", TX.squashed(F.col("text")).alias("body"))
-    hits = docs.select("doc_id", F.explode(leads).alias("lead")).join(quotes, "lead").select("doc_id", "item_id", "quote")
+    hits = docs.select("doc_id", F.split("body", " ").alias("words")).select("doc_id", F.explode(leads).alias("lead")).join(quotes, "lead").select("doc_id", "item_id", "quote")
     return hits.join(docs, "doc_id").where(F.contains("body", F.col("quote"))).groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
 
 
