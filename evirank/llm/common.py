@@ -5,8 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +19,8 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_evirank_shipped", False):
         return
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # long texts: bounded memory in Python
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # long texts: bounded memory in Python
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(2 << 20))
     root = Path(__file__).resolve().parents[1]
     path = Path(tempfile.mkdtemp(prefix="evirank-code-")) / "evirank_package.zip"  # the driver serves it from here
     with zipfile.ZipFile(path, "w") as z:
@@ -54,9 +57,23 @@ def written(df: DataFrame, label: str, by: list[str] | None = None) -> DataFrame
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    jvm.System.gc()  # lets Spark drop the shuffle files of what is now written
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterator[pa.RecordBatch]:
+    """Runs of small batches as one of about `most` bytes, for work that is done once for each batch."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and (rest := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield rest[0]
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id written as decimal text, as a BIGINT expression."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
