@@ -274,9 +274,11 @@ def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = written(_indexed(contexts, length, k), "substrings-found")
 
     reach = length - k
-    whole = shared.join(kinds.where("n > 1").select("anchor", "context", F.lit(True).alias("again")), ["anchor", "context"], "left").where("not mixed or again")
-    whole = whole.select("doc_id", F.greatest(F.lit(0), F.col("place") - reach).alias("low"), (F.col("place") + length).alias("high"))
-    part = mixed.join(found, ["anchor", "context"]).select("doc_id", (F.greatest(F.lit(0), F.col("place") - reach) + F.col("low")).alias("low"), (F.greatest(F.lit(0), F.col("place") - reach) + F.col("high")).alias("high"))
+    again = mixed.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    whole = shared.where("not mixed").unionByName(again).select("doc_id", F.greatest(F.lit(0), F.col("place") - reach).alias("low"), (F.col("place") + length).alias("high"))
+    # a context that stands alone has its one place beside it, so occurrences are not joined again
+    start = F.greatest(F.lit(0), F.col("place") - reach)
+    part = kinds.where("n = 1").join(found, ["anchor", "context"]).select("doc_id", (start + F.col("low")).alias("low"), (start + F.col("high")).alias("high"))
     return whole.unionAll(part).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
 
 
