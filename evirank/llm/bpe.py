@@ -25,6 +25,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evirank.llm.common import gathered
+
 LONG, REMEMBER, NONE = 64, 400_000, np.int64(1) << 40
 #: Where a piece may not begin at a space: inside or at the end of a longer run of white space.
 _UNSAFE = re.compile(r"\s \s| \Z")
@@ -59,8 +61,10 @@ class Ranks:
         self.bytes_of = {str(i): bytes(back[c] for c in token) for token, i in vocab.items()} | {str(i): token.encode() for token, i in self.special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.split = regex.compile(_SPLIT)
+        self.said = [str(i) for i in range(len(vocab) + len(self.special))]
         self.words: dict[str, str] = {}
         self.pieces: dict[str, str] = {}
+        self.older: dict[str, str] = {}  # the pieces known before the last overflow
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank (NONE where the pair does not merge) and the merged id of pairs; a negative right side never merges."""
@@ -80,16 +84,14 @@ class Ranks:
         ids = np.concatenate([ids, np.full((n, 1), -1, np.int64)], axis=1)
         rank, made = (x.reshape(n, width) for x in self.look(ids[:, :-1].ravel(), ids[:, 1:].ravel()))
         rank, made = rank.copy(), made.copy()
-        out: list = [None] * n
+        final = np.empty((n, width), np.int64)
         place = np.arange(n)
         while len(place):
             at = rank.argmin(axis=1)
             row = np.arange(len(place))
             live = rank[row, at] < NONE
             if not live.all():
-                for r in np.flatnonzero(~live):
-                    whole = ids[r]
-                    out[place[r]] = whole[whole >= 0].tolist()
+                final[place[~live]] = ids[~live, :-1]
                 place, ids, rank, made, at = place[live], ids[live], rank[live], made[live], at[live]
                 row = np.arange(len(place))
                 if not len(place):
@@ -105,7 +107,9 @@ class Ranks:
             some = at > 0
             r, a = row[some], at[some] - 1
             rank[r, a], made[r, a] = self.look(ids[r, a], ids[r, a + 1])
-        return out
+        left = final >= 0
+        flat, ends = final[left].tolist(), np.cumsum(left.sum(axis=1)).tolist()
+        return [flat[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def merge_long(self, word: bytes) -> list[int]:
         """The same merges for one long word: a heap of (rank, place) over linked parts."""
@@ -130,18 +134,21 @@ class Ranks:
 
     def learn(self, pieces: set[str]) -> None:
         """Remember the ids of new pieces, as comma-joined text."""
-        split = {p: self.split.findall(p) for p in pieces}
+        again = {p for p in pieces if p in self.older}
+        self.pieces.update((p, self.older[p]) for p in again)
+        pieces -= again
+        split = {p: [p] if p[1:].isalpha() and (p[0] == " " or p[0].isalpha()) else [p[:-1], p[-1]] if p[-1] in ".,;:" and p[1:-1].isalpha() and p[0] == " " else self.split.findall(p) for p in pieces}
         new = list({w for ws in split.values() for w in ws if w not in self.words})
         raw = [w.encode() for w in new]
         length = np.fromiter(map(len, raw), np.int64, len(raw))
-        low = 0
+        low, said = 0, self.said.__getitem__
         for width in (8, 12, 16, 24, LONG):
             picked = np.flatnonzero((length > low) & (length <= width))
             low = width
             for k in range(0, len(picked), 20_000):
                 part = picked[k : k + 20_000]
                 for i, ids in zip(part, self.merge_rows([raw[i] for i in part], width), strict=True):
-                    self.words[new[i]] = ",".join(map(str, ids))
+                    self.words[new[i]] = ",".join(map(said, ids))
         for i in np.flatnonzero(length > LONG):
             self.words[new[i]] = ",".join(map(str, self.merge_long(raw[i])))
         for p, ws in split.items():
@@ -169,9 +176,8 @@ class Ranks:
                 cut.append([self.cut_pieces(text)] if text else [])
         out, k = [], 0
         while k < len(cut):
-            if len(self.pieces) > REMEMBER or len(self.words) > REMEMBER:
-                self.pieces.clear()
-                self.words.clear()
+            if len(self.pieces) > REMEMBER:
+                self.older, self.pieces, self.words = self.pieces, {}, {}
             new: set[str] = set()
             known, start = self.pieces.__contains__, k
             while k < len(cut) and len(new) < REMEMBER // 4:
@@ -244,7 +250,7 @@ def digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
 
     def run(batches):
         r = ranks(path)
-        for batch in batches:
+        for batch in gathered(batches):
             count, ids_sha, text_sha = [], [], []
             for part in _slices([x or "" for x in batch.column(1).to_pylist()]):
                 for ids in r.encode_batch(part):
