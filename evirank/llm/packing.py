@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.common import written
+from evirank.llm.common import gathered, written
 
-CAPACITY, END_ID, PER_PART, MAX_ROUNDS, REMEMBER = 4096, 1, 20_000, 8, 400_000
+CAPACITY, END_ID, PER_PART, MAX_ROUNDS, REMEMBER = 4096, 1, 20_000, 8, 600_000
 #: Characters that str.split() takes as white space though the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Where lower-casing a text first or parting its marks could change the ids: capital sigma, dotted I, combining marks.
@@ -40,13 +40,13 @@ _BLANKS = re.compile(r"[ \n\r\t]+")
 class Words:
     """Ids of white-space-delimited words, remembered by number in flat arrays; the tokenizer never joins across white space."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remember: int = REMEMBER):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.remember = Tokenizer.from_file(path), remember
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)  # ids that end a run of letters or signs
         self.ends[[i for token, i in vocab.items() if token.endswith("</w>")]] = True
@@ -85,7 +85,7 @@ class Words:
         return _MARK.sub(r" \1", text.lower()).split()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.number) > REMEMBER:
+        if len(self.number) > self.remember:
             self.forget()
         cut = [self.cut(x) for x in texts]
         before = len(self.number)
@@ -104,21 +104,21 @@ class Words:
 
 
 @lru_cache(maxsize=2)
-def words_of(path: str) -> Words:
-    return Words(path)
+def words_of(path: str, remember: int) -> Words:
+    return Words(path, remember)
 
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBER) -> DataFrame:
     """Token pieces of each whole text followed by end_id; only what is longer than capacity is cut."""
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
     names = [x.split()[0] for x in _PIECES.split(", ")]
 
     def run(batches):
-        words = words_of(path)
-        for batch in batches:
+        words = words_of(path, remember)
+        for batch in gathered(batches):
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             k = 0
             while k < len(ids):
@@ -215,6 +215,6 @@ def pack(table: DataFrame, capacity: int = CAPACITY, per_part: int = PER_PART, m
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack_documents(df: DataFrame, path: str, **options) -> DataFrame:
-    """Tokenise once into shared storage, then pack."""
-    return pack(written(pieces(df, path), "pieces"), **options)
+def pack_documents(df: DataFrame, path: str, remember: int = REMEMBER, **options) -> DataFrame:
+    """Tokenise once into shared storage, then pack. remember: words that a Python worker keeps, against its memory."""
+    return pack(written(pieces(df, path, remember=remember), "pieces"), **options)
