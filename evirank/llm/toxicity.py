@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -22,6 +23,7 @@ from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -76,13 +78,13 @@ class Model:
 
 
 class Rows:
-    """Sparse 0/1 (or signed) rows for matrix products by bincount."""
+    """Sparse rows of (columns, values) for matrix products by bincount."""
 
-    def __init__(self, rows: list[list[tuple[int, float]]], width: int):
+    def __init__(self, rows: list[tuple[np.ndarray, np.ndarray]], width: int):
         self.n, self.width = len(rows), width
-        self.row = np.repeat(np.arange(self.n), [len(r) for r in rows])
-        self.col = np.array([c for r in rows for c, _ in r], np.int64)
-        self.val = np.array([v for r in rows for _, v in r], float)
+        self.row = np.repeat(np.arange(self.n, dtype=np.int32), [len(c) for c, _ in rows])
+        self.col = np.concatenate([c for c, _ in rows]) if rows else np.empty(0, np.int32)
+        self.val = np.concatenate([v for _, v in rows]) if rows else np.empty(0)
 
     def dot(self, w: np.ndarray) -> np.ndarray:
         return np.bincount(self.row, self.val * w[self.col], self.n)
@@ -114,20 +116,32 @@ def fit(texts: list[set[str]], labels: list[int], share: float | None = None, gr
         share = min(max(share, 1e-6), 1 - 1e-6)
         return Model({}, math.log(share / (1 - share)))
     swap = swaps(groups)
-    bags = [{f for w in s for f in features_of(w)} for s in texts]
-    seen = Counter(f for s, t in zip(bags, labels, strict=True) if t for f in s)
+    seen: Counter[str] = Counter()
+    for words, t in zip(texts, labels, strict=True):
+        if t:
+            seen.update({f for w in words for f in features_of(w)})
     seen = {f: n for f, n in seen.items() if n >= MIN_POSITIVE_TEXTS}
-    calm = Counter(f for s, t in zip(bags, labels, strict=True) if not t for f in s if f in seen)
+    calm: Counter[str] = Counter()
+    for words, t in zip(texts, labels, strict=True):
+        if not t:
+            calm.update({f for w in words for f in features_of(w) if f in seen})
     many, few = y.sum(), (1 - y).sum()
     apart = {f: (n / many - calm[f] / few) / math.sqrt(n + calm[f]) for f, n in seen.items()}
     kept = sorted(seen, key=lambda f: (-apart[f], f))[:MAX_WORDS]
     index = {f: i for i, f in enumerate(dict.fromkeys([*kept, *(f for term in swap for f in features_of(term))]))}
-    rows = Rows([[(index[f], 1.0) for f in sorted(s) if f in index] for s in bags], len(index))
-    change = []
-    for words, bag in zip(texts, bags, strict=True):
+
+    def row(plus: set[str], minus: set[str] = frozenset()) -> tuple[np.ndarray, np.ndarray]:
+        columns = [sorted(index[f] for f in fs if f in index) for fs in (plus, minus)]
+        return np.array(sum(columns, []), np.int32), np.repeat([1.0, -1.0], [len(c) for c in columns])
+
+    made, change = [], []
+    for words in texts:
+        bag = {f for w in words for f in features_of(w)}
+        made.append(row(bag))
         if own := words & swap.keys():
             swapped = {f for w in (words - own) | {swap[w] for w in own} for f in features_of(w)}
-            change.append([(index[f], 1.0) for f in sorted(swapped - bag) if f in index] + [(index[f], -1.0) for f in sorted(bag - swapped) if f in index])
+            change.append(row(swapped - bag, bag - swapped))
+    rows = Rows(made, len(index))
     cf = Rows(change, len(index))
     balance = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())  # both classes weigh the same
     step = 1 / curvature(rows, balance, cf, cf_weight)
@@ -190,8 +204,10 @@ def train(documents: DataFrame, labels: DataFrame, held_out, **options) -> Model
     got = rows.select(F.col("id").cast("bigint"), "text", F.col("target").cast("bigint")).mapInArrow(run, "id bigint, bag string, target bigint").toArrow().sort_by([("id", "ascending"), ("bag", "ascending")])
     total = sum(counts.values())
     share = counts.get(1, 0) / total if total else None
-    distinct = dict(zip(got["bag"].to_pylist(), got["target"].to_pylist(), strict=True))  # copies of a text count once
-    return fit([set(x.split("\n")) - {""} for x in distinct], list(distinct.values()), share, **options)
+    distinct = {xxhash.xxh3_128_digest(b.as_py()): i for i, b in enumerate(got["bag"])}  # copies of a text count once
+    kept = got.take(pa.array(sorted(distinct.values()), pa.int64()))
+    texts = [{sys.intern(w) for w in b.as_py().split("\n") if w} for b in kept["bag"]]
+    return fit(texts, kept["target"].to_pylist(), share, **options)
 
 
 _SCORED = "doc_id bigint, held_out boolean, score double, predicted int"
