@@ -75,7 +75,7 @@ class Shapes:
         stops, commas = text.count(".") + text.count("?") + text.count("!"), text.count(",")
         return [
             *(said.count(c) / d for c in KINDS), math.log1p(len(text)), math.log1p(n), len(text) / d, len(distinct) / d, math.log1p(k), (k - len(set(lines))) / max(1, k),
-            len(max(lines, key=len)) / max(1, len(text)) if lines else 0.0, stops / d, commas / d, sum(map(str.isupper, text[:: max(1, len(text) // 4000)])) / max(1, min(len(text), 4000)),
+            len(max(lines, key=len)) / max(1, len(text)) if lines else 0.0, stops / d, commas / d, sum(map(str.isupper, text)) / max(1, len(text)),
         ]
 
 

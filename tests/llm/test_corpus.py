@@ -89,6 +89,13 @@ def test_quality(spark):
     assert 0.76 < prior < 0.86
 
 
+@pytest.mark.parametrize("n", [4001, 6000, 7999, 8000, 30001])
+def test_quality_reads_every_character(n):
+    text = "".join("aB"[i % 2] for i in range(n))  # a stride of two would see one case only
+    assert quality.Shapes().measure(text)[-1] == (n // 2) / n
+    assert quality.Shapes().measure("a" * (n - 1) + "B")[-1] == 1 / n
+
+
 def test_bpe_equals_the_library(spark, docs):
     lib = Tokenizer.from_file(BYTE)
     out = {r["doc_id"]: r for r in bpe.digests(frame(spark, docs), BYTE).collect()}
