@@ -1,13 +1,13 @@
 """Information-theoretic sanitisation with DataFrame functions only.
 
 Four patterns find protected values (email, ip, card, phone). Every word within CONTEXT characters of such a value is a term that may
-reveal it. Over the whole corpus, n(e) and n(e, t) count the distinct contexts of an entity and of an entity with a term,
-and n(t) counts the documents with the term. The pointwise mutual information log2(n(e,t) N / (n(e) n(t))), as a share of the entity's
-information content log2(N / n(e)), is the term's disclosure: 1 means that the term gives the entity away. Pairs in at
-least SUPPORT distinct contexts are judged; from GENERALISE on a term becomes a placeholder, from REMOVE on it is cut out.
+reveal it. All counts are of distinct texts, so copies count once: N texts, n(e) with an entity, n(t) with a term, n(e, t) with the
+term near the entity. The share of the entity among the texts of the term is smoothed by PRIOR texts at the entity's base rate,
+p = (n(e,t) + PRIOR n(e) / N) / (n(t) + PRIOR). The pointwise mutual information log2(p N / n(e)), as a share of the entity's
+information content log2(N / n(e)), is the term's disclosure: 1 means that the term gives the entity away. Every pair is
+judged; from GENERALISE on a term becomes a placeholder, from REMOVE on it is cut out.
 
-Copies of a document share their contexts and so count once. A frequent entity or term is never gathered into one row: contexts
-stay rows, and counts are combined before they are shuffled.
+A frequent entity or term is never gathered into one row: contexts stay rows, and counts are combined before they are shuffled.
 
 Defined results: null text counts as empty and has no spans; repeated rows each get the same spans; spans are in code points,
 ends exclusive; a term that overlaps a base span is left to that span; an empty table gives no rows; extra columns
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from evirank.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, SUPPORT, GENERALISE, REMOVE, LEAST_TERM, BLOCK = 100, 3, 0.6, 0.9, 3, 256
+CONTEXT, PRIOR, GENERALISE, REMOVE, LEAST_TERM, BLOCK = 100, 1.0, 0.6, 0.9, 3, 256
 #: A match begins where a run of its first characters begins or where the last match ended, so no run is tried twice.
 _PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -127,21 +127,24 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", F.transform("base", context).alias("contexts"))
 
 
+def _disclosure(n_e: Column, n_et: Column, n_t: Column, total: Column) -> Column:
+    share = (n_et + PRIOR * n_e / total) / (n_t + PRIOR)
+    return F.log2(share * total / n_e) / F.greatest(F.log2(total / n_e), F.lit(1e-9))
+
+
 def disclosures(documents: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the pairs with enough support and at least GENERALISE disclosure."""
-    near = scanned.where(F.size("contexts") > 0).select(F.explode("contexts").alias("c")).select(F.col("c.entity").alias("entity"), F.xxhash64("c.window").alias("w"), F.array_distinct(_words(F.col("c.window"))).alias("words"))
-    near = near.distinct()  # copies of a context count once
-    of_entity = near.groupBy("entity").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= SUPPORT)
-    pairs = near.select("entity", F.explode("words").alias("term")).where(F.length("term") >= LEAST_TERM).groupBy("entity", "term").agg(F.count("*").alias("n_et")).where(F.col("n_et") >= SUPPORT)
+    """(entity, term, disclosure) of the pairs with at least GENERALISE disclosure."""
+    near = scanned.where(F.size("contexts") > 0).select("text_key", F.explode("contexts").alias("c")).select("text_key", F.col("c.entity").alias("entity"), _words(F.col("c.window")).alias("words"))
+    of_entity = near.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    pairs = near.select("text_key", "entity", F.explode("words").alias("term")).where(F.length("term") >= LEAST_TERM).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
     judged = written(pairs.join(of_entity, "entity"), "pii-pairs")
     terms = judged.select("term").distinct()
-    total = documents.count()
+    total = F.lit(float(max(scanned.select("text_key").distinct().count(), 2)))
+    texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).dropDuplicates(["text_key"])
     # words are counted first, which combines them before the shuffle, so the join meets each word once
-    words = documents.select(F.explode(F.array_distinct(_words(F.coalesce(F.col(text_col), F.lit(""))))).alias("term")).where(F.length("term") >= LEAST_TERM)
+    words = texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).where(F.length("term") >= LEAST_TERM)
     of_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-    n_t = F.greatest("n_t", "n_et")
-    info = F.log2(F.lit(float(max(total, 2))) / F.col("n_e"))
-    rate = F.log2(F.col("n_et") * F.lit(float(max(total, 2))) / (F.col("n_e") * n_t)) / F.greatest(info, F.lit(1e-9))
+    rate = _disclosure(F.col("n_e"), F.col("n_et"), F.greatest("n_t", "n_et"), total)
     return judged.join(of_term, "term").select("entity", "term", rate.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
 
 

@@ -189,6 +189,19 @@ def test_pii_terms_that_disclose(spark):
     assert all("kingpin" not in clean[i] and "corp.com" not in clean[i] and "[EMAIL]" in clean[i] for i in range(300, 306)) and clean[0] == text[0]
 
 
+def test_pii_rare_entities_and_copies(spark):
+    ship(spark)
+    common = ["about", "house", "river", "green", "walks"]
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(common) for _ in range(20))) for i in range(200)]
+    rows += [(300, "green ringleader a@solo.org house")]  # one text is all there is of this entity
+    rows += [(400 + i, f"{i} godfather b@many.org river") for i in range(3)] + [(500 + i, "walks godfather house") for i in range(300)]  # 300 copies of one text
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert "ringleader" not in clean[300] and "green" in clean[300]
+    assert all("godfather" not in clean[400 + i] and "river" in clean[400 + i] for i in range(3)) and clean[0] == rows[0][1]
+
+
 def test_pages(spark):
     ship(spark)
     page = (
