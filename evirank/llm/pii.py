@@ -1,13 +1,16 @@
 """Information-theoretic sanitisation with DataFrame functions only.
 
-Four patterns find protected values (email, ip, card, phone). Every word within CONTEXT characters of such a value is a term that may
-reveal it. All counts are of distinct texts, so copies count once: N texts, n(e) with an entity, n(t) with a term, n(e, t) with the
-term near the entity. The share of the entity among the texts of the term is smoothed by PRIOR texts at the entity's base rate,
+Four patterns find protected values (email, ip, card, phone). Every word of a text that holds such a value is a term that may
+reveal it. All counts are of distinct texts, so copies count once: N texts, n(e) with an entity, n(t) with a term, n(e, t) with
+both. The share of the entity among the texts of the term is smoothed by PRIOR texts at the entity's base rate,
 p = (n(e,t) + PRIOR n(e) / N) / (n(t) + PRIOR). The pointwise mutual information log2(p N / n(e)), as a share of the entity's
 information content log2(N / n(e)), is the term's disclosure: 1 means that the term gives the entity away. Every pair is
-judged; from GENERALISE on a term becomes a placeholder, from REMOVE on it is cut out.
+judged. From GENERALISE on a term becomes a placeholder wherever it stands in texts with the entity; from REMOVE on it
+is cut out of all texts, since it gives the entity away by itself.
 
-A frequent entity or term is never gathered into one row: contexts stay rows, and counts are combined before they are shuffled.
+Words of distinct texts are written once as (text, term) rows. A pair can only reach GENERALISE if n(t) is at most a bound in n(e) and
+N, so rows of more frequent terms, which no entity of the text could be disclosed by, are left out of the pairs; nothing else is.
+A frequent entity or term is never gathered into one row: texts stay rows, and counts are combined before they are shuffled.
 
 Defined results: null text counts as empty and has no spans; repeated rows each get the same spans; spans are in code points,
 ends exclusive; a term that overlaps a base span is left to that span; an empty table gives no rows; extra columns
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 from evirank.llm.common import written
 
 KINDS = ("email", "ip", "card", "phone")
-CONTEXT, PRIOR, GENERALISE, REMOVE, LEAST_TERM, BLOCK = 100, 1.0, 0.6, 0.9, 3, 256
+PRIOR, GENERALISE, REMOVE, LEAST_TERM, BLOCK, SMALL_TERMS = 1.0, 0.6, 0.9, 3, 256, 300_000
 #: A match begins where a run of its first characters begins or where the last match ended, so no run is tried twice.
 _PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -82,6 +85,23 @@ def _placed(gaps: Column, matches: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(steps.alias("steps"))), build), 0)
 
 
+def _before(lengths: Column) -> Column:
+    """The sum of the lengths before each place, by blocks of about the root of their number."""
+
+    def add(a: Column) -> Column:
+        return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+
+    def build(x: Column) -> Column:
+        own, block = x["own"], x["block"]
+        sums = F.transform(F.sequence(F.lit(0), ((F.size(own) - 1) / block).cast("int")), lambda b: add(F.slice(own, 1, b * block)))
+        each = lambda s: F.transform(own, lambda _, i: F.get(s, (i / block).cast("int")) + add(F.slice(own, i - i % block + 1, i % block)))
+        return F.get(F.transform(F.array(sums), each), 0)
+
+    block = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(lengths).cast("double"))).cast("int"))
+    # one-element arrays bind lengths and sums, so that they are worked out once
+    return F.get(F.transform(F.array(F.struct(lengths.alias("own"), block.alias("block"))), build), 0)
+
+
 def _found(kind: str, text: Column) -> Column:
     pattern, no = _PATTERNS[kind], KINDS.index(kind)
     matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
@@ -108,23 +128,25 @@ def _entity(text: Column, s: Column) -> Column:
     return F.concat(s["kind"], F.lit(":"), F.when(s["kind"].isin("card", "phone"), _digits(raw)).otherwise(F.lower(raw)))
 
 
-def _words(window: Column) -> Column:
-    return F.split(F.translate(F.lower(window), _BREAKS, " " * len(_BREAKS)), " ")
+def _raw_words(text: Column) -> Column:
+    """Words as they stand; breaks are one character each."""
+    return F.split(F.translate(text, _BREAKS, " " * len(_BREAKS)), " ", -1)
 
 
-def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, base spans, contexts) of each document, without its text.
+def _words(text: Column) -> Column:
+    return F.transform(_raw_words(text), lambda w: F.lower(w))  # one by one, since lower case can be longer
 
-    A context is an entity, the place and text of the window around it. It is cut at both ends to whole words.
-    """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
 
-    def context(s: Column) -> Column:
-        low = F.greatest(F.lit(0), s["start"] - CONTEXT)
-        return F.struct(_entity(F.col("text"), s).alias("entity"), low.cast("int").alias("low"), F.substring(F.col("text"), low + 1, s["end"] - low + CONTEXT).alias("window"))
+def _text(documents: DataFrame, text_col: str) -> DataFrame:
+    """(text_key, text) of each distinct text."""
+    return documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).dropDuplicates(["text_key"])
 
-    return found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", F.transform("base", context).alias("contexts"))
+
+def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, text_key, base spans, entities) of each document, without its text."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    found = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
+    return found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", F.array_distinct(F.transform("base", lambda s: _entity(F.col("text"), s))).alias("entities"))
 
 
 def _disclosure(n_e: Column, n_et: Column, n_t: Column, total: Column) -> Column:
@@ -132,46 +154,56 @@ def _disclosure(n_e: Column, n_et: Column, n_t: Column, total: Column) -> Column
     return F.log2(share * total / n_e) / F.greatest(F.log2(total / n_e), F.lit(1e-9))
 
 
-def disclosures(documents: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(entity, term, disclosure) of the pairs with at least GENERALISE disclosure."""
-    near = scanned.where(F.size("contexts") > 0).select("text_key", F.explode("contexts").alias("c")).select("text_key", F.col("c.entity").alias("entity"), _words(F.col("c.window")).alias("words"))
-    of_entity = near.select("text_key", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    pairs = near.select("text_key", "entity", F.explode("words").alias("term")).where(F.length("term") >= LEAST_TERM).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_et"))
-    judged = written(pairs.join(of_entity, "entity"), "pii-pairs")
-    terms = judged.select("term").distinct()
+def flagged_terms(documents: DataFrame, scanned: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_key, term, d): each flagged term of each distinct text, with its largest disclosure there."""
+    terms = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: F.length(w) >= LEAST_TERM)
+    postings = written(_text(documents, text_col).select("text_key", F.explode(terms).alias("term")), "pii-words")
     total = F.lit(float(max(scanned.select("text_key").distinct().count(), 2)))
-    texts = documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).dropDuplicates(["text_key"])
-    # words are counted first, which combines them before the shuffle, so the join meets each word once
-    words = texts.select(F.explode(F.array_distinct(_words(F.col("text")))).alias("term")).where(F.length("term") >= LEAST_TERM)
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_t")).join(terms, "term")
-    rate = _disclosure(F.col("n_e"), F.col("n_et"), F.greatest("n_t", "n_et"), total)
-    return judged.join(of_term, "term").select("entity", "term", rate.alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
-
-
-def term_spans(scanned: DataFrame, flagged: DataFrame) -> DataFrame:
-    """(doc_id, text_key, terms): the places of flagged terms in the windows of their entities."""
-    windows = scanned.where(F.size("contexts") > 0).select("doc_id", "text_key", "base", F.explode("contexts").alias("c")).distinct()
+    holds = scanned.where(F.size("entities") > 0).select("text_key", F.explode("entities").alias("entity")).distinct()
+    of_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
+    # the largest n(t) at which n(e, t) = n(e) still gives GENERALISE, and a little more for rounding
+    most = (F.col("n_e") * (1 + F.lit(PRIOR) / total) * F.pow(total / F.col("n_e"), F.lit(1 - GENERALISE)) - PRIOR) * (1 + 1e-9)
+    holds = written(holds.join(of_entity, "entity").withColumn("most", most), "pii-entities")
+    of_text = holds.groupBy("text_key").agg(F.max("most").alias("text_most"))
+    of_term = written(postings.groupBy("term").agg(F.count("*").alias("n_t")), "pii-counts")
+    top = holds.agg(F.max("most")).first()[0] or 0.0
+    beside = postings.join(of_text, "text_key").join(of_term.where(F.col("n_t") <= top), "term").where(F.col("n_t") <= F.col("text_most"))
+    pairs = written(beside.select("text_key", "term", "n_t").join(holds, "text_key").where(F.col("n_t") <= F.col("most")).select("text_key", "entity", "term", "n_t", "n_e"), "pii-pairs")
+    judged = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
+    judged = judged.withColumn("d", _disclosure(F.col("n_e"), F.col("n_et"), F.col("n_t"), total)).where(F.col("d") >= GENERALISE)
+    judged = written(judged.select("entity", "term", "n_et", "n_t", "d"), "pii-flagged")
+    own = pairs.select("text_key", "entity", "term").join(judged.select("entity", "term", "d"), ["entity", "term"]).select("text_key", "term", "d")
+    # terms that tell by themselves and that also stand in texts without the entity
+    alone = judged.where((F.col("d") >= REMOVE) & (F.col("n_t") > F.col("n_et"))).groupBy("term").agg(F.max("d").alias("d"))
+    alone = written(alone, "pii-alone")
+    few = alone.count() <= SMALL_TERMS
+    elsewhere = postings.join(F.broadcast(alone) if few else alone, "term").select("text_key", "term", "d")
+    return own.unionAll(elsewhere).groupBy("text_key", "term").agg(F.max("d").alias("d"))
+
+
+def term_spans(documents: DataFrame, flagged: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_key, terms): all places of the flagged terms of each distinct text, by start."""
+    texts = _text(documents, text_col).join(flagged.select("text_key").distinct(), "text_key")
 
     def place(words: Column) -> Column:
-        # breaks are one character each, so a word starts after the words before it and one break for each
-        return F.transform(words, lambda w, i: F.struct(w.alias("term"), (F.aggregate(F.slice(words, 1, i), F.lit(0), lambda a, x: a + F.length(x) + 1)).alias("at")))
-
-    each = windows.select("doc_id", "text_key", "base", F.col("c.entity").alias("entity"), F.col("c.low").alias("low"), F.explode(place(_words(F.col("c.window")))).alias("t"))
-    hits = each.select("doc_id", "text_key", "base", "entity", F.col("t.term").alias("term"), (F.col("low") + F.col("t.at")).alias("start")).join(flagged, ["entity", "term"])
-    end = F.col("start") + F.length("term")
-    clear = ~F.exists("base", lambda b: (b["start"] < end) & (F.col("start") < b["end"]))
-    hits = hits.where(clear).groupBy("doc_id", "text_key", "start", end.alias("end")).agg(F.max("disclosure").alias("d"))
+        at = _before(F.transform(words, lambda w: F.length(w) + 1))
+        rows = F.zip_with(words, at, lambda w, p: F.struct(F.lower(w).alias("term"), p.cast("int").alias("start"), (p + F.length(w)).cast("int").alias("end")))
+        return F.filter(rows, lambda r: F.length(r["term"]) >= LEAST_TERM)
+
+    # a one-element array binds the words, so that they are split once
+    each = texts.select("text_key", F.explode(F.get(F.transform(F.array(_raw_words(F.col("text"))), place), 0)).alias("w")).select("text_key", "w.*")
     kind = F.when(F.col("d") >= REMOVE, "remove").otherwise("term")
-    return hits.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.lit(len(KINDS)).alias("kind_no"), F.col("end").cast("int").alias("end"), kind.alias("kind")))).alias("terms"))
+    span = F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", kind.alias("kind"))
+    return each.join(flagged, ["text_key", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, base, spans): base spans, and these with the disclosing terms, of each document."""
     scanned = written(scan(documents, id_col, text_col), "pii-scan")
-    flagged = written(disclosures(documents, scanned, id_col, text_col), "pii-flagged")
-    added = term_spans(scanned, flagged)
-    both = scanned.join(added, ["doc_id", "text_key"], "left")
-    return both.select("doc_id", "text_key", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", "terms"))).alias("spans"))
+    added = written(term_spans(documents, written(flagged_terms(documents, scanned, text_col), "pii-terms"), text_col), "pii-places")
+    both = scanned.join(added, "text_key", "left")
+    clear = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
+    return both.select("doc_id", "text_key", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear))).alias("spans"))
 
 
 def said(spans_: Column) -> Column:

@@ -202,6 +202,20 @@ def test_pii_rare_entities_and_copies(spark):
     assert all("godfather" not in clean[400 + i] and "river" in clean[400 + i] for i in range(3)) and clean[0] == rows[0][1]
 
 
+def test_pii_terms_anywhere_in_a_text(spark):
+    ship(spark)
+    common = ["about", "house", "river", "green", "walks"]
+    rng = random.Random(9)
+    far = " ".join(rng.choice(common) for _ in range(60))  # over 100 characters to both sides
+    rows = [(i, " ".join(rng.choice(common) for _ in range(20 + i % 7))) for i in range(400)]
+    rows += [(500 + i, f"İİ Kingpin {i} {far} boss@corp.com {far} kingpin") for i in range(12)]
+    rows += [(600, "walks kingpin house"), (601, None), (602, "river kingpins")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
+    assert all("kingpin" not in clean[500 + i].lower() and far in clean[500 + i] for i in range(12))
+    assert clean[600] == "walks  house" and clean[601] is None and clean[602] == "river kingpins" and clean[0] == rows[0][1]
+
+
 def test_pages(spark):
     ship(spark)
     page = (
