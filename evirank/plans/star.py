@@ -442,14 +442,22 @@ _SQUASH = "trim(regexp_replace(regexp_replace(lower({0}), '<[^>]*>', ' ', 'g'),
 
 @query(f"SELECT item_id, min(doc_id) AS first_doc, count(*) AS n_docs FROM benchmark JOIN documents ON contains({_SQUASH.format('documents.text')}, {_SQUASH.format('benchmark.text')}) AND length(benchmark.text) > 8 GROUP BY 1")
 def quote_check(spark, sf_dir):
-    """Each quote is looked for only in documents that hold its first words, so no text meets every quote."""
-    first = F.array_join(F.slice(F.split(TX.squashed(F.col("text")), " "), 1, 4), " ")
-    quotes = read(spark, sf_dir, "benchmark").where(F.length("text") > 8).select("item_id", TX.squashed(F.col("text")).alias("quote"), first.alias("lead"))
+    """Quotes of three words or more are looked for only in documents that hold their inner words: the first and the last word
+    of a quote may be parts of longer ones, those between are whole in any text with the quote. Shorter quotes meet every text.
+    """
+    parts = F.split("quote", " ")
+    inner = F.slice(parts, 2, F.least(F.size(parts) - 2, F.lit(4)))
+    quotes = read(spark, sf_dir, "benchmark").where(F.length("text") > 8).select("item_id", TX.squashed(F.col("text")).alias("quote")).groupBy("item_id", "quote").agg(F.count("*").alias("times"))
+    long = quotes.where(F.size(parts) > 2).withColumn("n", F.size(inner)).withColumn("lead", F.array_join(inner, " "))
     words = F.col("words")  # a column of its own, so that it is split once for each text
-    leads = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - 3)), lambda i: F.array_join(F.slice(words, i, 4), " ")))
     docs = read(spark, sf_dir, "documents").select("doc_id", TX.squashed(F.col("text")).alias("body"))
-    hits = docs.select("doc_id", F.split("body", " ").alias("words")).select("doc_id", F.explode(leads).alias("lead")).join(quotes, "lead").select("doc_id", "item_id", "quote")
-    return hits.join(docs, "doc_id").where(F.contains("body", F.col("quote"))).groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n_docs"))
+    sizes = F.array(*(F.lit(r["n"]) for r in long.select("n").distinct().collect())).cast("array<int>")  # at most 1 to 4
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - n + 1)), lambda i: F.array_join(F.slice(words, i, n), " "))
+    leads = F.array_distinct(F.flatten(F.transform(sizes, runs)))
+    hits = docs.select("doc_id", F.split("body", " ").alias("words")).select("doc_id", F.explode(leads).alias("lead")).join(long, "lead").select("doc_id", "item_id", "quote", "times").distinct()
+    found = hits.join(docs, "doc_id").where(F.contains("body", F.col("quote"))).select("item_id", "doc_id", "times")
+    short = docs.join(quotes.where(F.size(parts) < 3), F.contains("body", F.col("quote"))).select("item_id", "doc_id", "times")
+    return found.unionAll(short).groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.sum("times").alias("n_docs"))
 
 
 @query("""SELECT doc_id, CASE WHEN quality IS NULL THEN CASE WHEN n_chars % 11 = 0 THEN 'P2' WHEN n_chars % 5 = 0 AND n_chars > 2000 THEN 'P4' WHEN n_chars % 5 = 0 THEN 'P3' WHEN n_chars % 7 >= 3 THEN 'P3' ELSE 'P4' END
