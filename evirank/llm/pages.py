@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one for each block element in page order. Parts that are never article text (menus, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) become stretches of empty lines, and so does all
-that lies outside the article where the page marks one. Text lengths are summed over sliding windows of WINDOW lines; a
+that lies outside article elements, where these hold at least ENOUGH of the rest; articles named as comments, adverts and the like do not count. Text lengths are summed over sliding windows of WINDOW lines; a
 stretch begins where the sums surge from nothing and ends where they dive back to nothing. Stretches whose largest window reaches SURGE characters
 are kept with their short lines; if none does, the one with the most text is kept.
 
@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, SURGE = 3, 40
+ENOUGH = 0.25  # share of the text outside unwanted elements that marks of an article must hold to be followed
+OUTSIDE, ARTICLE, DOUBTFUL = range(3)
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>", re.DOTALL)
 _RAW = frozenset("script style textarea title noscript template iframe svg math canvas object xmp noembed noframes".split())
 _RAW_END = {name: re.compile(rf"</{name}\s*>", re.IGNORECASE) for name in _RAW}
@@ -57,28 +59,33 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
+def _named_aside(attributes: str) -> bool:
+    return any({p.lower() for p in _PART.findall(" ".join(groups))} & _ASIDE for groups in _NAMES.findall(attributes))
+
+
 def lines_of(page: str) -> list[tuple[str, bool]]:
     """(raw text, wanted) of each block in page order.
 
     An unwanted element gives lines that are empty and not wanted: as many as a window has where it frames the page, so that every
     window falls to nothing there, else one, which a window spans.
     """
-    out: list[tuple[str, bool]] = []
+    out: list[tuple[str, int, bool]] = []  # raw text, OUTSIDE, ARTICLE or DOUBTFUL, whether it is a gap
     text: list[str] = []
-    marked = bool(_ARTICLE.search(page))
-    inside = 0  # open article elements
-    article_names: list[str] = []
+    articles: list[tuple[str, bool]] = []  # open article elements and whether their names speak against them
     ends: dict[str, dict[int, int]] = {}
     endless: set[str] = set()
     last = page.rfind(">") + 1  # no tag ends after it
     at, tags = 0, _TAG.scanner(page, 0, last)
 
-    def end_block(wanted: bool) -> None:
+    def where() -> int:
+        return (DOUBTFUL if any(d for _, d in articles) else ARTICLE) if articles else OUTSIDE
+
+    def end_block() -> None:
         if text:
             joined = "".join(text)
             text.clear()
             if not joined.isspace():
-                out.append((joined, wanted))
+                out.append((joined, where(), False))
 
     while m := tags.search():
         if m.start() > at:
@@ -92,16 +99,14 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
             attributes += page[at - 1 : end]  # the sign stood in a quoted value
             at = end + 1
             tags = _TAG.scanner(page, at, last)
-        wanted = bool(inside) or not marked
         if closing:
             if name in _BLOCK:
-                end_block(wanted)
+                end_block()
             elif name in _SPACE:
                 text.append(" ")
-            if article_names and name in article_names:
-                while article_names.pop() != name:
-                    inside -= 1
-                inside -= 1
+            if any(n == name for n, _ in articles):
+                while articles.pop()[0] != name:
+                    pass
             continue
         if name in _RAW and not attributes.endswith("/"):
             end = None if name in endless else _RAW_END[name].search(page, at)
@@ -112,32 +117,36 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
                 tags = _TAG.scanner(page, at, last)
             text.append(" ")
             continue
-        if name not in _VOID and not attributes.endswith("/") and _unwanted(name, attributes, bool(inside)):
+        if name not in _VOID and not attributes.endswith("/") and _unwanted(name, attributes, bool(articles)):
             if name not in ends:
                 ends[name] = _element_ends(page, name)
             end = ends[name].get(m.start())
             if end is not None:
-                end_block(wanted)
-                if not inside:
-                    out += [("", False)] * (WINDOW if name in _FRAME else 1)
+                end_block()
+                out += [("", where(), True)] * (WINDOW if name in _FRAME else 1)
                 at = end
                 tags = _TAG.scanner(page, at, last)
                 continue
         if name in _BLOCK:
-            end_block(wanted)
+            end_block()
         elif name in _SPACE:
             text.append(" ")
         if name in ("article", "main") or (attributes and _ARTICLE.search(attributes)):
             if name not in _VOID:
-                article_names.append(name)
-                inside += 1
-        elif name in article_names:
-            article_names.append(name)  # nested elements of the same name close first
-            inside += 1
+                articles.append((name, name == "article" and _named_aside(attributes)))
+        elif any(n == name for n, _ in articles):
+            articles.append((name, False))  # nested elements of the same name close first
     if at < len(page):
         text.append(page[at:])
-    end_block(bool(inside) or not marked)
-    return out
+    end_block()
+    size = [0, 0, 0]
+    for raw, part, _ in out:
+        size[part] += len(raw) - raw.count(" ")
+    if size[ARTICLE] and size[ARTICLE] >= ENOUGH * (size[ARTICLE] + size[OUTSIDE]):
+        kept = (ARTICLE,)
+    else:  # a teaser or comments do not stand for the page
+        kept = (OUTSIDE, ARTICLE) if size[OUTSIDE] or size[ARTICLE] else (DOUBTFUL,)
+    return [(raw, part in kept and not gap) for raw, part, gap in out if not (gap and kept == (ARTICLE,) and part == ARTICLE)]
 
 
 def _element_ends(page: str, name: str) -> dict[int, int]:

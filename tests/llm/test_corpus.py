@@ -231,6 +231,18 @@ def test_pages(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in out.values()) and pages.extract_pages(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "extra",
+    [
+        "<aside><article><p>Teaser of another page.</p></article></aside>", "<div class=comments><article><p>Nice one, I liked it.</p></article></div>", "<!-- <main> -->", '<script>"<article>"</script>',
+        "<article class=comment><p>Nice one, I liked it very much, and I read it more than once, which is rare for me to do with any page.</p></article>",
+    ],
+)
+def test_pages_with_marks_that_are_not_the_article(extra):
+    page = "<body><div>" + "".join(f"<p>Paragraph {i} of the article stands in a plain division and is long enough.</p>" for i in range(5)) + f"</div>{extra}</body>"
+    assert pages.extract(page) == "\n".join(f"Paragraph {i} of the article stands in a plain division and is long enough." for i in range(5))
+
+
 def hub(rng):
     """A text, many copies that each link to it but hardly to one another, and texts that share a passage only."""
     words = [f"w{i}" for i in range(2000)]
