@@ -5,20 +5,24 @@ by their leading hash bits, and a node's point is the number of its shingles in
 The overlap of two sets is at most the sum of the coordinate minima of their points, and of a point and the upper corner of a box.
 
 The index is spread over the cluster by prefix keys: with any one order of all shingles, two sets that link share a shingle
-among the first n - ceil(t n) + 1 of each. The order puts shingles that are frequent in the corpus last, as a
+among the first n - ceil(t n) + 1 of each. The order puts shingles that are frequent in the corpus last, the more frequent the later, as a
 sketch of all counts tells; it decides cost, never results. Rows of a key are a bucket. First every member of a bucket is tried against two of its
-members (the least node and the one with most shared keys), which settles most groups of copies. Buckets that still
-span several components then get an R-tree each, and every pair across components that its bounds leave is verified. Pairs within a
-component are never emitted; large buckets are split into pairs of blocks.
+members (the least node and the one with most shared keys), which settles most groups of copies. Each bucket that still
+spans several components is a count-vector R-tree, loaded by size band; a tree is joined with itself from the root down, and a pair of boxes is left out
+when sizes or summed coordinate minima rule out a link, or when all its members are in one component. Leaves are swept pair by pair. Every pair
+across components that the bounds leave is verified. Large buckets first give a share of their pairs, which joins most of their
+components, then all that are left; pairs within a component are never emitted. Buckets over BLOCK_ROWS are trees of blocks and of pairs of blocks.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than the shingle width are
-one shingle; repeated rows and equal texts share a component; an empty table gives no rows; extra columns are dropped.
+one shingle; repeated rows and equal texts share a component; ids may be null or repeat with other texts; an empty table gives no rows; extra
+columns are dropped. The job fails if components do not settle in 60 rounds (see common.components).
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -27,10 +31,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.common import components, written
+from evirank.llm.common import components, distinct_texts, extended, few, joined, repeated_texts, written
 
-WIDTH, PERCENT, BLOCK_ROWS, FANOUT, LEAF, SMALL_IDS = 5, 75, 2_000, 16, 256, 300_000
-TREE_WIDTH = 64
+WIDTH, PERCENT, BLOCK_ROWS, FANOUT, SHARE, TREE_WIDTH = 5, 75, 2_000, 8, 256, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -141,35 +144,62 @@ def may_overlap(p: np.ndarray, q: np.ndarray, percent: int = PERCENT) -> bool:
     return int(np.minimum(folded(p, width), folded(q, width)).sum()) >= needed(int(p.sum(dtype=np.int64)), int(q.sum(dtype=np.int64)), percent)
 
 
-class CountTree:
-    """R-tree over count vectors of one width, bulk-loaded by set size."""
-
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, fanout: int = FANOUT):
-        self.order = np.lexsort((points.argmax(axis=1), sizes)) if len(sizes) else np.empty(0, np.int64)
-        self.points, self.sizes = points[self.order], sizes[self.order]
-        self.fanout, self.levels = fanout, []
-        upper, low, high = self.points, self.sizes, self.sizes
-        while len(upper) > fanout:
-            starts = np.arange(0, len(upper), fanout)
-            upper = np.maximum.reduceat(upper, starts, axis=0)
-            low, high = np.minimum.reduceat(low, starts), np.maximum.reduceat(high, starts)
-            self.levels.append((upper, low, high))
-
-    def search(self, p: np.ndarray, n: int, percent: int = PERCENT) -> np.ndarray:
-        """Places of the points whose overlap with p may suffice."""
-        if not len(self.sizes):
-            return self.order
-        at = np.arange(len(self.levels[-1][1]) if self.levels else len(self.sizes))
-        for depth in range(len(self.levels) - 1, -1, -1):
-            upper, low, high = self.levels[depth]
-            size_below = len(self.levels[depth - 1][1]) if depth else len(self.sizes)
-            at = at[(high[at] * 100 >= percent * n) & (low[at] * percent <= 100 * n)]
-            at = at[np.minimum(upper[at], p).sum(axis=1, dtype=np.int64) >= needed(n, np.maximum(low[at], -(-percent * n // 100)), percent)]
-            below = (at[:, None] * self.fanout + np.arange(self.fanout)).ravel()
-            at = below[below < size_below]
-        at = at[(self.sizes[at] * 100 >= percent * n) & (self.sizes[at] * percent <= 100 * n)]
-        at = at[np.minimum(self.points[at], p).sum(axis=1, dtype=np.int64) >= needed(n, self.sizes[at], percent)]
-        return self.order[at]
+class CountForest:
+    """Count-vector R-trees of many buckets, bulk-loaded by set size.
+
+    Rows are sorted by (bucket, n). Level 0 holds rows; a box of the level above covers up to FANOUT neighbours of one bucket and
+    keeps the greatest count of each group, the sizes it spans and the components it spans. Each bucket ends in one root.
+    """
+
+    def __init__(self, bucket: np.ndarray, n: np.ndarray, component: np.ndarray, points: np.ndarray, fanout: int = FANOUT):
+        self.levels = [(bucket, points, n, n, component, component)]
+        self.begins: list[np.ndarray] = []  # of each level above 0: where each box's members begin, and the end of the last
+        while len(self.levels[-1][0]):
+            bucket, upper, low, high, least, most = self.levels[-1]
+            first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+            if len(first) == len(bucket) and self.begins:
+                break
+            place = np.arange(len(bucket)) - np.repeat(first, np.diff(np.append(first, len(bucket))))
+            begin = np.flatnonzero(place % fanout == 0)
+            self.begins.append(np.append(begin, len(bucket)))
+            self.levels.append((bucket[begin], np.maximum.reduceat(upper, begin, axis=0), np.minimum.reduceat(low, begin), np.maximum.reduceat(high, begin), np.minimum.reduceat(least, begin), np.maximum.reduceat(most, begin)))
+
+    def _left(self, level: int, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+        """Whether members of boxes a and b, a before b, may link across components."""
+        _, upper, low, high, least, most = self.levels[level]
+        ok = (100 * high[a] >= percent * low[b]) & ((least[a] != least[b]) | (most[a] != most[b]) | (least[a] != most[a]))
+        need = needed(np.maximum(low[a], -(-percent * low[b] // 100)), low[b], percent)
+        at = np.flatnonzero(ok)
+        for k in range(0, len(at), 100_000):
+            part = at[k : k + 100_000]
+            ok[part] = np.minimum(upper[a[part]], upper[b[part]]).sum(axis=1, dtype=np.int64) >= need[part]
+        return ok
+
+    def pairs(self, percent: int = PERCENT, chunk: int = 10_000):
+        """Arrays (a, b) of row places, a before b, of pairs that the bounds leave."""
+        if not self.begins:
+            return
+        top = np.arange(len(self.levels[-1][0]))
+        todo = [(len(self.begins), top[k : k + chunk], top[k : k + chunk]) for k in range(0, len(top), chunk)]
+        while todo:
+            level, a, b = todo.pop()
+            if not level:
+                yield a, b
+                continue
+            begin = self.begins[level - 1]
+            na, nb = begin[a + 1] - begin[a], begin[b + 1] - begin[b]
+            owner = np.repeat(np.arange(len(a)), na * nb)
+            step = np.arange(len(owner)) - np.repeat(np.cumsum(na * nb) - na * nb, na * nb)
+            x, y = begin[a][owner] + step // nb[owner], begin[b][owner] + step % nb[owner]
+            keep = (x < y) if level == 1 else (x <= y)
+            x, y = x[keep], y[keep]
+            keep = self._left(level - 1, x, y, percent)
+            x, y = x[keep], y[keep]
+            if level == 1:
+                if len(x):
+                    todo.append((0, x, y))
+            else:
+                todo += [(level - 1, x[k : k + chunk], y[k : k + chunk]) for k in range(0, len(x), chunk)]
 
 
 def _may_link(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -177,24 +207,40 @@ def _may_link(n: np.ndarray, at: np.ndarray, a: np.ndarray, b: np.ndarray, perce
     return 1 + np.minimum(n[a] - at[a] - 1, n[b] - at[b] - 1) >= needed(n[a], n[b], percent)
 
 
-def leaf_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, component: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Pairs (least node first) across components that share a key and that sizes and places leave, for buckets that are one leaf.
+def matrix_of(cells: list[bytes]) -> np.ndarray:
+    """Points of TREE_WIDTH groups as rows; one byte a group, or four where a count is over 255."""
+    out = np.empty((len(cells), TREE_WIDTH), np.uint32)
+    for wide in (False, True):
+        own = np.array([i for i, c in enumerate(cells) if (len(c) > TREE_WIDTH) == wide], np.int64)
+        if len(own):
+            out[own] = np.frombuffer(b"".join([cells[i] for i in own]), "<u4" if wide else np.uint8).reshape(-1, TREE_WIDTH)
+    return out
+
+
+def cells_of(hashes: np.ndarray) -> bytes:
+    count = np.bincount((hashes >> np.uint64(64 - TREE_WIDTH.bit_length() + 1)).astype(np.int64), minlength=TREE_WIDTH)
+    return count.astype(np.uint8 if count.max(initial=0) < 256 else "<u4").tobytes()
 
-    Rows are sorted by (key, n) and swept together: each against the next of its bucket, the one after it and so on, for as long
-    as sizes allow.
+
+def tree_pairs(rows: dict[str, np.ndarray], cells: list[bytes], share: bool, percent: int = PERCENT, stats: dict | None = None) -> np.ndarray:
+    """Pairs (least node first) across components that the trees of many buckets leave; rows are sorted by (bucket, n, node).
+
+    rows: bucket, node, n, at, component, m (the bucket's size) and own and cross, which say that only pairs across sides count. share: of a
+    bucket of more than SHARE members only some pairs, by a hash of both, about 16 for each member.
     """
+    node, n, at, component, m, own, cross = (rows[c] for c in ("node", "n", "at", "component", "m", "own", "cross"))
+    forest = CountForest(rows["bucket"], n, component, matrix_of(cells))
     found: list[np.ndarray] = []
-    last = np.repeat(np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)), np.diff(np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])))
-    row, step = np.arange(len(key)), 1
-    while len(row):
-        row = row[row + step < last[row]]
-        row = row[100 * n[row] >= percent * n[row + step]]
-        other = row + step
-        ok = (component[row] != component[other]) & _may_link(n, at, row, other, percent)
-        a, b = node[row[ok]], node[other[ok]]
-        if len(a):
-            found.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1))
-        step += 1
+    for a, b in forest.pairs(percent):
+        ok = (component[a] != component[b]) & (node[a] != node[b]) & (~cross[a] | (own[a] != own[b])) & _may_link(n, at, a, b, percent)
+        if share:
+            step = np.maximum(1, -(-m[a] // 16))
+            ok &= (m[a] <= SHARE) | (_mix(node[a].view(np.uint64) ^ _mix(node[b].view(np.uint64))) % step.astype(np.uint64) == 0)
+        x, y = node[a[ok]], node[b[ok]]
+        if len(x):
+            found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
+    if stats is not None:
+        stats |= {"levels": len(forest.begins), "boxes": sum(len(x[0]) for x in forest.levels[1:])}
     return np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), np.int64)
 
 
@@ -207,32 +253,13 @@ def overlap(p: np.ndarray, q: np.ndarray) -> int:
     return int((q[at] == p).sum())
 
 
-def tree_links(node: np.ndarray, n: np.ndarray, at: np.ndarray, component: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links that join the components of one large bucket: the tree's bounds choose pairs, and these are verified at once.
-
-    Members already joined are not tried against each other, so at most one link for each member is returned; pairs lie across sides.
-    """
-    width = min(TREE_WIDTH, min(len(point(h)) for h in sets))
-    points = np.stack([folded(point(h), width) for h in sets])
-    tree, links = CountTree(points, n), []
-    _, label = np.unique(component, return_inverse=True)
-    for i in range(len(n)):
-        hits = tree.search(points[i], int(n[i]), percent)
-        hits = hits[(label[hits] != label[i]) & (side[hits] != side[i])]
-        hits = hits[_may_link(n, at, np.full(len(hits), i), hits, percent)]
-        for j in hits.tolist():
-            if label[j] != label[i] and overlap(sets[i], sets[j]) >= needed(int(n[i]), int(n[j]), percent):
-                links.append((int(min(node[i], node[j])), int(max(node[i], node[j]))))
-                label[label == label[j]] = label[i]
-    return links
-
-
 def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def frequent(documents: DataFrame, text_col: str = "text", cells: int = 1 << 18, width: int = WIDTH) -> bytes:
-    """One bit for each cell of a hash sketch of all shingle counts: set where the count stands far above the mean."""
+def levels_of(texts: DataFrame, cells: int = 1 << 18, width: int = WIDTH) -> bytes:
+    """Compressed bytes, one for each cell of a hash sketch of all shingle counts: 0 where the count does not stand far above the mean, else
+    one and the whole binary logarithm of how many times over it does."""
 
     def count(batches):
         total = np.zeros(cells, np.int64)
@@ -248,65 +275,65 @@ def frequent(documents: DataFrame, text_col: str = "text", cells: int = 1 << 18,
         step = cells // 64
         yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([total[i * step : (i + 1) * step].astype("<i8").tobytes() for i in range(64)], pa.binary())], ["part", "counts"])
 
-    def add(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, "<i8") for x in rows["counts"])
         return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
 
-    parts = documents.select(F.col(text_col).cast("binary").alias("raw")).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    if not parts:
-        return bytes(cells // 8)
-    total = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(parts)])  # cells numbers, whatever the corpus
-    mean = total.mean()
-    return np.packbits(total > mean + 8 * math.sqrt(mean + 1) + 24).tobytes()
+    parts = texts.select(F.col("text").cast("binary").alias("raw")).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    total = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(parts)]) if parts else np.zeros(cells, np.int64)  # cells numbers, whatever the corpus
+    limit = total.mean() + 8 * math.sqrt(total.mean() + 1) + 24
+    return zlib.compress(np.where(total > limit, 1 + np.floor(np.log2(np.maximum(total / limit, 1))), 0).astype(np.uint8).tobytes())
+
+
+def prefix_keys(h: np.ndarray, levels: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, int]:
+    """A set's prefix in the order of all shingles, by level and then by hash, and how many of its shingles are of level 0."""
+    own = levels[(h & np.uint64(len(levels) - 1)).astype(np.int64)]
+    most = prefix_length(len(h), percent)
+    rare = int((own == 0).sum())
+    return (h if rare == len(h) else h[np.argsort(own, kind="stable")])[:most], min(rare, most)
 
 
-_NODES = "doc_id bigint, n_shingles bigint, node bigint, check bigint, point binary, keys array<bigint>"
+_NODES = "text_key bigint, copies bigint, n_shingles bigint, node bigint, check bigint, point binary, cells binary, rare int, keys array<bigint>"
 
 
-def nodes(documents: DataFrame, bits: bytes, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, node, check, keys): the set's two hashes and its prefix keys; node is null for empty sets."""
+def nodes(texts: DataFrame, levels: bytes, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(text_key, copies, n_shingles, node, check, ...): the set's two hashes, its points and its prefix keys; node is null for empty sets."""
 
     def run(batches):
-        last = np.unpackbits(np.frombuffer(bits, np.uint8)).astype(bool)
-        mask = np.uint64(len(last) - 1)
+        own = np.frombuffer(zlib.decompress(levels), np.uint8)
         for batch in batches:
-            count, node, check, points, keys = [], [], [], [], []
+            columns = [[] for _ in range(7)]
             for raw in batch.column(1).to_pylist():
                 h = shingles(raw, width)
-                count.append(len(h))
-                if not len(h):
-                    node.append(None), check.append(None), points.append(None), keys.append(None)
-                    continue
-                name = named(h)
-                node.append(name[0]), check.append(name[1]), points.append(point(h).tobytes())
-                common = last[(h & mask).astype(np.int64)]
-                first = h[~common]
-                most = prefix_length(len(h), percent)
-                keys.append(_signed(first[:most] if len(first) >= most else np.concatenate([first, h[common][: most - len(first)]])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count, pa.int64()), pa.array(node, pa.int64()), pa.array(check, pa.int64()), pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], [x.split()[0] for x in _NODES.split(", ")])
+                values = (0, *[None] * 6)
+                if len(h):
+                    keys, rare = prefix_keys(h, own, percent)
+                    values = (len(h), *named(h), point(h).tobytes(), cells_of(h), rare, _signed(keys))
+                for c, v in zip(columns, values, strict=True):
+                    c.append(v)
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in _NODES.split(", ")])
 
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, _NODES)
+    return texts.select("text_key", F.col("text").cast("binary").alias("raw"), "copies").mapInArrow(run, _NODES)
 
 
 _SETS = "node bigint, hashes binary"
 
 
-def node_sets(documents: DataFrame, table: DataFrame, wanted: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """The sets of some nodes, worked out again from one text of each."""
+def node_sets(texts: DataFrame, of_node: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
+    """The sets of some nodes, worked out again from the text that stands for each."""
 
     def run(batches):
         for batch in batches:
             own, sets = [], []
             for node, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingles(raw, width)
-                if len(h) and named(h)[0] == node:  # else another text with the same id
+                if len(h) and named(h)[0] == node:  # else another text of the same 64-bit name
                     own.append(node), sets.append(h.astype("<u8").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
 
-    chosen = written(table.select("node", "doc_id").join(wanted.distinct(), "node").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "jaccard-chosen")
-    left = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    right = F.broadcast(chosen) if chosen.count() <= SMALL_IDS else chosen
-    return left.join(right, "doc_id").select("node", "raw").mapInArrow(run, _SETS)
+    chosen = written(of_node.select("node", "text_key").join(wanted.distinct(), "node"), "jaccard-chosen")
+    return texts.select("text_key", F.col("text").cast("binary").alias("raw")).join(few(chosen), "text_key").select("node", "raw").mapInArrow(run, _SETS)
 
 
 def _two_sided(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -320,22 +347,20 @@ def _checked(pairs: DataFrame, dtype: str, linked) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            a, b, xa, xb = (batch.column(i).to_pylist() for i in range(4))
-            kept = [i for i in range(len(a)) if linked(np.frombuffer(xa[i], dtype), np.frombuffer(xb[i], dtype))]
-            yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in kept], pa.int64()), pa.array([b[i] for i in kept], pa.int64())], ["a", "b"])
+            a, b = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            kept = np.array([linked(*(np.frombuffer(batch.column(c)[i].as_buffer(), dtype) for c in (2, 3))) for i in range(len(a))], bool)
+            yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
 
     return pairs.select("a", "b", "x_a", "x_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def bounded(pairs: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """Pairs that the summed coordinate minima of their points leave."""
-    points = table.where("node is not null").groupBy("node").agg(F.first("point").alias("point"))
-    return _checked(_two_sided(pairs, points, "point"), "<u2", lambda p, q: may_overlap(p, q, percent))
+def bounded(pairs: DataFrame, of_node: DataFrame, percent: int) -> DataFrame:
+    """Pairs that the summed coordinate minima of their whole points leave."""
+    return _checked(_two_sided(pairs, of_node, "point"), "<u2", lambda p, q: may_overlap(p, q, percent))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs that link: 100 * overlap >= percent * union."""
-
     return _checked(_two_sided(pairs, sets, "hashes"), "<u8", lambda p, q: overlap(p, q) >= needed(len(p), len(q), percent))
 
 
@@ -343,23 +368,35 @@ def ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
 
-def leaf_candidates(sized: DataFrame, table: DataFrame, percent: int) -> DataFrame:
-    """Pairs across components within buckets of up to LEAF rows (key, node, n, at, component) that the bounds leave, each pair once."""
+def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of the buckets that span several components, with their component and the size m of their bucket."""
+    own = rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    own = written(own, "jaccard-own")
+    open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
+    return joined(own, written(open_keys, "jaccard-open"), ["key"], "m")
+
+
+def tree_candidates(sized: DataFrame, of_node: DataFrame, share: bool, percent: int) -> DataFrame:
+    """Pairs across components that the trees of the open buckets (key, node, n, at, component, m) leave, each pair once."""
 
-    def sweep(frames):
+    def search(frames):
         held: list[pd.DataFrame] = []
         size = 0
 
         def flush(whole: pd.DataFrame) -> pd.DataFrame:
-            found = leaf_pairs(*(whole[c].to_numpy() for c in ("key", "node", "n", "at", "component")), percent)
-            return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+            whole = whole.drop_duplicates(["key", "i", "j", "node"], ignore_index=True)
+            rows = {c: whole[c].to_numpy() for c in ("node", "n", "at", "component", "m", "own")}
+            rows["bucket"] = whole.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
+            rows["cross"] = (whole["i"] != whole["j"]).to_numpy()
+            return pd.DataFrame(tree_pairs(rows, whole["cells"].tolist(), share, percent), columns=["a", "b"], dtype="int64")
 
         for frame in frames:
             held.append(frame)
             size += len(frame)
             if size >= 100_000:
                 whole = pd.concat(held, ignore_index=True)
-                rest = whole["key"] == whole["key"].iloc[-1]  # may go on in the next frame
+                last = whole.iloc[-1]
+                rest = ((whole["key"] == last["key"]) & (whole["i"] == last["i"]) & (whole["j"] == last["j"])).to_numpy()  # may go on in the next frame
                 if not rest.all():
                     yield flush(whole[~rest])
                     whole = whole[rest]
@@ -367,82 +404,72 @@ def leaf_candidates(sized: DataFrame, table: DataFrame, percent: int) -> DataFra
         if size:
             yield flush(pd.concat(held, ignore_index=True))
 
-    leaves = sized.where(F.col("m") <= LEAF).select("key", "node", "n", "at", "component").repartition("key").sortWithinPartitions("key", "n", "node")
-    return bounded(leaves.mapInPandas(sweep, "a bigint, b bigint").distinct(), table, percent)
-
-
-def large_links(sized: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within larger buckets: a tree for each, and for those over BLOCK_ROWS one for each block and pair of blocks."""
     blocks = F.ceil(F.col("m") / BLOCK_ROWS).cast("int")
     dealt = sized.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "at", "component").join(sets, "node")
-
-    def search(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        part = part.drop_duplicates("node").sort_values(["n", "node"])
-        side = np.arange(len(part)) if key[1] == key[2] else part["own"].to_numpy()  # pairs of one block are that block's own task
-        found = tree_links(*(part[c].to_numpy() for c in ("node", "n", "at", "component")), side, [np.frombuffer(x, "<u8") for x in part["hashes"]], percent)
-        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(search, "a bigint, b bigint").distinct()
-
-
-def _open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of the buckets that span several components, with their component and the size m of their bucket."""
-    own = rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
-    return own.join(open_keys, "key")
-
-
-def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of documents."""
-    n_docs = documents.count()
-    cells = 1 << min(24, max(16, math.ceil(math.log2(max(n_docs, 2)))))
-    table = written(nodes(documents, frequent(documents, text_col, cells, width), id_col, text_col, width, percent), "jaccard-nodes")
-    # one text of each set gives keys; the list of copies is sent around only while it is short
-    of_node = table.where("node is not null").select("node", "doc_id")
-    copies = written(of_node.join(of_node.groupBy("node").agg(F.min("doc_id").alias("least")), "node").where("doc_id <> least").select("doc_id", "node").distinct(), "jaccard-copies")
-    single = table.where("node is not null").join(F.broadcast(copies) if copies.count() <= SMALL_IDS else copies, ["doc_id", "node"], "left_anti")
-    every = single.select("node", "n_shingles", F.posexplode("keys").alias("at", "key")).select("key", "node", (F.col("n_shingles") * F.lit(1 << 31) + F.col("at")).alias("size_at"))
-    dealt = every.repartition("key")  # one exchange serves both the counts and the join
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "at", "component", "m").join(of_node.select("node", "cells"), "node")
+    parts = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node")
+    return bounded(parts.mapInPandas(search, "a bigint, b bigint").distinct(), of_node, percent)
+
+
+def bucket_rows(of_node: DataFrame) -> DataFrame:
+    """(key, node, n, at): rows of keys that several nodes share. Frequent keys are taken as shared, so that their rows never gather to be counted."""
+    named = ["key", "node", "size_at"]
+    size = F.col("n_shingles") * F.lit(1 << 31)
+    rare = of_node.select("node", size.alias("size"), F.posexplode(F.slice("keys", F.lit(1), F.col("rare"))).alias("at", "key")).select("key", "node", (F.col("size") + F.col("at")).alias("size_at"))
+    often = of_node.where(F.size("keys") > F.col("rare")).select("node", (size + F.col("rare")).alias("size"), F.posexplode(F.slice("keys", F.col("rare") + 1, F.size("keys") - F.col("rare"))).alias("at", "key")).select("key", "node", (F.col("size") + F.col("at")).alias("size_at"))
+    dealt = rare.repartition("key")  # one exchange serves both the counts and the join
     # all columns are used here too, else the exchange would be planned twice
     shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size_at").alias("top")).where("lo < hi and top >= 0").select("key")
-    rows = dealt.join(shared.hint("shuffle_hash"), "key").select("key", "node", F.shiftright("size_at", 31).alias("n"), F.col("size_at").bitwiseAND(F.lit((1 << 31) - 1)).alias("at"))
-    rows = written(rows, "jaccard-rows")
+    rows = dealt.join(shared.hint("shuffle_hash"), "key").select(*named).unionAll(often.select(*named))
+    return rows.select("key", "node", F.shiftright("size_at", 31).alias("n"), F.col("size_at").bitwiseAND(F.lit((1 << 31) - 1)).alias("at"))
+
 
-    # each member of a bucket against its least member, and in an eighth of the buckets against the member with most shared keys
+def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs of each member of a bucket with its least member, and in an eighth of the buckets with the member of most shared keys."""
     member = F.struct("node", "n", "at")
-    by_key = rows.repartition("key")
-    least = by_key.join(by_key.groupBy("key").agg(F.min(member).alias("p")), "key")
+    least = joined(rows, written(rows.groupBy("key").agg(F.count("*").alias("m"), F.min(member).alias("p")).where("m > 1"), "jaccard-least"), ["key"], "m")
     some = rows.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0)
     some = some.join(some.groupBy("node").agg(F.count("*").alias("w")), "node")
-    most = some.join(some.groupBy("key").agg(F.max_by(member, F.struct("w", "node")).alias("p")), "key")
+    most = joined(some, written(some.groupBy("key").agg(F.count("*").alias("m"), F.max_by(member, F.struct("w", "node")).alias("p")).where("m > 1"), "jaccard-most"), ["key"], "m")
     near = least.select("node", "n", "at", "p").unionAll(most.select("node", "n", "at", "p")).where("node <> p.node")
     need = F.expr(f"({percent} * (n + p.n) + {99 + percent}) div {100 + percent}")  # rounded up in whole numbers
     near = near.where((1 + F.least(F.col("n") - F.col("at") - 1, F.col("p.n") - F.col("p.at") - 1) >= need) & (F.col("n") * 100 >= F.col("p.n") * percent) & (F.col("p.n") * 100 >= F.col("n") * percent))
-    star = near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
-    candidates = written(bounded(star, table, percent), "jaccard-star")
-    links = written(verified(candidates, node_sets(documents, table, ends(candidates), id_col, text_col, width), percent), "jaccard-links")
-    labels = written(components(links), "jaccard-labels")
-
-    for share in (8, 1):  # an eighth of the open buckets settles most of what is left, then all that are still open
-        open_rows = _open_rows(rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), labels)
-        large = written(open_rows.where(F.col("m") > LEAF), "jaccard-large")
-        if not large.isEmpty():
-            sets = written(node_sets(documents, table, large.select("node"), id_col, text_col, width), "jaccard-sets")
-            links = links.unionAll(written(large_links(large, sets, percent), "jaccard-large-links"))
-            labels = written(components(links), "jaccard-labels")
-            open_rows = _open_rows(rows.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0), labels)
-        candidates = written(leaf_candidates(open_rows, table, percent), "jaccard-candidates")
-        if candidates.isEmpty():
-            continue
-        more = written(verified(candidates, node_sets(documents, table, ends(candidates), id_col, text_col, width), percent), "jaccard-more")
-        if more.isEmpty():
-            continue
-        links = links.unionAll(more)
-        labels = written(components(links), "jaccard-labels")
-
-    known = table.where("node is not null").join(labels.select(F.col("id").alias("node"), "component"), "node", "left").select("doc_id", "n_shingles", "check", "node", F.coalesce("component", "node").alias("component"))
-    least = known.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    joined = known.join(least, "component").select("doc_id", "n_shingles", "component_id")
-    alone = table.where("node is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return joined.unionAll(alone)
+    return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+
+
+def link_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, text_key, n_shingles, component) of each row of documents; component names a class of linked sets and is null for empty sets."""
+    cells = 1 << min(24, max(16, math.ceil(math.log2(max(documents.count(), 2)))))
+    texts = distinct_texts(documents, repeated_texts(documents, text_col), text_col)
+    table = written(nodes(texts, levels_of(texts, cells, width), width, percent), "jaccard-nodes")
+    # one text stands for each set; the list of the others is sent around only while it is short
+    known = table.where("node is not null")
+    others = known.groupBy("node").agg(F.count("*").alias("n"), F.min("text_key").alias("least")).where("n > 1")
+    others = written(known.select("node", "text_key").join(others, "node").where("text_key <> least").select("text_key"), "jaccard-others")
+    of_node = known.join(few(others), "text_key", "left_anti")
+    rows = written(bucket_rows(of_node), "jaccard-rows")
+
+    def linked(candidates: DataFrame) -> DataFrame | None:
+        candidates = written(candidates, "jaccard-candidates")
+        return None if candidates.isEmpty() else written(verified(candidates, node_sets(texts, of_node, ends(candidates), width), percent), "jaccard-links")
+
+    links = linked(bounded(star_pairs(rows, percent), of_node, percent))
+    labels = written(components(links), "jaccard-labels") if links is not None else rows.sparkSession.createDataFrame([], "id bigint, component bigint")
+    for share in (True, False):  # an eighth of the open buckets settles most of what is left, then all that are still open
+        some = rows.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0) if share else rows
+        links = linked(tree_candidates(open_rows(some, labels), of_node, share, percent))
+        if links is not None and not links.isEmpty():
+            labels = written(extended(labels, links), "jaccard-labels")
+
+    found = table.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").select("text_key", "copies", "n_shingles", F.coalesce("component", "node").alias("component"))
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("text_key"))
+    return joined(rows, written(found, "jaccard-found"), ["text_key"], "copies").select("doc_id", "text_key", "n_shingles", "component")
+
+
+def link_components(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row of documents."""
+    table = written(link_table(documents, id_col, text_col, width, percent), "jaccard-table")
+    inside = table.where("component is not null")
+    least = written(inside.groupBy("component").agg(F.count("*").alias("n"), F.min("doc_id").alias("component_id")), "jaccard-least")
+    alone = table.where("component is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return joined(inside, least, ["component"], "n").select("doc_id", "n_shingles", "component_id").unionAll(alone)

@@ -1,6 +1,7 @@
 """Information-theoretic sanitisation with DataFrame functions only.
 
-Four patterns find protected values (email, ip, card, phone). Every word of a text that holds such a value is a term that may
+Four patterns find protected values (email, ip, card, phone). Entities are these values and what they belong to: the domain of an
+address, the network of an ip, the issuer of a card, the prefix of a phone number. Every word of a text that holds an entity is a term that may
 reveal it. All counts are of distinct texts, so copies count once: N texts, n(e) with an entity, n(t) with a term, n(e, t) with
 both. The share of the entity among the texts of the term is smoothed by PRIOR texts at the entity's base rate,
 p = (n(e,t) + PRIOR n(e) / N) / (n(t) + PRIOR). The pointwise mutual information log2(p N / n(e)), as a share of the entity's
@@ -8,13 +9,15 @@ information content log2(N / n(e)), is the term's disclosure: 1 means that the t
 judged. From GENERALISE on a term becomes a placeholder wherever it stands in texts with the entity; from REMOVE on it
 is cut out of all texts, since it gives the entity away by itself.
 
-Words of distinct texts are written once as (text, term) rows. A pair can only reach GENERALISE if n(t) is at most a bound in n(e) and
-N, so rows of more frequent terms, which no entity of the text could be disclosed by, are left out of the pairs; nothing else is.
-A frequent entity or term is never gathered into one row: texts stay rows, and counts are combined before they are shuffled.
+Entities that stand in just the same texts have the same counts with every term and are judged as one, so a text with many values does not
+pair each of them with each of its words. A pair can only reach GENERALISE if n(t) is at most a bound in n(e) and
+N, so more frequent terms, which disclose no entity of the text, are left out of the pairs; nothing else is. Only words of texts with entities are ever
+written; n(t) is one aggregate over the words of all rows, less what copies add. A frequent entity or term is never gathered into one row or one task:
+texts stay rows, counts are combined before they are shuffled, and what meets very many rows is sent to them.
 
 Defined results: null text counts as empty and has no spans; repeated rows each get the same spans; spans are in code points,
-ends exclusive; a term that overlaps a base span is left to that span; an empty table gives no rows; extra columns
-are dropped by spans() and kept by sanitised().
+ends exclusive; a term that overlaps a base span is left to that span; ids may be null or repeat; an empty table gives no rows; extra columns
+are dropped by spans() and kept, whatever their names, by sanitised().
 """
 
 from __future__ import annotations
@@ -22,10 +25,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.common import written
+from evirank.llm.common import few, fresh, joined, key_of, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
-PRIOR, GENERALISE, REMOVE, LEAST_TERM, BLOCK, SMALL_TERMS = 1.0, 0.6, 0.9, 3, 256, 300_000
+PRIOR, GENERALISE, REMOVE, BLOCK = 1.0, 0.6, 0.9, 256
 #: A match begins where a run of its first characters begins or where the last match ended, so no run is tried twice.
 _PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -85,21 +88,26 @@ def _placed(gaps: Column, matches: Column) -> Column:
     return F.get(F.transform(F.array(F.struct(steps.alias("steps"))), build), 0)
 
 
-def _before(lengths: Column) -> Column:
-    """The sum of the lengths before each place, by blocks of about the root of their number."""
-
-    def add(a: Column) -> Column:
-        return F.aggregate(a, F.lit(0), lambda s, x: s + x)
+def _before(values: Column, fold, both) -> Column:
+    """What fold makes of the values before each place, by blocks of about the root of their number; both joins two such results."""
 
     def build(x: Column) -> Column:
         own, block = x["own"], x["block"]
-        sums = F.transform(F.sequence(F.lit(0), ((F.size(own) - 1) / block).cast("int")), lambda b: add(F.slice(own, 1, b * block)))
-        each = lambda s: F.transform(own, lambda _, i: F.get(s, (i / block).cast("int")) + add(F.slice(own, i - i % block + 1, i % block)))
-        return F.get(F.transform(F.array(sums), each), 0)
+        whole = F.transform(F.sequence(F.lit(0), ((F.size(own) - 1) / block).cast("int")), lambda b: fold(F.slice(own, 1, b * block)))
+        each = lambda s: F.transform(own, lambda _, i: both(F.get(s, (i / block).cast("int")), fold(F.slice(own, i - i % block + 1, i % block))))
+        return F.get(F.transform(F.array(whole), each), 0)
+
+    block = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(values).cast("double"))).cast("int"))
+    # one-element arrays bind values and block results, so that they are worked out once
+    return F.get(F.transform(F.array(F.struct(values.alias("own"), block.alias("block"))), build), 0)
 
-    block = F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(lengths).cast("double"))).cast("int"))
-    # one-element arrays bind lengths and sums, so that they are worked out once
-    return F.get(F.transform(F.array(F.struct(lengths.alias("own"), block.alias("block"))), build), 0)
+
+def _sums_before(lengths: Column) -> Column:
+    return _before(lengths, lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x), lambda p, q: p + q)
+
+
+def _most_before(ends: Column) -> Column:
+    return _before(ends, lambda a: F.coalesce(F.array_max(a), F.lit(0)), F.greatest)
 
 
 def _found(kind: str, text: Column) -> Column:
@@ -123,9 +131,18 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*(_found(k, text) for k in KINDS)))
 
 
-def _entity(text: Column, s: Column) -> Column:
+def _entities(text: Column, s: Column) -> Column:
+    """The value of a span and what it belongs to."""
     raw = F.substring(text, s["start"] + 1, s["end"] - s["start"])
-    return F.concat(s["kind"], F.lit(":"), F.when(s["kind"].isin("card", "phone"), _digits(raw)).otherwise(F.lower(raw)))
+    low, digits = F.lower(raw), _digits(raw)
+    value = F.concat(s["kind"], F.lit(":"), F.when(s["kind"].isin("card", "phone"), digits).otherwise(low))
+    of = (
+        F.when(s["kind"] == "email", F.concat(F.lit("domain:"), F.substring_index(low, "@", -1)))
+        .when(s["kind"] == "ip", F.concat(F.lit("network:"), F.substring_index(low, ".", 3)))
+        .when(s["kind"] == "card", F.concat(F.lit("issuer:"), F.substring(digits, 1, 6)))
+        .otherwise(F.concat(F.lit("prefix:"), F.substring(digits, 1, 5)))
+    )
+    return F.array(F.xxhash64(value), F.xxhash64(of))
 
 
 def _raw_words(text: Column) -> Column:
@@ -137,16 +154,16 @@ def _words(text: Column) -> Column:
     return F.transform(_raw_words(text), lambda w: F.lower(w))  # one by one, since lower case can be longer
 
 
-def _text(documents: DataFrame, text_col: str) -> DataFrame:
-    """(text_key, text) of each distinct text."""
-    return documents.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn("text_key", F.xxhash64("text")).dropDuplicates(["text_key"])
+def _terms(text: Column) -> Column:
+    return F.explode(F.filter(F.array_distinct(_words(text)), lambda w: F.length(w) > 0))
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, base spans, entities) of each document, without its text."""
+    """(doc_id, text_key, base spans, entities) of each row, without its text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     found = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text")).withColumn("base", base_spans(F.col("text")))
-    return found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", F.array_distinct(F.transform("base", lambda s: _entity(F.col("text"), s))).alias("entities"))
+    entities = F.array_distinct(F.flatten(F.transform("base", lambda s: _entities(F.col("text"), s))))
+    return found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", entities.alias("entities"))
 
 
 def _disclosure(n_e: Column, n_et: Column, n_t: Column, total: Column) -> Column:
@@ -154,56 +171,74 @@ def _disclosure(n_e: Column, n_et: Column, n_t: Column, total: Column) -> Column
     return F.log2(share * total / n_e) / F.greatest(F.log2(total / n_e), F.lit(1e-9))
 
 
+def held_entities(scanned: DataFrame, total: Column) -> DataFrame:
+    """(text_key, entity, n_e, most) in storage: one entity for all that stand in the same texts; most is the largest n(t) at which n(e, t) = n(e) still
+    gives GENERALISE, and a little more for rounding."""
+    holds = scanned.where(F.size("entities") > 0).select("text_key", "entities").dropDuplicates(["text_key"]).select("text_key", F.explode("entities").alias("entity"))
+    holds = written(holds, "pii-holds")
+    of_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor("text_key").alias("s1"), F.sum(F.pmod(F.xxhash64("text_key"), F.lit(1 << 31))).alias("s2"))
+    alike = written(of_entity.groupBy("n_e", "s1", "s2").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "pii-entities")
+    most = (F.col("n_e") * (1 + F.lit(PRIOR) / total) * F.pow(total / F.col("n_e"), F.lit(1 - GENERALISE)) - PRIOR) * (1 + 1e-9)
+    return written(joined(holds, alike, ["entity"], "n_e").withColumn("most", most), "pii-held")
+
+
+def term_counts(documents: DataFrame, scanned: DataFrame, wanted: DataFrame, text_col: str = "text") -> DataFrame:
+    """(term, n_t): in how many distinct texts each wanted term (a table in storage) stands. Words are counted over all rows, and what copies of
+    a text add is taken off again."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    one = documents.select(_terms(text).alias("term")).join(few(wanted), "term", "left_semi").select("term", F.lit(1).cast("bigint").alias("w"))
+    copies = written(scanned.groupBy("text_key").agg(F.count("*").alias("c")).where("c > 1"), "pii-copies")
+    again = texts_of(documents, copies, text_col).join(few(copies), "text_key").select((1 - F.col("c")).alias("w"), _terms(F.col("text")).alias("term"))
+    return one.unionByName(again.join(few(wanted), "term", "left_semi")).groupBy("term").agg(F.sum("w").alias("n_t"))
+
+
 def flagged_terms(documents: DataFrame, scanned: DataFrame, text_col: str = "text") -> DataFrame:
     """(text_key, term, d): each flagged term of each distinct text, with its largest disclosure there."""
-    terms = F.filter(F.array_distinct(_words(F.col("text"))), lambda w: F.length(w) >= LEAST_TERM)
-    postings = written(_text(documents, text_col).select("text_key", F.explode(terms).alias("term")), "pii-words")
     total = F.lit(float(max(scanned.select("text_key").distinct().count(), 2)))
-    holds = scanned.where(F.size("entities") > 0).select("text_key", F.explode("entities").alias("entity")).distinct()
-    of_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e"))
-    # the largest n(t) at which n(e, t) = n(e) still gives GENERALISE, and a little more for rounding
-    most = (F.col("n_e") * (1 + F.lit(PRIOR) / total) * F.pow(total / F.col("n_e"), F.lit(1 - GENERALISE)) - PRIOR) * (1 + 1e-9)
-    holds = written(holds.join(of_entity, "entity").withColumn("most", most), "pii-entities")
-    of_text = holds.groupBy("text_key").agg(F.max("most").alias("text_most"))
-    of_term = written(postings.groupBy("term").agg(F.count("*").alias("n_t")), "pii-counts")
-    top = holds.agg(F.max("most")).first()[0] or 0.0
-    beside = postings.join(of_text, "text_key").join(of_term.where(F.col("n_t") <= top), "term").where(F.col("n_t") <= F.col("text_most"))
-    pairs = written(beside.select("text_key", "term", "n_t").join(holds, "text_key").where(F.col("n_t") <= F.col("most")).select("text_key", "entity", "term", "n_t", "n_e"), "pii-pairs")
+    held = held_entities(scanned, total)
+    of_text = written(held.groupBy("text_key").agg(F.max("most").alias("text_most")), "pii-texts")
+    words = written(texts_of(documents, of_text, text_col).select("text_key", _terms(F.col("text")).alias("term")), "pii-words")
+    inside = written(words.groupBy("term").agg(F.count("*").alias("n")), "pii-inside")
+    counts = term_counts(documents, scanned, inside.select("term"), text_col).join(inside, "term")
+    top = held.agg(F.max("most")).first()[0] or 0.0
+    counts = written(counts.where(F.col("n_t") <= top), "pii-counts")
+    beside = joined(words, counts, ["term"], "n").join(of_text, "text_key").where(F.col("n_t") <= F.col("text_most")).select("text_key", "term", "n_t")
+    pairs = written(beside.join(held, "text_key").where(F.col("n_t") <= F.col("most")).select("text_key", "entity", "term", "n_t", "n_e"), "pii-pairs")
     judged = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
     judged = judged.withColumn("d", _disclosure(F.col("n_e"), F.col("n_et"), F.col("n_t"), total)).where(F.col("d") >= GENERALISE)
     judged = written(judged.select("entity", "term", "n_et", "n_t", "d"), "pii-flagged")
-    own = pairs.select("text_key", "entity", "term").join(judged.select("entity", "term", "d"), ["entity", "term"]).select("text_key", "term", "d")
+    own = joined(pairs.select("text_key", "entity", "term"), judged.select("entity", "term", "n_et", "d"), ["entity", "term"], "n_et").select("text_key", "term", "d")
     # terms that tell by themselves and that also stand in texts without the entity
-    alone = judged.where((F.col("d") >= REMOVE) & (F.col("n_t") > F.col("n_et"))).groupBy("term").agg(F.max("d").alias("d"))
-    alone = written(alone, "pii-alone")
-    few = alone.count() <= SMALL_TERMS
-    elsewhere = postings.join(F.broadcast(alone) if few else alone, "term").select("text_key", "term", "d")
-    return own.unionAll(elsewhere).groupBy("text_key", "term").agg(F.max("d").alias("d"))
+    alone = written(judged.where((F.col("d") >= REMOVE) & (F.col("n_t") > F.col("n_et"))).groupBy("term").agg(F.max("d").alias("d")), "pii-alone")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    every = documents.select(text.alias("text")).select(F.xxhash64("text").alias("text_key"), _terms(F.col("text")).alias("term"))
+    return own.unionAll(every.join(few(alone), "term").select("text_key", "term", "d")).groupBy("text_key", "term").agg(F.max("d").alias("d"))
 
 
 def term_spans(documents: DataFrame, flagged: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text_key, terms): all places of the flagged terms of each distinct text, by start."""
-    texts = _text(documents, text_col).join(flagged.select("text_key").distinct(), "text_key")
+    """(text_key, terms): all places of the flagged terms (a table in storage) of each distinct text, by start."""
+    keys = written(flagged.select("text_key").distinct(), "pii-marked")
 
     def place(words: Column) -> Column:
-        at = _before(F.transform(words, lambda w: F.length(w) + 1))
+        at = _sums_before(F.transform(words, lambda w: F.length(w) + 1))
         rows = F.zip_with(words, at, lambda w, p: F.struct(F.lower(w).alias("term"), p.cast("int").alias("start"), (p + F.length(w)).cast("int").alias("end")))
-        return F.filter(rows, lambda r: F.length(r["term"]) >= LEAST_TERM)
+        return F.filter(rows, lambda r: F.length(r["term"]) > 0)
 
     # a one-element array binds the words, so that they are split once
-    each = texts.select("text_key", F.explode(F.get(F.transform(F.array(_raw_words(F.col("text"))), place), 0)).alias("w")).select("text_key", "w.*")
+    each = texts_of(documents, keys, text_col).select("text_key", F.explode(F.get(F.transform(F.array(_raw_words(F.col("text"))), place), 0)).alias("w")).select("text_key", "w.*")
     kind = F.when(F.col("d") >= REMOVE, "remove").otherwise("term")
     span = F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", kind.alias("kind"))
     return each.join(flagged, ["text_key", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
 
 def spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_key, base, spans): base spans, and these with the disclosing terms, of each document."""
+    """(doc_id, text_key, base, spans): base spans, and these with the disclosing terms, of each row."""
     scanned = written(scan(documents, id_col, text_col), "pii-scan")
     added = written(term_spans(documents, written(flagged_terms(documents, scanned, text_col), "pii-terms"), text_col), "pii-places")
-    both = scanned.join(added, "text_key", "left")
+    keys = few(added.select("text_key"))
     clear = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    return both.select("doc_id", "text_key", "base", F.when(F.col("terms").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", clear))).alias("spans"))
+    both = scanned.join(keys, "text_key", "left_semi").join(added, "text_key").select("doc_id", "text_key", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
+    return both.unionAll(scanned.join(keys, "text_key", "left_anti").select("doc_id", "text_key", "base", F.col("base").alias("spans")))
 
 
 def said(spans_: Column) -> Column:
@@ -217,25 +252,26 @@ def digests(documents: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, spans_: Column) -> Column:
-    """The text with base spans and generalised terms as placeholders and removed terms cut out."""
-    back = 8  # spans of one kind never overlap, so few earlier spans can reach over a start
+    """The text with base spans and generalised terms as placeholders and removed terms cut out; spans may overlap and lie inside one another."""
 
-    def piece(s: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(spans_, F.greatest(F.lit(1), i - back + 1), F.least(i, F.lit(back))), F.lit(0), lambda a, x: F.greatest(a, x["end"]))
+    def piece(x: Column) -> Column:
+        s, before = x["s"], x["before"]
         mark = F.when(s["kind"] == "remove", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
         kept = F.substring(text, before + 1, F.greatest(F.lit(0), s["start"] - before))
         return F.concat(kept, F.when(s["end"] > before, mark).otherwise(""))
 
-    last = F.aggregate(F.slice(spans_, F.greatest(F.lit(1), F.size(spans_) - back), F.least(F.size(spans_), F.lit(back + 1))), F.lit(0), lambda a, x: F.greatest(a, x["end"]))
-    rest = F.substring(text, last + 1, F.length(text))
-    return F.when(F.size(spans_) == 0, text).otherwise(F.concat(F.concat_ws("", F.transform(spans_, piece)), rest))
+    ends = F.transform(spans_, lambda s: s["end"])
+    placed = F.arrays_zip(spans_.alias("s"), _most_before(ends).alias("before"))  # the furthest end of all spans before each
+    rest = F.substring(text, F.array_max(ends) + 1, F.length(text))
+    return F.when(F.size(spans_) == 0, text).otherwise(F.concat(F.concat_ws("", F.transform(placed, piece)), rest))
 
 
-def sanitised(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sanitised(documents: DataFrame, text_col: str = "text") -> DataFrame:
     """documents with redacted texts; all other columns and null texts stay."""
-    found = spans(documents, id_col, text_col).where(F.size("spans") > 0).select("doc_id", "text_key", "spans").dropDuplicates(["doc_id", "text_key"])
-    left = documents.withColumn("__key", F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))))
-    right = found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__text"), F.col("spans").alias("__spans"))
-    joined = left.join(right, (left[id_col].cast("bigint") == right["__id"]) & (left["__key"] == right["__text"]), "left")
-    text = F.when(F.col("__spans").isNotNull(), redacted(F.col(text_col), F.col("__spans"))).otherwise(F.col(text_col))
-    return joined.withColumn(text_col, text).drop("__key", "__id", "__text", "__spans")
+    key, own, n = fresh(documents, "text_key"), fresh(documents, "spans"), fresh(documents, "n")
+    found = spans(documents.select(F.lit(None).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")))
+    found = written(found.where(F.size("spans") > 0).groupBy("text_key").agg(F.first("spans").alias("spans"), F.count("*").alias("n")), "pii-found")
+    keyed, keys = documents.withColumn(key, key_of(F.col(text_col))), few(found.select(F.col("text_key").alias(key)))
+    marked = joined(keyed.join(keys, key, "left_semi"), found.select(F.col("text_key").alias(key), F.col("spans").alias(own), F.col("n").alias(n)), [key], n)
+    changed = marked.withColumn(text_col, redacted(F.col(text_col), F.col(own)))
+    return changed.select(*documents.columns).unionAll(keyed.join(keys, key, "left_anti").select(*documents.columns))

@@ -1,19 +1,22 @@
 """Exact removal of repeated long substrings with a run-length suffix index.
 
-Every LENGTH-byte string that starts at two places is to go. All strings of that length hold an anchor: the least hash among their
-K-byte grams, so equal strings hold the same anchor at the same offset, and one byte in about eighty begins an anchor. Anchors
+Every LENGTH-byte string that starts at two places is to go. Each distinct text is worked on once: where several rows hold the same
+text, all of it goes. All strings of the length hold an anchor: the least hash among their K-byte grams, so equal strings hold the same
+anchor at the same offset, and one byte in about eighty begins an anchor. Anchors
 are counted over the corpus. Where all occurrences of an anchor have the same context (all strings of the length that hold it),
-the context is repeated as a whole. Where contexts differ, one of each kind goes to an index task: it keeps the Burrows-Wheeler transform of the contexts, aligned at
-the anchor, as runs, and samples common prefixes where runs end. All others follow from the samples, one more with each
-step to the left, so a single stream over the contexts gives their matching statistics; what matches LENGTH bytes or
-more is marked.
+the context is repeated as a whole. Where contexts differ, one of each kind goes to an index task: it builds the Burrows-Wheeler transform of
+the contexts, aligned at the anchor, and keeps nothing but its runs, with a common prefix sampled where each run begins. All others
+follow from the samples, one more with each step to the left, so a single stream over the runs gives the matching statistics of all
+contexts; what matches LENGTH bytes or more is marked.
 
-Nothing but anchors is shuffled for all texts. Counts are combined before the shuffle, joins on anchors can be split where they are skewed, and an anchor with
-more than BLOCK_CONTEXTS distinct contexts is indexed by pairs of blocks.
+Nothing but anchors is shuffled for all texts. Counts are combined before the shuffle, and anchors or contexts that occur very often are sent
+to the rows instead of gathering them. An anchor with more than BLOCK_CONTEXTS distinct contexts is split into cells: contexts that match
+agree on half of the missing bytes to the left or on half of them to the right, so they share one of two cells, and cells that are still
+too large are split again. Only contexts that all share one LENGTH-byte string can fill a cell beyond that; these are indexed by pairs of blocks.
 
 Defined results: null text counts as empty; texts under LENGTH bytes stay whole; matches never cross texts; overlapping
-occurrences count; strings are judged on the input; repeated rows repeat each other; an empty table gives no rows; extra
-columns are dropped by digests() and kept by deduplicated().
+occurrences count; strings are judged on the input; repeated rows repeat each other; rows are told apart by their texts, so null and repeated ids do not
+matter; an empty table gives no rows; extra columns are dropped by digests() and kept, whatever their names, by deduplicated().
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.common import written
+from evirank.llm.common import distinct_texts, few, fresh, joined, key_of, repeated_texts, written
 
-LENGTH, K, SEGMENT, CHUNK, BLOCK_CONTEXTS, SMALL_IDS = 200, 32, 1 << 22, 10_000, 30_000, 300_000
+LENGTH, K, SEGMENT, CHUNK, BLOCK_CONTEXTS = 200, 32, 1 << 22, 10_000, 10_000
 _BASE = 0x9E3779B97F4A7C15
 _M64 = (1 << 64) - 1
 
@@ -92,89 +95,114 @@ def context(size: int, place: int, length: int, k: int) -> tuple[int, int]:
     return max(0, place - (length - k)), min(size, place + length)
 
 
-_OCCURRENCES = "anchor bigint, context bigint, doc_id bigint, place bigint"
+_OCCURRENCES = "anchor bigint, context bigint, text_key bigint, place bigint"
 
 
-def occurrences(documents: DataFrame, id_col: str, text_col: str, length: int, k: int) -> DataFrame:
+def occurrences(texts: DataFrame, length: int, k: int) -> DataFrame:
+    """Every anchor of each text (text_key, text), with a hash of its context."""
+
     def run(batches):
         for batch in batches:
-            docs, heads, sides, places = [], [], [], []
-            for doc, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if raw is None or len(raw) < length:
+            keys, heads, sides, places = [], [], [], []
+            for key, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if len(raw) < length:
                     continue
                 h, place = anchors(raw, length, k)
-                size, view, reach, digest = len(raw), memoryview(raw), length - k, xxhash.xxh3_64_intdigest
+                view, reach, digest = memoryview(raw), length - k, xxhash.xxh3_64_intdigest
                 heads.append(h.view(np.int64))
                 places.append(place)
-                docs.append(np.full(len(place), doc if doc is not None else -1, np.int64))
+                keys.append(np.full(len(place), key, np.int64))
                 sides.append(np.fromiter((digest(view[p - reach if p > reach else 0 : p + length], min(p, reach)) for p in place.tolist()), np.uint64, len(place)).view(np.int64))
-                del size
-            if docs:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (heads, sides, docs, places)], ["anchor", "context", "doc_id", "place"])
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (heads, sides, keys, places)], ["anchor", "context", "text_key", "place"])
 
-    return documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw")).mapInArrow(run, _OCCURRENCES)
+    return texts.select("text_key", F.col("text").cast("binary").alias("raw")).mapInArrow(run, _OCCURRENCES)
 
 
 GAP = 256  # what stands beyond a text's ends; it equals nothing
+_SYMBOLS = GAP + 1
+
+
+def _moved(begin: np.ndarray, head: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The step to the next column's order: runs sorted by head and moved as blocks. Sorted runs, where they begin then, and each row's old place."""
+    runs = np.argsort(head, kind="stable")
+    size = np.diff(np.append(begin, n))[runs]
+    at = np.cumsum(size) - size
+    return runs, at, np.repeat(begin[runs] - at, size) + np.arange(n)
 
 
 class RunLengthIndex:
-    """Positional suffix order of aligned contexts, kept as runs of its transform.
+    """The transform of aligned contexts as runs, with samples where they begin.
 
     Contexts are rows aligned at their anchor, so equal strings at different rows are equal columns. Going from the last
-    column to the first, the suffix order follows from the transform, that is the symbols of a column in the order of the next: a
-    stable sort by (anchor, symbol). Two neighbours that stay neighbours lie inside a run, and their common prefix grows by one; only where
-    a run begins is a common prefix sampled from the text. The greater of a row's two common prefixes is its matching statistic.
+    column to the first, the transform of a column is its symbols in the order of the column after it, and a stable sort of it by (group, symbol) gives
+    the order of the column. The index keeps, for each column, where the runs of the transform begin, their heads, and for each run
+    the common prefix of its first row with the row that comes before it in the column's own order. Rows that follow each other inside a run still do
+    after the step, so their common prefix grows by one and need not be kept.
     """
 
     def __init__(self, rows: np.ndarray, group: np.ndarray):
-        self.rows, self.group, self.runs = rows, group.astype(np.int64), 0
+        self.n, self.width = rows.shape
+        self.first = np.argsort(group, kind="stable").astype(np.int32)
+        self.columns: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # beginnings, heads, samples; last column first
+        order, number = self.first, np.unique(group, return_inverse=True)[1]
+        for column in range(self.width - 1, -1, -1):
+            key = number[order] * _SYMBOLS + rows[order, column]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if self.n else np.empty(0, np.int64)
+            head = key[begin]
+            runs, at, place = _moved(begin, head, self.n)
+            order = order[place]
+            met = np.flatnonzero((head[runs][1:] == head[runs][:-1]) & (head[runs][1:] % _SYMBOLS != GAP)) + 1
+            sample = np.zeros(len(runs), np.int32)
+            if len(met):
+                sample[met] = 1 + _common(rows, order[at[met] - 1], order[at[met]], column + 1)
+            self.columns.append((begin.astype(np.int32), head, sample))
+
+    @property
+    def runs(self) -> int:
+        return sum(len(begin) for begin, _, _ in self.columns)
 
     def stream(self, length: int) -> np.ndarray:
-        """For each row and column whether `length` symbols from there on also stand at that column of another row of the group."""
-        n, width = self.rows.shape
-        out = np.zeros((n, width), bool)
-        order = np.argsort(self.group, kind="stable")
-        common = np.zeros(n + 1, np.int64)  # of each row in the order and the one before it
-        for column in range(width - 1, -1, -1):
-            key = self.group[order] * (GAP + 1) + self.rows[order, column]
-            perm = np.argsort(key, kind="stable")
-            key, order = key[perm], order[perm]
-            same = np.concatenate([[False], (key[1:] == key[:-1]) & (key[1:] % (GAP + 1) != GAP)])
-            inside = same & np.concatenate([[False], np.diff(perm) == 1])
-            fresh = np.flatnonzero(same & ~inside)
-            self.runs += n - int(inside.sum())
-            grown = np.where(inside, common[perm] + 1, 0)
-            if len(fresh):
-                grown[fresh] = 1 + self._sample(order[fresh - 1], order[fresh], column + 1)
-            common = np.append(grown, 0)
-            if column + length <= width:
-                out[order, column] = np.maximum(common[:-1], common[1:]) >= length
+        """For each row and column whether `length` symbols from there on also stand at that column of another row of the group.
+
+        Reads the runs and samples only; the greater of a row's two common prefixes is its matching statistic.
+        """
+        out = np.zeros((self.n, self.width), bool)
+        order, common = self.first, np.zeros(self.n, np.int32)  # common prefix of each row in the order with the one before it
+        for column, (begin, head, sample) in zip(range(self.width - 1, -1, -1), self.columns, strict=True):
+            runs, at, place = _moved(begin, head, self.n)
+            order, common = order[place], common[place] + 1
+            gap = head[runs] % _SYMBOLS == GAP
+            if gap.any():
+                common[np.repeat(gap, np.diff(np.append(at, self.n)))] = 0
+            common[at] = sample
+            if column + length <= self.width:
+                out[order, column] = np.maximum(common, np.append(common[1:], 0)) >= length
         return out
 
-    def _sample(self, a: np.ndarray, b: np.ndarray, column: int, step: int = 16) -> np.ndarray:
-        """Common prefixes of pairs of rows from a column on."""
-        width = self.rows.shape[1]
-        found, live = np.zeros(len(a), np.int64), np.arange(len(a))
-        while len(live) and column < width:
-            p, q = self.rows[a[live], column : column + step], self.rows[b[live], column : column + step]
-            same = (p == q) & (p != GAP)
-            run = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
-            found[live] += run
-            live = live[run == same.shape[1]]
-            column += step
-        return found
+
+def _common(rows: np.ndarray, a: np.ndarray, b: np.ndarray, column: int, step: int = 16) -> np.ndarray:
+    """Common prefixes of pairs of rows from a column on."""
+    found, live = np.zeros(len(a), np.int32), np.arange(len(a))
+    while len(live) and column < rows.shape[1]:
+        p, q = rows[a[live], column : column + step], rows[b[live], column : column + step]
+        same = (p == q) & (p != GAP)
+        run = np.where(same.all(axis=1), same.shape[1], same.argmin(axis=1))
+        found[live] += run.astype(np.int32)
+        live = live[run == same.shape[1]]
+        column += step
+    return found
 
 
 def repeated_in(contexts: list[tuple[int, int, bytes]], length: int, k: int) -> list[list[tuple[int, int]]]:
-    """For each (anchor, bytes before the anchor, context) the runs of bytes in strings that other contexts of the anchor hold too."""
+    """For each (group, bytes before the anchor, context) the runs of bytes in strings that other contexts of the group hold too."""
     reach = length - k
     rows = np.full((len(contexts), 2 * reach + k), GAP, np.uint16)
     for i, (_, before, c) in enumerate(contexts):
         rows[i, reach - before : reach - before + len(c)] = np.frombuffer(c, np.uint8)
-    _, group = np.unique(np.array([a for a, _, _ in contexts], np.int64), return_inverse=True)
-    mark = RunLengthIndex(rows, group).stream(length)
-    row, column = np.nonzero(mark)
+    index = RunLengthIndex(rows, np.array([a for a, _, _ in contexts], np.int64))
+    del rows
+    row, column = np.nonzero(index.stream(length))
     cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(column) != 1)) + 1  # columns of a row that follow each other are one run
     out: list[list[tuple[int, int]]] = [[] for _ in contexts]
     if len(row):
@@ -198,88 +226,114 @@ def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _FOUND = "anchor bigint, context bigint, low bigint, high bigint"
+_CONTEXTS = "anchor bigint, context bigint, before bigint, bytes binary"
 
 
-def _cut_contexts(documents: DataFrame, kinds: DataFrame, id_col: str, text_col: str, length: int, k: int) -> DataFrame:
+def _cut_contexts(texts: DataFrame, kinds: DataFrame, length: int, k: int) -> DataFrame:
     """(anchor, context, before, bytes): one example of each kind of context, cut from its text."""
 
     def cut(batches):
         for batch in batches:
             rows = [[], [], [], []]
             for raw, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                raw = raw or b""
                 for w in wanted:
                     low, high = context(len(raw), w["place"], length, k)
                     if high > len(raw) or high - low < length:
-                        continue  # another row with this id
+                        continue  # another text of the same 64-bit name
                     for c, v in zip(rows, (w["anchor"], w["context"], w["place"] - low, raw[low:high]), strict=True):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())], ["anchor", "context", "before", "bytes"])
-
-    by_doc = kinds.groupBy("doc_id").agg(F.collect_list(F.struct("anchor", "context", "place")).alias("wanted"))
-    text = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("raw"))
-    return _near(text, by_doc).select("raw", "wanted").mapInArrow(cut, "anchor bigint, context bigint, before bigint, bytes binary")
-
-
-def _near(text: DataFrame, by_doc: DataFrame) -> DataFrame:
-    """text joined with rows for some of its ids; few ids are sent ahead, so that other texts are never shuffled."""
-    rows = written(by_doc, "substrings-by-doc")
-    ids = rows.select("doc_id")
-    if rows.count() <= SMALL_IDS:
-        text = text.join(F.broadcast(ids), "doc_id", "left_semi")
-    return text.join(rows.hint("merge"), "doc_id")
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()), pa.array(rows[3], pa.binary())], [x.split()[0] for x in _CONTEXTS.split(", ")])
+
+    by_text = written(kinds.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "context", "place")).alias("wanted")), "substrings-by-text")
+    some = texts.select("text_key", F.col("text").cast("binary").alias("raw")).join(few(by_text.select("text_key")), "text_key", "left_semi")
+    return some.join(by_text.hint("merge"), "text_key").select("raw", "wanted").mapInArrow(cut, _CONTEXTS)
+
+
+_GROUPED = ["cell", "i", "j", "anchor", "context", "before", "bytes"]
+
+
+def _grouped(contexts: DataFrame, length: int, k: int) -> DataFrame:
+    """Rows of index tasks: the contexts of an anchor, or of cells of it where it has more than BLOCK_CONTEXTS."""
+    done, zero, missing = [], F.lit(0), length - k  # bytes beyond the anchor that contexts of a cell need not agree on yet
+    now = contexts.withColumn("cell", F.col("anchor")).withColumn("l", zero).withColumn("r", zero)
+    while True:
+        sizes = written(now.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1"), "substrings-sizes")
+        sized = joined(now, sizes, ["cell"], "m")
+        done.append(sized.where(F.col("m") <= BLOCK_CONTEXTS).select("cell", zero.alias("i"), zero.alias("j"), *_GROUPED[3:]))
+        if sizes.where(F.col("m") > BLOCK_CONTEXTS).isEmpty():
+            break
+        large = sized.where(F.col("m") > BLOCK_CONTEXTS)
+        if not missing:
+            blocks = F.ceil(F.col("m") / BLOCK_CONTEXTS).cast("int")
+            dealt = large.withColumn("own", F.pmod(F.xxhash64("context"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
+            done.append(dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *_GROUPED[3:]))
+            break
+        half = F.lit(missing - missing // 2)
+        sides = F.array(F.struct((F.col("l") + half).alias("l"), F.col("r").alias("r")), F.struct(F.col("l").alias("l"), (F.col("r") + half).alias("r")))
+        now = large.select(*_GROUPED[3:], F.explode(sides).alias("s")).select(*_GROUPED[3:], "s.l", "s.r")
+        now = now.where((F.col("before") >= F.col("l")) & (F.length("bytes") - F.col("before") - k >= F.col("r")))
+        shared = F.expr(f"substring(bytes, cast(before - l + 1 as int), l + {k} + r)")
+        now = written(now.withColumn("cell", F.xxhash64("anchor", "l", "r", shared)), "substrings-cells")
+        missing //= 2
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionAll(more)
+    return out
 
 
 def _indexed(contexts: DataFrame, length: int, k: int) -> DataFrame:
-    """Runs of bytes of each kind of context that are repeated, from indexes over whole anchors or pairs of their blocks."""
+    """Runs of bytes of each kind of context that are repeated."""
 
     def run(frames):
         held: list[tuple[int, int, bytes, int, int]] = []
         last = None
 
         def flush():
-            # one block pair after another keeps its own group, so that nothing matches across them
+            # each group keeps its own number, so that nothing matches across groups
             found = repeated_in([(g, before, b) for g, before, b, _, _ in held], length, k)
             out = [(a, c, x, y) for (_, _, _, a, c), runs in zip(held, found, strict=True) for x, y in runs]
             return pd.DataFrame(out, columns=["anchor", "context", "low", "high"], dtype="int64")
 
         number = 0
         for frame in frames:
-            for key, c, before, b in zip(zip(frame["anchor"], frame["i"], frame["j"], strict=True), frame["context"], frame["before"], frame["bytes"], strict=True):
+            for key, a, c, before, b in zip(zip(frame["cell"], frame["i"], frame["j"], strict=True), frame["anchor"], frame["context"], frame["before"], frame["bytes"], strict=True):
                 if key != last:
                     if len(held) > CHUNK:
                         yield flush()
                         held.clear()
                     last, number = key, number + 1
-                held.append((number, before, b, key[0], c))
+                elif held and held[-1][3:] == (a, c):
+                    continue  # two ways of splitting can lead to one cell
+                held.append((number, before, b, a, c))
         if held:
             yield flush()
 
-    blocks = contexts.groupBy("anchor").agg(F.ceil(F.count("*") / BLOCK_CONTEXTS).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("context"), F.col("blocks")).cast("int")
-    dealt = contexts.join(blocks, "anchor").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("anchor", "context", "before", "bytes", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    parts = dealt.repartition("anchor", "i", "j").sortWithinPartitions("anchor", "i", "j", "context")
+    parts = _grouped(contexts, length, k).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "anchor", "context")
     return parts.mapInPandas(run, _FOUND).distinct()
 
 
-def removals(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, k: int = K) -> DataFrame:
-    """(doc_id, runs): for each id with repeated strings the byte runs [low, high) to remove, unmerged."""
-    every = written(occurrences(documents, id_col, text_col, length, k), "substrings-anchors")
+def removals(documents: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame]:
+    """(text_key, runs) of the texts that stand once and hold repeated strings: byte runs [low, high) to remove, unmerged; and the keys of texts
+    of several rows, of which all goes. Both are in storage."""
+    repeated = repeated_texts(documents, text_col)
+    texts = distinct_texts(documents, repeated, text_col)
+    every = written(occurrences(texts, length, k), "substrings-anchors")
     of_anchor = every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("lo"), F.max("context").alias("hi")).where("n > 1")
-    shared = written(every.join(of_anchor.select("anchor", (F.col("lo") != F.col("hi")).alias("mixed")), "anchor"), "substrings-shared")
-    mixed = shared.where("mixed")
-    kinds = written(mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).select("anchor", "context", "n", "first.doc_id", "first.place"), "substrings-kinds")
-    contexts = written(_cut_contexts(documents, kinds, id_col, text_col, length, k), "substrings-contexts")
+    of_anchor = written(of_anchor.select("anchor", "n", (F.col("lo") != F.col("hi")).alias("mixed")), "substrings-counts")
+    shared = written(joined(every, of_anchor, ["anchor"], "n").select("anchor", "context", "text_key", "place", "mixed"), "substrings-shared")
+    mixed = shared.where("mixed").drop("mixed")
+    kinds = written(mixed.groupBy("anchor", "context").agg(F.count("*").alias("n"), F.min(F.struct("text_key", "place")).alias("first")).select("anchor", "context", "n", "first.text_key", "first.place"), "substrings-kinds")
+    contexts = written(_cut_contexts(texts, kinds, length, k), "substrings-contexts")
     found = written(_indexed(contexts, length, k), "substrings-found")
 
     reach = length - k
-    again = mixed.join(kinds.where("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
-    whole = shared.where("not mixed").unionByName(again).select("doc_id", F.greatest(F.lit(0), F.col("place") - reach).alias("low"), (F.col("place") + length).alias("high"))
+    again = joined(mixed, kinds.where("n > 1").select("anchor", "context", "n"), ["anchor", "context"], "n", "left_semi")
+    whole = shared.where("not mixed").select("text_key", "place").unionAll(again.select("text_key", "place")).select("text_key", F.greatest(F.lit(0), F.col("place") - reach).alias("low"), (F.col("place") + length).alias("high"))
     # a context that stands alone has its one place beside it, so occurrences are not joined again
     start = F.greatest(F.lit(0), F.col("place") - reach)
-    part = kinds.where("n = 1").join(found, ["anchor", "context"]).select("doc_id", (start + F.col("low")).alias("low"), (start + F.col("high")).alias("high"))
-    return whole.unionAll(part).groupBy("doc_id").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    part = kinds.where("n = 1").join(found, ["anchor", "context"]).select("text_key", (start + F.col("low")).alias("low"), (start + F.col("high")).alias("high"))
+    runs = whole.unionAll(part).join(few(repeated.select("text_key")), "text_key", "left_anti").groupBy("text_key").agg(F.collect_list(F.struct("low", "high")).alias("runs"))
+    return written(runs, "substrings-runs"), repeated
 
 
 def _cleaned(raw: bytes, runs: list[dict]) -> tuple[bytes, list[tuple[int, int]]]:
@@ -295,37 +349,48 @@ def _cleaned(raw: bytes, runs: list[dict]) -> tuple[bytes, list[tuple[int, int]]
 _DIGEST = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
 
 
+def _dealt(documents: DataFrame, text_col: str, key: str, runs: DataFrame, repeated: DataFrame, length: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows of documents in three parts: texts that go as a whole, texts with runs to remove, and texts that stay; key is added."""
+    rows = documents.withColumn(key, key_of(F.col(text_col)))
+    copied, touched = few(repeated.select(F.col("text_key").alias(key)).distinct()), few(runs.select(F.col("text_key").alias(key)))
+    long = F.length(F.col(text_col).cast("binary")) >= length
+    alone = rows.join(copied, key, "left_anti")
+    copies = rows.join(copied, key, "left_semi")
+    return copies.where(long), alone.join(touched, key, "left_semi"), alone.join(touched, key, "left_anti").unionAll(copies.where(~F.coalesce(long, F.lit(False))))
+
+
 def digests(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Counts and the digest of what is kept, for each row."""
-    runs = written(removals(documents, id_col, text_col, **options), "substrings-runs")
-    text = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("raw"))
+    runs, repeated = removals(documents, text_col, **options)
+    rows = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    gone, touched, rest = _dealt(rows, "text", "text_key", runs, repeated, options.get("length", LENGTH))
 
     def clean(batches):
         for batch in batches:
             rows = [[], [], [], [], []]
             for doc, raw, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                kept, gone = _cleaned(raw, own)
-                for c, v in zip(rows, (doc, len(raw), len(raw) - len(kept), len(gone), hashlib.sha256(kept).hexdigest()), strict=True):
+                kept, spans = _cleaned(raw, own)
+                for c, v in zip(rows, (doc, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()), strict=True):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in rows[:4]), pa.array(rows[4], pa.string())], [x.split()[0] for x in _DIGEST.split(", ")])
 
-    ids = runs.select("doc_id")
-    small = runs.count() <= SMALL_IDS
-    touched = text.join(F.broadcast(ids), "doc_id", "left_semi") if small else text
-    rest = text.join(F.broadcast(ids) if small else ids, "doc_id", "left_anti")
-    changed = touched.join(runs.hint("merge"), "doc_id").select("doc_id", "raw", "runs").mapInArrow(clean, _DIGEST)
-    zero = F.lit(0).cast("bigint")
-    whole = rest.select("doc_id", F.length("raw").cast("bigint").alias("n_bytes"), zero.alias("n_removed"), zero.alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"))
-    return changed.unionAll(whole)
+    changed = touched.select("doc_id", F.col("text").cast("binary").alias("raw"), "text_key").join(runs.hint("merge"), "text_key").select("doc_id", "raw", "runs").mapInArrow(clean, _DIGEST)
+    number = lambda v: F.lit(v).cast("bigint")
+    size = F.length(F.col("text").cast("binary")).cast("bigint")
+    whole = rest.select("doc_id", size.alias("n_bytes"), number(0).alias("n_removed"), number(0).alias("n_spans"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    empty = gone.select("doc_id", size.alias("n_bytes"), size.alias("n_removed"), number(1).alias("n_spans"), F.lit(hashlib.sha256(b"").hexdigest()).alias("kept_sha256"))
+    return changed.unionAll(whole).unionAll(empty)
 
 
-def deduplicated(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def deduplicated(documents: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """documents with what is repeated cut out of their texts; bytes left of a cut character are dropped."""
-    runs = written(removals(documents, id_col, text_col, **options), "substrings-runs").withColumnRenamed("runs", "__runs").withColumnRenamed("doc_id", "__id")
+    runs, repeated = removals(documents, text_col, **options)
+    key, own = fresh(documents, "text_key"), fresh(documents, "runs")
+    gone, touched, rest = _dealt(documents, text_col, key, runs, repeated, options.get("length", LENGTH))
 
     @F.arrow_udf("string")
-    def clean(text: pa.Array, own: pa.Array) -> pa.Array:
-        return pa.array([t if t is None or r is None else _cleaned(t.encode(), r)[0].decode("utf-8", "ignore") for t, r in zip(text.to_pylist(), own.to_pylist(), strict=True)], pa.string())
+    def clean(text: pa.Array, spans: pa.Array) -> pa.Array:
+        return pa.array([_cleaned(t.encode(), r)[0].decode("utf-8", "ignore") for t, r in zip(text.to_pylist(), spans.to_pylist(), strict=True)], pa.string())
 
-    joined = documents.join(runs, documents[id_col].cast("bigint") == runs["__id"], "left")
-    return joined.withColumn(text_col, F.when(F.col("__runs").isNull(), F.col(text_col)).otherwise(clean(F.col(text_col), F.col("__runs")))).drop("__id", "__runs")
+    changed = touched.join(runs.select(F.col("text_key").alias(key), F.col("runs").alias(own)).hint("merge"), key).withColumn(text_col, clean(F.col(text_col), F.col(own)))
+    return changed.select(*documents.columns).unionAll(gone.withColumn(text_col, F.lit("")).select(*documents.columns)).unionAll(rest.select(*documents.columns))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from evirank.llm import bpe, jaccard, media, nearest, packing, pages, pii, quality, substrings, toxicity
+from evirank.llm import bpe, common, jaccard, media, nearest, packing, pages, pii, quality, substrings, toxicity
 from evirank.llm.common import components, ship
 
 from . import brute
@@ -216,6 +216,29 @@ def test_pii_terms_anywhere_in_a_text(spark):
     assert clean[600] == "walks  house" and clean[601] is None and clean[602] == "river kingpins" and clean[0] == rows[0][1]
 
 
+def test_redaction_of_spans_inside_spans(spark):
+    ship(spark)
+    address = "-".join(f"10.0.0.{i}" for i in range(12)) + "@host.com"
+    rows = [(1, f"mail {address} now"), (2, f"{address} {address}"), (3, f"+1 (017) 555-7713, 4111 1111 1111 1111; {address}"), (None, f"mail {address} now"), (4, None), (5, "no values here"), (5, "")]
+    df = spark.createDataFrame([(i, t, "s", "k") for i, t in rows], "doc_id bigint, text string, spans string, text_key string")
+    out = pii.sanitised(df).collect()
+    assert all(r.asDict().keys() == {"doc_id", "text", "spans", "text_key"} for r in out) and len(out) == len(rows)
+    hidden = [r["text"] for r in out if r["doc_id"] in (None, 1, 2, 3)]
+    assert len(hidden) == 4 and not any(x in t for t in hidden for x in ("10.0", "host", "4111", "555")) and all("[EMAIL]" in t for t in hidden)
+    assert sorted(str(r["text"]) for r in out if r["doc_id"] in (4, 5)) == ["", "None", "no values here"]
+
+
+def test_pii_terms_on_the_tables(spark):
+    """Co-occurrence adds spans on the tables, and base spans stay."""
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = pii.digests(documents).collect()
+    added = [r for r in out if "term:" in r["spans"] or "remove:" in r["spans"]]
+    assert len(out) == documents.count() and added
+    for r in out:
+        base = ",".join(s for s in r["spans"].split(",") if s and s.split(":")[0] in pii.KINDS)
+        assert hashlib.sha256(base.encode()).hexdigest() == r["base_sha256"]
+
+
 def test_pages(spark):
     ship(spark)
     page = (
@@ -260,47 +283,127 @@ def hub(rng):
     return [" ".join(x) for x in out]
 
 
-@pytest.mark.parametrize("leaf", [256, 6])
-def test_jaccard(spark, docs, monkeypatch, leaf):
-    monkeypatch.setattr(jaccard, "LEAF", leaf)
-    monkeypatch.setattr(jaccard, "BLOCK_ROWS", 4 * leaf)
+@pytest.mark.parametrize("small", [False, True])
+def test_jaccard(spark, docs, monkeypatch, small):
+    if small:
+        monkeypatch.setattr(jaccard, "SHARE", 6)
+        monkeypatch.setattr(jaccard, "BLOCK_ROWS", 24)
+        monkeypatch.setattr(common, "HOT", 3)
     texts = [t for _, t, *_ in docs] + hub(random.Random(8))
     rows = [(i, t, "x", None, 1) for i, t in enumerate(texts)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.link_components(frame(spark, [*rows, rows[20]])).collect()}
     assert got == brute.shingle_components([(i, t) for i, t, *_ in rows])
 
 
-def test_jaccard_parts(spark, docs):
+def test_jaccard_ids_that_are_null_or_repeat(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(None, a, "x", None, 1), (5, a + " more", "x", None, 1), (5, b, "x", None, 1), (7, b.upper(), "x", None, 1), (None, None, "x", None, 1)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.link_components(frame(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, 36, 5), (5, 37, 5), (5, 36, 5), (7, 36, 5), (None, 0, None)], key=str)
+
+
+def brute_pairs(bucket, node, n, at, component, points):
+    out = set()
+    for i in range(len(n)):
+        for j in range(i + 1, len(n)):
+            if bucket[i] == bucket[j] and component[i] != component[j] and 1 + min(n[i] - at[i] - 1, n[j] - at[j] - 1) >= jaccard.needed(n[i], n[j]):
+                if np.minimum(points[i], points[j]).sum() >= jaccard.needed(n[i], n[j]) and 100 * min(n[i], n[j]) >= 75 * max(n[i], n[j]):
+                    out.add((min(node[i], node[j]), max(node[i], node[j])))
+    return out
+
+
+def test_jaccard_trees(spark, docs):
     assert jaccard.link_components(frame(spark, docs).limit(0)).count() == 0
     assert np.array_equal(jaccard.word_hashes(b"One two"), jaccard.word_hashes(b" oNE\x0btwo ")) and len(set(jaccard.word_hashes("é e ee eé".encode()).tolist())) == 4
     rng = np.random.default_rng(2)
-    points, sizes = rng.integers(0, 9, (300, 16)).astype(np.uint32), None
-    sizes = points.sum(axis=1).astype(np.int64)
-    tree = jaccard.CountTree(points, sizes, fanout=4)
-    for i in range(0, 300, 17):
-        fits = (sizes * 100 >= 75 * sizes[i]) & (sizes * 75 <= 100 * sizes[i]) & (np.minimum(points, points[i]).sum(axis=1) >= jaccard.needed(sizes[i], sizes))
-        assert set(tree.search(points[i], int(sizes[i]))) == set(np.flatnonzero(fits))
-
-
-@pytest.mark.parametrize("blocks", [30_000, 3])
-def test_substrings(spark, docs, monkeypatch, blocks):
-    monkeypatch.setattr(substrings, "BLOCK_CONTEXTS", blocks)
-    monkeypatch.setattr(substrings, "CHUNK", 10)
+    base = rng.integers(0, 400, (12, jaccard.TREE_WIDTH)) * (rng.random((12, jaccard.TREE_WIDTH)) < 0.3)
+    points = np.maximum(0, base[rng.integers(0, 12, 600)] + rng.integers(-9, 9, (600, jaccard.TREE_WIDTH))) + rng.integers(0, 3, (600, jaccard.TREE_WIDTH))
+    n, bucket, node = points.sum(axis=1), rng.integers(0, 5, 600), np.arange(600)
+    order = np.lexsort((node, n, bucket))
+    points, n, bucket, node = points[order], n[order], bucket[order], node[order]
+    at, component = rng.integers(0, 30, 600), rng.integers(0, 200, 600)
+    cells = [p.astype(np.uint8 if p.max() < 256 else "<u4").tobytes() for p in points]
+    rows = {"bucket": bucket, "node": node, "n": n, "at": at, "component": component, "m": np.full(600, 120), "own": node % 2, "cross": np.zeros(600, bool)}
+    stats: dict = {}
+    got = {tuple(x) for x in jaccard.tree_pairs(rows, cells, False, stats=stats).tolist()}
+    assert got == brute_pairs(bucket, node, n, at, component, points) and len(got) > 100 and stats["levels"] == 3
+    cross = {tuple(x) for x in jaccard.tree_pairs(rows | {"cross": np.ones(600, bool)}, cells, False).tolist()}
+    assert cross == {p for p in got if (p[0] - p[1]) % 2}
+    some = {tuple(x) for x in jaccard.tree_pairs(rows | {"m": np.full(600, 1000)}, cells, True).tolist()}
+    assert some < got
+    h = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
+    assert np.frombuffer(jaccard.cells_of(h), np.uint8).sum() == 500 and jaccard.matrix_of([jaccard.cells_of(h)]).sum() == 500
+
+
+def test_jaccard_trees_are_entered_on_the_tables(spark, monkeypatch):
+    """All candidates but the stars come out of trees, and on the tables some of these have inner boxes."""
+    seen = []
+    plain = jaccard.tree_candidates
+    monkeypatch.setattr(jaccard, "tree_candidates", lambda sized, *a: seen.append((sized.agg(F.max("m")).first()[0] or 0, sized.count())) or plain(sized, *a))
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    jaccard.link_components(documents).count()
+    print(seen)
+    assert len(seen) == 2 and seen[-1][1] > 0 and max(m for m, _ in seen) > jaccard.FANOUT
+
+
+def test_substrings(spark, docs, monkeypatch):
+    monkeypatch.setattr(substrings, "CHUNK", 100)
+    monkeypatch.setattr(common, "HOT", 10)
     rng = random.Random(9)
     passage = "".join(rng.choice("abcdé ") for _ in range(260))
     extra = [f"{''.join(rng.choice('xyz') for _ in range(rng.randint(0, 90)))}{passage[rng.randint(0, 30) :]}{rng.random()}" for _ in range(12)] + ["ab" * 300, "x" * 199, "x" * 200, "x" * 201, "ü" * 150]
+    extra += [f"{'q' * rng.randint(0, 120)}{passage[20:]}{passage[: rng.randint(0, 200)]}" for _ in range(6)]
     rows = [(i, t, "x", None, 1) for i, t in enumerate([t for _, t, *_ in docs] + extra)]
     df = frame(spark, rows)
     got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.digests(df).collect())
     want = sorted(brute.repeats([(i, t) for i, t, *_ in rows]))
     assert got == want and sum(w[2] for w in want) > 1000
-    clean = substrings.deduplicated(df)
-    assert clean.columns == df.columns and clean.count() == len(rows)
-    left = {r["doc_id"]: len((r["text"] or "").encode()) for r in clean.collect()}
-    assert all(n - gone - 6 <= left[i] <= n - gone for i, n, gone, *_ in want)
+    clean = substrings.deduplicated(df).collect()
+    left = {r["doc_id"]: len((r["text"] or "").encode()) for r in clean}
+    assert len(clean) == len(rows) and all(n - gone - 6 <= left[i] <= n - gone for i, n, gone, *_ in want)
     assert substrings.digests(df.limit(0)).count() == 0
 
 
+def test_substrings_of_an_anchor_with_many_contexts(spark, monkeypatch):
+    """Cells are split until contexts fit, and blocks of what cannot be split are paired."""
+    monkeypatch.setattr(substrings, "BLOCK_CONTEXTS", 4)
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    common_part, long_part = word(34), word(66)
+    texts = [word(40) + common_part + word(40) for _ in range(8)] + [word(rng.randint(0, 30)) + long_part + word(rng.randint(0, 30)) for _ in range(7)] + [word(20) + common_part + long_part for _ in range(3)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.digests(df, length=40, k=8).collect())
+    assert got == sorted(brute.repeats(list(enumerate(texts)), 40)) and sum(r[2] for r in got) > 400
+
+
+def test_substrings_ids_that_are_null_or_repeat(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    a, b, c = word(500), word(700), word(300)
+    rows = [(1, a), (2, word(50) + a[100:400] + word(50)), (1, b), (None, c), (None, c), (3, None), (3, ""), (4, word(250)), (5, "short"), (5, "short")]
+    df = spark.createDataFrame([(i, t, "r", 0) for i, t in rows], "doc_id bigint, text string, runs string, text_key int")
+    got = sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.digests(df).collect()), key=str)
+    assert got == sorted(brute.repeats(rows), key=str) and sum(r[2] for r in got) == 300 + 300 + 600
+    clean = substrings.deduplicated(df).collect()
+    assert all(r.asDict().keys() == {"doc_id", "text", "runs", "text_key"} for r in clean)
+    assert sorted(r["text"] for r in clean if r["doc_id"] == 1) == sorted([a[:100] + a[400:], b])
+
+
+def test_run_length_index():
+    """Runs and samples alone give the statistics, and copies with few changes need few runs."""
+    rng = random.Random(1)
+    base = [rng.randrange(256) for _ in range(368)]
+    rows = np.array([base] * 500, np.uint16)
+    for i in range(500):
+        rows[i, rng.randrange(368)] = rng.randrange(256)
+    index = substrings.RunLengthIndex(rows, np.zeros(500, int))
+    assert index.runs < rows.size / 100 and "rows" not in vars(index)
+    mark = index.stream(200)
+    for i in rng.sample(range(500), 20):
+        for column in rng.sample(range(169), 20):
+            assert mark[i, column] == ((rows[:, column : column + 200] == rows[i, column : column + 200]).all(axis=1).sum() > 1)
+
+
 def test_packing(spark, docs):
     lib = Tokenizer.from_file(WORD)
     rows = [*docs, (500, "word! " * 9000, "x", None, 1), docs[20]]
