@@ -3,8 +3,9 @@
 Each stage is (name, function); a function takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but
 the last return the columns of documents, with n_chars brought up to date where texts change.
 
-Defined results: null texts are scored, compared and packed as empty ones; repeated rows of a kept document stay out as near
-duplicates; an empty table gives no rows; extra columns are carried through all but the last stage.
+Defined results: null texts are scored, compared and packed as empty ones; texts without words are no one's near duplicates; of linked or repeated
+rows the one with the smallest id stays (ties: by a hash of the text; of equal rows any one), also where ids are null (null comes first) or repeat with other
+texts; an empty table gives no rows; extra columns, whatever their names, are carried through all but the last stage.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evirank.llm import jaccard, packing, pii, quality, substrings
-from evirank.llm.common import table, written
+from evirank.llm.common import few, fresh, key_of, table, written
 
 
 def _measured(docs: DataFrame) -> DataFrame:
@@ -28,14 +29,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each component of near duplicates."""
-    found = written(jaccard.link_components(docs), "near-duplicates")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    few = gone.count() <= jaccard.SMALL_IDS
-    kept = docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    rest = [c for c in docs.columns if c != "doc_id"]  # rows that share an id: the least of them stays
-    return kept.groupBy("doc_id").agg(F.min(F.struct(*rest)).alias("row")).select("doc_id", *(F.col(f"row.{c}").alias(c) for c in rest)).select(*docs.columns)
+    found = written(jaccard.link_table(docs), "near-duplicates")
+    groups = found.where("component is not null").groupBy("component").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "text_key")).alias("stays")).where("n > 1")
+    groups = written(groups.select("component", F.col("stays.doc_id").alias("stays_id"), F.col("stays.text_key").alias("stays_key")), "near-duplicate-groups")
+    texts = found.select("component", "text_key").distinct().join(few(groups.select("component")), "component", "left_semi")
+    key, stays = fresh(docs, "text_key"), fresh(docs, "stays_id")
+    grouped = few(written(texts.select(F.col("text_key").alias(key)), "near-duplicate-texts"))
+    staying = few(written(groups.select(F.col("stays_key").alias(key), F.col("stays_id").alias(stays)), "near-duplicate-stays"))
+    keyed = docs.withColumn(key, key_of(F.col("text")))
+    alone = keyed.join(grouped, key, "left_anti")
+    kept = keyed.join(staying, key).where(F.col("doc_id").cast("bigint").eqNullSafe(F.col(stays))).dropDuplicates([key])
+    return alone.select(*docs.columns).unionAll(kept.select(*docs.columns))
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all texts with their sequences and places."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=150_000)  # workers also hold what earlier stages left
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=150_000)  # Python workers also hold what earlier stages left
 
 
 STAGES = [
