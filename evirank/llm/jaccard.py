@@ -28,7 +28,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evirank.llm.common import components, distinct_texts, extended, few, joined, repeated_texts, written
@@ -257,7 +257,7 @@ def _signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def levels_of(texts: DataFrame, cells: int = 1 << 18, width: int = WIDTH) -> bytes:
+def levels_of(texts: DataFrame, text_col: str = "text", cells: int = 1 << 18, width: int = WIDTH) -> bytes:
     """Compressed bytes, one for each cell of a hash sketch of all shingle counts: 0 where the count does not stand far above the mean, else
     one and the whole binary logarithm of how many times over it does."""
 
@@ -279,7 +279,7 @@ def levels_of(texts: DataFrame, cells: int = 1 << 18, width: int = WIDTH) -> byt
         total = sum(np.frombuffer(x, "<i8") for x in rows["counts"])
         return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
 
-    parts = texts.select(F.col("text").cast("binary").alias("raw")).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    parts = texts.select(F.col(text_col).cast("binary").alias("raw")).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
     total = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(parts)]) if parts else np.zeros(cells, np.int64)  # cells numbers, whatever the corpus
     limit = total.mean() + 8 * math.sqrt(total.mean() + 1) + 24
     return zlib.compress(np.where(total > limit, 1 + np.floor(np.log2(np.maximum(total / limit, 1))), 0).astype(np.uint8).tobytes())
@@ -370,8 +370,9 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of the buckets that span several components, with their component and the size m of their bucket."""
-    own = rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = written(own, "jaccard-own")
+    n, at = _unpacked("size_at")
+    own = rows.join(labels.select(F.col("id").alias("node"), "component"), "node", "left")
+    own = written(own.select("key", "node", n.alias("n"), at.alias("at"), F.coalesce("component", "node").alias("component")), "jaccard-own")
     open_keys = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("key", "m")
     return joined(own, written(open_keys, "jaccard-open"), ["key"], "m")
 
@@ -412,7 +413,7 @@ def tree_candidates(sized: DataFrame, of_node: DataFrame, share: bool, percent:
 
 
 def bucket_rows(of_node: DataFrame) -> DataFrame:
-    """(key, node, n, at): rows of keys that several nodes share. Frequent keys are taken as shared, so that their rows never gather to be counted."""
+    """(key, node, size_at): rows of keys that several nodes share; the set's size and the key's place are packed into one number. Frequent keys are taken as shared, so that their rows never gather to be counted."""
     named = ["key", "node", "size_at"]
     size = F.col("n_shingles") * F.lit(1 << 31)
     rare = of_node.select("node", size.alias("size"), F.posexplode(F.slice("keys", F.lit(1), F.col("rare"))).alias("at", "key")).select("key", "node", (F.col("size") + F.col("at")).alias("size_at"))
@@ -421,27 +422,37 @@ def bucket_rows(of_node: DataFrame) -> DataFrame:
     # all columns are used here too, else the exchange would be planned twice
     shared = dealt.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("size_at").alias("top")).where("lo < hi and top >= 0").select("key")
     rows = dealt.join(shared.hint("shuffle_hash"), "key").select(*named).unionAll(often.select(*named))
-    return rows.select("key", "node", F.shiftright("size_at", 31).alias("n"), F.col("size_at").bitwiseAND(F.lit((1 << 31) - 1)).alias("at"))
+    return rows.select("key", "node", "size_at")
+
+
+def _unpacked(size_at: str) -> tuple[Column, Column]:
+    """(n, at) of a packed column."""
+    return F.shiftright(size_at, 31), F.col(size_at).bitwiseAND(F.lit((1 << 31) - 1))
 
 
 def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
     """Pairs of each member of a bucket with its least member, and in an eighth of the buckets with the member of most shared keys."""
-    member = F.struct("node", "n", "at")
-    least = joined(rows, written(rows.groupBy("key").agg(F.count("*").alias("m"), F.min(member).alias("p")).where("m > 1"), "jaccard-least"), ["key"], "m")
+
+    def against(members: DataFrame, order, label: str) -> DataFrame:
+        # primitive buffers, so that counts and picks are combined by hash before the shuffle
+        picked = members.groupBy("key").agg(F.count("*").alias("m"), F.min_by("node", order).alias("p"), F.min_by("size_at", order).alias("p_size_at")).where("m > 1")
+        return joined(members.select("key", "node", "size_at"), written(picked, label), ["key"], "m").where("node <> p").select("node", "size_at", "p", "p_size_at")
+
     some = rows.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0)
     some = some.join(some.groupBy("node").agg(F.count("*").alias("w")), "node")
-    most = joined(some, written(some.groupBy("key").agg(F.count("*").alias("m"), F.max_by(member, F.struct("w", "node")).alias("p")).where("m > 1"), "jaccard-most"), ["key"], "m")
-    near = least.select("node", "n", "at", "p").unionAll(most.select("node", "n", "at", "p")).where("node <> p.node")
-    need = F.expr(f"({percent} * (n + p.n) + {99 + percent}) div {100 + percent}")  # rounded up in whole numbers
-    near = near.where((1 + F.least(F.col("n") - F.col("at") - 1, F.col("p.n") - F.col("p.at") - 1) >= need) & (F.col("n") * 100 >= F.col("p.n") * percent) & (F.col("p.n") * 100 >= F.col("n") * percent))
-    return near.select(F.least("node", "p.node").alias("a"), F.greatest("node", "p.node").alias("b")).distinct()
+    near = against(rows, F.col("node"), "jaccard-least").unionAll(against(some, -F.col("w") * F.lit(1 << 32) - F.col("node").bitwiseAND(F.lit((1 << 32) - 1)), "jaccard-most"))
+    (n, at), (p_n, p_at) = _unpacked("size_at"), _unpacked("p_size_at")
+    near = near.select("node", "p", n.alias("n"), at.alias("at"), p_n.alias("p_n"), p_at.alias("p_at"))
+    need = F.expr(f"({percent} * (n + p_n) + {99 + percent}) div {100 + percent}")  # rounded up in whole numbers
+    near = near.where((1 + F.least(F.col("n") - F.col("at") - 1, F.col("p_n") - F.col("p_at") - 1) >= need) & (F.col("n") * 100 >= F.col("p_n") * percent) & (F.col("p_n") * 100 >= F.col("n") * percent))
+    return near.select(F.least("node", "p").alias("a"), F.greatest("node", "p").alias("b")).distinct()
 
 
 def link_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, n_shingles, component) of each row of documents; component names a class of linked sets and is null for empty sets."""
     cells = 1 << min(24, max(16, math.ceil(math.log2(max(documents.count(), 2)))))
     texts = distinct_texts(documents, repeated_texts(documents, text_col), text_col)
-    table = written(nodes(texts, levels_of(texts, cells, width), width, percent), "jaccard-nodes")
+    table = written(nodes(texts, levels_of(documents, text_col, cells, width), width, percent), "jaccard-nodes")  # copies may count, since levels decide cost only
     # one text stands for each set; the list of the others is sent around only while it is short
     known = table.where("node is not null")
     others = known.groupBy("node").agg(F.count("*").alias("n"), F.min("text_key").alias("least")).where("n > 1")

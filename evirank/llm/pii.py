@@ -22,7 +22,7 @@ are dropped by spans() and kept, whatever their names, by sanitised().
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evirank.llm.common import few, fresh, joined, key_of, texts_of, written
@@ -102,10 +102,6 @@ def _before(values: Column, fold, both) -> Column:
     return F.get(F.transform(F.array(F.struct(values.alias("own"), block.alias("block"))), build), 0)
 
 
-def _sums_before(lengths: Column) -> Column:
-    return _before(lengths, lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x), lambda p, q: p + q)
-
-
 def _most_before(ends: Column) -> Column:
     return _before(ends, lambda a: F.coalesce(F.array_max(a), F.lit(0)), F.greatest)
 
@@ -128,7 +124,7 @@ def _found(kind: str, text: Column) -> Column:
 
 def base_spans(text: Column) -> Column:
     """All base spans of a text, by start and then by kind."""
-    return F.array_sort(F.concat(*(_found(k, text) for k in KINDS)))
+    return F.sort_array(F.concat(*(_found(k, text) for k in KINDS)))
 
 
 def _entities(text: Column, s: Column) -> Column:
@@ -145,17 +141,19 @@ def _entities(text: Column, s: Column) -> Column:
     return F.array(F.xxhash64(value), F.xxhash64(of))
 
 
-def _raw_words(text: Column) -> Column:
-    """Words as they stand; breaks are one character each."""
-    return F.split(F.translate(text, _BREAKS, " " * len(_BREAKS)), " ", -1)
+def _spaced(text: Column) -> Column:
+    """Breaks as spaces, one for one."""
+    return F.translate(text, _BREAKS, " " * len(_BREAKS))
 
 
-def _words(text: Column) -> Column:
-    return F.transform(_raw_words(text), lambda w: F.lower(w))  # one by one, since lower case can be longer
+def _raw_words(text: Column) -> Column:
+    """Words as they stand; breaks are one character each."""
+    return F.split(_spaced(text), " ", -1)
 
 
 def _terms(text: Column) -> Column:
-    return F.explode(F.filter(F.array_distinct(_words(text)), lambda w: F.length(w) > 0))
+    """Rows of the distinct words in lower case, and of the empty one. Words lower one by one as they do between spaces, so the text is lowered as a whole."""
+    return F.explode(F.array_distinct(F.split(F.lower(_spaced(text)), " ", -1)))
 
 
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -197,7 +195,7 @@ def flagged_terms(documents: DataFrame, scanned: DataFrame, text_col: str = "tex
     total = F.lit(float(max(scanned.select("text_key").distinct().count(), 2)))
     held = held_entities(scanned, total)
     of_text = written(held.groupBy("text_key").agg(F.max("most").alias("text_most")), "pii-texts")
-    words = written(texts_of(documents, of_text, text_col).select("text_key", _terms(F.col("text")).alias("term")), "pii-words")
+    words = written(texts_of(documents, of_text, text_col).select("text_key", _terms(F.col("text")).alias("term")).where("term <> ''"), "pii-words")
     inside = written(words.groupBy("term").agg(F.count("*").alias("n")), "pii-inside")
     counts = term_counts(documents, scanned, inside.select("term"), text_col).join(inside, "term")
     top = held.agg(F.max("most")).first()[0] or 0.0
@@ -210,34 +208,37 @@ def flagged_terms(documents: DataFrame, scanned: DataFrame, text_col: str = "tex
     own = joined(pairs.select("text_key", "entity", "term"), judged.select("entity", "term", "n_et", "d"), ["entity", "term"], "n_et").select("text_key", "term", "d")
     # terms that tell by themselves and that also stand in texts without the entity
     alone = written(judged.where((F.col("d") >= REMOVE) & (F.col("n_t") > F.col("n_et"))).groupBy("term").agg(F.max("d").alias("d")), "pii-alone")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    every = documents.select(text.alias("text")).select(F.xxhash64("text").alias("text_key"), _terms(F.col("text")).alias("term"))
-    return own.unionAll(every.join(few(alone), "term").select("text_key", "term", "d")).groupBy("text_key", "term").agg(F.max("d").alias("d"))
+    if not alone.isEmpty():
+        text = F.coalesce(F.col(text_col), F.lit(""))
+        every = documents.select(text.alias("text")).select(F.xxhash64("text").alias("text_key"), _terms(F.col("text")).alias("term"))
+        own = own.unionAll(every.join(few(alone), "term").select("text_key", "term", "d"))
+    return own.groupBy("text_key", "term").agg(F.max("d").alias("d"))
 
 
-def term_spans(documents: DataFrame, flagged: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text_key, terms): all places of the flagged terms (a table in storage) of each distinct text, by start."""
+def term_spans(documents: DataFrame, flagged: DataFrame, scanned: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text_key, terms): the places of the flagged terms (a table in storage) of each distinct text, by start, but for those that meet a base span."""
     keys = written(flagged.select("text_key").distinct(), "pii-marked")
-
-    def place(words: Column) -> Column:
-        at = _sums_before(F.transform(words, lambda w: F.length(w) + 1))
-        rows = F.zip_with(words, at, lambda w, p: F.struct(F.lower(w).alias("term"), p.cast("int").alias("start"), (p + F.length(w)).cast("int").alias("end")))
-        return F.filter(rows, lambda r: F.length(r["term"]) > 0)
-
-    # a one-element array binds the words, so that they are split once
-    each = texts_of(documents, keys, text_col).select("text_key", F.explode(F.get(F.transform(F.array(_raw_words(F.col("text"))), place), 0)).alias("w")).select("text_key", "w.*")
+    words = texts_of(documents, keys, text_col).select("text_key", F.posexplode(_raw_words(F.col("text"))).alias("no", "word"))
+    before = Window.partitionBy("text_key").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    placed = words.withColumn("start", F.coalesce(F.sum(F.length("word") + 1).over(before), F.lit(0)).cast("int")).where("word <> ''")
+    found = placed.select("text_key", F.lower("word").alias("term"), "start", (F.col("start") + F.length("word")).cast("int").alias("end")).join(flagged, ["text_key", "term"])
+    base = scanned.join(few(keys), "text_key", "left_semi").select("text_key", "base").dropDuplicates(["text_key"]).select("text_key", F.explode("base").alias("b"))
+    none = F.lit(None).cast("double")
+    both = found.select("text_key", "start", "end", "d").unionAll(base.select("text_key", "b.start", "b.end", none.alias("d")))
+    order = Window.partitionBy("text_key").orderBy("start", F.col("d").isNotNull())
+    reach = F.max(F.when(F.col("d").isNull(), F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    ahead = F.min(F.when(F.col("d").isNull(), F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
+    clear = both.withColumn("reach", F.coalesce(reach, F.lit(0))).withColumn("ahead", ahead).where("d is not null and reach <= start and (ahead is null or ahead >= end)")
     kind = F.when(F.col("d") >= REMOVE, "remove").otherwise("term")
-    span = F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", kind.alias("kind"))
-    return each.join(flagged, ["text_key", "term"]).groupBy("text_key").agg(F.array_sort(F.collect_list(span)).alias("terms"))
+    return clear.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", F.lit(len(KINDS)).alias("kind_no"), "end", kind.alias("kind")))).alias("terms"))
 
 
 def spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text_key, base, spans): base spans, and these with the disclosing terms, of each row."""
     scanned = written(scan(documents, id_col, text_col), "pii-scan")
-    added = written(term_spans(documents, written(flagged_terms(documents, scanned, text_col), "pii-terms"), text_col), "pii-places")
+    added = written(term_spans(documents, written(flagged_terms(documents, scanned, text_col), "pii-terms"), scanned, text_col), "pii-places")
     keys = few(added.select("text_key"))
-    clear = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    both = scanned.join(keys, "text_key", "left_semi").join(added, "text_key").select("doc_id", "text_key", "base", F.array_sort(F.concat("base", clear)).alias("spans"))
+    both = scanned.join(keys, "text_key", "left_semi").join(added, "text_key").select("doc_id", "text_key", "base", F.sort_array(F.concat("base", "terms")).alias("spans"))
     return both.unionAll(scanned.join(keys, "text_key", "left_anti").select("doc_id", "text_key", "base", F.col("base").alias("spans")))
 
 
