@@ -90,3 +90,60 @@ def diagnose(df: DataFrame, by: list[str], names: list[str], floor: float = 0.0)
     long = df.select(*by, F.expr(f"stack({len(names)}, {pairs}) as (component, value)"))
     out = long.groupBy(*by, "component").agg(F.count("*").alias("n_rows"), F.count("value").alias("n"), F.var_samp("value").alias("variance"), F.count_if(F.col("value") <= floor).alias("at_floor"))
     return out.select(*by, "component", "n", (F.col("n") / F.col("n_rows")).alias("coverage"), "variance", F.try_divide(F.col("at_floor"), F.col("n")).alias("floor_fraction"), ((F.col("n") >= 2) & (F.coalesce("variance", F.lit(0.0)) < 1e-6)).alias("degenerate"), (F.col("n") < 2).alias("sparse"))
+
+
+# Weights of the profile's parts.
+PROFILES = {
+    "discovery": {"disease": 0.32, "functional": 0.16, "mechanism": 0.34, "editability": 0.18, "alpha": 0.30},
+    "validation": {"disease": 0.33, "functional": 0.34, "mechanism": 0.16, "editability": 0.17, "alpha": 0.0},
+    "balanced": {"disease": 0.33, "functional": 0.22, "mechanism": 0.24, "editability": 0.21, "alpha": 0.15},
+}
+DISEASE = {"fine_mapping": 0.30, "clinical": 0.25, "recurrence": 0.20, "rarity": 0.15, "segregation": 0.10}
+EDITABILITY = {"efficiency": 0.45, "designs": 0.20, "bystander": 0.12, "off_target": 0.13, "indel": 0.10}
+SEGREGATION = ("de_novo_confirmed", "segregates_in_family", "de_novo_unconfirmed", "case_control_only", "single_case_report")
+
+
+def profile(name: str, profiles: dict = PROFILES) -> dict[str, float]:
+    """Weights of a mode, validated: the parts sum to one and alpha lies in [0, 1]."""
+    found = dict(profiles["balanced" if name == "panel" else name])
+    if abs(sum(v for k, v in found.items() if k != "alpha") - 1) > 1e-9 or not 0 <= found["alpha"] <= 1:
+        raise ValueError(f"weights of {name} do not sum to one")
+    return found
+
+
+def entering(status: Column, value: Column) -> Column:
+    """A quantity in a weighted mean: its value if present, 0 if searched and not found, else nothing."""
+    return F.when(status == "present", value).when(status == "searched_not_found", 0.0)
+
+
+def best_match(evidence: DataFrame, anchors: dict[str, float], by: str = "variant_id") -> DataFrame:
+    """(by, match): the greatest anchor of the usable evidence's disease match, not below that of a related disease."""
+    own = first_match([(F.col("disease_match") == k, float(v)) for k, v in anchors.items()], 0.0)
+    return evidence.groupBy(by).agg(F.greatest(F.coalesce(F.max(F.when(F.col("usable"), own)), F.lit(0.0)), F.lit(float(anchors["related"]))).alias("match"))
+
+
+def segregation(evidence: DataFrame, by: str = "variant_id") -> DataFrame:
+    """(by, segregation): the strongest kind found in usable evidence on the allele itself."""
+    place = first_match([(F.col("evidence_type") == k, i) for i, k in enumerate(SEGREGATION)], len(SEGREGATION))
+    best = evidence.groupBy(by).agg(F.min(F.when(F.col("usable") & F.col("variant_specific"), place)).alias("__p"))
+    return best.select(by, first_match([(F.col("__p") == i, k) for i, k in enumerate(SEGREGATION)], "none").alias("segregation"))
+
+
+def disease_score(pip: Column, log_p: Column, classification: Column, stars: Column, match: Column, recurrence_: Column, rarity: Column, segregation_: Column) -> Column:
+    """Weighted mean of the anchored parts: fine mapping by inclusion probability, else by p; the classification counts by stars and match."""
+    return weighted([(DISEASE["fine_mapping"], F.coalesce(pip, log_p)), (DISEASE["clinical"], classification * stars * match), (DISEASE["recurrence"], recurrence_), (DISEASE["rarity"], rarity), (DISEASE["segregation"], segregation_)])
+
+
+def editability(efficiency: Column, designs: Column, bystander: Column, off_target: Column, indel: Column) -> Column:
+    return weighted(list(zip(EDITABILITY.values(), (efficiency, designs, bystander, off_target, indel), strict=True)))
+
+
+def editing_status(conflict: Column, pam: Column, verified: Column, designs: Column) -> Column:
+    """A conflict with the host line rules an allele out, then the lack of a site; without a verified host line nothing is known."""
+    return F.when(conflict.isNotNull(), "not_editable_in_host_line").when(pam == F.lit(False), "not_editable_no_pam").when(~F.coalesce(verified, F.lit(False)), "editability_unknown").when(designs <= 0, "not_editable_no_pam").otherwise("editable")
+
+
+def long_inputs(df: DataFrame, key: str, names: list[str]) -> DataFrame:
+    """(key, input, value): raw inputs by name, one row each."""
+    pairs = ", ".join(f"'{n}', cast({n} as double)" for n in names)
+    return df.select(key, F.expr(f"stack({len(names)}, {pairs}) as (input, value)"))

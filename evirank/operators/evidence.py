@@ -10,12 +10,15 @@ from evirank.schema import EXACT_MATCHES
 
 
 def json_pointer(document: Column, pointer: str) -> Column:
-    """The value at an RFC 6901 pointer as text. Object keys and array places are told apart by digits."""
-    path = "$"
+    """The value at an RFC 6901 pointer as text. Digits are a key of an object and a place of an array."""
+    value = document
     for part in pointer.split("/")[1:]:
-        part = part.replace("~1", "/").replace("~0", "~")
-        path += f"[{part}]" if part.isdigit() else f"['{part}']"
-    return F.get_json_object(document, path)
+        key = part.replace("~1", "/").replace("~0", "~")
+        inner = F.try_element_at(F.from_json(value, "map<string,string>"), F.lit(key))
+        if key.isdigit() and (key == "0" or key[0] != "0"):
+            inner = F.coalesce(inner, F.get(F.from_json(value, "array<string>"), F.lit(int(key))))
+        value = inner
+    return value
 
 
 def check_locators(locators: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -102,3 +105,31 @@ def host_decisions(links: DataFrame, log: DataFrame, ordinal: str = "ordinal") -
     base = log.agg(F.coalesce(F.max("sequence"), F.lit(0)).alias("base"))
     rows = numbered(links, ordinal, "__n").crossJoin(F.broadcast(base))  # one row
     return rows.select("link_id", "claim_id", "claim_revision", F.lit("host").alias("reviewer_type"), F.lit("unreviewed").alias("human_review"), F.col("host_state").alias("effective_state"), (F.col("base") + F.col("__n")).alias("sequence"))
+
+
+def out_of_scope_links(log: DataFrame) -> DataFrame:
+    """(n): distinct links with a failing scope check; checks is a map of names to results."""
+    return log.where(F.try_element_at("checks", F.lit("scope")) == "fail").agg(F.count_distinct("link_id").alias("n"))
+
+
+def one_kind_of_source(snapshots: DataFrame, synthetic: bool) -> DataFrame:
+    """snapshots, unless synthetic and real sources are mixed: then the job fails."""
+    ok = F.coalesce(F.col("is_synthetic") == F.lit(synthetic), F.lit(False))
+    return snapshots.where(F.when(ok, True).otherwise(F.raise_error(F.concat(F.lit("synthetic and real sources are mixed: "), F.col("snapshot_id"))).cast("boolean")))
+
+
+def provenance(mentions: DataFrame, decisions: DataFrame, accepted: DataFrame, effects: DataFrame) -> DataFrame:
+    """(variant_id, routes, refs, lit, hgvs_c, hgvs_p): where an allele was found, as sorted sets.
+
+    mentions: mention_id, route, source_refs; decisions: mention_id, status, variant_ids; accepted: variant_id, publication, kind, perturbation_type,
+    outcome_type; effects: variant_id, hgvs_c, hgvs_p of the selected transcript. Only resolved mentions count.
+    """
+    resolved = decisions.where("status = 'resolved'").select("mention_id", F.element_at("variant_ids", 1).alias("variant_id"))
+    none = F.array().cast("array<string>")
+    found = mentions.join(resolved, "mention_id").groupBy("variant_id").agg(F.collect_set("route").alias("routes"), F.flatten(F.collect_list(F.coalesce("source_refs", none))).alias("refs"))
+    detail = F.when(F.col("perturbation_type").isNotNull(), F.concat_ws("/", "perturbation_type", "outcome_type")).otherwise(F.col("kind"))
+    papers = accepted.where(F.startswith("publication", F.lit("PMID:"))).groupBy("variant_id").agg(F.collect_set(F.concat(F.col("publication"), F.lit(" "), F.col("kind"), F.lit(":"), detail)).alias("lit"))
+    tail = lambda c: F.element_at(F.split(F.coalesce(c, F.lit("")), ":"), -1)
+    j = found.join(papers, "variant_id", "full").join(effects.select("variant_id", tail("hgvs_c").alias("hgvs_c"), tail("hgvs_p").alias("hgvs_p")), "variant_id", "full")
+    whole = lambda c: F.array_sort(F.array_distinct(F.coalesce(c, none)))
+    return j.select("variant_id", whole("routes").alias("routes"), whole("refs").alias("refs"), whole("lit").alias("lit"), F.coalesce("hgvs_c", F.lit("")).alias("hgvs_c"), F.coalesce("hgvs_p", F.lit("")).alias("hgvs_p"))

@@ -80,7 +80,7 @@ def derive_features(variants: DataFrame, annotations: DataFrame, evidence: DataF
     name = F.when(o == 3, tiers[3]).when(o == 2, tiers[2]).when(o == 1, tiers[1]).otherwise(tiers[0])
     return j.select(
         "variant_id", "label", "chrom", "pos", "ref", "alt", F.when(control | routed, "control").otherwise("discovery").alias("channel"), F.when(F.size(all_roles) == 0, F.array(F.lit("discovery"))).otherwise(all_roles).alias("roles"),
-        "stratum", kind.alias("characterization"), "k", "k_basis", name.alias("o"), "p_predictor", "p_status", "p", F.coalesce("contributing_link_ids", F.expr("cast(map() as map<string, array<string>>)")).alias("contributing_link_ids"), flags.alias("flags"),
+        "stratum", F.coalesce("terms", none).alias("consequence_terms"), kind.alias("characterization"), "k", "k_basis", name.alias("o"), "p_predictor", "p_status", "p", F.coalesce("contributing_link_ids", F.expr("cast(map() as map<string, array<string>>)")).alias("contributing_link_ids"), flags.alias("flags"),
     )
 
 

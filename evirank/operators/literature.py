@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evirank.functions import text as TX
 from evirank.functions.text import squashed
 from evirank.operators.ranking import first_match
 
@@ -98,3 +99,68 @@ def replayed(requests: DataFrame, records: DataFrame, strict: bool = True) -> Da
         j = j.where(F.coalesce(F.col("text").isNotNull() | F.raise_error(F.concat(F.lit("no record of "), F.col("request_digest"))).cast("boolean"), F.lit(True)))
     fenced = F.regexp_extract("text", r"(?s)```(?:json)?\s*(.*?)```", 1)
     return j.withColumn("json", F.when(F.length(fenced) > 0, F.regexp_replace(fenced, r"\s+$", "")).otherwise(F.col("text"))).withColumn("parsed", F.try_parse_json("json").isNotNull())
+
+
+def deep_flags(priority_: Column, access: Column, screened: Column, quote_ok: Column, error: Column) -> tuple[Column, Column]:
+    """(whether a document is to be read in depth, its flags)."""
+    wanted = priority_.isin("P1", "P2")
+    deep = wanted & (access == "full_text_open")
+    flags = F.array_compact(F.array(F.when(screened & ~quote_ok, "quote_not_found_in_abstract"), F.when(error.isNotNull(), F.concat(F.lit("screen_error:"), error)), F.when(wanted & ~deep, "needs_manual_access")))
+    return deep, flags
+
+
+def document_order(year: Column, pmid: Column) -> list[Column]:
+    """Latest year first (what is no number counts as 0), then the id as text."""
+    number = F.when(year.rlike("^[0-9]+$"), year.try_cast("int"))
+    return [F.coalesce(number, F.lit(0)).desc(), pmid.cast("string").asc()]
+
+
+def passage_class(units: DataFrame, by: str, text: str, alias: str) -> DataFrame:
+    """Adds class: 0 for units with an alias and a notation, 1 for an alias alone, 2 for others that hold a notation of the first two; null for the rest."""
+    named = F.col(text).rlike(alias)
+    own = units.withColumn("__named", named).withColumn("__notes", TX.notations(F.col(text)))
+    notes = own.where("__named").groupBy(by).agg(F.array_distinct(F.flatten(F.collect_list("__notes"))).alias("__all"))
+    also = F.exists(F.coalesce("__all", F.array().cast("array<string>")), lambda n: F.contains(F.col(text), n))
+    j = own.join(notes, by, "left")
+    return j.withColumn("class", F.when(F.col("__named") & (F.size("__notes") > 0), 0).when(F.col("__named"), 1).when(also, 2)).drop("__named", "__notes", "__all")
+
+
+def scanned_units(units: DataFrame, by: list[str], text: str, aliases: list[str]) -> DataFrame:
+    """(by, notation, transcript, context): notations in units that name the gene, where the nearest gene before each is that gene; each once for its unit."""
+    hits = units.where(TX.names_gene(F.col(text), aliases))
+    found = F.concat(TX.matches_at(F.col(text), TX.CODING), TX.matches_at(F.col(text), TX.PROTEIN))
+    each = hits.select(*by, F.col(text).alias("__text"), F.explode(found).alias("m")).where(TX.owned_by(F.col("__text"), F.col("m.at"), aliases))
+    transcript = F.nullif(F.regexp_extract("__text", TX.TRANSCRIPT, 1), F.lit(""))
+    named = each.select(*by, F.trim(F.translate("m.text", "()", "")).alias("notation"), transcript.alias("transcript"), F.substring("__text", 1, 200).alias("context"))
+    return named.groupBy(*by, "notation").agg(F.min("transcript").alias("transcript"), F.min("context").alias("context"))
+
+
+def literature_claims(extracted: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Claims as they are assembled from extracted ones (claim_no, pmid, kind, scope, perturbation, outcome, quote, mentions): kinds and outcomes
+    are mapped, a claim without a resolved mention (resolved: mention_id) is about the gene, and carriers' backgrounds are flagged."""
+    each = extracted.select("claim_no", F.explode("mentions").alias("mention_id")).join(resolved.select("mention_id").distinct(), "mention_id").groupBy("claim_no").agg(F.array_sort(F.collect_set("mention_id")).alias("known"))
+    none = F.array().cast("array<string>")
+    j = extracted.join(each, "claim_no", "left").withColumn("known", F.coalesce("known", none))
+    own = (F.col("scope") == "variant") & (F.size("known") > 0)
+    kind = F.when(F.col("kind").isin("functional_experiment", "patient_observation"), F.col("kind")).otherwise("review_summary")
+    tested = kind == "functional_experiment"
+    how = F.when(F.col("perturbation") == "not_an_experiment", "other").otherwise(F.col("perturbation"))
+    return j.select(
+        F.concat(F.lit("c_lit_"), F.col("pmid").cast("string"), F.lit("_"), F.col("claim_no").cast("string")).alias("claim_id"), kind.alias("evidence_kind"), F.when(own, "variant").otherwise("gene").alias("scope"),
+        F.when(own, F.col("known")).otherwise(none).alias("mentions"), F.substring("quote", 1, 400).alias("claim_text"), F.concat(F.lit("PMID:"), F.col("pmid").cast("string")).alias("publication"),
+        F.when(tested, how).alias("perturbation_type"), F.when(tested, F.when(F.col("outcome") == "not_applicable", "inconclusive").otherwise(F.col("outcome"))).alias("outcome_type"),
+        F.when(tested & (how == "carrier_comparison"), F.array(F.lit("patient_genetic_background"))).otherwise(none).alias("confound_flags"),
+    )
+
+
+def structured(requests: DataFrame, records: DataFrame, fields: str) -> DataFrame:
+    """requests with the parsed reply (a struct of the fields), or why there is none: the first attempt, else one repair.
+
+    records: request_digest, attempt, text. Replies may stand in a fence; a reply that is no JSON object of these fields counts as failed.
+    """
+    fenced = F.regexp_extract("text", r"(?s)```(?:json)?\s*(.*?)```", 1)
+    body = F.trim(F.when(F.length(fenced) > 0, fenced).otherwise(F.col("text")))
+    parsed = F.when(F.try_parse_json(body).isNotNull() & F.startswith(body, F.lit("{")), F.from_json(body, fields))
+    tried = records.where("attempt <= 2").withColumn("reply", parsed).groupBy("request_digest").agg(F.min_by("reply", F.when(F.col("reply").isNotNull(), F.col("attempt"))).alias("reply"), F.count("*").alias("attempts"))
+    j = requests.join(tried, "request_digest", "left")
+    return j.withColumn("failure", F.when(F.col("attempts").isNull(), "snapshot_missing").when(F.col("reply").isNull(), "not_structured"))

@@ -33,14 +33,24 @@ def sort_keys(names: list[str], nullable: tuple[str, ...] = ()) -> list[Column]:
 def rank(df: DataFrame, partition: list[str], keys: list[str], within: list[Column], nullable: tuple[str, ...] = ()) -> DataFrame:
     """Adds tier_rank, display_index, tie_group_size and tie_group_id.
 
-    Tiers are dense over the keys; rows of a tier are tied, and `within` only settles the order of display.
+    Tiers are dense over the keys; rows of a tier are tied, and `within` only settles the order of display. Tiers come from one row for each
+    distinct tuple of keys, and rows are only ever sorted within their tie group, so a partition's rows never meet in one task.
     """
-    order = sort_keys(keys, nullable)
-    tiers = Window.partitionBy(*partition).orderBy(*order)
-    display = Window.partitionBy(*partition).orderBy(*order, *within)
-    ranked = df.withColumn("tier_rank", F.dense_rank().over(tiers).cast("bigint")).withColumn("display_index", F.row_number().over(display).cast("bigint"))
-    ties = Window.partitionBy(*partition, "tier_rank")
-    return ranked.withColumn("tie_group_size", F.count("*").over(ties)).withColumn("tie_group_id", F.concat_ws(":", *partition, F.concat(F.lit("t"), F.col("tier_rank").cast("string"))))
+    own = {}
+    for i, k in enumerate(keys):
+        if k in nullable:
+            own[f"__there{i}"] = F.when(F.col(k).isNotNull(), 1).otherwise(0)
+        own[f"__key{i}"] = F.coalesce(F.col(k), F.lit(0))
+    parts = {f"__part{i}": F.col(c) for i, c in enumerate(partition)}
+    named = df.withColumns(own | parts)
+    order = Window.partitionBy(*parts).orderBy(*(F.col(c).desc() for c in own))
+    tiers = named.groupBy(*parts, *own).agg(F.count("*").alias("tie_group_size"))
+    tiers = tiers.withColumn("tier_rank", F.dense_rank().over(order).cast("bigint")).withColumn("__before", F.coalesce(F.sum("tie_group_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    on = [named[c].eqNullSafe(tiers[c]) for c in (*parts, *own)]
+    ranked = named.join(tiers, on).select(*(named[c] for c in df.columns), "tier_rank", "tie_group_size", "__before")
+    display = Window.partitionBy(*partition, "tier_rank").orderBy(*within)
+    ranked = ranked.withColumn("display_index", (F.col("__before") + F.row_number().over(display)).cast("bigint")).drop("__before")
+    return ranked.withColumn("tie_group_id", F.concat_ws(":", *partition, F.concat(F.lit("t"), F.col("tier_rank").cast("string"))))
 
 
 def stratum_report(ranked: DataFrame, partition: list[str], keys: list[str], missing: str) -> DataFrame:
@@ -86,3 +96,21 @@ def audit_sample(df: DataFrame, key: str, fraction: float, seed: str) -> DataFra
     """A reproducible sample of min(n, max(1, floor(n * fraction))) rows, by the hash of seed and key."""
     n = df.count()
     return df.orderBy(F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)).limit(min(n, max(1, int(n * fraction))))
+
+
+def running_before(df: DataFrame, by: list[str], order: str, size: Column, name: str, step: int = 10_000) -> DataFrame:
+    """Adds the sum of size over the rows of the group that come earlier by a whole-number order column.
+
+    Sums of runs of `step` places are added up first, so rows are only sorted within such a run.
+    """
+    dealt = df.withColumn("__size", size).withColumn("__run", F.floor(F.col(order) / step))
+    runs = dealt.groupBy(*by, "__run").agg(F.sum("__size").alias("__sum"))
+    before = Window.partitionBy(*by).orderBy("__run").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.withColumn("__start", F.coalesce(F.sum("__sum").over(before), F.lit(0))).drop("__sum")
+    inside = Window.partitionBy(*by, "__run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return dealt.join(runs, [*by, "__run"]).withColumn(name, (F.col("__start") + F.coalesce(F.sum("__size").over(inside), F.lit(0))).cast("bigint")).drop("__size", "__run", "__start")
+
+
+def by_strata(df: DataFrame, strata: tuple[str, ...]) -> list[Column]:
+    """Order of output: channel, the policy's order of strata (others last), display index."""
+    return [F.col("channel"), first_match([(F.col("stratum") == s, i) for i, s in enumerate(strata)], 99), F.col("display_index")]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evirank.plans import star
+from evirank.plans import more, star
 
-QUERIES: dict = dict(star.QUERIES)
-ORACLES: dict[str, str] = dict(star.ORACLES)
+QUERIES: dict = {**star.QUERIES, **more.QUERIES}
+ORACLES: dict[str, str] = {**star.ORACLES, **more.ORACLES}

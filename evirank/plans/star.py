@@ -15,6 +15,7 @@ from evirank.operators import literature as LI
 from evirank.operators import metrics as ME
 from evirank.operators import ranking as RA
 from evirank.policy import default_policy
+from evirank.sources import records as RE
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -276,8 +277,9 @@ _REGIONS = [("head", 1, 8), ("core", 6, 20), ("tail", 30, 45), ("end", 50, 50)]
 
 @query("SELECT p_partkey, r.name AS region FROM part JOIN (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in _REGIONS) + ") AS r(name, s, e) ON p_size - 1 <= r.e AND r.s <= p_size + 1")
 def overlap_join(spark, sf_dir):
-    regions = spark.createDataFrame(_REGIONS, "region string, s int, e int")
-    return read(spark, sf_dir, "part").join(F.broadcast(regions), (F.col("p_size") - 1 <= F.col("e")) & (F.col("s") <= F.col("p_size") + 1)).select("p_partkey", "region")  # a fixed list
+    regions = F.array(*(F.struct(F.lit(n).alias("name"), F.lit(a).alias("start"), F.lit(b).alias("end")) for n, a, b in _REGIONS))
+    near = F.filter(regions, lambda r: RE.in_regions(F.col("p_size") - 1, F.col("p_size") + 1, F.array(r)))
+    return read(spark, sf_dir, "part").select("p_partkey", F.explode(F.transform(near, lambda r: r["name"])).alias("region"))
 
 
 @query("""SELECT e.event_id, p.event_id AS nearest_id FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') p ON e.user_id = p.user_id AND e.event_id > p.event_id""")
@@ -292,22 +294,23 @@ def asof_nearest_preceding(spark, sf_dir):
 
 @query("SELECT s_nationkey, min(s_suppkey) AS s_suppkey FROM supplier GROUP BY 1 HAVING count(*) = 1")
 def unique_lookup(spark, sf_dir):
-    return read(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.min("s_suppkey").alias("s_suppkey"), F.count("*").alias("n")).where("n = 1").drop("n")
+    return RE.exactly_one(read(spark, sf_dir, "supplier"), ["s_nationkey"], "s_suppkey").where("s_suppkey is not null")
 
 
-@query("""SELECT nationkey, string_agg(DISTINCT route, ',' ORDER BY route) AS routes, count(*) AS n FROM (SELECT c_nationkey AS nationkey, 'customer' AS route FROM customer WHERE c_acctbal < 0 UNION ALL
-  SELECT s_nationkey, 'supplier' FROM supplier UNION ALL SELECT c_nationkey, 'order' FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 450000) GROUP BY 1""")
+@query("""SELECT nationkey, string_agg(DISTINCT route, ',' ORDER BY route) AS routes, string_agg(DISTINCT variant, ',' ORDER BY variant) AS variants FROM (SELECT c_nationkey AS nationkey, 'customer' AS route, c_name AS variant FROM customer WHERE c_acctbal < 0 UNION ALL
+  SELECT s_nationkey, 'supplier', NULL FROM supplier UNION ALL SELECT c_nationkey, 'order', o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 450000) GROUP BY 1""")
 def route_union(spark, sf_dir):
     customer = read(spark, sf_dir, "customer")
-    a = customer.where("c_acctbal < 0").select(F.col("c_nationkey").alias("nationkey"), F.lit("customer").alias("route"))
-    b = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("nationkey"), F.lit("supplier").alias("route"))
-    c = read(spark, sf_dir, "orders").where("o_totalprice > 450000").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("nationkey"), F.lit("order").alias("route"))
-    return a.unionByName(b).unionByName(c).groupBy("nationkey").agg(F.array_join(F.array_sort(F.collect_set("route")), ",").alias("routes"), F.count("*").alias("n"))
+    a = customer.where("c_acctbal < 0").select(F.col("c_nationkey").alias("pmid"), F.lit("customer").alias("route"), F.col("c_name").alias("variant"))
+    b = read(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("pmid"), F.lit("supplier").alias("route"))
+    c = read(spark, sf_dir, "orders").where("o_totalprice > 450000").join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("pmid"), F.lit("order").alias("route"), F.col("o_orderpriority").alias("variant"))
+    said = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).alias(c)
+    return RE.literature_pool([a, b, c]).select(F.col("pmid").alias("nationkey"), said("routes"), said("variants"))
 
 
-@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
 def set_except(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select("c_custkey").subtract(read(spark, sf_dir, "orders").select("o_custkey"))
+    return read(spark, sf_dir, "customer").select("c_custkey").subtract(read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select("o_custkey"))
 
 
 @query("SELECT c_custkey FROM customer INTERSECT SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT'")
@@ -325,13 +328,14 @@ def counters(spark, sf_dir):
     return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_distinct("user_id").alias("n_users"), F.count_if(F.col("value") > 50).alias("n_high"))
 
 
-@query("SELECT l_partkey, round(sum(l_quantity) FILTER (WHERE l_returnflag = 'A') / nullif(sum(l_quantity) FILTER (WHERE l_returnflag <> 'R'), 0), 6) AS frequency FROM lineitem GROUP BY 1")
+@query("""WITH c AS (SELECT l_partkey, l_returnflag, CAST(sum(l_linenumber) AS BIGINT) AS ac, CAST(sum(l_quantity) AS BIGINT) AS an, count(*) % 3 = 0 AS bad FROM lineitem GROUP BY 1, 2)
+SELECT l_partkey, round(sum(ac) FILTER (WHERE NOT bad AND an > 0) / nullif(CAST(sum(an) FILTER (WHERE NOT bad AND an > 0) AS DOUBLE), 0), 6) AS frequency FROM c WHERE l_returnflag IN ('A', 'N') GROUP BY 1""")
 def joint_af(spark, sf_dir):
-    def total(test):
-        return F.sum(F.when(test, F.col("l_quantity")))
-
-    flag = F.col("l_returnflag")
-    return read(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.round(F.try_divide(total(flag == "A"), total(flag != "R")), 6).alias("frequency"))
+    calls = read(spark, sf_dir, "lineitem").where("l_returnflag in ('A', 'N')").groupBy("l_partkey", "l_returnflag").agg(F.sum("l_linenumber").cast("bigint").alias("ac"), F.sum("l_quantity").cast("bigint").alias("an"), F.count("*").alias("n"))
+    filters = F.when(F.col("n") % 3 == 0, F.array(F.lit("AC0"))).otherwise(F.array().cast("array<string>"))
+    call = lambda flag: F.max(F.when(F.col("l_returnflag") == flag, F.struct("ac", "an", filters.alias("filters")))).alias(flag)
+    both = calls.groupBy("l_partkey").agg(call("A"), call("N"))
+    return both.select("l_partkey", F.round(RE.joint_frequency(F.col("A"), F.col("N")), 6).alias("frequency"))
 
 
 # ---- metrics -------------------------------------------------------------------------------------------------------
@@ -396,10 +400,7 @@ def ndcg(spark, sf_dir):
 
 @query("SELECT doc_id, CAST(coalesce(sum(length(text) + 2) OVER (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS at FROM documents")
 def running_offsets(spark, sf_dir):
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("source").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    return read(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.sum(F.length("text") + 2).over(before), F.lit(0)).cast("bigint").alias("at"))
+    return RA.running_before(read(spark, sf_dir, "documents").select("source", "doc_id", F.length("text").alias("size")), ["source"], "doc_id", F.col("size") + 2, "at").select("doc_id", "at")
 
 
 @query("SELECT c_custkey, CAST((row_number() OVER (ORDER BY c_custkey) - 1) // 200 AS BIGINT) AS batch FROM customer")
@@ -421,13 +422,18 @@ def passage_select(spark, sf_dir):
     return LI.select_passages(read(spark, sf_dir, "documents"), "source", ["doc_id"], "n_chars", 15, 30_000)
 
 
-@query()
+_UNITS = "|".join(rf"<{t}\b[^>]*>.*?</{t}>" for t in TX.UNIT_TAGS)
+
+
+@query(f"""WITH u AS (SELECT page_id, unnest(regexp_extract_all(html, '{_UNITS}', 0, 's')) AS raw, generate_subscripts(regexp_extract_all(html, '{_UNITS}', 0, 's'), 1) AS i FROM pages WHERE html IS NOT NULL),
+t AS (SELECT page_id, i, trim(regexp_replace(regexp_replace(CASE WHEN starts_with(raw, '<tr') THEN regexp_replace(raw, '</t[dh]>', ' | ', 'g') ELSE raw END, '<[^>]+>', ' ', 'g'), '[ \\t\\n\\r\\f\\x0b]+', ' ', 'g')) AS text FROM u)
+SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(i)) - 1 AS INTEGER) AS unit, text FROM t WHERE length(text) > 3 GROUP BY page_id, text""")
 def markup_units(spark, sf_dir):
     units = F.posexplode(TX.markup_units(F.coalesce("html", F.lit("")))).alias("unit", "text")
     return read(spark, sf_dir, "pages").select("page_id", units)
 
 
-@query()
+@query("SELECT doc_id, CAST(len(regexp_extract_all(regexp_replace(text, '[\\x{00C0}-\\x{024F}]', 'x', 'g'), '(?i)\\b(?:the|und|que)\\b')) AS BIGINT) AS n_hits FROM documents")
 def alias_hits(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.size(F.regexp_extract_all("text", F.lit(TX.alias_pattern(["the", "und", "que"])), F.lit(0))).cast("bigint").alias("n_hits"))
 
@@ -579,8 +585,9 @@ def document_rules(spark, sf_dir):
     return LI.rule_fields(flags).select("doc_id", F.col("rule_review").alias("review"), "access", "supplement")
 
 
-@query("SELECT p_partkey, CASE WHEN starts_with(p_name, 'red') THEN 'p.' WHEN starts_with(p_name, 'small') THEN 'rs' END AS kind, regexp_matches(p_brand, '^Brand#[0-9]+$') AS plain FROM part")
+_SAID = """CASE p_size % 6 WHEN 0 THEN 'p.Arg' || p_partkey || 'Ter' WHEN 1 THEN 'rs' || p_partkey WHEN 2 THEN '  p.(Gly' || p_size || 'Ser)' WHEN 3 THEN 'R' || p_size || 'fs' WHEN 4 THEN 'chr1:' || p_partkey ELSE p_name END"""
+
+
+@query(f"SELECT p_partkey, CASE WHEN regexp_matches(trim(t), '^(p[.])?[(]?[A-Z][a-z]{{0,2}}[0-9]+([A-Z][a-z]{{0,2}}|[*]|=|fs)') THEN 'unsupported' WHEN regexp_matches(trim(t), '^rs[0-9]+') THEN 'insufficient' END AS status FROM (SELECT p_partkey, {_SAID} AS t FROM part)")
 def text_classes(spark, sf_dir):
-    text = F.when(F.startswith("p_name", F.lit("red")), "p.Arg5Ter").when(F.startswith("p_name", F.lit("small")), "rs123").otherwise("chr1")
-    status = ID.classify_text(text)
-    return read(spark, sf_dir, "part").select("p_partkey", F.when(status == "unsupported", "p.").when(status == "insufficient", "rs").alias("kind"), F.col("p_brand").rlike("^Brand#[0-9]+$").alias("plain"))
+    return read(spark, sf_dir, "part").select("p_partkey", ID.classify_text(F.expr(_SAID)).alias("status"))

@@ -106,3 +106,16 @@ def write_json(value, path: str) -> str:
     data = (json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False) + "\n").encode()
     Path(path).write_bytes(data)
     return hashlib.sha256(data).hexdigest()
+
+
+def write_tsv(df: DataFrame, path: str, order: list[str]) -> str:
+    """Write a mention table: a header, tab-separated cells with null as empty, lists joined by commas; returns the digest. Rows stream to the driver."""
+    text = [F.array_join(c, ",") if t.startswith("array") else F.col(c).cast("string") for c, t in df.dtypes]
+    lines = df.orderBy(*order).select(F.concat_ws("\t", *(F.regexp_replace(F.coalesce(c, F.lit("")), "[\t\r\n]", " ") for c in text)).alias("line"))
+    h = hashlib.sha256()
+    with Path(path).open("wb") as out:
+        for line in ("\t".join(df.columns), *(r["line"] for r in lines.toLocalIterator())):
+            data = line.encode() + b"\n"
+            h.update(data)
+            out.write(data)
+    return h.hexdigest()

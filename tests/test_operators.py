@@ -197,16 +197,25 @@ def test_text_functions(spark):
         return spark.createDataFrame([(value,)], "t string").select(column(F.col("t"))).first()[0]
 
     assert one(TX.notations, "saw c.10delinsAT and p.Arg12Ter, c.76A>T") == ["c.10del", "c.76A>T", "p.Arg12Ter"]
-    assert one(TX.clean_notation, "c.76 A &gt; T (het)") == "c.76A>T"
-    assert one(TX.expand_single_deletion, "c.100delAG") == "c.100_101delAG" and one(TX.expand_single_deletion, "c.100+1delAG") == "c.100+1delAG"
-    assert one(TX.markup_units, "<p>One <b>two</b></p><tr><td>aa</td><td>bb</td></tr><p>One two</p><p>x</p>") == ["One two", "aa | bb"]
+    assert one(TX.clean_notation, "c.76A &gt; T") == "c.76A>T"
+    assert one(TX.clean_notations, "NM_1.2:c.1067C > T/p.Ser356Phe and c.3930_3940del CCCTG, c.4582–2delAG/+") == ["c.1067C>T", "c.3930_3940delCCCTG", "c.4582-2_4582-1delAG"]
+    assert one(TX.clean_notations, "p.(Arg12Ter).") == ["p.Arg12Ter"] and one(TX.clean_notations, "nothing") == []
+    for short, long in (("c.100delAG", "c.100_101delAG"), ("c.100+1delAG", "c.100+1_100+2delAG"), ("c.4582-2delAG", "c.4582-2_4582-1delAG"), ("c.100-1delAG", "c.100-1delAG"), ("c.76A>T", "c.76A>T")):
+        assert one(TX.expand_single_deletion, short) == long
+    assert one(TX.markup_units, "<p>One <b>two</b></p><tr><td>aa</td><td>bb</td></tr><p>One two</p><p>x</p>") == ["One two", "aa | bb |"]
     assert one(lambda c: TX.windows(c, "b+", 2), "aabbccbdd") == ["aabbcc", "ccbdd"]
     assert one(lambda c: TX.nearest_before(c, "[A-Z]{3,}", F.lit(12), 12, "^PVS"), "SET1 PVS1 foo c.5A>T") == "SET"
-    for v in (0.91, 1e-5, 100000.0, 0.1234567, 123456.0, 0.0, 2.5):
-        got = spark.createDataFrame([(v,)], "v double").select(TX.general(F.col("v"))).first()[0]
-        assert float(got) == float(f"{v:g}") and (v < 1e-4 or got == f"{v:g}")
+    values = (0.91, 1e-5, 100000.0, 0.1234567, 123456.0, 0.0, 2.5, 1e6, 999999.7, 1.5e-7, 0.00012345678, -3.25, 1e22, 120.0)
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", TX.general(F.col("v")).alias("g")).collect()
+    assert {r["i"]: r["g"] for r in got} == {i: f"{v:g}" for i, v in enumerate(values)}
+    words = "see SCN8A c.5C>T; SETD 1A (PVS1) c.10A>G"
+    places = one(lambda c: TX.matches_at(c, TX.CODING), words)
+    assert [(p["at"], p["text"]) for p in places] == [(words.index("c.5"), "c.5C>T"), (words.index("c.10"), "c.10A>G")]
+    assert [one(lambda c, p=p: TX.owned_by(c, F.lit(p["at"]), ["SETD1A"]), words) for p in places] == [False, True] and one(lambda c: TX.names_gene(c, ["setd1a"]), words)
     pointer = spark.createDataFrame([('{"a/b": [{"x": 5}]}',)], "j string").select(EV.json_pointer(F.col("j"), "/a~1b/0/x")).first()[0]
     assert pointer == "5"
+    odd = spark.createDataFrame([('{"it\'s": {"0": "x"}, "a": [1, [2]]}',)], "j string").select(EV.json_pointer(F.col("j"), "/it's/0"), EV.json_pointer(F.col("j"), "/a/1/0"), EV.json_pointer(F.col("j"), "/a/9"), EV.json_pointer(F.col("j"), "/b/0")).first()
+    assert list(odd) == ["x", "2", None, None]
 
 
 def test_literature(spark):

@@ -58,11 +58,11 @@ def test_archive_units(spark):
     with zipfile.ZipFile(doc, "w") as z:
         z.writestr("word/document.xml", "<d><p><t>Hello</t></p><p/></d>")
     with zipfile.ZipFile(out, "w") as z:
-        for name, data in (("a.xlsx", book.getvalue()), ("b.docx", doc.getvalue()), ("c.csv", "x;y\n1;2\n"), ("d.xlsx", b"broken"), ("e.bin", b"?")):
+        for name, data in (("a.xlsx", book.getvalue()), ("b.docx", doc.getvalue()), ("c.csv", "x,y\n1,2\n"), ("d.xlsx", b"broken"), ("e.bin", b"?")):
             z.writestr(name, data)
     df = spark.createDataFrame([("z", out.getvalue()), ("bad", b"no archive")], "id string, content binary")
     rows = {(r["id"], r["file"], r["where"]): (r["text"], r["error"]) for r in archive.archive_units(df, "id", "content").collect()}
-    assert rows["z", "a.xlsx", "sheet1!2"][0] == "c.76A>T\t7" and rows["z", "b.docx", "p1"][0] == "Hello" and rows["z", "c.csv", "row2"][0] == "1\t2"
+    assert rows["z", "a.xlsx", "sheet=sheet1;row=2"][0] == "c.76A>T | 7" and rows["z", "b.docx", "block=1"][0] == "Hello" and rows["z", "c.csv", "row=2"][0] == "1 | 2"
     assert rows["z", "d.xlsx", ""][1] and rows["bad", "", ""][1] and len(rows) == 6
 
 
@@ -72,9 +72,9 @@ def test_records(spark):
     calls = spark.createDataFrame([((2, 10, []), (1, 10, ["AC0"])), ((2, 10, ["x"]), None)], "e struct<ac: bigint, an: bigint, filters: array<string>>, g struct<ac: bigint, an: bigint, filters: array<string>>")
     assert [r[0] for r in calls.select(records.joint_frequency(F.col("e"), F.col("g"))).collect()] == [0.2, None]
     effect = "e struct<consequence_terms: array<string>, lof_info: string, alphamissense: double, DS_AG: double, DS_AL: double, DS_DG: double, DS_DL: double>"
-    rows = [((["missense_variant"], None, 0.7, 0.1, 0.2, 0.3, 0.0),), ((["stop_gained"], "NMD_RULE:PASS", None, 0.1, None, 0.3, 0.0),)]
+    rows = [((["missense_variant"], None, 0.7, 0.1, 0.2, 0.3, 0.0),), ((["stop_gained"], "PERCENTILE:1,50_BP_RULE:PASS", None, 0.1, None, 0.3, 0.0),)]
     a, b = records.annotation(spark.createDataFrame(rows, effect), "e", F.lit("s")).collect()
-    assert (a["nmd"]["status"], a["splice_delta"]["value"], a["alphamissense"]["value"]) == ("not_available", 0.3, 0.7)
+    assert (a["nmd"]["status"], a["splice_delta"]["value"], a["alphamissense"]["value"]) == ("not_applicable", 0.3, 0.7)
     assert (b["nmd"]["value"], b["splice_delta"]["status"], b["alphamissense"]["status"]) == ("triggers", "not_available", "not_applicable")
     m = spark.createDataFrame([("3", None, None), ("0", "0.01", "2"), ("0", "n/a", "2")], "h string, p string, o string")
     assert [r["mechanism"] for r in records.mechanism_rule(m, "h", "p", "o").collect()] == ["loss_of_function", "loss_of_function", "unknown"]
