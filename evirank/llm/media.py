@@ -1,8 +1,8 @@
 """ISO base-media columns: write samples into a container, walk its boxes, decode the sample tables.
 
 A payload is kept losslessly as unsigned 8-bit PCM in one track. Reading never decodes samples: the walker
-follows box headers, decodes stts, stsc, stsz, stco or co64 and stss, and derives codec, duration and the byte range of each
-key sample's chunk; stored bytes are only sliced out by those ranges.
+follows box headers, decodes stts, stsc, stsz, stco or co64 and stss of each track by itself, and the runs of its fragments, and derives codec, duration
+and the byte range of each key sample; stored bytes are only sliced out by the chunks' ranges. All samples of a track without a table of key samples are keys.
 
 Defined results: null text counts as empty; an empty payload is one block of 64 zero bytes; equal texts give equal
 rows; a null or damaged container gives a row whose error says why and whose other columns are null; extra columns
@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -88,11 +89,85 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: str = "") ->
         raise ValueError(f"{end - start} stray bytes at {start}")
 
 
-def probe(data: bytes) -> dict:
-    """Codec, duration and sample layout of the first track with a sample description."""
-    found: dict[str, tuple[int, int]] = {}
+def _tracks(data: bytes) -> tuple[list[dict], list[dict], dict]:
+    """Boxes of each trak and of each traf by name, and the places of trex defaults by track."""
+    tracks: list[dict] = []
+    parts: list[dict] = []
+    defaults: dict[int, tuple[int, int]] = {}
+    moof = 0
     for path, a, b in walk(data):
-        found.setdefault(path.rpartition("/")[2], (a, b))
+        kind = path.rpartition("/")[2]
+        if kind == "moof":
+            moof = a - 8 if struct.unpack_from(">I", data, a - 8)[0] != 1 else a - 16
+        elif kind == "trak":
+            tracks.append({})
+        elif kind == "traf":
+            parts.append({"moof": moof, "runs": []})
+        elif kind == "trex":
+            track, _, duration, size, flags = struct.unpack_from(">5I", data, a + 4)
+            defaults[track] = (duration, size, flags)
+        elif "/traf/" in path:
+            if kind == "trun":
+                parts[-1]["runs"].append((a, b))
+            else:
+                parts[-1].setdefault(kind, (a, b))
+        elif "/trak/" in path:
+            tracks[-1].setdefault(kind, (a, b))
+    return tracks, parts, defaults
+
+
+def _fragments(data: bytes, parts: list[dict], defaults: dict, track: int) -> tuple[list[tuple], list[tuple], int]:
+    """Chunks (offset, samples, bytes), key samples (offset, bytes) and ticks of a track's fragments."""
+    chunks, keys, ticks = [], [], 0
+    for part in parts:
+        a, _ = part["tfhd"]
+        flags, own = struct.unpack_from(">II", data, a)
+        flags &= 0xFFFFFF
+        if own != track:
+            continue
+        at = a + 8
+        base = part["moof"]
+        if flags & 1:
+            (base,) = struct.unpack_from(">Q", data, at)
+            at += 8
+        at += 4 if flags & 2 else 0
+        found = list(defaults.get(track, (0, 0, 0)))
+        for i, bit in enumerate((8, 16, 32)):
+            if flags & bit:
+                (found[i],) = struct.unpack_from(">I", data, at)
+                at += 4
+        place = base
+        for a, b in part["runs"]:
+            flags, n = struct.unpack_from(">II", data, a)
+            flags &= 0xFFFFFF
+            at, first = a + 8, None
+            if flags & 1:
+                place = base + struct.unpack_from(">i", data, at)[0]
+                at += 4
+            if flags & 4:
+                (first,) = struct.unpack_from(">I", data, at)
+                at += 4
+            fields = [bit for bit in (0x100, 0x200, 0x400, 0x800) if flags & bit]
+            if at + 4 * n * len(fields) > b:
+                raise ValueError("trun is cut short")
+            start = place
+            for i in range(n):
+                row = dict(zip(fields, struct.unpack_from(f">{len(fields)}I", data, at), strict=True))
+                at += 4 * len(fields)
+                size = row.get(0x200, found[1])
+                ticks += row.get(0x100, found[0])
+                said = row.get(0x400, first if i == 0 and first is not None else found[2])
+                if not said & 0x10000:  # not a difference sample
+                    keys.append((place, size))
+                place += size
+            if place > len(data):
+                raise ValueError("a run lies outside the file")
+            chunks.append((start, n, place - start))
+    return chunks, keys, ticks
+
+
+def probe_track(data: bytes, found: dict, parts: list[dict] = (), defaults: dict | None = None) -> dict:
+    """Codec, duration and sample layout of one track."""
     missing = [k for k in ("mdhd", "stsd", "stts", "stsc", "stsz") if k not in found]
     if missing:
         raise ValueError("no " + ", ".join(missing))
@@ -113,22 +188,59 @@ def probe(data: bytes) -> dict:
     a, _ = found["stsz"]
     each, n = struct.unpack_from(">II", data, a + 4)
     sizes = None if each else [x for (x,) in words("stsz", 8, 1)]
-    places = [x for (x,) in (words("co64", 4, 1, "Q") if "co64" in found else words("stco", 4, 1))]
+    places = [x for (x,) in (words("co64", 4, 1, "Q") if "co64" in found else words("stco", 4, 1) if "stco" in found else [])]
     per = words("stsc", 4, 3)
-    chunks, sample = [], 0  # (offset, first sample, samples, bytes)
+    key = {x - 1 for (x,) in words("stss", 4, 1)} if "stss" in found else None
+    ordered = sorted(key or ())
+    chunks, keys, sample = [], [], 0  # (offset, first sample, samples, bytes), (offset, bytes)
     for i, (first, count, _) in enumerate(per):
         last = per[i + 1][0] if i + 1 < len(per) else len(places) + 1
         for c in range(first, last):
+            own = range(sample, sample + count)
             size = count * each if each else sum(sizes[sample : sample + count])
             if places[c - 1] + size > len(data):
                 raise ValueError(f"chunk {c} lies outside the file")
             chunks.append((places[c - 1], sample, count, size))
+            if key is None and each:
+                keys += [(places[c - 1] + each * k, each) for k in range(count)]
+            elif each:
+                low, high = bisect_left(ordered, sample), bisect_left(ordered, sample + count)
+                keys += [(places[c - 1] + each * (k - sample), each) for k in ordered[low:high]]
+            else:
+                at = places[c - 1]
+                for k in own:
+                    if key is None or k in key:
+                        keys.append((at, sizes[k]))
+                    at += sizes[k]
             sample += count
     if sample != n or sum(k for k, _ in runs) != n:
         raise ValueError("the sample tables disagree")
-    sync = {x - 1 for (x,) in words("stss", 4, 1)} if "stss" in found else None
-    keys = [(at, size) for at, first, count, size in chunks if sync is None or first in sync]
-    return {"codec": codec, "timescale": timescale, "duration": length, "ticks": sum(k * d for k, d in runs), "samples": n, "chunks": chunks, "keys": keys}
+    ticks = sum(k * d for k, d in runs)
+    if parts and "tkhd" in found:
+        a, _ = found["tkhd"]
+        track = struct.unpack_from(">I", data, a + (20 if data[a] == 1 else 12))[0]
+        more, more_keys, more_ticks = _fragments(data, parts, defaults or {}, track)
+        for place, count, size in more:
+            chunks.append((place, sample, count, size))
+            sample += count
+        keys, ticks = keys + more_keys, ticks + more_ticks
+        length = length or ticks
+    return {"codec": codec, "timescale": timescale, "duration": length, "ticks": ticks, "samples": sample, "chunks": chunks, "keys": keys}
+
+
+def probe_all(data: bytes) -> list[dict]:
+    """Every track by itself, in the order of the file."""
+    tracks, parts, defaults = _tracks(data)
+    return [probe_track(data, t, parts, defaults) for t in tracks]
+
+
+def probe(data: bytes) -> dict:
+    """The first track with a sample description."""
+    tracks, parts, defaults = _tracks(data)
+    described = [t for t in tracks if "stsd" in t] or tracks
+    if not described:
+        raise ValueError("no track")
+    return probe_track(data, described[0], parts, defaults)
 
 
 def stored(data: bytes, found: dict) -> bytes:

@@ -41,6 +41,8 @@ _ASIDE = frozenset(
     "recommendations widget widgets pagination pager search toolbar masthead copyright disclaimer".split()
 )
 _HEADER = frozenset(("header", "topbar"))
+#: Parts of names that say nothing about what an element holds. Fixed values.
+_PLAIN = frozenset("box block container wrapper wrap inner outer area section unit slot bar list item top bottom left right main js is has widget content text form button buttons".split())
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _ARTICLE = re.compile(r"<(?:article|main)[\s>]|role\s*=\s*[\"']?main\b|itemprop\s*=\s*[\"']?articleBody", re.IGNORECASE)
 
@@ -53,8 +55,10 @@ def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     if _HIDDEN.search(attributes) or _ROLES.search(attributes):
         return True
     for groups in _NAMES.findall(attributes):
-        parts = {p.lower() for p in _PART.findall(" ".join(groups))}
-        if parts & _ASIDE or (not inside and parts & _HEADER):
+        if inside:  # there a name counts only if all of it says so: "ad-box" may be an advert, "related-work" is a section
+            if any((own := {p.lower() for p in _PART.findall(token)}) and own <= _ASIDE | _PLAIN and own & _ASIDE for token in " ".join(groups).split()):
+                return True
+        elif {p.lower() for p in _PART.findall(" ".join(groups))} & (_ASIDE | _HEADER):
             return True
     return False
 

@@ -153,12 +153,44 @@ def test_media(spark, docs):
     assert out[0]["feature"] == out[1]["feature"]
     made = media.mux_column(frame(spark, docs), "doc_id", "text")
     rows = {r["id"]: r for r in media.probe_column(made, "id", "media").collect()}
-    assert rows[11]["codec"] == "raw " and rows[11]["samples"] == 5056 and [k["bytes"] for k in rows[11]["keyframes"]] == [4096, 960] and rows[11]["seconds"] == 5056 / 8000
+    assert rows[11]["codec"] == "raw " and rows[11]["samples"] == 5056 and [(k["bytes"], k["offset"] - rows[11]["keyframes"][0]["offset"]) for k in rows[11]["keyframes"]] == [(1, 0), (1, 4096)] and rows[11]["seconds"] == 5056 / 8000
     bad = spark.createDataFrame([(1, None), (2, bytearray(b"\0\0\0\x09moov")), (3, bytearray(media.mux(bytes(64))[:-10]))], "id bigint, media binary")
     assert all(r["error"] and r["codec"] is None for r in media.probe_column(bad, "id", "media").collect())
     assert media.digests(frame(spark, docs).limit(0)).count() == 0
 
 
+def test_media_of_other_writers():
+    """Two tracks, chunks of several samples, 64-bit places, key samples inside chunks, and fragments."""
+    u, box, full = (lambda *v: b"".join(x.to_bytes(4, "big") for x in v)), media.box, media.full
+
+    def track(number, codec, sizes, per_chunk, places, keys, wide):
+        stsz = u(0, len(sizes), *sizes)
+        table = full(b"co64", u(len(places)), *(x.to_bytes(8, "big") for x in places)) if wide else full(b"stco", u(len(places), *places))
+        stbl = [full(b"stsd", u(1), box(codec, bytes(8))), full(b"stts", u(1, len(sizes), 10)), full(b"stsc", u(1, 1, per_chunk, 1) if sizes else u(0)), full(b"stsz", stsz), table]
+        if keys is not None:
+            stbl.append(full(b"stss", u(len(keys), *keys)))
+        mdia = box(b"mdia", full(b"mdhd", u(0, 0, 1000, 10 * len(sizes), 0)), box(b"minf", box(b"stbl", *stbl)))
+        return box(b"trak", full(b"tkhd", u(0, 0, number, 0, 0)), mdia)
+
+    a, b, c = [5, 6, 7, 8], [3, 3], [4, 9, 2]
+    body = bytes(range(200))
+
+    def build(at, frag_at):
+        moov = box(b"moov", track(1, b"avc1", a, 2, [at, at + 30], [1, 4], True), track(2, b"mp4a", b, 2, [at + 60], None, False), track(3, b"hvc1", [], 0, [], None, False), box(b"mvex", full(b"trex", u(3, 1, 20, 0, 0x10000))))
+        trun = full(b"trun", u(len(c)), (frag_at).to_bytes(4, "big", signed=True), u(0), u(*c), flags=0x205)
+        return moov, box(b"moof", full(b"mfhd", u(1)), box(b"traf", full(b"tfhd", u(3)), trun))
+
+    moov, moof = build(0, 0)
+    start = len(moov) + len(moof) + 8
+    moov, moof = build(start, len(moof) + 8 + 80)
+    data = moov + moof + box(b"mdat", body)
+    one, two, three = media.probe_all(data)
+    assert (one["codec"], one["keys"], one["duration"]) == ("avc1", [(start, 5), (start + 37, 8)], 40) and media.stored(data, one) == body[:11] + body[30:45]
+    assert two["keys"] == [(start + 60, 3), (start + 63, 3)] and two["samples"] == 2
+    assert (three["codec"], three["samples"], three["keys"], three["duration"]) == ("hvc1", 3, [(start + 80, 4)], 60) and media.stored(data, three) == body[80:95]
+    assert media.probe(data)["codec"] == "avc1"
+
+
 def test_pii_base_spans(spark, docs):
     rng = random.Random(3)
     parts = ["a", "b.", "@", "x@y.z", ".", "1", "23", "255.", "256", "10.0.0.1", "4111 1111 1111 1111", " ", "-", "+1", "(", "é", "🎉", "\n", "+49 30 123456", "5500-0000-0000-0004", "%", "com", "00"]
@@ -266,6 +298,11 @@ def test_pages_with_marks_that_are_not_the_article(extra):
     assert pages.extract(page) == "\n".join(f"Paragraph {i} of the article stands in a plain division and is long enough." for i in range(5))
 
 
+def test_pages_keep_sections_of_the_article():
+    page = '<body><nav><a>x</a></nav><article><h1>T</h1><p class="search-method">How we searched.</p><div id="related-work"><p>What others did.</p></div><div class="ad-box">Buy</div><div class="cookie-notice">Eat</div><p>End.</p></article></body>'
+    assert pages.extract(page) == "T\nHow we searched.\nWhat others did.\nEnd."
+
+
 def hub(rng):
     """A text, many copies that each link to it but hardly to one another, and texts that share a passage only."""
     words = [f"w{i}" for i in range(2000)]
@@ -430,6 +467,17 @@ def test_packing(spark, docs):
         assert fill.max() <= 30 and fill.sum() == lengths.sum() and packing.lower_bound(lengths, 30) <= len(fill) and offsets.min() == 0
 
 
+def test_one_of_each_group(spark):
+    import corpus_pipeline
+
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(7, a), (3, a + " more"), (3, b), (9, b), (9, b), (None, " ".join(f"c{i}" for i in range(9))), (4, None), (4, ""), (5, "x y"), (5, "x y")]
+    df = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id bigint, text string, text_key string, stays_id int")
+    out = corpus_pipeline.one_of_each_group(spark, df, "")
+    assert out.columns == df.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str) == sorted([rows[1], rows[2], rows[5], (4, None), (4, ""), (5, "x y")], key=str)
+
+
 def test_registered_queries():
     import __spark_entry__ as entry
 
