@@ -65,7 +65,7 @@ STAGES = [
     ("packing", packed),
 ]
 
-#: The classifier, the shingle sets of whole tables and the tokenizer are beyond SQL; tests hold each stage against brute force.
+#: The classifier, the disclosure counts and the tokenizer are beyond SQL; tests hold the stages' operators against plain versions.
 ORACLE_SQL = None
 
 
