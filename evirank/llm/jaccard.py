@@ -10,7 +10,7 @@ sketch of all counts tells; it decides cost, never results. Rows of a key are a
 members (the least node and the one with most shared keys), which settles most groups of copies. Each bucket that still
 spans several components is a count-vector R-tree, loaded by size band; a tree is joined with itself from the root down, and a pair of boxes is left out
 when sizes or summed coordinate minima rule out a link, or when all its members are in one component. Leaves are swept pair by pair. Every pair
-across components that the bounds leave is verified. Large buckets first give a share of their pairs, which joins most of their
+across components that the bounds leave is verified. Buckets of more than SHARE rows first give a share of their pairs, which joins most of their
 components, then all that are left; pairs within a component are never emitted. Buckets over BLOCK_ROWS are trees of blocks and of pairs of blocks.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than the shingle width are
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from evirank.llm.common import components, distinct_texts, extended, few, joined, repeated_texts, written
 
-WIDTH, PERCENT, BLOCK_ROWS, FANOUT, SHARE, TREE_WIDTH = 5, 75, 2_000, 8, 256, 64
+WIDTH, PERCENT, BLOCK_ROWS, FANOUT, SHARE, TREE_WIDTH = 5, 75, 2_000, 8, 4, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -226,7 +226,7 @@ def tree_pairs(rows: dict[str, np.ndarray], cells: list[bytes], share: bool, per
     """Pairs (least node first) across components that the trees of many buckets leave; rows are sorted by (bucket, n, node).
 
     rows: bucket, node, n, at, component, m (the bucket's size) and own and cross, which say that only pairs across sides count. share: of a
-    bucket of more than SHARE members only some pairs, by a hash of both, about 16 for each member.
+    bucket of more than SHARE members only some pairs, by a hash of both, about SHARE for each two members.
     """
     node, n, at, component, m, own, cross = (rows[c] for c in ("node", "n", "at", "component", "m", "own", "cross"))
     forest = CountForest(rows["bucket"], n, component, matrix_of(cells))
@@ -234,8 +234,8 @@ def tree_pairs(rows: dict[str, np.ndarray], cells: list[bytes], share: bool, per
     for a, b in forest.pairs(percent):
         ok = (component[a] != component[b]) & (node[a] != node[b]) & (~cross[a] | (own[a] != own[b])) & _may_link(n, at, a, b, percent)
         if share:
-            step = np.maximum(1, -(-m[a] // 16))
-            ok &= (m[a] <= SHARE) | (_mix(node[a].view(np.uint64) ^ _mix(node[b].view(np.uint64))) % step.astype(np.uint64) == 0)
+            step = np.maximum(1, -(-m[a] // SHARE))
+            ok &= (_mix(node[a].view(np.uint64) ^ _mix(node[b].view(np.uint64))) % step.astype(np.uint64) == 0)
         x, y = node[a[ok]], node[b[ok]]
         if len(x):
             found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
@@ -466,8 +466,8 @@ def link_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     links = linked(bounded(star_pairs(rows, percent), of_node, percent))
     labels = written(components(links), "jaccard-labels") if links is not None else rows.sparkSession.createDataFrame([], "id bigint, component bigint")
-    for share in (True, False):  # an eighth of the open buckets settles most of what is left, then all that are still open
-        some = rows.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0) if share else rows
+    for part, share in ((8, True), (1, True), (1, False)):  # a share of the pairs of an eighth of the buckets, of all, then all that are left
+        some = rows.where(F.pmod(F.xxhash64("key"), F.lit(part)) == 0)
         links = linked(tree_candidates(open_rows(some, labels), of_node, share, percent))
         if links is not None and not links.isEmpty():
             labels = written(extended(labels, links), "jaccard-labels")

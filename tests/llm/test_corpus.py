@@ -323,7 +323,7 @@ def hub(rng):
 @pytest.mark.parametrize("small", [False, True])
 def test_jaccard(spark, docs, monkeypatch, small):
     if small:
-        monkeypatch.setattr(jaccard, "SHARE", 6)
+        monkeypatch.setattr(jaccard, "SHARE", 2)
         monkeypatch.setattr(jaccard, "BLOCK_ROWS", 24)
         monkeypatch.setattr(common, "HOT", 3)
     texts = [t for _, t, *_ in docs] + hub(random.Random(8))
@@ -380,7 +380,7 @@ def test_jaccard_trees_are_entered_on_the_tables(spark, monkeypatch):
     documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     jaccard.link_components(documents).count()
     print(seen)
-    assert len(seen) == 2 and seen[-1][1] > 0 and max(m for m, _ in seen) > jaccard.FANOUT
+    assert len(seen) == 3 and seen[0][1] > 0 and max(m for m, _ in seen) > jaccard.FANOUT
 
 
 def test_substrings(spark, docs, monkeypatch):
