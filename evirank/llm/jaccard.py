@@ -7,8 +7,8 @@ The overlap of two sets is at most the sum of the coordinate minima of their poi
 The index is spread over the cluster by prefix keys: with any one order of all shingles, two sets that link share a shingle
 among the first n - ceil(t n) + 1 of each. The order puts shingles that are frequent in the corpus last, the more frequent the later, as a
 sketch of all counts tells; it decides cost, never results. Rows of a key are a bucket. First every member of a bucket is tried against two of its
-members (the least node and the one with most shared keys), which settles most groups of copies. Each bucket that still
-spans several components is a count-vector R-tree, loaded by size band; a tree is joined with itself from the root down, and a pair of boxes is left out
+members (the least node and the one with most shared keys), which settles most groups of copies, and all pairs of least members. Each bucket whose other
+members still span several components is a count-vector R-tree of these, loaded by size band; a tree is joined with itself from the root down, and a pair of boxes is left out
 when sizes or summed coordinate minima rule out a link, or when all its members are in one component. Leaves are swept pair by pair. Every pair
 across components that the bounds leave is verified. Buckets of more than SHARE rows first give a share of their pairs, which joins most of their
 components, then all that are left; pairs within a component are never emitted. Buckets over BLOCK_ROWS are trees of blocks and of pairs of blocks.
@@ -430,17 +430,29 @@ def _unpacked(size_at: str) -> tuple[Column, Column]:
     return F.shiftright(size_at, 31), F.col(size_at).bitwiseAND(F.lit((1 << 31) - 1))
 
 
-def star_pairs(rows: DataFrame, percent: int) -> DataFrame:
+def picked(members: DataFrame, order: Column, label: str) -> DataFrame:
+    """(key, m, p, p_size_at) in storage: the first member p of each bucket of m > 1 rows."""
+    # primitive buffers, so that counts and picks are combined by hash before the shuffle
+    first = members.groupBy("key").agg(F.count("*").alias("m"), F.min_by("node", order).alias("p"), F.min_by("size_at", order).alias("p_size_at"))
+    return written(first.where("m > 1"), label)
+
+
+def without_least(rows: DataFrame, least: DataFrame) -> DataFrame:
+    """Rows but for the least member of each bucket. A pair that links stands at its first common key; if one of it is least there, the star
+    step has tried it, so only the other members' pairs are left, and buckets of two have none."""
+    return joined(rows, least.where("m > 2").select("key", "m", "p"), ["key"], "m").where("node <> p").select("key", "node", "size_at")
+
+
+def star_pairs(rows: DataFrame, least: DataFrame, percent: int) -> DataFrame:
     """Pairs of each member of a bucket with its least member, and in an eighth of the buckets with the member of most shared keys."""
 
-    def against(members: DataFrame, order, label: str) -> DataFrame:
-        # primitive buffers, so that counts and picks are combined by hash before the shuffle
-        picked = members.groupBy("key").agg(F.count("*").alias("m"), F.min_by("node", order).alias("p"), F.min_by("size_at", order).alias("p_size_at")).where("m > 1")
-        return joined(members.select("key", "node", "size_at"), written(picked, label), ["key"], "m").where("node <> p").select("node", "size_at", "p", "p_size_at")
+    def against(members: DataFrame, first: DataFrame) -> DataFrame:
+        return joined(members.select("key", "node", "size_at"), first, ["key"], "m").where("node <> p").select("node", "size_at", "p", "p_size_at")
 
     some = rows.where(F.pmod(F.xxhash64("key"), F.lit(8)) == 0)
     some = some.join(some.groupBy("node").agg(F.count("*").alias("w")), "node")
-    near = against(rows, F.col("node"), "jaccard-least").unionAll(against(some, -F.col("w") * F.lit(1 << 32) - F.col("node").bitwiseAND(F.lit((1 << 32) - 1)), "jaccard-most"))
+    most = picked(some, -F.col("w") * F.lit(1 << 32) - F.col("node").bitwiseAND(F.lit((1 << 32) - 1)), "jaccard-most")
+    near = against(rows, least).unionAll(against(some, most))
     (n, at), (p_n, p_at) = _unpacked("size_at"), _unpacked("p_size_at")
     near = near.select("node", "p", n.alias("n"), at.alias("at"), p_n.alias("p_n"), p_at.alias("p_at"))
     need = F.expr(f"({percent} * (n + p_n) + {99 + percent}) div {100 + percent}")  # rounded up in whole numbers
@@ -464,8 +476,10 @@ def link_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
         candidates = written(candidates, "jaccard-candidates")
         return None if candidates.isEmpty() else written(verified(candidates, node_sets(texts, of_node, ends(candidates), width), percent), "jaccard-links")
 
-    links = linked(bounded(star_pairs(rows, percent), of_node, percent))
+    least = picked(rows, F.col("node"), "jaccard-least")
+    links = linked(bounded(star_pairs(rows, least, percent), of_node, percent))
     labels = written(components(links), "jaccard-labels") if links is not None else rows.sparkSession.createDataFrame([], "id bigint, component bigint")
+    rows = written(without_least(rows, least), "jaccard-left")
     for part, share in ((8, True), (1, True), (1, False)):  # a share of the pairs of an eighth of the buckets, of all, then all that are left
         some = rows.where(F.pmod(F.xxhash64("key"), F.lit(part)) == 0)
         links = linked(tree_candidates(open_rows(some, labels), of_node, share, percent))
