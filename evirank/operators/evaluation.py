@@ -9,6 +9,7 @@ from evirank.functions.text import SUBSTITUTION
 from evirank.operators import metrics as ME
 from evirank.operators.ranking import ordinal
 from evirank.schema import CONCORDANCE
+from evirank.storage import stored
 
 
 def measured_scores(rows: DataFrame) -> DataFrame:
@@ -54,21 +55,22 @@ def class_counts(scored: DataFrame) -> DataFrame:
 
 
 def agreement(scored: DataFrame, orders: dict = ORDERS, ks: tuple[int, ...] = (10, 25, 50)) -> DataFrame:
-    """(order, measure, value): rank agreement with the scores (low scores mean loss), distinct keys, area, precision and recall at k."""
-    out = None
-    for name, key in orders.items():
-        keyed = scored.withColumn("key", key())
-        labelled = keyed.where("label is not null")
-        hits = ME.expected_hits(labelled, "key", "label", ks)
-        at = F.col("k").cast("string")
-        parts = [
-            ME.spearman(keyed, "key", "score").select(F.lit("spearman_agreement").alias("measure"), (-F.col("spearman")).alias("value")),
-            keyed.agg(F.count_distinct("key").cast("double").alias("value")).select(F.lit("distinct_keys").alias("measure"), "value"),
-            ME.auroc(labelled, "key", "label").select(F.lit("auroc").alias("measure"), F.col("auroc").alias("value")),
-            hits.select(F.concat(F.lit("precision@"), at).alias("measure"), F.col("precision_at_k").alias("value")),
-            hits.select(F.concat(F.lit("recall@"), at).alias("measure"), F.col("recall_at_k").alias("value")),
-        ]
-        for p in parts:
-            row = p.select(F.lit(name).alias("order"), "measure", "value")
-            out = row if out is None else out.unionAll(row)
+    """(order, measure, value): rank agreement with the scores (low scores mean loss), distinct keys, area, precision and recall at k.
+
+    Every row is dealt to all orders at once, and each measure is computed for all of them together.
+    """
+    each = F.array(*(F.struct(F.lit(name).alias("order"), key().alias("key")) for name, key in orders.items()))
+    keyed = stored(scored.select("score", "label", F.inline(each)), "orders")
+    labelled, by = keyed.where("label is not null"), ("order",)
+    at, row = F.col("k").cast("string"), lambda m, v: F.struct(m.alias("measure"), v.cast("double").alias("value"))
+    hits = ME.expected_hits(labelled, "key", "label", ks, by).select("order", F.inline(F.array(row(F.concat(F.lit("precision@"), at), F.col("precision_at_k")), row(F.concat(F.lit("recall@"), at), F.col("recall_at_k")))))
+    parts = [
+        ME.spearman(keyed, "key", "score", by).select("order", F.lit("spearman_agreement").alias("measure"), (-F.col("spearman")).alias("value")),
+        keyed.groupBy("order").agg(F.count_distinct("key").cast("double").alias("value")).select("order", F.lit("distinct_keys").alias("measure"), "value"),
+        ME.auroc(labelled, "key", "label", by).select("order", F.lit("auroc").alias("measure"), F.col("auroc").alias("value")),
+        hits,
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evirank.operators.scan import looked_up, ranged, scanned, sums_before
+from evirank.storage import stored
+
 
 def first_match(rules: list[tuple[Column, object]], default) -> Column:
     """Ordered rules: the value of the first condition that holds."""
@@ -33,8 +36,9 @@ def sort_keys(names: list[str], nullable: tuple[str, ...] = ()) -> list[Column]:
 def rank(df: DataFrame, partition: list[str], keys: list[str], within: list[Column], nullable: tuple[str, ...] = ()) -> DataFrame:
     """Adds tier_rank, display_index, tie_group_size and tie_group_id.
 
-    Tiers are dense over the keys; rows of a tier are tied, and `within` only settles the order of display. Tiers come from one row for each
-    distinct tuple of keys, and rows are only ever sorted within their tie group, so a partition's rows never meet in one task.
+    Tiers are dense over the keys; rows of a tier are tied, and `within`, which must tell all rows of a tier apart, only settles the order of display. Tiers come
+    from one row for each distinct tuple of keys, and places in a tie group from ranges of `within`, so neither a partition's keys nor a tier's rows meet in
+    one task.
     """
     own = {}
     for i, k in enumerate(keys):
@@ -43,13 +47,12 @@ def rank(df: DataFrame, partition: list[str], keys: list[str], within: list[Colu
         own[f"__key{i}"] = F.coalesce(F.col(k), F.lit(0))
     parts = {f"__part{i}": F.col(c) for i, c in enumerate(partition)}
     named = df.withColumns(own | parts)
-    order = Window.partitionBy(*parts).orderBy(*(F.col(c).desc() for c in own))
     tiers = named.groupBy(*parts, *own).agg(F.count("*").alias("tie_group_size"))
-    tiers = tiers.withColumn("tier_rank", F.dense_rank().over(order).cast("bigint")).withColumn("__before", F.coalesce(F.sum("tie_group_size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    on = [named[c].eqNullSafe(tiers[c]) for c in (*parts, *own)]
-    ranked = named.join(tiers, on).select(*(named[c] for c in df.columns), "tier_rank", "tie_group_size", "__before")
-    display = Window.partitionBy(*partition, "tier_rank").orderBy(*within)
-    ranked = ranked.withColumn("display_index", (F.col("__before") + F.row_number().over(display)).cast("bigint")).drop("__before")
+    before = scanned(tiers, list(parts), [F.col(c).desc() for c in own], {"tier_rank": F.lit(1).cast("bigint"), "__before": F.col("tie_group_size")})
+    tiers = stored(before.withColumn("tier_rank", F.col("tier_rank") + 1), "tiers")
+    ranked = looked_up(named, tiers, [*parts, *own], "tie_group_size", ["tier_rank", "tie_group_size", "__before"]).drop(*parts, *own)
+    placed = scanned(ranked, [*partition, "tier_rank"], within, {"__in": F.lit(1).cast("bigint")})
+    ranked = placed.withColumn("display_index", F.col("__before") + F.col("__in") + 1).drop("__before", "__in")
     return ranked.withColumn("tie_group_id", F.concat_ws(":", *partition, F.concat(F.lit("t"), F.col("tier_rank").cast("string"))))
 
 
@@ -70,17 +73,10 @@ def coordinate_order(chrom: str = "chrom") -> list[Column]:
     return [F.when(number.isNull(), 1).otherwise(0).asc(), number.asc(), F.col(chrom).asc()]
 
 
-def numbered(df: DataFrame, order: str, name: str, buckets: int = 64, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Global row numbers from 1 by a numeric column, without sorting all rows in one task.
-
-    Quantiles cut the column into ranges; rows are numbered within their range, and a range's rows start after those of all earlier ones.
-    """
-    cuts = sorted(set(df.approxQuantile(order, [i / buckets for i in range(1, buckets)], 0.01)))
-    place = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts), F.lit(0))
-    dealt = df.withColumn("__bucket", place)
-    counts = dealt.groupBy("__bucket").count().withColumn("__start", F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    own = Window.partitionBy("__bucket").orderBy(F.col(order), *map(F.col, ties))
-    return dealt.join(F.broadcast(counts), "__bucket").withColumn(name, F.col("__start") + F.row_number().over(own)).drop("__bucket", "__start")  # counts has at most `buckets` rows
+def numbered(df: DataFrame, order: str, name: str, ranges: int | None = None, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Global row numbers from 1 by a column and then by `ties`, which together should tell rows apart; equal rows are numbered in any order."""
+    given = ranged(df, [F.col(order).asc(), *(F.col(t).asc() for t in ties)], ranges)
+    return sums_before(given, [], [F.col(order).asc(), *(F.col(t).asc() for t in ties)], {name: F.lit(1).cast("bigint")}).drop("__range").withColumn(name, F.col(name) + 1)
 
 
 def batches(df: DataFrame, order: str, size: int, ties: tuple[str, ...] = ()) -> DataFrame:

@@ -431,12 +431,13 @@ def evaluation_counts(spark, sf_dir):
 @query(f"""WITH {_SCORES}, {_ROWS}, j AS (SELECT *, CASE WHEN score <= 0.045 THEN 1 WHEN score > 0.055 THEN 0 END AS label FROM r JOIN s USING (hgvs_p)),
 k AS (SELECT 'tiers' AS o, CAST(-tier AS DOUBLE) AS key, score, label FROM j UNION ALL SELECT 'predictor_only', coalesce(predicted, -1.0), score, label FROM j UNION ALL SELECT 'domain_only', k_order, score, label FROM j UNION ALL SELECT 'lookup', CASE c WHEN 0 THEN 2 WHEN 1 THEN 0 ELSE 1 END, score, label FROM j),
 a AS (SELECT p.o, avg(CASE WHEN p.key > q.key THEN 1.0 WHEN p.key = q.key THEN 0.5 ELSE 0 END) AS v FROM k p JOIN k q ON p.o = q.o AND p.label = 1 AND q.label = 0 GROUP BY 1),
-n AS (SELECT o, key, score, rank() OVER (PARTITION BY o ORDER BY key) + (count(*) OVER (PARTITION BY o, key) - 1) / 2.0 AS x, rank() OVER (PARTITION BY o ORDER BY score) + (count(*) OVER (PARTITION BY o, score) - 1) / 2.0 AS y FROM k)
-SELECT o AS "order", 'auroc' AS measure, round(v, 6) AS value FROM a UNION ALL SELECT o, 'spearman_agreement', round(-corr(x, y), 6) FROM n GROUP BY o UNION ALL SELECT o, 'distinct_keys', CAST(count(DISTINCT key) AS DOUBLE) FROM k GROUP BY o""")
+n AS (SELECT o, key, score, rank() OVER (PARTITION BY o ORDER BY key) + (count(*) OVER (PARTITION BY o, key) - 1) / 2.0 AS x, rank() OVER (PARTITION BY o ORDER BY score) + (count(*) OVER (PARTITION BY o, score) - 1) / 2.0 AS y FROM k),
+g AS (SELECT o, key, count(*) AS n, sum(label) AS h FROM k WHERE label IS NOT NULL GROUP BY 1, 2), w AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY o ORDER BY key DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g),
+t AS (SELECT o, m, sum(CAST(least(greatest(m - b, 0), n) AS DOUBLE) / n * h) AS hits, sum(h) AS h FROM w, (VALUES (10), (25), (50)) AS v(m) GROUP BY 1, 2 HAVING m <= sum(n))
+SELECT o AS "order", 'precision@' || m AS measure, round(hits / m, 6) AS value FROM t UNION ALL SELECT o, 'recall@' || m, round(hits / greatest(1, h), 6) FROM t UNION ALL SELECT o, 'auroc' AS measure, round(v, 6) AS value FROM a UNION ALL SELECT o, 'spearman_agreement', round(-corr(x, y), 6) FROM n GROUP BY o UNION ALL SELECT o, 'distinct_keys', CAST(count(DISTINCT key) AS DOUBLE) FROM k GROUP BY o""")
 def evaluation_agreement(spark, sf_dir):
     scored = EL.scored_rows(ranked_for_evaluation(spark, sf_dir), measured(spark, sf_dir), 0.045, 0.055)
-    out = EL.agreement(scored)
-    return out.where("measure in ('auroc', 'spearman_agreement', 'distinct_keys')").withColumn("value", F.round("value", 6))
+    return EL.agreement(scored).withColumn("value", F.round("value", 6))
 
 
 # ---- composite -----------------------------------------------------------------------------------------------------

@@ -371,9 +371,33 @@ def expected_hits(spark, sf_dir):
     return out.select("k", *(F.round(c, 6).alias(c) for c in ("hits", "precision_at_k", "recall_at_k")))
 
 
-@query()
+def _poisson_sql(mean: str, parts: str) -> str:
+    """A Poisson count from a uniform number, by the same rule as metrics.poisson."""
+    u = lambda more: f"((('0x' || substr(md5({parts}{more}), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+    z = f"(sqrt(-2 * ln({u(" || ':r'")})) * cos(2 * pi() * {u(" || ':a'")}))"
+    return f"CASE WHEN {mean} <= 0 THEN 0 WHEN {mean} <= 30 THEN (SELECT count(*) FROM cdf WHERE cdf.m = {mean} AND cdf.c <= {u('')}) ELSE CAST(floor(greatest(0, {mean} + {z} * sqrt(CAST({mean} AS DOUBLE)) + ({z} * {z} - 1) / 6 + 0.5)) AS BIGINT) END"
+
+
+@query(f"""WITH RECURSIVE pmf(m, k, p, c) AS (SELECT m, 0, exp(CAST(-m AS DOUBLE)), exp(CAST(-m AS DOUBLE)) FROM range(1, 31) t(m) UNION ALL SELECT m, k + 1, p * (CAST(m AS DOUBLE) / (k + 1)), c + p * (CAST(m AS DOUBLE) / (k + 1)) FROM pmf WHERE k < m + 12 * floor(sqrt(m)) + 18),
+cdf AS (SELECT m, c FROM pmf), g AS (SELECT n_chars // 500 AS key, CAST(sum(quality) AS BIGINT) AS p, CAST(count(*) - sum(quality) AS BIGINT) AS m FROM documents JOIN labels USING (doc_id) GROUP BY 1),
+d AS (SELECT b, key, {_poisson_sql("g.p", "'42:' || b || ':' || key || ':p'")} AS p, {_poisson_sql("g.m", "'42:' || b || ':' || key || ':m'")} AS m FROM g, range(1, 201) r(b)),
+s AS (SELECT b, p, m, coalesce(sum(m) OVER (PARTITION BY b ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lower FROM d),
+a AS (SELECT b, sum(p * (lower + m / 2.0)) / (CAST(sum(p) AS DOUBLE) * sum(m)) AS auroc FROM s GROUP BY b HAVING sum(p) > 0 AND sum(m) > 0), v AS (SELECT list(auroc ORDER BY auroc) AS v, count(*) AS n FROM a)
+SELECT round(v[CAST(floor(n * 0.025) AS BIGINT) + 1], 6) AS low, round(v[greatest(1, CAST(floor(n * 0.975) AS BIGINT))], 6) AS high, n FROM v""")
 def bootstrap_auroc(spark, sf_dir):
-    return ME.bootstrap_auroc(labelled(spark, sf_dir), "doc_id", "n_chars", "quality", 200)
+    keyed = labelled(spark, sf_dir).withColumn("key", F.expr("n_chars div 500"))
+    return ME.bootstrap_auroc(keyed, "key", "quality", 200).select(F.round("low", 6).alias("low"), F.round("high", 6).alias("high"), "n")
+
+
+_SPEND = "SELECT c_custkey, round(c_acctbal / 500) AS x, o.y FROM customer JOIN (SELECT o_custkey, count(*) AS y FROM orders GROUP BY 1) o ON o_custkey = c_custkey"
+
+
+@query(f"""WITH d AS ({_SPEND}), p AS (SELECT sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x = b.x AS tx, a.y = b.y AS ty FROM d a JOIN d b ON a.c_custkey < b.c_custkey)
+SELECT round((count(*) FILTER (WHERE s > 0) - count(*) FILTER (WHERE s < 0)) / sqrt(CAST(count(*) FILTER (WHERE NOT tx) AS DOUBLE) * count(*) FILTER (WHERE NOT ty)), 9) AS tau_b, count(*) FILTER (WHERE s > 0) AS concordant, count(*) FILTER (WHERE s < 0) AS discordant, (SELECT count(*) FROM d) AS n FROM p""")
+def kendall(spark, sf_dir):
+    orders = read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").alias("y"))
+    both = read(spark, sf_dir, "customer").join(orders, "c_custkey").withColumn("x", F.round(F.col("c_acctbal") / 500))
+    return ME.kendall(both, "x", "y").withColumn("tau_b", F.round("tau_b", 9))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_extendedprice, CASE WHEN l_discount <= 0.02 THEN 1 WHEN l_discount > 0.07 THEN 0 END AS label FROM lineitem WHERE l_discount <= 0.02 OR l_discount > 0.07")

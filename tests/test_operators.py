@@ -2,7 +2,9 @@
 
 import hashlib
 import json
+import math
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from evirank.operators import identity as ID
 from evirank.operators import literature as LI
 from evirank.operators import metrics as ME
 from evirank.operators import ranking as RA
+from evirank.operators import scan
 from evirank.policy import DEFAULT_RAW, DEFAULT_TABLE, Policy, PolicyError, default_policy
 from evirank.schema import absent, observed_valid, present
 
@@ -176,14 +179,89 @@ def test_metrics(spark):
     assert ME.auroc(df.where("label = 1"), "key", "label").first()["auroc"] is None
     assert ME.spearman(df.withColumn("c", F.lit(1)), "key", "c").first()["spearman"] is None
     assert ME.spearman(df, "key", "key").first()["spearman"] == pytest.approx(1)
-    low, high = ME.bootstrap_auroc(df, "id", "key", "label", 200).first()
-    assert low <= want <= high
+    low, high, n = ME.bootstrap_auroc(df, "key", "label", 200).first()
+    assert low <= want <= high and n == 200
+    assert (low, high, n) == tuple(ME.bootstrap_auroc(df.repartition(7), "key", "label", 200).first())
+    assert ME.bootstrap_auroc(df.where("label = 1"), "key", "label", 20).first()["n"] == 0
     ties = spark.createDataFrame([(3, 1), (2, 1), (2, 0), (1, 0)], "key int, label int")
     assert ME.expected_hits(ties, "key", "label", (2, 10)).first()["hits"] == pytest.approx(1.5)
     labels = spark.createDataFrame([(0.1,), (0.5,), (0.9,)], "s double").select(ME.three_way_label(F.col("s"), 0.2, 0.8)).collect()
     assert [r[0] for r in labels] == [1, None, 0]
 
 
+def test_ranks_hits_and_correlation_of_groups(spark):
+    rng = random.Random(5)
+    data = [(g, rng.choice([None, *range(6)]), rng.randint(0, 1), rng.random()) for g in ("a", "b", None) for _ in range(80)]
+    df = spark.createDataFrame(data, "g string, key int, label int, y double").repartition(5)
+    key = lambda k: -1 if k is None else k
+    for r in ME.average_rank(df, "key", "at", ("g",)).collect():
+        keys = [key(k) for g, k, _, _ in data if g == r["g"]]
+        assert r["at"] == sum(k < key(r["key"]) for k in keys) + (sum(k == key(r["key"]) for k in keys) + 1) / 2
+    full = df.where("key is not null")
+    alone = {g: ME.spearman(full.where(F.col("g").eqNullSafe(g)), "key", "y").first() for g in ("a", "b", None)}
+    for r in ME.spearman(full, "key", "y", ("g",)).collect():
+        assert (r["spearman"], r["n"]) == (pytest.approx(alone[r["g"]]["spearman"]), alone[r["g"]]["n"])
+    hits = {(r["g"], r["k"]): r["hits"] for r in ME.expected_hits(full, "key", "label", (3, 40), ("g",)).collect()}
+    for r in ME.expected_hits(full.where("g = 'b'"), "key", "label", (3, 40)).collect():
+        assert hits["b", r["k"]] == pytest.approx(r["hits"])
+
+
+def test_windows_hold_ranges(spark):
+    df = spark.range(3000).select((F.col("id") % 1000).alias("key"), (F.col("id") % 7 % 2).alias("label"), (F.col("id") % 31).alias("y"))
+    for made in (ME.average_rank(df, "key", "at"), ME.auroc(df, "key", "label"), ME.expected_hits(df, "key", "label", (10,)), ME.spearman(df, "key", "y"), RA.numbered(df, "key", "n")):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not re.search(r"Window [^\n]*\n(?:[^\n]*(?:Project|Sort|InputAdapter|Shuffle)[^\n]*\n)*[^\n]*Exchange SinglePartition", plan)
+
+
+def test_scan_over_ranges(spark):
+    rng = random.Random(2)
+    rows = [(g, k, rng.randint(-9, 9)) for g in ("a", None, "hot") for k in rng.sample(range(5000), 900 if g == "hot" else 20)] + [("n", None, 4), ("n", 1, 5)]
+    df = spark.createDataFrame(rows, "g string, k int, v int").repartition(6)
+    got = {(r["g"], r["k"]): (r["at"], r["before"]) for r in scan.scanned(df, ["g"], [F.col("k").asc()], {"at": F.lit(1).cast("bigint"), "before": F.col("v")}, ranges=9).collect()}
+    whole = {(r["g"], r["k"]): r["before"] for r in scan.scanned(df, [], [F.col("k").asc(), F.col("g").asc()], {"before": F.col("v")}, ranges=9).collect()}
+    order = lambda r: (r[1] is not None, r[1] or 0, r[0] is not None, r[0] or "")
+    total, own = 0, {}
+    for g, k, v in sorted(rows, key=order):
+        at, before = own.get(g, (0, 0))
+        assert got[g, k] == (at, before) and whole[g, k] == total
+        own[g], total = (at + 1, before + v), total + v
+    assert scan.scanned(df.limit(0), [], [F.col("k").asc()], {"at": F.lit(1)}).count() == 0
+
+
+def test_keys_that_meet_very_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(scan, "HOT", 10)
+    left = spark.createDataFrame([("hot", i) for i in range(50)] + [(None, 1), ("c", 2)] + [(None, i) for i in range(30)], "k string, i int")
+    right = spark.createDataFrame([("hot", 50, "x"), (None, 31, "y"), ("c", 1, "z"), ("d", 0, "-")], "k string, n bigint, v string")
+    got = scan.looked_up(left, right, ["k"], "n", ["v"]).collect()
+    assert len(got) == 82 and {(r["k"], r["v"]) for r in got} == {("hot", "x"), (None, "y"), ("c", "z")}
+
+
+def test_poisson_counts(spark):
+    means = [0, 1, 3, 17, 30, 31, 400, 10**7]
+    df = spark.createDataFrame([(m,) for m in means], "m bigint").withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(3000))))
+    drawn = df.withColumn("w", ME.poisson(F.col("m"), F.lit(7), F.col("m"), F.col("i")))
+    for r in drawn.groupBy("m").agg(F.avg("w").alias("mean"), F.var_pop("w").alias("var"), F.min("w").alias("least")).collect():
+        assert abs(r["mean"] - r["m"]) <= 5 * math.sqrt(r["m"] / 3000) and r["least"] >= 0
+        assert r["m"] == 0 or abs(r["var"] / r["m"] - 1) < 0.15
+
+
+def test_kendall(spark, monkeypatch):
+    rng = random.Random(9)
+    monkeypatch.setattr(ME, "FAN", 3)
+    data = [(rng.choice([1.5, -2.0, None, *map(float, range(40))]), rng.randint(0, 12)) for _ in range(250)] + [(7.0, 5)] * 60 + [(1.0, None)]
+    df = spark.createDataFrame(data, "x double, y int").repartition(4)
+    known = [(x, y) for x, y in data if x is not None and y is not None]
+    pairs = [(a, b) for i, a in enumerate(known) for b in known[i + 1 :]]
+    sign = [((a[0] > b[0]) - (a[0] < b[0])) * ((a[1] > b[1]) - (a[1] < b[1])) for a, b in pairs]
+    tx, ty = sum(a[0] != b[0] for a, b in pairs), sum(a[1] != b[1] for a, b in pairs)
+    r = ME.kendall(df, "x", "y").first()
+    assert (r["concordant"], r["discordant"], r["n"]) == (sign.count(1), sign.count(-1), len(known))
+    assert r["tau_b"] == pytest.approx((sign.count(1) - sign.count(-1)) / math.sqrt(tx * ty))
+    assert ME.kendall(df, "x", "x").first()["tau_b"] == pytest.approx(1)
+    assert ME.kendall(df.withColumn("c", F.lit(1)), "x", "c").first()["tau_b"] is None
+    assert tuple(ME.kendall(df.limit(0), "x", "y").first()) == (None, 0, 0, 0)
+
+
 def test_numbering_batches_and_sample(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
     got = {r["v"]: r["n"] for r in RA.numbered(df, "v", "n").collect()}
