@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evirank.canonical import content_id, variant_id
+from evirank.sources.sequences import CHUNK, windows_of
 
 MAX_INDEL, FLANK = 50, 1000
 ALLOWED = ("snv", "deletion", "insertion", "delins")
@@ -49,6 +50,11 @@ def _at(s: Column, i: Column) -> Column:
     return F.substring(s, i + 1, 1)
 
 
+def evaluated(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """df with columns that are computed once for each row: the optimiser copies expressions into what uses them, but not through a generator."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
+
+
 def left_align(df: DataFrame, flank: str, pos: str, ref: str, alt: str) -> DataFrame:
     """Adds la_pos, la_ref, la_alt. flank: the reference bases that end just before pos.
 
@@ -59,27 +65,27 @@ def left_align(df: DataFrame, flank: str, pos: str, ref: str, alt: str) -> DataF
     r, a, f = F.col(ref), F.col(alt), F.col(flank)
     least = F.least(F.length(r), F.length(a))
     rr, ra = F.reverse(r), F.reverse(a)
-    cut = df.withColumn("__s", _first_index(lambda i: _at(rr, i) != _at(ra, i), least))
-    cut = cut.withColumn("__r", F.substring(r, F.lit(1), F.length(r) - F.col("__s"))).withColumn("__a", F.substring(a, F.lit(1), F.length(a) - F.col("__s")))
+    cut = evaluated(df, {"__s": _first_index(lambda i: _at(rr, i) != _at(ra, i), least)})
+    cut = evaluated(cut, {"__r": F.substring(r, F.lit(1), F.length(r) - F.col("__s")), "__a": F.substring(a, F.lit(1), F.length(a) - F.col("__s"))})
     kept_r, kept_a = F.col("__r"), F.col("__a")
     empty = (F.length(kept_r) == 0) | (F.length(kept_a) == 0)
     cut = cut.withColumn("__u", F.concat(kept_r, kept_a)).withColumn("__n", F.length("__u"))
     u, n = F.reverse(F.col("__u")), F.col("__n")
     rf = F.reverse(f)
     shift = _first_index(lambda i: _at(rf, i) != _at(u, i % n), F.length(f))
-    cut = cut.withColumn("__k", F.when(empty & (n > 0), shift))
+    cut = evaluated(cut, {"__k": F.when(empty & (n > 0), shift)})
     k = F.col("__k")
     turn = k % n
     rotated = F.concat(F.substring(F.col("__u"), n - turn + 1, turn), F.substring(F.col("__u"), F.lit(1), n - turn))
     anchor = F.when(k < F.length(f), F.substring(f, F.length(f) - k, F.lit(1)))
     most = F.least(F.length(kept_r), F.length(kept_a)) - 1
-    cut = cut.withColumn("__p", F.when(~empty, _first_index(lambda i: _at(kept_r, i) != _at(kept_a, i), F.greatest(most, F.lit(0)))))
+    cut = evaluated(cut, {"__p": F.when(~empty, _first_index(lambda i: _at(kept_r, i) != _at(kept_a, i), F.greatest(most, F.lit(0))))})
     p = F.col("__p")
-    out = (
-        cut.withColumn("la_pos", F.when(empty, F.when(anchor.isNotNull(), F.col(pos) - k - 1)).otherwise(F.col(pos) + p))
-        .withColumn("la_ref", F.when(empty, F.concat(anchor, F.when(F.length(kept_r) > 0, rotated).otherwise(""))).otherwise(F.expr("substring(__r, __p + 1)")))
-        .withColumn("la_alt", F.when(empty, F.concat(anchor, F.when(F.length(kept_a) > 0, rotated).otherwise(""))).otherwise(F.expr("substring(__a, __p + 1)")))
-    )
+    out = evaluated(cut, {
+        "la_pos": F.when(empty, F.when(anchor.isNotNull(), F.col(pos) - k - 1)).otherwise(F.col(pos) + p),
+        "la_ref": F.when(empty, F.concat(anchor, F.when(F.length(kept_r) > 0, rotated).otherwise(""))).otherwise(F.expr("substring(__r, __p + 1)")),
+        "la_alt": F.when(empty, F.concat(anchor, F.when(F.length(kept_a) > 0, rotated).otherwise(""))).otherwise(F.expr("substring(__a, __p + 1)")),
+    })
     return out.drop("__s", "__r", "__a", "__u", "__n", "__k", "__p")
 
 
@@ -91,13 +97,23 @@ def normalise(mentions: DataFrame, contigs: DataFrame, assembly: str, allowed=AL
     the session's broadcast threshold; the join is on the contig name otherwise.
     """
     c = contigs.select(F.col("chrom").alias("__chrom"), "accession", "offset", "sequence")
-    j = mentions.join(c, mentions["chrom"] == c["__chrom"], "left")
+    return _judged(mentions.join(c, mentions["chrom"] == c["__chrom"], "left").drop("__chrom"), assembly, allowed, max_indel, flank)
+
+
+def normalise_in_ranges(mentions: DataFrame, ranges: DataFrame, contigs: DataFrame, assembly: str, allowed=ALLOWED, max_indel: int = MAX_INDEL, flank: int = FLANK, chunk: int = CHUNK) -> DataFrame:
+    """normalise() where sequences are chunks (sources.sequences) and contigs (chrom, accession, offset) are only declared: each distinct place reads its own bases."""
+    return _judged(windows_of(mentions, ranges, contigs, flank, chunk), assembly, allowed, max_indel, flank)
+
+
+def _judged(j: DataFrame, assembly: str, allowed, max_indel: int, flank: int) -> DataFrame:
     j = j.withColumn("ref", F.upper("ref")).withColumn("alt", F.upper("alt"))
     at = F.col("pos") - F.col("offset")
     inside = (at >= 0) & (at + F.length("ref") <= F.length("sequence"))
-    j = j.withColumn("__ref_there", F.when(inside, F.expr("substring(sequence, cast(pos - offset + 1 as int), length(ref))")))
     low = F.greatest(F.lit(0), at - flank)
-    j = j.withColumn("__flank", F.when(inside, F.substring(F.col("sequence"), (low + 1).cast("int"), (at - low).cast("int"))).otherwise(""))
+    j = evaluated(j, {
+        "__ref_there": F.when(inside, F.expr("substring(sequence, cast(pos - offset + 1 as int), length(ref))")),
+        "__flank": F.when(inside, F.substring(F.col("sequence"), (low + 1).cast("int"), (at - low).cast("int"))).otherwise(""),
+    })
     j = left_align(j, "__flank", "pos", "ref", "alt")
     dna = r"^[ACGT]+$"
     kind = allele_type(F.col("la_ref"), F.col("la_alt"))
@@ -117,10 +133,10 @@ def normalise(mentions: DataFrame, contigs: DataFrame, assembly: str, allowed=AL
         test = F.coalesce(test, F.lit(True))
         status = F.when(test, name) if status is None else status.when(test, name)
         reason = F.when(test, why) if reason is None else reason.when(test, why)
-    out = j.withColumn("identity_status", status.otherwise("resolved")).withColumn("reason", reason)
+    out = evaluated(j.drop("identity_status", "reason"), {"identity_status": status.otherwise("resolved"), "reason": reason})
     good = F.col("identity_status") == "resolved"
-    out = out.withColumn("allele_type", F.when(good, kind)).withColumn("variant_id", F.when(good, variant_id(F.col("assembly"), F.col("accession"), F.col("la_pos"), F.col("la_ref"), F.col("la_alt"))))
-    return out.drop("__chrom", "__ref_there", "__flank", "sequence", "offset")
+    out = evaluated(out.drop("allele_type", "variant_id"), {"allele_type": F.when(good, kind), "variant_id": F.when(good, variant_id(F.col("assembly"), F.col("accession"), F.col("la_pos"), F.col("la_ref"), F.col("la_alt")))})
+    return out.drop("__ref_there", "__flank", "sequence", "offset")
 
 
 def resolve(mentions: DataFrame, contigs: DataFrame, assembly: str, **options) -> DataFrame:
@@ -163,3 +179,35 @@ def scope_filter(variants: DataFrame, terms: str, allowed: list[str]) -> tuple[D
     """(kept, out of scope): rows whose terms meet none of the allowed ones leave; rows without terms stay."""
     ok = F.col(terms).isNull() | F.arrays_overlap(F.col(terms), F.array(*map(F.lit, allowed)))
     return variants.where(ok), variants.where(~ok).withColumn("status", F.lit("out_of_scope"))
+
+
+def annotation_keys(annotations: DataFrame, contigs: DataFrame, assembly: str, ranges: DataFrame | None = None, **options) -> DataFrame:
+    """annotations (allele, ...) with the variant_id of their allele, normalised by the same closed form as mentions; one that cannot be normalised fails the job.
+
+    allele is a struct of chrom, pos, ref and alt. With `ranges`, contigs are only declared and sequences are read by chunk.
+    """
+    own = [c for c in annotations.columns if c != "allele"]
+    rows = annotations.select(F.struct(*own).alias("__row"), F.col("allele.chrom").alias("chrom"), F.col("allele.pos").alias("pos"), F.col("allele.ref").alias("ref"), F.col("allele.alt").alias("alt"), F.lit(assembly).alias("assembly"))
+    known = normalise(rows, contigs, assembly, **options) if ranges is None else normalise_in_ranges(rows, ranges, contigs, assembly, **options)
+    said = F.concat(F.lit("an annotation's allele cannot be normalised: "), F.concat_ws(" ", F.coalesce("chrom", F.lit("-")), F.coalesce(F.col("pos").cast("string"), F.lit("-")), F.coalesce("ref", F.lit("-")), F.coalesce("alt", F.lit("-")), "reason"))
+    return known.where(F.when(F.col("variant_id").isNull(), F.raise_error(said).cast("boolean")).otherwise(True)).select("variant_id", "__row.*")
+
+
+def annotated(registry: DataFrame, keyed: DataFrame) -> DataFrame:
+    """Alleles of the registry with their annotations; annotations of other alleles take no part."""
+    return registry.join(keyed, "variant_id")
+
+
+def scope_exclusions(registry: DataFrame, keyed: DataFrame, decisions: DataFrame, terms: str, allowed: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(registry within scope, exclusions): alleles none of whose selected terms is allowed leave, and each of their mentions is told why.
+
+    An allele without annotation stays. decisions: those of mentions, with variant_ids. Exclusions are (mention_id, decision_id, status, reason, variant_id).
+    """
+    meets = F.arrays_overlap(F.coalesce(F.col(terms), F.array().cast("array<string>")), F.array(*map(F.lit, allowed)))
+    judged = keyed.groupBy("variant_id").agg(F.bool_or(F.coalesce(meets, F.lit(False))).alias("__in"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.coalesce(F.col(terms), F.array().cast("array<string>")))))), ",").alias("__terms"))
+    out = judged.where(~F.col("__in")) if allowed else judged.limit(0)
+    gone = registry.select("variant_id").join(out, "variant_id")
+    what = F.when(F.col("__terms") == "", "no consequence on the selected transcript").otherwise(F.concat(F.lit("consequence "), F.col("__terms")))
+    told = decisions.where("status = 'resolved'").select("mention_id", "decision_id", F.explode("variant_ids").alias("variant_id")).join(gone, "variant_id")
+    reasons = told.select("mention_id", "decision_id", F.lit("out_of_scope").alias("status"), F.concat(what, F.lit(" outside declared scope")).alias("reason"), "variant_id")
+    return registry.join(gone.select("variant_id"), "variant_id", "left_anti"), reasons

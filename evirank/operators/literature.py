@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from evirank.functions import text as TX
 from evirank.functions.text import squashed
+from evirank.operators.folds import capped, folded, next_fit
 from evirank.operators.ranking import first_match
 
 REVIEW_TYPES = ("Review", "Systematic Review", "Meta-Analysis", "Editorial", "Comment")
@@ -52,34 +53,13 @@ def verify_claims(claims: DataFrame, passages: DataFrame, owner: Column) -> Data
 
 
 def select_passages(df: DataFrame, by: str, order: list[str], size: str, max_units: int, max_chars: int) -> DataFrame:
-    """(by, order, size, kept): greedy choice in order; what does not fit is skipped and later ones may still fit.
-
-    A group's rows are one array, so groups must be units of one document; whole corpora are split by document first.
-    """
-    rows = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("bigint").alias("size")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<boolean>").alias("kept"))
-
-    def step(acc: Column, x: Column) -> Column:
-        fits = (acc["n"] < max_units) & (acc["used"] + x["size"] <= max_chars)
-        return F.struct((acc["n"] + F.when(fits, 1).otherwise(0)).cast("bigint").alias("n"), (acc["used"] + F.when(fits, x["size"]).otherwise(0)).cast("bigint").alias("used"), F.concat(acc["kept"], F.array(fits)).alias("kept"))
-
-    chosen = rows.withColumn("kept", F.aggregate("rows", start, step)["kept"])
-    out = chosen.select(by, F.explode(F.arrays_zip("rows", "kept")).alias("x"))
-    return out.select(by, *(F.col(f"x.rows.{c}").alias(c) for c in (*order, "size")), F.col("x.kept").alias("kept"))
+    """(by, order, size, kept): greedy choice in order; what does not fit is skipped and later ones may still fit. Groups may be larger than memory."""
+    return folded(df, [by], order, size, (0, 0), capped(max_units, max_chars), "kept", "boolean").withColumnRenamed(size, "size")
 
 
 def greedy_bins(df: DataFrame, by: str, order: list[str], size: str, capacity: int) -> DataFrame:
-    """Adds bin: next-fit in order within each group."""
-    rows = df.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(size).cast("bigint").alias("size")))).alias("rows"))
-    start = F.struct(F.lit(0).cast("bigint").alias("bin"), F.lit(0).cast("bigint").alias("used"), F.array().cast("array<bigint>").alias("bins"))
-
-    def step(acc: Column, x: Column) -> Column:
-        over = (acc["used"] > 0) & (acc["used"] + x["size"] > capacity)
-        b = (acc["bin"] + F.when(over, 1).otherwise(0)).cast("bigint")
-        return F.struct(b.alias("bin"), F.when(over, x["size"]).otherwise(acc["used"] + x["size"]).cast("bigint").alias("used"), F.concat(acc["bins"], F.array(b)).alias("bins"))
-
-    out = rows.withColumn("bins", F.aggregate("rows", start, step)["bins"]).select(by, F.explode(F.arrays_zip("rows", "bins")).alias("x"))
-    return out.select(by, *(F.col(f"x.rows.{c}").alias(c) for c in (*order, "size")), F.col("x.bins").alias("bin"))
+    """(by, order, size, bin): next-fit in order within each group; a row larger than a bin has one to itself. Groups may be larger than memory."""
+    return folded(df, [by], order, size, (0, 0), next_fit(capacity), "bin", "bigint").withColumnRenamed(size, "size")
 
 
 def cached_and_remaining(requests: DataFrame, cache: DataFrame, key: str, age: Column | None = None, ttl: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evirank.plans import more, star
+from evirank.plans import further, more, star
 
-QUERIES: dict = {**star.QUERIES, **more.QUERIES}
-ORACLES: dict[str, str] = {**star.ORACLES, **more.ORACLES}
+QUERIES: dict = {**star.QUERIES, **more.QUERIES, **further.QUERIES}
+ORACLES: dict[str, str] = {**star.ORACLES, **more.ORACLES, **further.ORACLES}
