@@ -8,6 +8,7 @@ from evirank.operators import assembly as AS
 from evirank.operators import identity as ID
 from evirank.plans.more import _SEQ, _STATUS, resolved_parts
 from evirank.plans.star import _state_sql, decision_log, read
+from evirank.profile import Profile
 from evirank.sources import journal as JO
 from evirank.sources import requests as RQ
 from evirank.sources import sequences as SE
@@ -180,3 +181,41 @@ def scope_exclusions(spark, sf_dir):
     found = resolved_parts(spark, sf_dir)
     _, gone = ID.scope_exclusions(ID.registry(found), noted(spark, sf_dir), ID.decisions(found), "terms", ["ECONOMY", "PROMO"])
     return gone.select("mention_id", "status", "reason")
+
+
+# ---- profiles ------------------------------------------------------------------------------------------------------
+
+def small_profile() -> Profile:
+    """A profile of our own, in which every anchor kind and an inherited mode occur."""
+    share = {"type": "identity"}
+    anchors = {n: share for n in ("gwas_pip", "disease_match_type", "segregation_support", "evidence_directness", "model_system_relevance", "replication_count", "mave_functional_class", "pegrna_predicted_efficiency", "bystander_risk", "off_target_risk", "alphamissense_score")}
+    anchors |= {
+        "gwas_log10_p": {"type": "piecewise", "breakpoints": [0, 10, 50], "values": [0.0, 0.5, 1.0]}, "clinvar_classification": {"type": "categorical", "map": {"economy": 0.9, "promo": 0.4, "large": 0.2}, "unmapped": 0.1},
+        "clinvar_review_stars": {"type": "categorical", "map": {"0": 0.2, "1": 0.5, "2": 1.0}}, "cohort_normalized_recurrence": {"type": "linear_clamp", "lo": 900, "hi": 1900}, "gnomad_af": {"type": "piecewise", "breakpoints": [0.001, 0.1], "values": [0.0, 1.0], "log_scale": True, "invert": True},
+        "pegrna_design_count": {"type": "piecewise", "breakpoints": [0, 3], "values": [0.0, 1.0]}, "indel_length": {"type": "linear_clamp", "lo": 0, "hi": 50, "invert": True}, "in_domain": {"type": "boolean", "map": {True: 1.0, False: 0.25}},
+    }
+    branches = {"missense": {"alphamissense_score": 0.75, "in_domain": 0.25}, "ptv": {"in_domain": 0.5, "indel_length": 0.5}, "other": {"indel_length": 1.0}}
+    gating = {"loss": {"ptv": 1.0, "missense_predicted_lof": 0.8, "missense_predicted_tolerated": 0.2}, "mixed": {"default": 0.9}}
+    even = {"disease": 0.4, "functional": 0.2, "mechanism": 0.3, "editability": 0.1}
+    parts = {"disease": {"fine_mapping": 0.3, "clinical_evidence": 0.25, "recurrence": 0.2, "rarity": 0.15, "segregation": 0.1}, "functional": {"aggregation": "max"}, "editability": {"predicted_efficiency": 0.4, "design_count": 0.2, "bystander": 0.1, "off_target": 0.1, "indel_length": 0.2}}
+    scoring = {"version": "1", "ranking_modes": {"even": {"weights": even, "novelty_alpha": 0.2}, "novel": {"inherits": "even", "novelty_alpha": 0.5}}, "components": parts}
+    return Profile.read(scoring, {"version": "1", "anchors": anchors}, {"version": "1", "branches": branches}, {"version": "1", "gating": gating})
+
+
+@query("""WITH i AS (SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_size / 50.0 END AS am, p_size % 2 = 0 AS dom, CASE WHEN p_type = 'ECONOMY' THEN 'ptv' WHEN p_type = 'PROMO' THEN 'other' ELSE 'missense' END AS cls, CASE p_partkey % 4 WHEN 0 THEN 'loss' WHEN 1 THEN 'mixed' ELSE 'unknown' END AS mech, *  FROM part),
+a AS (SELECT *, CASE WHEN p_size <= 10 THEN p_size / 20.0 ELSE 0.5 + (p_size - 10) / 80.0 END AS fm, CASE p_type WHEN 'ECONOMY' THEN 0.9 WHEN 'PROMO' THEN 0.4 WHEN 'LARGE' THEN 0.2 ELSE 0.1 END * CASE p_partkey % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.5 ELSE 1.0 END AS cl, least(1, greatest(0, (p_retailprice - 900) / 1000)) AS rec,
+  1 - least(1, greatest(0, (log10(p_size / 1000.0) + 3) / 2)) AS rare, 1 - p_size / 50.0 AS ind, CASE WHEN dom THEN 1.0 ELSE 0.25 END AS d FROM i),
+s AS (SELECT *, CASE WHEN p_partkey % 5 = 0 THEN (0.3 * fm + 0.25 * cl + 0.15 * rare) / 0.7 ELSE (0.3 * fm + 0.25 * cl + 0.2 * rec + 0.15 * rare) / 0.9 END AS disease, CASE cls WHEN 'ptv' THEN 0.5 * d + 0.5 * ind WHEN 'other' THEN ind ELSE CASE WHEN am IS NULL THEN d ELSE 0.75 * am + 0.25 * d END END AS m,
+  CASE cls WHEN 'ptv' THEN 'ptv' WHEN 'other' THEN 'default' ELSE CASE WHEN am <= 0.3 THEN 'missense_predicted_tolerated' ELSE 'missense_predicted_lof' END END AS k, (0.2 * least(1, p_size / 3.0) + 0.2 * ind) / 0.4 AS edit FROM a),
+g AS (SELECT *, CASE mech WHEN 'loss' THEN CASE k WHEN 'ptv' THEN 1.0 WHEN 'missense_predicted_lof' THEN 0.8 WHEN 'missense_predicted_tolerated' THEN 0.2 ELSE 1.0 END WHEN 'mixed' THEN 0.9 ELSE 1.0 END AS gate, CASE mech WHEN 'loss' THEN CASE WHEN k = 'default' THEN 'ungated' ELSE k END WHEN 'mixed' THEN 'default' ELSE 'ungated' END AS gate_key FROM s)
+SELECT p_partkey, round(disease, 6) AS disease, round(m, 6) AS mechanism_before, gate_key, CAST(gate AS DOUBLE) AS gate, round(m * gate, 6) AS mechanism, round(edit, 6) AS editability, round((0.4 * disease + 0.3 * m * gate + 0.1 * edit) / 0.8 * (1 + 0.5 * (1 - CASE WHEN p_size > 25 THEN 1.0 ELSE 0.5 END)), 6) AS composite FROM g""")
+def profiled_parts(spark, sf_dir):
+    part, size = read(spark, sf_dir, "part"), F.col("p_size")
+    inputs = {
+        "gwas_log10_p": size, "clinvar_classification": F.col("p_type"), "clinvar_review_stars": F.col("p_partkey") % 3, "disease_match_type": F.lit(1.0), "cohort_normalized_recurrence": F.when(F.col("p_partkey") % 5 != 0, F.col("p_retailprice")), "gnomad_af": size / 1000.0,
+        "pegrna_design_count": size, "indel_length": size, "in_domain": size % 2 == 0, "alphamissense_score": F.when(F.col("p_partkey") % 3 == 0, size / 50.0),
+    }
+    cls = F.when(F.col("p_type") == "ECONOMY", "ptv").when(F.col("p_type") == "PROMO", "other").otherwise("missense")
+    mechanism = F.when(F.col("p_partkey") % 4 == 0, "loss").when(F.col("p_partkey") % 4 == 1, "mixed").otherwise("unknown")
+    out = small_profile().scored(part, "novel", inputs, cls, mechanism, F.lit(None).cast("double"), F.when(size > 25, 1.0).otherwise(0.5), F.lit(False))
+    return out.select("p_partkey", "gate_key", "gate", *(F.round(c, 6).alias(c) for c in ("disease", "mechanism_before", "mechanism", "editability", "composite")))

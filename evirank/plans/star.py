@@ -209,32 +209,37 @@ def exclusion_ledger(spark, sf_dir):
     return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", status.alias("status"), reason.alias("reason"), "l_extendedprice")
 
 
-_ALLELES = [("A", "G"), ("AC", "GT"), ("CA", "C"), ("C", "CAG"), ("CAG", "TC"), ("GAA", "G"), ("T", "TT"), ("ACG", "A"), ("TA", "GC"), ("G", "AT")]
+_BASES_OF = "translate(md5(CAST(p_partkey AS VARCHAR)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
 
 
-@query("SELECT r AS ref, a AS alt, CASE WHEN length(r) = 1 AND length(a) = 1 THEN 'snv' WHEN length(r) = length(a) THEN 'mnv' WHEN length(a) = 1 AND r[1] = a[1] THEN 'deletion' WHEN length(r) = 1 AND r[1] = a[1] THEN 'insertion' ELSE 'delins' END AS allele_type FROM (VALUES "
-       + ", ".join(f"('{r}', '{a}')" for r, a in _ALLELES) + ") AS t(r, a)")
+@query(f"""WITH p AS (SELECT p_partkey, substr({_BASES_OF}, 1, CAST(1 + p_size % 3 AS BIGINT)) AS r, CASE WHEN p_partkey % 2 = 0 THEN substr({_BASES_OF}, 1, 1) ELSE '' END || substr({_BASES_OF}, 5, CAST(1 + p_partkey % 3 - (p_partkey + 1) % 2 AS BIGINT)) AS a FROM part)
+SELECT p_partkey, r AS ref, a AS alt, CASE WHEN length(r) = 1 AND length(a) = 1 THEN 'snv' WHEN length(r) = length(a) THEN 'mnv' WHEN length(a) = 1 AND r[1] = a[1] THEN 'deletion' WHEN length(r) = 1 AND r[1] = a[1] THEN 'insertion' ELSE 'delins' END AS allele_type FROM p WHERE a <> '' AND r <> a""")
 def allele_type(spark, sf_dir):
-    return spark.createDataFrame(_ALLELES, "ref string, alt string").select("ref", "alt", ID.allele_type(F.col("ref"), F.col("alt")).alias("allele_type"))
+    part, one = read(spark, sf_dir, "part"), F.lit(1)
+    bases = F.translate(F.md5(F.col("p_partkey").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    ref = F.substring(bases, one, (1 + F.col("p_size") % 3).cast("int"))
+    alt = F.concat(F.when(F.col("p_partkey") % 2 == 0, F.substring(bases, 1, 1)).otherwise(""), F.substring(bases, F.lit(5), (1 + F.col("p_partkey") % 3 - (F.col("p_partkey") + 1) % 2).cast("int")))
+    alleles = part.select("p_partkey", ref.alias("ref"), alt.alias("alt")).where("alt <> '' and ref <> alt")
+    return alleles.withColumn("allele_type", ID.allele_type(F.col("ref"), F.col("alt")))
 
 
 _SEQ = "GCTACCAAAAAATGTGTGTGCCATCATCATCATGGGACCTTAGACAGACAGAAA"
-_PLACES = [(i, _SEQ[i - 1 : i - 1 + n], alt) for i in range(12, 46, 3) for n, alt in ((1, "G"), (2, _SEQ[i - 1]), (1, _SEQ[i - 1] + _SEQ[i]), (3, _SEQ[i - 1]), (1, _SEQ[i - 1] * 2), (2, "TA"))]
-_PLACES = [p for p in _PLACES if p[1] != p[2]]
+#: A change for each part: its place from the key, its kind from the size.
+_PLACED = f"""SELECT p_partkey AS id, 12 + p_partkey % 34 AS pos, substr('{_SEQ}', 12 + p_partkey % 34, CAST(CASE p_size % 6 WHEN 1 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 2 ELSE 1 END AS INT)) AS ref,
+  CASE p_size % 6 WHEN 0 THEN 'G' WHEN 2 THEN substr('{_SEQ}', 12 + p_partkey % 34, 2) WHEN 4 THEN repeat(substr('{_SEQ}', 12 + p_partkey % 34, 1), 2) WHEN 5 THEN 'TA' ELSE substr('{_SEQ}', 12 + p_partkey % 34, 1) END AS alt FROM part"""
 
 
-@query(f"""WITH RECURSIVE v(id, pos, ref, alt) AS (VALUES {", ".join(f"({i}, {p}, '{r}', '{a}')" for i, (p, r, a) in enumerate(_PLACES))}),
-w AS (SELECT id, pos, ref, alt, 0 AS phase FROM v UNION ALL
+@query(f"""WITH RECURSIVE q AS (SELECT CAST(id AS BIGINT) AS id, CAST(pos AS BIGINT) AS pos, ref, alt FROM ({_PLACED.replace("INT)", "BIGINT)")}) WHERE ref <> alt), w AS (SELECT id, pos, ref, alt, 0 AS phase FROM q UNION ALL
   SELECT id, CASE WHEN len(ref) = 0 OR len(alt) = 0 THEN pos - 1 ELSE pos END,
     CASE WHEN len(ref) = 0 OR len(alt) = 0 THEN '{_SEQ}'[pos - 1] || ref ELSE left(ref, len(ref) - 1) END, CASE WHEN len(ref) = 0 OR len(alt) = 0 THEN '{_SEQ}'[pos - 1] || alt ELSE left(alt, len(alt) - 1) END, phase + 1
   FROM w WHERE pos > 1 AND (len(ref) = 0 OR len(alt) = 0 OR right(ref, 1) = right(alt, 1))),
 d AS (SELECT id, arg_max(pos, phase) AS pos, arg_max(ref, phase) AS ref, arg_max(alt, phase) AS alt FROM w GROUP BY id),
 x AS (SELECT id, pos, ref, alt FROM d UNION ALL SELECT id, pos + 1, substr(ref, 2), substr(alt, 2) FROM x WHERE len(ref) > 1 AND len(alt) > 1 AND ref[1] = alt[1])
-SELECT CAST(id AS BIGINT) AS id, CAST(max(pos) AS BIGINT) AS la_pos, arg_max(ref, pos) AS la_ref, arg_max(alt, pos) AS la_alt FROM x GROUP BY id""")
+SELECT id, CAST(max(pos) AS BIGINT) AS la_pos, arg_max(ref, pos) AS la_ref, arg_max(alt, pos) AS la_alt FROM x GROUP BY id""")
 def left_align(spark, sf_dir):
-    rows = [(i, p, r, a, _SEQ[: p - 1]) for i, (p, r, a) in enumerate(_PLACES)]
-    df = spark.createDataFrame(rows, "id bigint, pos bigint, ref string, alt string, flank string")
-    return ID.left_align(df, "flank", "pos", "ref", "alt").select("id", F.col("la_pos").cast("bigint").alias("la_pos"), "la_ref", "la_alt")
+    read(spark, sf_dir, "part").createOrReplaceTempView("part")
+    placed = spark.sql(_PLACED).where("ref <> alt").withColumn("flank", F.substring(F.lit(_SEQ), F.lit(1), (F.col("pos") - 1).cast("int")))
+    return ID.left_align(placed, "flank", "pos", "ref", "alt").select(F.col("id").cast("bigint").alias("id"), F.col("la_pos").cast("bigint").alias("la_pos"), "la_ref", "la_alt")
 
 
 @query("SELECT p_partkey, CASE WHEN list_has_any(string_split(p_name, ' '), ['red', 'ring', 'small']) THEN 'kept' ELSE 'out_of_scope' END AS status FROM part")

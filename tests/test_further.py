@@ -269,3 +269,79 @@ def test_annotations_meet_alleles_by_normalised_keys(spark):
     assert ID.scope_exclusions(registry, keyed, ID.decisions(found), "terms", [])[1].count() == 0
     with pytest.raises(Exception, match="cannot be normalised"):
         ID.annotation_keys(notes.withColumn("allele", F.struct(F.lit("1").alias("chrom"), F.lit(1).cast("bigint").alias("pos"), F.lit("T").alias("ref"), F.lit("G").alias("alt"))), contigs, "T").collect()
+
+
+# ---- profiles ------------------------------------------------------------------------------------------------------
+
+
+def documents_of_a_profile():
+    import copy
+
+    from evirank import profile as PR
+
+    anchors = {n: {"type": "identity"} for n in [*PR.DISEASE_INPUTS, *PR.FUNCTIONAL_INPUTS, *PR.EDITING_INPUTS.values(), "alphamissense_score"]}
+    part = {"fine_mapping": 0.3, "clinical_evidence": 0.25, "recurrence": 0.2, "rarity": 0.15, "segregation": 0.1}
+    modes = {"a": {"weights": {"disease": 0.4, "functional": 0.2, "mechanism": 0.3, "editability": 0.1}, "novelty_alpha": 0.1, "composition": {"x": 0.5, "y": 0.5}}, "b": {"inherits": "a", "novelty_alpha": 0.0}, "c": {"inherits": "b"}}
+    scoring = {"version": 1, "ranking_modes": modes, "components": {"disease": part, "functional": {}, "editability": dict.fromkeys(PR.EDITING_INPUTS, 0.2)}, "validation": {"forbid_fields_in_scoring": ["agent_confidence"]}}
+    return copy.deepcopy((scoring, {"version": 1, "anchors": anchors}, {"version": 1, "branches": {"missense": {"alphamissense_score": 1.0}}}, {"version": 1, "gating": {"unknown": {"default": 1.0}}}))
+
+
+def test_profiles_are_checked_as_a_whole(spark, tmp_path):
+    from evirank import profile as PR
+
+    made = PR.Profile.read(*documents_of_a_profile())
+    assert made.modes["c"]["alpha"] == 0.0 and made.modes["c"]["weights"] == made.modes["a"]["weights"] and made.modes["b"]["composition"] is None
+
+    def broken(change, said):
+        docs = documents_of_a_profile()
+        change(*docs)
+        with pytest.raises(PR.ProfileError, match=said):
+            PR.Profile.read(*docs)
+
+    broken(lambda s, a, b, g: a["anchors"].pop("gwas_pip") and a["anchors"].pop("indel_length"), "without an anchor: gwas_pip, indel_length|without an anchor: indel_length, gwas_pip")
+    broken(lambda s, a, b, g: b["branches"].update(ptv={"alphamissense_score": 0.9}), "branch ptv sum")
+    broken(lambda s, a, b, g: s["ranking_modes"]["a"].update(inherits="c"), "circle")
+    broken(lambda s, a, b, g: s["ranking_modes"]["b"].update(inherits="z"), "unknown z")
+    broken(lambda s, a, b, g: s["ranking_modes"]["a"]["weights"].update(disease=0.5), "sum to 1.1")
+    broken(lambda s, a, b, g: s["components"]["functional"].update(aggregation="sum"), "by max")
+    for wrong in ({"type": "piecewise", "breakpoints": [2, 1], "values": [0, 1]}, {"type": "piecewise", "breakpoints": [1], "values": [0, 1]}, {"type": "categorical"}, {"type": "identity", "lo": 1, "hi": 1}, {"type": "rank"}, {"type": "identity", "min": 0}, {"type": "categorical", "map": {"x": 2}}):
+        broken(lambda s, a, b, g, w=wrong: a["anchors"].update(gwas_pip=w), "anchor gwas_pip")
+    args = (F.lit("missense"), F.lit("unknown"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.lit(None).cast("boolean"))
+    for inputs in ({"agent_confidence": F.lit(1)}, {"nonsense": F.lit(1)}):
+        with pytest.raises(PR.ProfileError, match="no inputs"):
+            made.scored(spark.range(1), "a", inputs, *args)
+    row = made.scored(spark.range(1), "a", {"alphamissense_score": F.lit(0.9)}, *args).first()
+    assert (row["mechanism"], row["gate_key"], row["composite"], row["disease"]) == (0.9, "default", pytest.approx(0.9), None)
+    with pytest.raises(Exception, match="no branch for class ptv"):
+        made.scored(spark.range(1), "a", {}, F.lit("ptv"), *args[1:]).collect()
+
+
+def test_anchors(spark):
+    import math
+
+    from evirank.profile import Anchor
+
+    xs = [-30.0, 0.0, 1e-7, 1e-5, 3e-4, 0.05, 0.4, 1.0, 2.0, 7.0, None]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    log = Anchor.read("af", {"type": "piecewise", "breakpoints": [1e-6, 1e-4, 1e-1], "values": [0.0, 0.3, 0.9], "log_scale": True, "invert": True})
+    clamp = Anchor.read("c", {"type": "linear_clamp", "lo": -1, "hi": 3})
+
+    def plain(x):
+        bps, vals = [1e-6, 1e-4, 1e-1], [0.0, 0.3, 0.9]
+        if x <= bps[0] or x >= bps[-1]:
+            return 1 - (vals[0] if x <= bps[0] else vals[-1])
+        i = max(k for k in range(2) if bps[k] <= x)
+        share = (math.log10(x) - math.log10(bps[i])) / (math.log10(bps[i + 1]) - math.log10(bps[i]))
+        return 1 - (vals[i] + share * (vals[i + 1] - vals[i]))
+
+    for r in df.select("x", log.of(F.col("x")).alias("log"), clamp.of(F.col("x")).alias("clamp")).collect():
+        if r["x"] is None:
+            assert r["log"] is None and r["clamp"] is None
+        else:
+            assert r["log"] == pytest.approx(plain(r["x"])) and r["clamp"] == pytest.approx(min(1, max(0, (r["x"] + 1) / 4)))
+    stars = Anchor.read("s", {"type": "categorical", "map": {"4": 1.0, "likely_pathogenic": 0.8}, "unmapped": 0.1})
+    flag = Anchor.read("f", {"type": "boolean", "map": {True: 1.0, False: 0.2}})
+    row = df.limit(1).select(stars.of(F.lit(4.0)).alias("a"), stars.of(F.lit(" Likely Pathogenic")).alias("b"), stars.of(F.lit("?")).alias("c"), flag.of(F.lit(False)).alias("d")).first()
+    assert tuple(row) == (1.0, 0.8, 0.1, 0.2)
+    with pytest.raises(Exception, match="unknown category"):
+        df.select(flag.of(F.lit("maybe"))).collect()
