@@ -64,6 +64,26 @@ def mechanical_checks(links: DataFrame, claims: DataFrame, identity: DataFrame,
     return j.withColumn("reasons", reasons).withColumn("host_state", F.when(F.size("reasons") > 0, "rejected").otherwise("mechanically_valid")).drop("identity_ok", "located")
 
 
+#: Fixed value: why a link to an allele out of scope cannot contribute.
+OUT_OF_SCOPE = "allele outside declared consequence scope"
+
+
+def scoped_checks(checked: DataFrame, out_of_scope: DataFrame) -> DataFrame:
+    """Links after mechanical_checks with `checks`, a map of names to pass or fail. A link to an allele out of scope is judged by scope alone: its claim stays, but it is rejected.
+
+    out_of_scope: (variant_id) of the alleles that left the registry, repeated or not.
+    """
+    gone = out_of_scope.select("variant_id", F.lit(True).alias("__gone")).distinct()
+    j = checked.join(gone, "variant_id", "left")
+    out = F.coalesce("__gone", F.lit(False))
+    named = F.transform("reasons", lambda r: F.struct(r.alias("key"), F.lit("fail").alias("value")))
+    passed = F.when(F.size("reasons") > 0, F.map_from_entries(named)).otherwise(F.map_from_arrays(F.array(F.lit("mechanical")), F.array(F.lit("pass"))))
+    return j.select(
+        *(c for c in checked.columns if c not in ("reasons", "host_state")), F.when(out, F.map_from_arrays(F.array(F.lit("scope")), F.array(F.lit("fail")))).otherwise(passed).alias("checks"),
+        F.when(out, F.array(F.lit(OUT_OF_SCOPE))).otherwise(F.col("reasons")).alias("reasons"), F.when(out, "rejected").otherwise(F.col("host_state")).alias("host_state"),
+    )
+
+
 def effective_state(log: DataFrame, by: list[str], state: str = "effective_state", reviewer: str = "reviewer_type", human_review: str = "human_review", sequence: str = "sequence") -> DataFrame:
     """The state of each link (or other group) of a decision log, in one pass of combinable aggregates.
 

@@ -23,19 +23,49 @@ def rule_fields(docs: DataFrame) -> DataFrame:
     )
 
 
-def priority(named: Column, body_alleles: Column, open_text: Column, mentions: Column, in_abstract: Column, error: Column, screened: Column, human: Column, review: Column, kind: Column, functional: Column, cohort: Column, reported: Column) -> Column:
-    """P1 to P5 by two decision lists: one for documents without a screening answer, one for those with."""
+# The reason that goes with each priority, in the order in which the rules are tried.
+UNSCREENED = (
+    ("body_alleles", "P2", "full text names variant(s) near the gene"),
+    ("named_open", "P4", "LitVar link not confirmed in full text"),
+    ("named", "P3", "LitVar links named variants; full text unavailable to confirm"),
+    ("discussed", "P3", "gene discussed in full text"),
+    ("unfinished", "P3", "gene in abstract; LLM screen not completed"),
+    ("out_of_reach", "P4", "gene only outside the abstract and full text unavailable: not assessable"),
+    (None, "P4", "incidental mention"),
+)
+SCREENED = (
+    ("other_gene", "P5", "not about the human gene"),
+    ("review", "P4", "review/commentary: pointer only"),
+    ("common", "P4", "common_snp_association: not germline rare-allele evidence"),
+    ("somatic", "P4", "somatic_cancer: not germline rare-allele evidence"),
+    ("engineered", "P3", "engineered mutants: mechanism, not patient alleles"),
+    ("rare_tested", "P1", "allele-level functional experiment on patient variants"),
+    ("rare_cohort", "P1", "rare variants in patients/cohorts"),
+    ("rare", "P2", "rare variants reported"),
+    ("some", "P3", "variants reported, class unclear"),
+    ("cohort", "P2", "gene-level patient/cohort study (supplements may list alleles)"),
+    ("about", "P3", "gene-level mechanism/model study"),
+    (None, "P4", "unclear relevance"),
+)
+
+
+def judged(named: Column, body_alleles: Column, open_text: Column, mentions: Column, in_abstract: Column, error: Column, screened: Column, human: Column, review: Column, kind: Column, functional: Column, cohort: Column, reported: Column) -> Column:
+    """A struct of priority, P1 to P5, and reason, by two decision lists: one for documents without a screening answer, one for those with."""
     allele = reported.isin("specific_alleles_named", "variants_reported_not_named") | named
     rare = kind == "rare_coding_or_splice"
-    without = first_match([(body_alleles, "P2"), (named & open_text, "P4"), (named, "P3"), (mentions >= 3, "P3"), (in_abstract & error, "P3")], "P4")
-    answered = first_match(
-        [
-            (human == "no", "P5"), (review, "P4"), (kind.isin("common_snp_association", "somatic_cancer"), "P4"), (kind == "engineered_mutation", "P3"), ((functional == "yes") & rare, "P1"),
-            (allele & rare & (cohort == "yes"), "P1"), (allele & rare, "P2"), ((functional == "yes") | allele, "P3"), (cohort == "yes", "P2"), (human == "yes", "P3"),
-        ],
-        "P4",
-    )
-    return F.when(screened, answered).otherwise(without)
+    tests = {
+        "body_alleles": body_alleles, "named_open": named & open_text, "named": named, "discussed": mentions >= 3, "unfinished": in_abstract & error, "out_of_reach": ~open_text & ~in_abstract,
+        "other_gene": human == "no", "review": review, "common": kind == "common_snp_association", "somatic": kind == "somatic_cancer", "engineered": kind == "engineered_mutation", "rare_tested": (functional == "yes") & rare,
+        "rare_cohort": allele & rare & (cohort == "yes"), "rare": allele & rare, "some": (functional == "yes") | allele, "cohort": cohort == "yes", "about": human == "yes",
+    }
+    told = lambda p, r: F.struct(F.lit(p).alias("priority"), F.lit(r).alias("reason"))
+    pick = lambda rules: first_match([(F.coalesce(tests[t], F.lit(False)), told(p, r)) for t, p, r in rules[:-1]], told(*rules[-1][1:]))
+    return F.when(screened, pick(SCREENED)).otherwise(pick(UNSCREENED))
+
+
+def priority(*args: Column, **named: Column) -> Column:
+    """P1 to P5 alone."""
+    return judged(*args, **named)["priority"]
 
 
 def quote_found(text: Column, quote: Column, least: int = 8) -> Column:

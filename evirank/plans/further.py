@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evirank.functions import text as TX
 from evirank.operators import assembly as AS
+from evirank.operators import evidence as EV
 from evirank.operators import identity as ID
 from evirank.plans.more import _SEQ, _STATUS, resolved_parts
 from evirank.plans.star import _state_sql, decision_log, read
 from evirank.profile import Profile
 from evirank.sources import journal as JO
+from evirank.sources import records as RE
 from evirank.sources import requests as RQ
 from evirank.sources import sequences as SE
 from evirank.storage import shared_path
@@ -219,3 +222,47 @@ def profiled_parts(spark, sf_dir):
     mechanism = F.when(F.col("p_partkey") % 4 == 0, "loss").when(F.col("p_partkey") % 4 == 1, "mixed").otherwise("unknown")
     out = small_profile().scored(part, "novel", inputs, cls, mechanism, F.lit(None).cast("double"), F.when(size > 25, 1.0).otherwise(0.5), F.lit(False))
     return out.select("p_partkey", "gate_key", "gate", *(F.round(c, 6).alias(c) for c in ("disease", "mechanism_before", "mechanism", "editability", "composite")))
+
+
+# ---- evidence, notations and replies -------------------------------------------------------------------------------
+
+@query("""SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN p_size > 40 THEN 'scope=fail' WHEN r = '' THEN 'mechanical=pass' ELSE array_to_string(list_transform(string_split(r, ','), lambda x: x || '=fail'), ',') END AS checks,
+  CASE WHEN p_size > 40 THEN 'allele outside declared consequence scope' ELSE r END AS reasons, CASE WHEN p_size > 40 OR r <> '' THEN 'rejected' ELSE 'mechanically_valid' END AS host_state
+FROM (SELECT *, concat_ws(',', CASE WHEN l_discount > 0.07 THEN 'citation_location' END, CASE WHEN l_tax > 0.06 THEN 'identity_decision' END) AS r FROM lineitem) JOIN part ON p_partkey = l_partkey""")
+def scoped_states(spark, sf_dir):
+    """Checked links, of which those to large parts lie out of scope."""
+    reasons = F.array_compact(F.array(F.when(F.col("l_discount") > 0.07, "citation_location"), F.when(F.col("l_tax") > 0.06, "identity_decision")))
+    links = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_partkey").alias("variant_id"), reasons.alias("reasons"))
+    links = links.withColumn("host_state", F.when(F.size("reasons") > 0, "rejected").otherwise("mechanically_valid"))
+    out = EV.scoped_checks(links, read(spark, sf_dir, "part").where("p_size > 40").select(F.col("p_partkey").alias("variant_id")))
+    told = F.array_join(F.transform(F.array_sort(F.map_entries("checks")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", told.alias("checks"), F.array_join("reasons", ",").alias("reasons"), "host_state")
+
+
+@query("""WITH w AS (SELECT doc_id, n_chars, coalesce(text, '') AS text FROM documents)
+SELECT doc_id, 'c.' || n_chars || 'A>G' || CASE WHEN doc_id % 2 = 0 THEN ',c.' || (n_chars + 1) || '_' || (n_chars + 2) || 'delAG' ELSE '' END AS notations, 'NM_' || doc_id || '.1' AS transcripts FROM w WHERE NOT regexp_matches(text, '[cp]\.')""")
+def transcript_notations(spark, sf_dir):
+    """Notations that are put into the texts of documents, with references and blanks, and read out again."""
+    texts = read(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike(r"[cp]\."))
+    n = F.col("n_chars").cast("string")
+    noted = F.concat(F.coalesce("text", F.lit("")), F.lit(" NM_"), F.col("doc_id").cast("string"), F.lit(".1 : c."), n, F.lit("A &#62; G/+ / p.(Arg"), n, F.lit("Ter) "))
+    noted = F.concat(noted, F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("; c."), (F.col("n_chars") + 1).cast("string"), F.lit("del&nbsp;AG."))).otherwise(""))
+    found = texts.select("doc_id", TX.cleaned_notations(noted).alias("f"))
+    return found.select("doc_id", F.array_join(F.transform("f", lambda x: x["notation"]), ",").alias("notations"), F.array_join(F.array_compact(F.transform("f", lambda x: x["transcript"])), ",").alias("transcripts"))
+
+
+@query("""WITH c AS (SELECT l_partkey, l_suppkey, CAST(sum(l_linenumber) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS ea, CAST(sum(l_quantity) FILTER (WHERE l_returnflag = 'A') AS BIGINT) AS en, bool_or(l_tax > 0.07) AS bad, CAST(sum(l_linenumber) FILTER (WHERE l_returnflag <> 'A') AS BIGINT) AS ga, CAST(sum(l_quantity) FILTER (WHERE l_returnflag <> 'A') AS BIGINT) AS gn FROM lineitem GROUP BY 1, 2),
+f AS (SELECT *, CASE WHEN bad OR en IS NULL THEN 0 ELSE ea END + coalesce(ga, 0) AS ac, CASE WHEN bad OR en IS NULL THEN 0 ELSE en END + coalesce(gn, 0) AS an FROM c)
+SELECT 'g' || l_partkey AS gene_id, l_suppkey AS pos, round(ac / nullif(CAST(an AS DOUBLE), 0), 9) AS frequency, CASE WHEN an = 0 THEN 'no_passing_call' END AS reason FROM f""")
+def population_frequencies(spark, sf_dir):
+    """Whole replies, one for each part, read back as frequencies of variants."""
+    line = read(spark, sf_dir, "lineitem")
+    exome, number = F.col("l_returnflag") == "A", lambda c: c.cast("bigint")
+    total = lambda c, t: number(F.sum(F.when(t, F.col(c))))
+    calls = line.groupBy("l_partkey", "l_suppkey").agg(total("l_linenumber", exome).alias("ea"), total("l_quantity", exome).alias("en"), F.bool_or(F.col("l_tax") > 0.07).alias("bad"), total("l_linenumber", ~exome).alias("ga"), total("l_quantity", ~exome).alias("gn"))
+    none = F.array().cast("array<string>")
+    call = lambda a, n, filters: F.when(F.col(n).isNotNull(), F.struct(F.col(a).alias("ac"), F.col(n).alias("an"), filters.alias("filters")))
+    variant = F.struct(F.col("l_suppkey").alias("pos"), call("ea", "en", F.when(F.col("bad"), F.array(F.lit("AC0"))).otherwise(none)).alias("exome"), call("ga", "gn", none).alias("genome"))
+    genes = calls.groupBy("l_partkey").agg(F.collect_list(variant).alias("variants"))  # the suppliers of one part
+    body = F.to_json(F.struct(F.struct(F.struct(F.concat(F.lit("g"), F.col("l_partkey").cast("string")).alias("gene_id"), F.col("variants")).alias("gene")).alias("data")))
+    return RE.population_variants(genes.select(body.alias("body"))).select("gene_id", "pos", F.round("frequency", 9).alias("frequency"), "reason")

@@ -495,20 +495,22 @@ def quote_check(spark, sf_dir):
     return found.unionAll(short).groupBy("item_id").agg(F.min("doc_id").alias("first_doc"), F.sum("times").alias("n_docs"))
 
 
-@query("""SELECT doc_id, CASE WHEN quality IS NULL THEN CASE WHEN n_chars % 11 = 0 THEN 'P2' WHEN n_chars % 5 = 0 AND n_chars > 2000 THEN 'P4' WHEN n_chars % 5 = 0 THEN 'P3' WHEN n_chars % 7 >= 3 THEN 'P3' ELSE 'P4' END
-  ELSE CASE WHEN toxic = 1 THEN 'P5' WHEN n_chars % 13 = 0 THEN 'P4' WHEN lang = 'fr' THEN 'P4' WHEN lang = 'de' THEN 'P3' WHEN n_chars % 3 = 0 AND lang = 'en' THEN 'P1' WHEN n_chars % 5 = 0 AND lang = 'en' AND quality = 1 THEN 'P1'
-    WHEN n_chars % 5 = 0 AND lang = 'en' THEN 'P2' WHEN n_chars % 3 = 0 OR n_chars % 5 = 0 THEN 'P3' WHEN quality = 1 THEN 'P2' ELSE 'P3' END END AS priority FROM documents LEFT JOIN labels USING (doc_id)""")
+@query("""SELECT doc_id, split_part(w, '|', 1) AS priority, split_part(w, '|', 2) AS reason FROM (SELECT doc_id, CASE WHEN quality IS NULL THEN CASE WHEN n_chars % 11 = 0 THEN 'P2|full text names variant(s) near the gene' WHEN n_chars % 5 = 0 AND n_chars > 2000 THEN 'P4|LitVar link not confirmed in full text'
+    WHEN n_chars % 5 = 0 THEN 'P3|LitVar links named variants; full text unavailable to confirm' WHEN n_chars % 7 >= 3 THEN 'P3|gene discussed in full text' WHEN n_chars % 2 = 0 AND doc_id % 3 = 0 THEN 'P3|gene in abstract; LLM screen not completed'
+    WHEN n_chars <= 2000 AND n_chars % 2 = 1 THEN 'P4|gene only outside the abstract and full text unavailable: not assessable' ELSE 'P4|incidental mention' END
+  ELSE CASE WHEN toxic = 1 THEN 'P5|not about the human gene' WHEN n_chars % 13 = 0 THEN 'P4|review/commentary: pointer only' WHEN lang = 'fr' THEN 'P4|common_snp_association: not germline rare-allele evidence' WHEN lang = 'de' THEN 'P3|engineered mutants: mechanism, not patient alleles'
+    WHEN n_chars % 3 = 0 AND lang = 'en' THEN 'P1|allele-level functional experiment on patient variants' WHEN n_chars % 5 = 0 AND lang = 'en' AND quality = 1 THEN 'P1|rare variants in patients/cohorts' WHEN n_chars % 5 = 0 AND lang = 'en' THEN 'P2|rare variants reported'
+    WHEN n_chars % 3 = 0 OR n_chars % 5 = 0 THEN 'P3|variants reported, class unclear' WHEN quality = 1 THEN 'P2|gene-level patient/cohort study (supplements may list alleles)' ELSE 'P3|gene-level mechanism/model study' END END AS w FROM documents LEFT JOIN labels USING (doc_id))""")
 def screening_priority(spark, sf_dir):
     j = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels"), "doc_id", "left")
     n, lang = F.col("n_chars"), F.col("lang")
     kind = RA.first_match([(lang == "fr", "common_snp_association"), (lang == "de", "engineered_mutation"), (lang == "en", "rare_coding_or_splice")], "none")
-    no = F.lit(False)
     given = F.when(F.col("toxic") == 1, "no").otherwise("yes")
-    p = LI.priority(
-        named=n % 5 == 0, body_alleles=n % 11 == 0, open_text=n > 2000, mentions=n % 7, in_abstract=no, error=no, screened=F.col("quality").isNotNull(), human=given, review=n % 13 == 0, kind=kind,
+    p = LI.judged(
+        named=n % 5 == 0, body_alleles=n % 11 == 0, open_text=n > 2000, mentions=n % 7, in_abstract=n % 2 == 0, error=F.col("doc_id") % 3 == 0, screened=F.col("quality").isNotNull(), human=given, review=n % 13 == 0, kind=kind,
         functional=F.when(n % 3 == 0, "yes").otherwise("no"), cohort=F.when(F.col("quality") == 1, "yes").otherwise("no"), reported=F.lit("none"),
     )
-    return j.select("doc_id", p.alias("priority"))
+    return j.select("doc_id", p.alias("p")).select("doc_id", "p.priority", "p.reason")
 
 
 @query("SELECT event_id, (TIMESTAMP '2024-02-01 00:00:00' - ts) <= INTERVAL 7 DAY AS hit FROM events")

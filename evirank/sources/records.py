@@ -248,3 +248,21 @@ def recorded_blobs(replies: DataFrame, order: str) -> DataFrame:
     named = replies.withColumn("digest", digest).withColumn("snapshot_id", F.concat(F.lit("snap_"), digest)).withColumn("file", F.concat(F.col("source"), F.lit("_"), F.substring(digest, 1, 16), ending))
     first = named.groupBy("snapshot_id").agg(F.min_by(F.struct(*named.columns), F.col(order)).alias("r"))
     return first.select("r.*")
+
+
+#: A population source's reply about one gene, as far as it is read.
+POPULATION = """struct<errors:array<struct<message:string>>,data:struct<gene:struct<gene_id:string,gnomad_constraint:struct<pli:double,oe_lof:double,oe_lof_lower:double,oe_lof_upper:double>,
+variants:array<struct<variant_id:string,pos:bigint,ref:string,alt:string,exome:struct<ac:bigint,an:bigint,filters:array<string>>,genome:struct<ac:bigint,an:bigint,filters:array<string>>>>>>>"""
+
+
+def population_variants(replies: DataFrame, body: str = "body") -> DataFrame:
+    """(gene_id, variant_id, pos, ref, alt, frequency, reason) of whole replies; a reply that reports errors, or has no gene, fails the job.
+
+    The frequency joins the calls that pass their filters; without one it is null, and the reason says so.
+    """
+    parsed = replies.select(F.from_json(body, POPULATION, {"mode": "FAILFAST"}).alias("r"))
+    wrong = F.when(F.size(F.coalesce("r.errors", F.array().cast("array<struct<message:string>>"))) > 0, F.concat(F.lit("invalid reply: "), F.substring(F.to_json("r.errors"), 1, 300))).when(F.col("r.data.gene").isNull(), F.lit("invalid reply: no gene"))
+    sound = parsed.where(F.when(wrong.isNotNull(), F.raise_error(wrong).cast("boolean")).otherwise(True))
+    each = sound.select(F.col("r.data.gene.gene_id").alias("gene_id"), F.explode("r.data.gene.variants").alias("v")).select("gene_id", "v.*")
+    frequency = joint_frequency(F.col("exome"), F.col("genome"))
+    return each.select("gene_id", "variant_id", "pos", "ref", "alt", frequency.alias("frequency"), F.when(frequency.isNull(), "no_passing_call").alias("reason"))

@@ -345,3 +345,69 @@ def test_anchors(spark):
     assert tuple(row) == (1.0, 0.8, 0.1, 0.2)
     with pytest.raises(Exception, match="unknown category"):
         df.select(flag.of(F.lit("maybe"))).collect()
+
+
+# ---- specs, notations, replies and scope ---------------------------------------------------------------------------
+
+
+def test_specs_are_typed():
+    from evirank import specs as SP
+
+    said = {"gene": "G1", "disease": {"input": "d"}, "routes": {"clinvar": True}, "mechanism_rule": {"clingen_hi_scores_for_lof": [3], "burden_max_p": "2.5e-6"}, "case_cohorts": {"s": {"disease_relationship": "exact"}}, "literature": {"screening": {"batch_size": 40}}}
+    made = SP.read_spec(SP.Request, said)
+    assert (made.flank, made.mechanism_rule.burden_max_p, made.literature.screening.batch_size, made.literature.screening.audit_seed, made.literature.deep_read.max_units_per_paper) == (2000, 2.5e-6, 40, 42, 15)
+    wrong = [
+        ({"gen": 1}, "unknown in the spec: gen"), ({"gene": 5}, "gene must be str"), ({"flank": True}, "flank must be int"), ({"flank": -1}, "negative"), ({"routes": {}}, "route"), ({"scope": {"allowed_consequences": ["a", 2]}}, r"allowed_consequences\[1\]"),
+        ({"disease": {}}, "missing in disease: input"), ({"case_cohorts": {"s": {"disease_relationship": "alike"}}}, "unknown: alike"), ({"literature": {"screening": {"audit_fraction": 2}}}, "audit_fraction"), ({"mechanism_rule": {"burden_max_p": "x"}}, "must be a number"),
+    ]
+    for change, message in wrong:
+        with pytest.raises(SP.SpecError, match=message):
+            SP.read_spec(SP.Request, {**said, **change})
+    sets = {"u": {"role": "primary", "readout": "r", "abnormal_max": -2, "normal_min": -1.5}, "v": {"role": "secondary", "readout": "q"}}
+    assert SP.read_spec(SP.Evaluation, {"run": "x", "score_sets": sets}).score_sets["u"].abnormal_max == -2.0
+    for change in ({"u": {**sets["u"], "role": "secondary"}}, {"v": {**sets["v"], "role": "primary"}}, {"u": {**sets["u"], "abnormal_max": 0}}, {"v": {**sets["v"], "normal_min": 0}}):
+        with pytest.raises(SP.SpecError):
+            SP.read_spec(SP.Evaluation, {"run": "x", "score_sets": {**sets, **change}})
+
+
+def test_notations_with_their_transcripts(spark):
+    from evirank.functions import text as TX
+
+    cases = {
+        "NM_014712.2 :c.3930_3940del CCCTGCGCCAG": [("c.3930_3940delCCCTGCGCCAG", "NM_014712.2")],
+        "c.1067C &gt; T/p.Ser356Phe": [("c.1067C>T", None)],
+        "NM_1:c.5A&#x3e;G; SETD1A: p.(Arg12&#42;); c.4582&#8211;2delAG/+": [("c.5A>G", "NM_1"), ("c.4582-2_4582-1delAG", None)],
+        "SETD1A:p.(Arg12Ter).": [("p.Arg12Ter", None)],
+        "p.Arg9 ∗/wt": [("p.Arg9*", None)],
+        "c.7G&amp;gt;A": [("c.7G&gt", None)],
+        "&#55296; &#99999999; nothing here": [],
+        "": [],
+    }
+    df = spark.createDataFrame([(i, k) for i, k in enumerate(cases)] + [(99, None)], "i int, t string")
+    got = {r["t"]: r["f"] for r in df.select("t", TX.cleaned_notations(F.col("t")).alias("f")).collect()}
+    assert {k: [tuple(x) for x in got[k]] for k in cases} == cases and got[None] is None
+
+
+def test_population_replies(spark):
+    import json
+
+    from evirank.sources import records as RE
+
+    call = lambda ac, an, *filters: {"ac": ac, "an": an, "filters": list(filters)}
+    gene = {"gene_id": "ENSG1", "variants": [{"variant_id": "a", "pos": 5, "exome": call(1, 100), "genome": call(3, 100)}, {"variant_id": "b", "pos": 6, "exome": call(1, 100, "AC0"), "genome": call(2, 50)}, {"variant_id": "c", "pos": 7, "exome": call(1, 100, "AC0"), "genome": None}, {"variant_id": "d", "pos": 8, "genome": call(0, 0)}]}
+    read = lambda body: {r["variant_id"]: (r["frequency"], r["reason"]) for r in RE.population_variants(spark.createDataFrame([(json.dumps(body),)], "body string")).collect()}
+    assert read({"data": {"gene": gene}}) == {"a": (0.02, None), "b": (0.04, None), "c": (None, "no_passing_call"), "d": (None, "no_passing_call")}
+    for wrong in ({"errors": [{"message": "Gene not found"}], "data": {"gene": None}}, {"data": {"gene": None}}):
+        with pytest.raises(Exception, match="invalid reply"):
+            read(wrong)
+
+
+def test_links_out_of_scope_are_judged_by_scope_alone(spark):
+    from evirank.operators import evidence as EV
+
+    links = spark.createDataFrame([("a", "v1", [], "mechanically_valid"), ("b", "v1", ["claim_scope"], "rejected"), ("c", "v2", ["claim_scope", "identity_decision"], "rejected"), ("d", "v3", [], "mechanically_valid"), ("e", None, [], "mechanically_valid")], "link_id string, variant_id string, reasons array<string>, host_state string")
+    gone = spark.createDataFrame([("v1",), ("v1",), (None,)], "variant_id string")
+    out = {r["link_id"]: (r["checks"], r["reasons"], r["host_state"]) for r in EV.scoped_checks(links, gone).collect()}
+    assert out["a"] == out["b"] == ({"scope": "fail"}, [EV.OUT_OF_SCOPE], "rejected")
+    assert out["c"] == ({"claim_scope": "fail", "identity_decision": "fail"}, ["claim_scope", "identity_decision"], "rejected")
+    assert out["d"] == out["e"] == ({"mechanical": "pass"}, [], "mechanically_valid") and len(out) == 5
