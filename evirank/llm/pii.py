@@ -2,16 +2,17 @@
 
 Four patterns find protected values (email, ip, card, phone). Entities are these values and what they belong to: the domain of an
 address, the network of an ip, the issuer of a card, the prefix of a phone number. Every word of a text that holds an entity is a term that may
-reveal it. All counts are of distinct texts, so copies count once: N texts, n(e) with an entity, n(t) with a term, n(e, t) with
-both. The share of the entity among the texts of the term is smoothed by PRIOR texts at the entity's base rate,
-p = (n(e,t) + PRIOR n(e) / N) / (n(t) + PRIOR). The pointwise mutual information log2(p N / n(e)), as a share of the entity's
-information content log2(N / n(e)), is the term's disclosure: 1 means that the term gives the entity away. Every pair is
-judged. From GENERALISE on a term becomes a placeholder wherever it stands in texts with the entity; from REMOVE on it
-is cut out of all texts, since it gives the entity away by itself.
+reveal it. All counts are of distinct texts, so copies count once: n(e) with an entity, n(t) with a term, n(e, t) with both. A text is no
+proof of what it gives away itself, so a term is judged in each text by the others: of the n(t) - 1 other texts with the term, n(e, t) - 1 hold the entity,
+and its disclosure is the lower end of the one-sided confidence interval (Wilson's, 95 %) of that share, the probability of the entity given the term
+that the corpus vouches for. Minus its binary logarithm are the bits about the entity that the term leaves open. From GENERALISE on (1 bit open) a term becomes a placeholder wherever it
+stands in texts with the entity; from REMOVE on (about a quarter bit) it is cut out of all texts, since it gives the entity away by itself. A word that
+met the entity once, or a few times by chance, stays. Every pair that can disclose is judged.
 
 Entities that stand in just the same texts have the same counts with every term and are judged as one, so a text with many values does not
-pair each of them with each of its words. A pair can only reach GENERALISE if n(t) is at most a bound in n(e) and
-N, so more frequent terms, which disclose no entity of the text, are left out of the pairs; nothing else is. Only words of texts with entities are ever
+pair each of them with each of its words. A pair can only reach GENERALISE if n(e, t) is at least LEAST, which the interval alone fixes, and n(t) at most a bound
+in n(e). So entities and terms of fewer texts with entities than LEAST are left out before anything is paired, and more frequent terms, which disclose no entity of the text,
+are left out of the pairs; nothing else is. A list of very many addresses pairs its words with what they belong to, not with each of them. Only words of texts with entities are ever
 written; n(t) is one aggregate over the words of all rows, less what copies add. A frequent entity or term is never gathered into one row or one task:
 texts stay rows, counts are combined before they are shuffled, and what meets very many rows is sent to them.
 
@@ -22,13 +23,18 @@ are dropped by spans() and kept, whatever their names, by sanitised().
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evirank.llm.common import few, fresh, joined, key_of, texts_of, written
 
 KINDS = ("email", "ip", "card", "phone")
-PRIOR, GENERALISE, REMOVE, BLOCK = 1.0, 0.6, 0.9, 256
+GENERALISE, REMOVE, BLOCK = 0.5, 0.85, 256
+#: Square of the normal quantile of a one-sided interval of 95 %, and the fewest joint texts whose lower end reaches GENERALISE if no other text has the term.
+Z2 = 1.6449**2
+LEAST = math.ceil(GENERALISE * Z2 / (1 - GENERALISE)) + 1
 #: A match begins where a run of its first characters begins or where the last match ended, so no run is tried twice.
 _PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -164,19 +170,22 @@ def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return found.select("doc_id", F.xxhash64("text").alias("text_key"), "base", entities.alias("entities"))
 
 
-def _disclosure(n_e: Column, n_et: Column, n_t: Column, total: Column) -> Column:
-    share = (n_et + PRIOR * n_e / total) / (n_t + PRIOR)
-    return F.log2(share * total / n_e) / F.greatest(F.log2(total / n_e), F.lit(1e-9))
+def _disclosure(n_et: Column, n_t: Column) -> Column:
+    """The lower end of the interval of (n_et - 1) of (n_t - 1); 0 without other texts."""
+    n = (n_t - 1).cast("double")
+    share = (n_et - 1) / n
+    low = (share + Z2 / (2 * n) - math.sqrt(Z2) * F.sqrt(share * (1 - share) / n + Z2 / (4 * n * n))) / (1 + Z2 / n)
+    return F.when(n > 0, low).otherwise(0.0)
 
 
-def held_entities(scanned: DataFrame, total: Column) -> DataFrame:
-    """(text_key, entity, n_e, most) in storage: one entity for all that stand in the same texts; most is the largest n(t) at which n(e, t) = n(e) still
-    gives GENERALISE, and a little more for rounding."""
+def held_entities(scanned: DataFrame) -> DataFrame:
+    """(text_key, entity, n_e, most) in storage: one entity for all that stand in the same texts, if these are LEAST at least; most is the largest n(t) at which
+    n(e, t) = n(e) can still give GENERALISE, and a little more for rounding: the interval's end lies below the share."""
     holds = scanned.where(F.size("entities") > 0).select("text_key", "entities").dropDuplicates(["text_key"]).select("text_key", F.explode("entities").alias("entity"))
     holds = written(holds, "pii-holds")
     of_entity = holds.groupBy("entity").agg(F.count("*").alias("n_e"), F.bit_xor("text_key").alias("s1"), F.sum(F.pmod(F.xxhash64("text_key"), F.lit(1 << 31))).alias("s2"))
-    alike = written(of_entity.groupBy("n_e", "s1", "s2").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "pii-entities")
-    most = (F.col("n_e") * (1 + F.lit(PRIOR) / total) * F.pow(total / F.col("n_e"), F.lit(1 - GENERALISE)) - PRIOR) * (1 + 1e-9)
+    alike = written(of_entity.where(F.col("n_e") >= LEAST).groupBy("n_e", "s1", "s2").agg(F.min("entity").alias("entity")).select("entity", "n_e"), "pii-entities")
+    most = ((F.col("n_e") - 1) / GENERALISE + 1) * (1 + 1e-9)
     return written(joined(holds, alike, ["entity"], "n_e").withColumn("most", most), "pii-held")
 
 
@@ -192,18 +201,17 @@ def term_counts(documents: DataFrame, scanned: DataFrame, wanted: DataFrame, tex
 
 def flagged_terms(documents: DataFrame, scanned: DataFrame, text_col: str = "text") -> DataFrame:
     """(text_key, term, d): each flagged term of each distinct text, with its largest disclosure there."""
-    total = F.lit(float(max(scanned.select("text_key").distinct().count(), 2)))
-    held = held_entities(scanned, total)
+    held = held_entities(scanned)
     of_text = written(held.groupBy("text_key").agg(F.max("most").alias("text_most")), "pii-texts")
     words = written(texts_of(documents, of_text, text_col).select("text_key", _terms(F.col("text")).alias("term")).where("term <> ''"), "pii-words")
-    inside = written(words.groupBy("term").agg(F.count("*").alias("n")), "pii-inside")
+    inside = written(words.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") >= LEAST), "pii-inside")
     counts = term_counts(documents, scanned, inside.select("term"), text_col).join(inside, "term")
     top = held.agg(F.max("most")).first()[0] or 0.0
     counts = written(counts.where(F.col("n_t") <= top), "pii-counts")
     beside = joined(words, counts, ["term"], "n").join(of_text, "text_key").where(F.col("n_t") <= F.col("text_most")).select("text_key", "term", "n_t")
-    pairs = written(beside.join(held, "text_key").where(F.col("n_t") <= F.col("most")).select("text_key", "entity", "term", "n_t", "n_e"), "pii-pairs")
-    judged = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_t").alias("n_t"), F.max("n_e").alias("n_e"))
-    judged = judged.withColumn("d", _disclosure(F.col("n_e"), F.col("n_et"), F.col("n_t"), total)).where(F.col("d") >= GENERALISE)
+    pairs = written(beside.join(held, "text_key").where(F.col("n_t") <= F.col("most")).select("text_key", "entity", "term", "n_t"), "pii-pairs")
+    judged = pairs.groupBy("entity", "term").agg(F.count("*").alias("n_et"), F.max("n_t").alias("n_t"))
+    judged = judged.withColumn("d", _disclosure(F.col("n_et"), F.col("n_t"))).where(F.col("d") >= GENERALISE)
     judged = written(judged.select("entity", "term", "n_et", "n_t", "d"), "pii-flagged")
     own = joined(pairs.select("text_key", "entity", "term"), judged.select("entity", "term", "n_et", "d"), ["entity", "term"], "n_et").select("text_key", "term", "d")
     # terms that tell by themselves and that also stand in texts without the entity

@@ -222,16 +222,18 @@ def test_pii_terms_that_disclose(spark):
 
 
 def test_pii_rare_entities_and_copies(spark):
+    """A text alone proves nothing, nor do its copies; other texts do."""
     ship(spark)
     common = ["about", "house", "river", "green", "walks"]
     rng = random.Random(8)
     rows = [(i, " ".join(rng.choice(common) for _ in range(20))) for i in range(200)]
-    rows += [(300, "green ringleader a@solo.org house")]  # one text is all there is of this entity
-    rows += [(400 + i, f"{i} godfather b@many.org river") for i in range(3)] + [(500 + i, "walks godfather house") for i in range(300)]  # 300 copies of one text
+    rows += [(300 + i, "green bystander a@solo.org house") for i in range(50)]  # one text, whatever its copies
+    rows += [(400 + i, f"{i} godfather b@many.org river") for i in range(8)] + [(500 + i, "walks godfather house") for i in range(300)]  # 300 copies of one text
+    rows += [(900 + i, f"{i} passer c@few.org river") for i in range(3)] + [(950 + i, f"{i} often d@other.org") for i in range(9)] + [(980 + i, f"often {i} walks") for i in range(12)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
-    assert "ringleader" not in clean[300] and "green" in clean[300]
-    assert all("godfather" not in clean[400 + i] and "river" in clean[400 + i] for i in range(3)) and clean[0] == rows[0][1]
+    assert clean[300] == "green bystander [EMAIL] house" and clean[900] == "0 passer [EMAIL] river" and clean[950] == "0 often [EMAIL]"
+    assert all(clean[400 + i] == f"{i} [TERM] [EMAIL] river" for i in range(8)) and clean[0] == rows[0][1] and clean[500] == "walks godfather house"
 
 
 def test_pii_terms_anywhere_in_a_text(spark):
@@ -240,14 +242,22 @@ def test_pii_terms_anywhere_in_a_text(spark):
     rng = random.Random(9)
     far = " ".join(rng.choice(common) for _ in range(60))  # over 100 characters to both sides
     rows = [(i, " ".join(rng.choice(common) for _ in range(20 + i % 7))) for i in range(400)]
-    rows += [(500 + i, f"İİ Kingpin {i} {far} boss@corp.com {far} kingpin") for i in range(12)]
+    rows += [(500 + i, f"İİ Kingpin {i} {far} boss@corp.com {far} kingpin") for i in range(40)]
     rows += [(600, "walks kingpin house"), (601, None), (602, "river kingpins")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     clean = {r["doc_id"]: r["text"] for r in pii.sanitised(df).collect()}
-    assert all("kingpin" not in clean[500 + i].lower() and far in clean[500 + i] for i in range(12))
+    assert all("kingpin" not in clean[500 + i].lower() and far in clean[500 + i] for i in range(40))
     assert clean[600] == "walks  house" and clean[601] is None and clean[602] == "river kingpins" and clean[0] == rows[0][1]
 
 
+def test_pii_of_a_long_list(spark):
+    """Every address of a list stands in one text; only their domain can be told by words, and only from other texts."""
+    ship(spark)
+    rows = [(0, " ".join(f"member{i} m{i}@club.org" for i in range(2000)))] + [(1 + i, f"treasurer {i} t{i}@club.org and river{i}") for i in range(9)] + [(50 + i, f"river{i} house and about") for i in range(9)]
+    out = {r["doc_id"]: r["spans"] for r in pii.digests(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert out[0].count("email:") == 2000 and "term:" not in out[0] and all(out[1 + i].startswith("term:0:9,") and out[1 + i].count(":") == 4 for i in range(9)) and not out[50]
+
+
 def test_redaction_of_spans_inside_spans(spark):
     ship(spark)
     address = "-".join(f"10.0.0.{i}" for i in range(12)) + "@host.com"
@@ -261,14 +271,24 @@ def test_redaction_of_spans_inside_spans(spark):
 
 
 def test_pii_terms_on_the_tables(spark):
-    """Co-occurrence adds spans on the tables, and base spans stay."""
-    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    out = pii.digests(documents).collect()
-    added = [r for r in out if "term:" in r["spans"] or "remove:" in r["spans"]]
-    assert len(out) == documents.count() and added
+    """Terms take little of the texts that hold values, base spans stay, and terms planted in them are found."""
+    ship(spark)
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    plant = F.concat(F.lit("Zorblax "), F.col("text"), F.lit(" wrote zorblax@zorbcorp.example, "), F.col("doc_id").cast("string"))
+    rows = documents.withColumn("text", F.when(F.col("doc_id") % 100 == 7, plant).otherwise(F.col("text")))
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    out = pii.digests(rows).collect()
+    taken = total = 0
     for r in out:
-        base = ",".join(s for s in r["spans"].split(",") if s and s.split(":")[0] in pii.KINDS)
+        spans = [s.split(":") for s in r["spans"].split(",") if s]
+        base = ",".join(":".join(s) for s in spans if s[0] in pii.KINDS)
         assert hashlib.sha256(base.encode()).hexdigest() == r["base_sha256"]
+        if base:
+            taken += sum(int(e) - int(a) for k, a, e in spans if k not in pii.KINDS)
+            total += len(texts[r["doc_id"]])
+        if r["doc_id"] % 100 == 7:
+            assert ["term", "0", "7"] in spans
+    assert len(out) == len(texts) and total and taken < 0.05 * total
 
 
 def test_pages(spark):
