@@ -89,6 +89,28 @@ def test_quality(spark):
     assert 0.76 < prior < 0.86
 
 
+def test_quality_statistics_cover_all_rows(spark, monkeypatch):
+    """Beyond the rows that the network begins with, prior, scales and risk still see every row."""
+    ship(spark)
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice(["tree", "House,", "river", "of", "the", "Walks."]) for _ in range(rng.randint(5, 80)))
+    junk = lambda: " | ".join(rng.choice(["BUY!!", "X$$$", "nav"]) for _ in range(rng.randint(5, 60)))
+    rows = [(i, junk() if i % 4 == 0 else good()) for i in range(1200)] + [(5, "repeated row"), (5, "repeated row"), (None, "no id"), (7000, None), (7001, ""), (7002, "long " * 50_000)]
+    d = spark.createDataFrame([(i, t, 0.1, [1.0]) for i, t in rows], "doc_id bigint, text string, score double, x array<double>").repartition(5)
+    y = spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(0, 1200, 2)], "doc_id bigint, quality int, toxic int")
+    monkeypatch.setattr(quality, "START", 150)
+    measures = quality.measured(d)
+    plain = np.array([quality.Shapes().measure(t or "") for _, t in rows])
+    network, prior = quality.train(d, y, common.crc_of_id() % 4 == 2, measures)
+    assert np.allclose(network.mean, plain.mean(0)) and np.allclose(network.scale, plain.std(0), atol=1e-5) and 0.6 < prior < 0.9
+    half = measures.withColumn("half", F.lit(0))
+    assert np.allclose(quality._summed(half, lambda x, h: x.sum(0)), plain.sum(0))
+    out = quality.classify(d, y).collect()
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
+    assert np.mean([r["predicted"] == int(r["doc_id"] % 4 != 0) for r in out if r["doc_id"] is not None and r["doc_id"] < 1200]) > 0.95
+    assert len({r["score"] for r in out if r["doc_id"] in (7000, 7001)}) == 1 and quality.classify(d.limit(0), y).count() == 0
+
+
 @pytest.mark.parametrize("n", [4001, 6000, 7999, 8000, 30001])
 def test_quality_reads_every_character(n):
     text = "".join("aB"[i % 2] for i in range(n))  # a stride of two would see one case only
