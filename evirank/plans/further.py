@@ -240,7 +240,7 @@ def scoped_states(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT doc_id, n_chars, coalesce(text, '') AS text FROM documents)
-SELECT doc_id, 'c.' || n_chars || 'A>G' || CASE WHEN doc_id % 2 = 0 THEN ',c.' || (n_chars + 1) || '_' || (n_chars + 2) || 'delAG' ELSE '' END AS notations, 'NM_' || doc_id || '.1' AS transcripts FROM w WHERE NOT regexp_matches(text, '[cp]\.')""")
+SELECT doc_id, 'c.' || n_chars || 'A>G' || CASE WHEN doc_id % 2 = 0 THEN ',c.' || (n_chars + 1) || '_' || (n_chars + 2) || 'delAG' ELSE '' END AS notations, 'NM_' || doc_id || '.1' AS transcripts FROM w WHERE NOT regexp_matches(text, '[cp][.]')""")
 def transcript_notations(spark, sf_dir):
     """Notations that are put into the texts of documents, with references and blanks, and read out again."""
     texts = read(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike(r"[cp]\."))
