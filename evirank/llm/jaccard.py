@@ -28,12 +28,14 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evirank.llm.common import components, distinct_texts, extended, few, joined, repeated_texts, written
 
 WIDTH, PERCENT, BLOCK_ROWS, FANOUT, SHARE, TREE_WIDTH = 5, 75, 2_000, 8, 4, 64
+PIECE_CELLS, SLICES = 1 << 14, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -259,7 +261,12 @@ def _signed(h: np.ndarray) -> np.ndarray:
 
 def levels_of(texts: DataFrame, text_col: str = "text", cells: int = 1 << 18, width: int = WIDTH) -> bytes:
     """Compressed bytes, one for each cell of a hash sketch of all shingle counts: 0 where the count does not stand far above the mean, else
-    one and the whole binary logarithm of how many times over it does."""
+    one and the whole binary logarithm of how many times over it does.
+
+    Each counting task gives its sketch in pieces of at most PIECE_CELLS cells; there are about two such tasks a core, whatever the
+    corpus. Pieces are added up in two rounds, first in SLICES slices of the tasks, so that no group holds those of all tasks.
+    """
+    step = min(cells, PIECE_CELLS)
 
     def count(batches):
         total = np.zeros(cells, np.int64)
@@ -272,15 +279,24 @@ def levels_of(texts: DataFrame, text_col: str = "text", cells: int = 1 << 18, wi
                 if held and (n > cells or raw is None):
                     total += np.bincount(np.concatenate(held), minlength=cells)
                     held, n = [], 0
-        step = cells // 64
-        yield pa.RecordBatch.from_arrays([pa.array(range(64), pa.int32()), pa.array([total[i * step : (i + 1) * step].astype("<i8").tobytes() for i in range(64)], pa.binary())], ["part", "counts"])
-
-    def add(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        total = sum(np.frombuffer(x, "<i8") for x in rows["counts"])
-        return pd.DataFrame({"part": [key[0]], "counts": [total.tobytes()]})
-
-    parts = texts.select(F.col(text_col).cast("binary").alias("raw")).mapInArrow(count, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    total = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in sorted(parts)]) if parts else np.zeros(cells, np.int64)  # cells numbers, whatever the corpus
+        own = TaskContext.get().partitionId() % SLICES
+        for i in range(cells // step):
+            piece = total[i * step : (i + 1) * step]
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own], pa.int32()), pa.array([piece.astype("<i8").tobytes()], pa.binary())], ["part", "slice", "counts"])
+
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(step, np.int64)
+        for piece in rows["counts"]:
+            total += np.frombuffer(piece, "<i8")
+        return rows.head(1).assign(counts=[total.tobytes()])
+
+    kinds = "part int, slice int, counts binary"
+    dealt = texts.select(F.col(text_col).cast("binary").alias("raw")).coalesce(max(256, 2 * texts.sparkSession.sparkContext.defaultParallelism))
+    parts = dealt.mapInArrow(count, kinds).groupBy("part", "slice").applyInPandas(add, kinds).groupBy("part").applyInPandas(add, kinds).collect()
+    total = np.zeros(cells, np.int64)  # cells numbers, whatever the corpus
+    for r in parts:
+        total[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], "<i8")
     limit = total.mean() + 8 * math.sqrt(total.mean() + 1) + 24
     return zlib.compress(np.where(total > limit, 1 + np.floor(np.log2(np.maximum(total / limit, 1))), 0).astype(np.uint8).tobytes())
 

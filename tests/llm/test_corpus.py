@@ -381,6 +381,20 @@ def test_jaccard_ids_that_are_null_or_repeat(spark):
     assert got == sorted([(None, 36, 5), (5, 37, 5), (5, 36, 5), (7, 36, 5), (None, 0, None)], key=str)
 
 
+def test_jaccard_levels_of_all_tasks(spark, docs):
+    """The sketch is that of all texts, in however many tasks and pieces it was counted."""
+    texts = [t for _, t, *_ in docs] + hub(random.Random(8))
+    frames = spark.createDataFrame([(t,) for t in texts], "text string").repartition(jaccard.SLICES + 5)
+    cells = 2 * jaccard.PIECE_CELLS
+    total = np.zeros(cells, np.int64)
+    for t in texts:
+        np.add.at(total, (jaccard.all_shingles((t or "").encode()) & np.uint64(cells - 1)).astype(np.int64), 1)
+    limit = total.mean() + 8 * np.sqrt(total.mean() + 1) + 24
+    got = np.frombuffer(zlib.decompress(jaccard.levels_of(frames, cells=cells)), np.uint8)
+    assert np.array_equal(got, np.where(total > limit, 1 + np.floor(np.log2(np.maximum(total / limit, 1))), 0)) and got.any()
+    assert not np.frombuffer(zlib.decompress(jaccard.levels_of(frames.limit(0), cells=cells)), np.uint8).any()
+
+
 def brute_pairs(bucket, node, n, at, component, points):
     out = set()
     for i in range(len(n)):
