@@ -11,7 +11,7 @@ members (the least node and the one with most shared keys), which settles most g
 members still span several components is a count-vector R-tree of these, loaded by size band; a tree is joined with itself from the root down, and a pair of boxes is left out
 when sizes or summed coordinate minima rule out a link, or when all its members are in one component. Leaves are swept pair by pair. Every pair
 across components that the bounds leave is verified. Buckets of more than SHARE rows first give a share of their pairs, which joins most of their
-components, then all that are left; pairs within a component are never emitted. Buckets over BLOCK_ROWS are trees of blocks and of pairs of blocks.
+components, then the others across components; no pair is tried twice in a bucket, and pairs within a component are never emitted. Buckets over BLOCK_ROWS are trees of blocks and of pairs of blocks.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than the shingle width are
 one shingle; repeated rows and equal texts share a component; ids may be null or repeat with other texts; an empty table gives no rows; extra
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.common import components, distinct_texts, extended, few, joined, repeated_texts, written
+from evirank.llm.common import SMALL_IDS, components, distinct_texts, extended, few, joined, key_of, repeated_texts, written
 
 WIDTH, PERCENT, BLOCK_ROWS, FANOUT, SHARE, TREE_WIDTH = 5, 75, 2_000, 8, 4, 64
 PIECE_CELLS, SLICES = 1 << 14, 64
@@ -224,20 +224,21 @@ def cells_of(hashes: np.ndarray) -> bytes:
     return count.astype(np.uint8 if count.max(initial=0) < 256 else "<u4").tobytes()
 
 
-def tree_pairs(rows: dict[str, np.ndarray], cells: list[bytes], share: bool, percent: int = PERCENT, stats: dict | None = None) -> np.ndarray:
+def tree_pairs(rows: dict[str, np.ndarray], cells: list[bytes], share: bool, percent: int = PERCENT, stats: dict | None = None, rest: bool = False, each: int = SHARE) -> np.ndarray:
     """Pairs (least node first) across components that the trees of many buckets leave; rows are sorted by (bucket, n, node).
 
     rows: bucket, node, n, at, component, m (the bucket's size) and own and cross, which say that only pairs across sides count. share: of a
-    bucket of more than SHARE members only some pairs, by a hash of both, about SHARE for each two members.
+    bucket of more than `each` members only some pairs, by a hash of both, about `each` for each two members. rest: the pairs that share leaves out.
     """
     node, n, at, component, m, own, cross = (rows[c] for c in ("node", "n", "at", "component", "m", "own", "cross"))
     forest = CountForest(rows["bucket"], n, component, matrix_of(cells))
     found: list[np.ndarray] = []
     for a, b in forest.pairs(percent):
         ok = (component[a] != component[b]) & (node[a] != node[b]) & (~cross[a] | (own[a] != own[b])) & _may_link(n, at, a, b, percent)
-        if share:
-            step = np.maximum(1, -(-m[a] // SHARE))
-            ok &= (_mix(node[a].view(np.uint64) ^ _mix(node[b].view(np.uint64))) % step.astype(np.uint64) == 0)
+        if share or rest:
+            x, y = (f(node[a], node[b]).view(np.uint64) for f in (np.minimum, np.maximum))
+            step = np.maximum(1, -(-m[a] // each))
+            ok &= (_mix(x ^ _mix(y)) % step.astype(np.uint64) == 0) == share
         x, y = node[a[ok]], node[b[ok]]
         if len(x):
             found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
@@ -336,8 +337,8 @@ def nodes(texts: DataFrame, levels: bytes, width: int = WIDTH, percent: int = PE
 _SETS = "node bigint, hashes binary"
 
 
-def node_sets(texts: DataFrame, of_node: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The sets of some nodes, worked out again from the text that stands for each."""
+def node_sets(documents: DataFrame, repeated: DataFrame, of_node: DataFrame, wanted: DataFrame, text_col: str, width: int) -> DataFrame:
+    """The sets of some nodes, worked out again from the text that stands for each; copies of other texts are not touched while the keys are few."""
 
     def run(batches):
         for batch in batches:
@@ -349,7 +350,13 @@ def node_sets(texts: DataFrame, of_node: DataFrame, wanted: DataFrame, width: in
             yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array(sets, pa.binary())], ["node", "hashes"])
 
     chosen = written(of_node.select("node", "text_key").join(wanted.distinct(), "node"), "jaccard-chosen")
-    return texts.select("text_key", F.col("text").cast("binary").alias("raw")).join(few(chosen), "text_key").select("node", "raw").mapInArrow(run, _SETS)
+    texts = documents.select(F.col(text_col).alias("text"))
+    if chosen.count() <= SMALL_IDS:
+        near = texts.withColumn("text_key", key_of(F.col("text"))).join(F.broadcast(chosen.select("text_key")), "text_key", "left_semi")
+        texts = distinct_texts(near.select("text"), repeated).join(F.broadcast(chosen), "text_key")
+    else:
+        texts = distinct_texts(texts, repeated).join(chosen, "text_key")
+    return texts.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(run, _SETS)
 
 
 def _two_sided(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -394,7 +401,11 @@ def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def tree_candidates(sized: DataFrame, of_node: DataFrame, share: bool, percent: int) -> DataFrame:
-    """Pairs across components that the trees of the open buckets (key, node, n, at, component, m) leave, each pair once."""
+    """Pairs across components that the trees of the open buckets (key, node, n, at, component, m) leave, each pair once: a share of those of
+    each bucket, or all that are not of that share, which only buckets of more than SHARE members have."""
+    each = SHARE
+    if not share:
+        sized = sized.where(F.col("m") > each)
 
     def search(frames):
         held: list[pd.DataFrame] = []
@@ -405,7 +416,7 @@ def tree_candidates(sized: DataFrame, of_node: DataFrame, share: bool, percent:
             rows = {c: whole[c].to_numpy() for c in ("node", "n", "at", "component", "m", "own")}
             rows["bucket"] = whole.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
             rows["cross"] = (whole["i"] != whole["j"]).to_numpy()
-            return pd.DataFrame(tree_pairs(rows, whole["cells"].tolist(), share, percent), columns=["a", "b"], dtype="int64")
+            return pd.DataFrame(tree_pairs(rows, whole["cells"].tolist(), share, percent, rest=not share, each=each), columns=["a", "b"], dtype="int64")
 
         for frame in frames:
             held.append(frame)
@@ -479,7 +490,8 @@ def star_pairs(rows: DataFrame, least: DataFrame, percent: int) -> DataFrame:
 def link_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """(doc_id, text_key, n_shingles, component) of each row of documents; component names a class of linked sets and is null for empty sets."""
     cells = 1 << min(24, max(16, math.ceil(math.log2(max(documents.count(), 2)))))
-    texts = distinct_texts(documents, repeated_texts(documents, text_col), text_col)
+    repeated = repeated_texts(documents, text_col)
+    texts = distinct_texts(documents, repeated, text_col)
     table = written(nodes(texts, levels_of(documents, text_col, cells, width), width, percent), "jaccard-nodes")  # copies may count, since levels decide cost only
     # one text stands for each set; the list of the others is sent around only while it is short
     known = table.where("node is not null")
@@ -490,14 +502,14 @@ def link_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def linked(candidates: DataFrame) -> DataFrame | None:
         candidates = written(candidates, "jaccard-candidates")
-        return None if candidates.isEmpty() else written(verified(candidates, node_sets(texts, of_node, ends(candidates), width), percent), "jaccard-links")
+        return None if candidates.isEmpty() else written(verified(candidates, node_sets(documents, repeated, of_node, ends(candidates), text_col, width), percent), "jaccard-links")
 
     least = picked(rows, F.col("node"), "jaccard-least")
     links = linked(bounded(star_pairs(rows, least, percent), of_node, percent))
     labels = written(components(links), "jaccard-labels") if links is not None else rows.sparkSession.createDataFrame([], "id bigint, component bigint")
     rows = written(without_least(rows, least), "jaccard-left")
-    for part, share in ((8, True), (1, True), (1, False)):  # a share of the pairs of an eighth of the buckets, of all, then all that are left
-        some = rows.where(F.pmod(F.xxhash64("key"), F.lit(part)) == 0)
+    eighth = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
+    for some, share in ((rows.where(eighth), True), (rows.where(~eighth), True), (rows, False)):  # a share of the pairs of an eighth of the buckets, of the others, then all other pairs
         links = linked(tree_candidates(open_rows(some, labels), of_node, share, percent))
         if links is not None and not links.isEmpty():
             labels = written(extended(labels, links), "jaccard-labels")

@@ -424,6 +424,8 @@ def test_jaccard_trees(spark, docs):
     assert cross == {p for p in got if (p[0] - p[1]) % 2}
     some = {tuple(x) for x in jaccard.tree_pairs(rows | {"m": np.full(600, 1000)}, cells, True).tolist()}
     assert some < got
+    others = {tuple(x) for x in jaccard.tree_pairs(rows | {"m": np.full(600, 1000)}, cells, False, rest=True).tolist()}
+    assert others == got - some  # what a share leaves out is what the last pass tries
     h = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
     assert np.frombuffer(jaccard.cells_of(h), np.uint8).sum() == 500 and jaccard.matrix_of([jaccard.cells_of(h)]).sum() == 500
 
