@@ -10,9 +10,9 @@ follow from the samples, one more with each step to the left, so a single stream
 contexts; what matches LENGTH bytes or more is marked.
 
 Nothing but anchors is shuffled for all texts. Counts are combined before the shuffle, and anchors or contexts that occur very often are sent
-to the rows instead of gathering them. An anchor with more than BLOCK_CONTEXTS distinct contexts is split into cells: contexts that match
-agree on half of the missing bytes to the left or on half of them to the right, so they share one of two cells, and cells that are still
-too large are split again. Only contexts that all share one LENGTH-byte string can fill a cell beyond that; these are indexed by pairs of blocks.
+to the rows instead of gathering them. All strings of a context hold its anchor, so they overlap and what goes of a context is one run. The contexts of an anchor that has more
+than BLOCK_CONTEXTS of them are not gathered: names of their strings are counted, first of STEP neighbouring strings by the bytes they have in common,
+then of single ones where these are shared, so the work grows with the contexts whatever they share.
 
 Defined results: null text counts as empty; texts under LENGTH bytes stay whole; matches never cross texts; overlapping
 occurrences count; strings are judged on the input; repeated rows repeat each other; rows are told apart by their texts, so null and repeated ids do not
@@ -194,23 +194,21 @@ def _common(rows: np.ndarray, a: np.ndarray, b: np.ndarray, column: int, step: i
     return found
 
 
-def repeated_in(contexts: list[tuple[int, int, bytes]], length: int, k: int) -> list[list[tuple[int, int]]]:
-    """For each (group, bytes before the anchor, context) the runs of bytes in strings that other contexts of the group hold too."""
+def repeated_in(contexts: list[tuple[int, int, bytes]], length: int, k: int) -> list[tuple[int, int] | None]:
+    """For each (group, bytes before the anchor, context) the run of bytes in strings that other contexts of the group hold too, or None.
+
+    It is one run: all strings of a context hold the anchor, so any two of them overlap.
+    """
     reach = length - k
     rows = np.full((len(contexts), 2 * reach + k), GAP, np.uint16)
     for i, (_, before, c) in enumerate(contexts):
         rows[i, reach - before : reach - before + len(c)] = np.frombuffer(c, np.uint8)
     index = RunLengthIndex(rows, np.array([a for a, _, _ in contexts], np.int64))
     del rows
-    row, column = np.nonzero(index.stream(length))
-    cut = np.flatnonzero((np.diff(row) != 0) | (np.diff(column) != 1)) + 1  # columns of a row that follow each other are one run
-    out: list[list[tuple[int, int]]] = [[] for _ in contexts]
-    if len(row):
-        first, last = np.concatenate([[0], cut]), np.concatenate([cut, [len(row)]]) - 1
-        for i, a, b in zip(row[first].tolist(), column[first].tolist(), column[last].tolist(), strict=True):
-            shift = reach - contexts[i][1]
-            out[i].append((a - shift, b - shift + length))
-    return out
+    found = index.stream(length)
+    first, last = found.argmax(axis=1).tolist(), (found.shape[1] - 1 - found[:, ::-1].argmax(axis=1)).tolist()
+    shift = [reach - before for _, before, _ in contexts]
+    return [(a - x, b - x + length) if own else None for own, a, b, x in zip(found.any(axis=1).tolist(), first, last, shift, strict=True)]
 
 
 def merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -249,40 +247,53 @@ def _cut_contexts(texts: DataFrame, kinds: DataFrame, length: int, k: int) -> Da
     return some.join(by_text.hint("merge"), "text_key").select("raw", "wanted").mapInArrow(cut, _CONTEXTS)
 
 
-_GROUPED = ["cell", "i", "j", "anchor", "context", "before", "bytes"]
-
-
-def _grouped(contexts: DataFrame, length: int, k: int) -> DataFrame:
-    """Rows of index tasks: the contexts of an anchor, or of cells of it where it has more than BLOCK_CONTEXTS."""
-    done, zero, missing = [], F.lit(0), length - k  # bytes beyond the anchor that contexts of a cell need not agree on yet
-    now = contexts.withColumn("cell", F.col("anchor")).withColumn("l", zero).withColumn("r", zero)
-    while True:
-        sizes = written(now.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1"), "substrings-sizes")
-        sized = joined(now, sizes, ["cell"], "m")
-        done.append(sized.where(F.col("m") <= BLOCK_CONTEXTS).select("cell", zero.alias("i"), zero.alias("j"), *_GROUPED[3:]))
-        if sizes.where(F.col("m") > BLOCK_CONTEXTS).isEmpty():
-            break
-        large = sized.where(F.col("m") > BLOCK_CONTEXTS)
-        if not missing:
-            blocks = F.ceil(F.col("m") / BLOCK_CONTEXTS).cast("int")
-            dealt = large.withColumn("own", F.pmod(F.xxhash64("context"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(zero, blocks - 1)))
-            done.append(dealt.select("cell", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *_GROUPED[3:]))
-            break
-        half = F.lit(missing - missing // 2)
-        sides = F.array(F.struct((F.col("l") + half).alias("l"), F.col("r").alias("r")), F.struct(F.col("l").alias("l"), (F.col("r") + half).alias("r")))
-        now = large.select(*_GROUPED[3:], F.explode(sides).alias("s")).select(*_GROUPED[3:], "s.l", "s.r")
-        now = now.where((F.col("before") >= F.col("l")) & (F.length("bytes") - F.col("before") - k >= F.col("r")))
-        shared = F.expr(f"substring(bytes, cast(before - l + 1 as int), l + {k} + r)")
-        now = written(now.withColumn("cell", F.xxhash64("anchor", "l", "r", shared)), "substrings-cells")
-        missing //= 2
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionAll(more)
-    return out
+_CELLS = "anchor bigint, context bigint, start int, cell bigint"
+STEP = 8
+
+
+def _cells(contexts: DataFrame, step: int, length: int, k: int) -> DataFrame:
+    """(anchor, context, start, cell) for each of a context's starts: a name of the bytes that two contexts both hold if they share a string
+    of the length with start to start + step - 1 bytes before the anchor. contexts: its columns and starts."""
+    reach, digest = length - k, xxhash.xxh3_64_intdigest
+
+    def run(batches):
+        for batch in batches:
+            rows = [[], [], [], []]
+            for a, c, before, raw, starts in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                view, after = memoryview(raw), len(raw) - before - k
+                for start in starts:
+                    right = max(0, reach - start - step + 1)
+                    if start <= before and right <= after:
+                        for column, v in zip(rows, (a, c, start, digest(view[before - start : before + k + right], start) - (1 << 63)), strict=True):
+                            column.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], [x.split()[0] for x in _CELLS.split(", ")])
+
+    return contexts.select("anchor", "context", "before", "bytes", "starts").mapInArrow(run, _CELLS)
+
+
+def _shared_cells(cells: DataFrame) -> DataFrame:
+    """The rows of cells that several contexts hold."""
+    cells = written(cells, "substrings-cells")
+    return joined(cells, written(cells.groupBy("cell").agg(F.count("*").alias("m")).where("m > 1"), "substrings-sizes"), ["cell"], "m", "left_semi")
+
+
+def _by_cells(contexts: DataFrame, length: int, k: int) -> DataFrame:
+    """The run of each context, whatever the contexts of an anchor: each is looked up by names of its strings and meets no other one.
+
+    First STEP neighbouring strings are looked up at once by what they have in common, then only the strings of those that some other context shares.
+    """
+    reach = length - k
+    wide = _shared_cells(_cells(contexts.withColumn("starts", F.sequence(F.lit(0), F.lit(reach), F.lit(STEP))), STEP, length, k))
+    wide = wide.groupBy("anchor", "context").agg(F.collect_list("start").alias("wide"))  # reach / STEP at most
+    each = F.flatten(F.transform("wide", lambda w: F.sequence(w, F.least(w + F.lit(STEP - 1), F.lit(reach)))))
+    found = _shared_cells(_cells(contexts.join(wide, ["anchor", "context"]).withColumn("starts", each), 1, length, k))
+    run = found.groupBy("anchor", "context").agg(F.min("start").alias("least"), F.max("start").alias("most"))
+    at = lambda c: c.cast("bigint")
+    return run.join(contexts.select("anchor", "context", "before"), ["anchor", "context"]).select("anchor", "context", at(F.col("before") - F.col("most")).alias("low"), at(F.col("before") + length - F.col("least")).alias("high"))
 
 
 def _indexed(contexts: DataFrame, length: int, k: int) -> DataFrame:
-    """Runs of bytes of each kind of context that are repeated."""
+    """The run of bytes of each kind of context that is repeated; of an anchor with more than BLOCK_CONTEXTS they come from cells."""
 
     def run(frames):
         held: list[tuple[int, int, bytes, int, int]] = []
@@ -291,25 +302,28 @@ def _indexed(contexts: DataFrame, length: int, k: int) -> DataFrame:
         def flush():
             # each group keeps its own number, so that nothing matches across groups
             found = repeated_in([(g, before, b) for g, before, b, _, _ in held], length, k)
-            out = [(a, c, x, y) for (_, _, _, a, c), runs in zip(held, found, strict=True) for x, y in runs]
+            out = [(a, c, *run) for (_, _, _, a, c), run in zip(held, found, strict=True) if run]
             return pd.DataFrame(out, columns=["anchor", "context", "low", "high"], dtype="int64")
 
         number = 0
         for frame in frames:
-            for key, a, c, before, b in zip(zip(frame["cell"], frame["i"], frame["j"], strict=True), frame["anchor"], frame["context"], frame["before"], frame["bytes"], strict=True):
-                if key != last:
+            for a, c, before, b in zip(frame["anchor"], frame["context"], frame["before"], frame["bytes"], strict=True):
+                if a != last:
                     if len(held) > CHUNK:
                         yield flush()
                         held.clear()
-                    last, number = key, number + 1
-                elif held and held[-1][3:] == (a, c):
-                    continue  # two ways of splitting can lead to one cell
+                    last, number = a, number + 1
                 held.append((number, before, b, a, c))
         if held:
             yield flush()
 
-    parts = _grouped(contexts, length, k).repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j", "anchor", "context")
-    return parts.mapInPandas(run, _FOUND).distinct()
+    sizes = written(contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "substrings-sizes")
+    sized = joined(contexts, sizes, ["anchor"], "m")
+    few_each = sized.where(F.col("m") <= BLOCK_CONTEXTS).select("anchor", "context", "before", "bytes")
+    out = few_each.repartition("anchor").sortWithinPartitions("anchor", "context").mapInPandas(run, _FOUND)
+    if sizes.where(F.col("m") > BLOCK_CONTEXTS).isEmpty():
+        return out
+    return out.unionAll(_by_cells(written(sized.where(F.col("m") > BLOCK_CONTEXTS).select("anchor", "context", "before", "bytes"), "substrings-large"), length, k))
 
 
 def removals(documents: DataFrame, text_col: str = "text", length: int = LENGTH, k: int = K) -> tuple[DataFrame, DataFrame]:

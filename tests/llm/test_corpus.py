@@ -471,6 +471,25 @@ def test_substrings_of_an_anchor_with_many_contexts(spark, monkeypatch):
     assert got == sorted(brute.repeats(list(enumerate(texts)), 40)) and sum(r[2] for r in got) > 400
 
 
+def test_substrings_give_one_run_a_context(spark, monkeypatch):
+    """Contexts that share strings with several others still give one row each, and those of a large group meet no other ones."""
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    passage = word(60)
+    texts = [word(20) + passage[: (cut := rng.randint(10, 50))] + word(1) + passage[cut + 1 :] + word(20) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(brute.repeats(list(enumerate(texts)), 40))
+    made, plain = [], substrings._indexed
+    monkeypatch.setattr(substrings, "_indexed", lambda c, *a: made.append((c.count(), found := plain(c, *a))) or found)
+    for most in (10_000, 4):
+        monkeypatch.setattr(substrings, "BLOCK_CONTEXTS", most)
+        made.clear()
+        got = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in substrings.digests(df, length=40, k=8).collect())
+        assert got == want and sum(r[2] for r in got) > 1000
+        n, found = made[0]
+        assert 0 < found.count() == found.select("anchor", "context").distinct().count() <= n
+
+
 def test_substrings_ids_that_are_null_or_repeat(spark):
     rng = random.Random(3)
     word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
