@@ -1,83 +1,33 @@
-"""Effective states as keyed state of a stream: each link keeps what its decisions have come to, so that the log is never read again."""
+"""Effective states as a running aggregate of a stream: the state store keeps what each link's decisions have come to, so that the log is never read again."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-
-#: What decides a link's state: whether host or human rejected it, the last human state and the last of anyone but the host, each with its place in the log.
-_KEPT = T.StructType(
-    [T.StructField(n, T.BooleanType()) for n in ("host_no", "human_no")]
-    + [T.StructField(n, k) for n, k in (("human", T.StringType()), ("human_at", T.LongType()), ("other", T.StringType()), ("other_at", T.LongType()), ("version", T.LongType()), ("told", T.StringType()))]
-)
-
-
-class _Links(StatefulProcessor):
-    def __init__(self, by: list[str]):
-        self.by = by
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.kept = handle.getValueState("link", _KEPT)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        host_no, human_no, human, human_at, other, other_at, version, told = self.kept.get() if self.kept.exists() else (False, False, None, None, None, None, 0, None)
-        for part in rows:
-            for who, state, review, at in zip(part["reviewer_type"], part["effective_state"], part["human_review"], part["sequence"], strict=True):
-                at = None if pd.isna(at) else int(at)
-                if who == "host":
-                    host_no |= state == "rejected"
-                    continue
-                if who == "human":
-                    human_no |= state == "rejected" or review == "rejected"
-                    if state is not None and at is not None and (human_at is None or at > human_at):
-                        human, human_at = state, at
-                if who is not None and state is not None and at is not None and (other_at is None or at > other_at):
-                    other, other_at = state, at
-        if host_no or human_no:
-            now = "rejected"
-        elif human is not None:
-            now = human
-        elif other is None:
-            now = "mechanically_valid"
-        else:
-            now = "quarantined" if other == "accepted_human" else other
-        changed = now != told
-        version += changed
-        self.kept.update((bool(host_no), bool(human_no), human, human_at, other, other_at, int(version), now))
-        if changed:
-            yield pd.DataFrame({**{c: [v] for c, v in zip(self.by, key, strict=True)}, "state": [now], "version": [int(version)]})
 
-    def close(self) -> None:
-        pass
+from evirank.operators.evidence import effective_state
 
 
 def states(decisions: DataFrame, by: list[str]) -> DataFrame:
-    """(by, state, version) of a stream of decisions (by, sequence, reviewer_type, human_review, effective_state), each time that a link's state changes.
+    """(by, state) of a stream of decisions (by, sequence, reviewer_type, human_review, effective_state), each time that a batch holds decisions of a link.
 
-    The rules are those of the batch operator; decisions may arrive in any order, since the last one is told by its sequence. The state of a link is one row of the
-    state store, whatever the length of its log, and comes back from the checkpoint after a failure. The session's state store must be RocksDB
-    (spark.sql.streaming.stateStore.providerClass).
+    The rules are those of the batch operator; decisions may arrive in any order, since the last one is told by its sequence, and one without a state is never the last. What decides
+    a link's state is one row of the state store, whatever the length of its log, and comes back from the checkpoint after a failure.
     """
-    kinds = {f.name: f.dataType.simpleString() for f in decisions.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in by), "state string", "version bigint"])
-    rows = decisions.select(*by, decisions["sequence"].cast("bigint").alias("sequence"), "reviewer_type", "human_review", "effective_state")
-    return rows.groupBy(*by).transformWithStateInPandas(statefulProcessor=_Links(by), outputStructType=schema, outputMode="Update", timeMode="None")
+    told = F.when(F.col("effective_state").isNotNull(), F.col("sequence").cast("bigint"))
+    return effective_state(decisions.withColumn("sequence", told), by)
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def latest(decisions: DataFrame, by: list[str], path: str, checkpoint: str) -> DataFrame:
-    """Run the stream over what is there, keep every change under path, and return the last state of each link."""
+    """Run the stream over what is there, keep the states of the links of every batch under path, and return each link's last state and, as its version,
+    how often it has changed."""
     spark = decisions.sparkSession
     name = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(name, None)
-    spark.conf.set(name, ROCKS)
+    spark.conf.set(name, ROCKS)  # state need not fit into the executors' memory
     try:
         def add(batch: DataFrame, number: int) -> None:
             batch.write.mode("overwrite").parquet(f"{path}/batch={number}")  # a repeated batch replaces itself
@@ -85,5 +35,6 @@ def latest(decisions: DataFrame, by: list[str], path: str, checkpoint: str) -> D
         states(decisions, by).writeStream.foreachBatch(add).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
     finally:
         spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-    changes = spark.read.parquet(path)
-    return changes.groupBy(*by).agg(F.max_by("state", "version").alias("state"), F.max("version").alias("version"))
+    earlier = F.lag("state").over(Window.partitionBy(*by).orderBy("batch"))
+    seen = spark.read.parquet(path).withColumn("changed", F.when(F.col("state") == earlier, 0).otherwise(1))
+    return seen.groupBy(*by).agg(F.max_by("state", "batch").alias("state"), F.sum("changed").alias("version"))

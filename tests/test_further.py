@@ -217,6 +217,16 @@ def test_stream_keeps_states_as_the_log_has_them(spark, tmp_path):
     assert second["l2"][0] == "rejected" and second["new"] == ("mechanically_valid", 1)
 
 
+def test_stream_states_are_aggregates_and_versions_count_changes(spark, tmp_path):
+    schema = "link_id string, sequence bigint, reviewer_type string, effective_state string, human_review string"
+    for n, state in enumerate(["draft", "draft", "accepted_auto", None]):
+        spark.createDataFrame([("l1", n, "model", state, "unreviewed")], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
+        got = ST.latest(stream, ["link_id"], f"{tmp_path}/out", f"{tmp_path}/checkpoint").collect()
+        assert [(r["state"], r["version"]) for r in got] == [(state or "accepted_auto", 1 if state == "draft" else 2)]
+    assert "InPandas" not in ST.states(stream, ["link_id"])._jdf.queryExecution().logical().toString()  # no Python call for each link
+
+
 # ---- requests ------------------------------------------------------------------------------------------------------
 
 
