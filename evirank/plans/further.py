@@ -15,7 +15,7 @@ from evirank.sources import journal as JO
 from evirank.sources import records as RE
 from evirank.sources import requests as RQ
 from evirank.sources import sequences as SE
-from evirank.storage import shared_path
+from evirank.storage import shared_path, stored
 from evirank.streaming import states as ST
 
 QUERIES: dict = {}
@@ -108,7 +108,7 @@ def published_rows(spark, sf_dir):
     path = shared_path(spark, "journal")
     orders = read(spark, sf_dir, "orders").select(F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("id"), F.col("o_orderstatus").alias("state"))
     links = read(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.array_join(F.array_sort(F.collect_set("l_returnflag")), "").alias("state"))
-    links = links.select(F.concat(F.lit("l"), F.concat_ws(".", "l_orderkey", "l_linenumber")).alias("id"), "state")
+    links = stored(links.select(F.concat(F.lit("l"), F.concat_ws(".", "l_orderkey", "l_linenumber")).alias("id"), "state"), "links")  # written twice
     events = read(spark, sf_dir, "events").select(F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("id"), F.col("event_type").alias("state"), "event_id")
     batches = [("claims", orders), ("links", links), ("decisions", events.where("event_id % 2 = 0").drop("event_id")), ("decisions", events.where("event_id % 2 <> 0").drop("event_id"))]
     for table, rows in batches:

@@ -14,10 +14,12 @@ import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from evirank.sources.tables import canonical_lines
 
@@ -59,12 +61,12 @@ class Written(WriterCommitMessage):
     blobs: list
 
 
-class Writer(DataSourceWriter):
+class Writer(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.table = options["path"], options["table"]
 
-    def write(self, iterator: Iterator[Row]) -> Written:
-        """One blob of lines for each bucket; rows come sorted by bucket. Contents are blobs of their own, named in their line's digest by who made it."""
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
+        """One blob of lines for each bucket; rows come sorted by bucket and line, and equal lines count once. Contents are blobs of their own, named in their line's digest by who made it."""
         folder, there, done = _Folder(self.path), set(), []
         at, lines = None, []
 
@@ -80,13 +82,22 @@ class Writer(DataSourceWriter):
                 done.append([put("".join(f"{x}\n" for x in lines).encode()), len(lines)])
                 lines.clear()
 
-        for row in iterator:
-            if row["bucket"] != at:
-                close()
-                at = row["bucket"]
-            if row["content"] is not None:
-                put(bytes(row["content"]))
-            lines.append(row["value"])
+        for batch in iterator:
+            bucket, value, content = (batch.column(c) for c in ("bucket", "value", "content"))
+            for x in content.drop_null().to_pylist():
+                put(x)
+            bucket, value = bucket.to_numpy(), value.to_pylist()
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            for first, last in zip([0, *cuts.tolist()], [*cuts.tolist(), len(value)], strict=True):
+                if first == last:
+                    continue
+                if bucket[first] != at:
+                    close()
+                    at = bucket[first]
+                own = dict.fromkeys(value[first:last])  # equal lines stand together
+                if lines:
+                    own.pop(lines[-1], None)
+                lines += own
         close()
         return Written(done)
 
@@ -102,27 +113,42 @@ class Writer(DataSourceWriter):
         """Nothing was published, so there is nothing to take back."""
 
 
+#: Rows from which on blobs that follow each other are no longer read by one task.
+TASK_ROWS = 200_000
+
+
 @dataclass
-class Blob(InputPartition):
+class Blobs(InputPartition):
     version: int
-    digest: str
+    digests: list
 
 
 class Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.table = options["path"], options["table"]
 
-    def partitions(self) -> list[Blob]:
-        return [Blob(v, digest) for v, said in sorted(_Folder(self.path).versions(self.table).items()) for digest, _ in said["blobs"]]
-
-    def read(self, partition: Blob) -> Iterator[tuple]:
+    def partitions(self) -> list[Blobs]:
+        out = []
+        for version, said in sorted(_Folder(self.path).versions(self.table).items()):
+            rows = TASK_ROWS
+            for digest, n in said["blobs"]:
+                if rows >= TASK_ROWS:
+                    out.append(Blobs(version, []))
+                    rows = 0
+                out[-1].digests.append(digest)
+                rows += n
+        return out
+
+    def read(self, partition: Blobs) -> Iterator[pa.RecordBatch]:
         if partition is None:
             return
-        data = _Folder(self.path).read(blob_path(partition.digest))
-        if hashlib.sha256(data).hexdigest() != partition.digest:
-            raise ValueError(f"blob was altered: {partition.digest}")
-        for line in data.decode().splitlines():
-            yield partition.version, partition.digest, line
+        folder = _Folder(self.path)
+        for digest in partition.digests:
+            data = folder.read(blob_path(digest))
+            if hashlib.sha256(data).hexdigest() != digest:
+                raise ValueError(f"blob was altered: {digest}")
+            lines = data.decode().split("\n")[:-1]  # other separators may stand inside a line
+            yield pa.RecordBatch.from_arrays([pa.array([partition.version] * len(lines), pa.int64()), pa.array([digest] * len(lines)), pa.array(lines, pa.string())], ["version", "blob", "value"])
 
 
 class Journal(DataSource):
@@ -158,7 +184,7 @@ def append(df: DataFrame, path: str, table: str, content: str | None = None, row
         first = whole.groupBy("digest").agg(F.first("content").alias("content"))
         lines = keyed.dropDuplicates(["value"]).join(first, "digest", "left").select("value", "content")
     else:
-        lines = lines.dropDuplicates(["value"]).withColumn("content", F.lit(None).cast("binary"))
+        lines = lines.withColumn("content", F.lit(None).cast("binary"))
     buckets = max(1, df.count() // rows_per_blob)
     dealt = lines.withColumn("bucket", F.pmod(F.xxhash64("value"), F.lit(buckets)).cast("bigint")).repartition("bucket").sortWithinPartitions("bucket", "value")
     dealt.select("bucket", "value", "content").write.format(NAME).option("path", path).option("table", table).mode("append").save()

@@ -172,6 +172,16 @@ def test_journal_of_contents(spark, tmp_path):
         JO.lines_of(spark, path, "snapshots").collect()
 
 
+def test_journal_reads_many_blobs_in_a_task_and_keeps_separators_in_lines(spark, tmp_path):
+    path = f"file://{tmp_path}/j"
+    texts = ["a\u2028b", "c\x85d", "e\u2029", "f\rg\x0b\x1c"] + [f"t{i}" for i in range(500)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    JO.append(rows.unionAll(rows), path, "claims", rows_per_blob=20)  # equal lines count once
+    got = JO.rows_of(spark, path, "claims", "id bigint, text string")
+    assert sorted((r["id"], r["text"]) for r in got.collect()) == list(enumerate(texts))
+    assert JO.lines_of(spark, path, "claims").select("blob").distinct().count() > 20 and got.rdd.getNumPartitions() == 1
+
+
 # ---- folds ---------------------------------------------------------------------------------------------------------
 
 
