@@ -5,9 +5,9 @@ coordinate that makes all lengths equal, so that the largest inner product is th
 priority queue holds the open nodes by distance to their centres. How many leaves it visits is calibrated: for CALIBRATE
 queries the exact neighbours among all rows are found by a scan in blocks, and visits widen until the leaves visited hold TARGET of them.
 
-Rows of a leaf are split into blocks of about BLOCK_ROWS, so that many equal vectors never meet in one task; a block
-returns its best k for each of its queries, and a query's best are merged. Scores are double precision sums over the original vectors in
-a fixed order, so equal vectors have equal scores.
+Rows are laid out leaf after leaf and cut into blocks of about BLOCK_ROWS, so that many equal vectors never meet in one task; queries are dealt to slices of
+about as many. A block and a slice meet in one task, which gets a query once with its leaves there and returns the best k of all of them, and a query's best are
+merged. Scores are double precision sums over the original vectors in a fixed order, so equal vectors have equal scores.
 
 Defined results: vectors that are null, empty, zero, of another than the most usual length, or that hold null or non-finite components take no part; ties go to the smaller
 id; a repeated id is one candidate for each of its rows but never its own neighbour; with fewer than k candidates all are returned; an empty
@@ -125,9 +125,9 @@ def _arrow_matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1).astype(float)
 
 
-def best(ids: np.ndarray, x: np.ndarray, own: int | None, q: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k best ids and exact scores; rough scores only leave out what cannot be among them."""
-    may = np.arange(len(ids)) if own is None else np.flatnonzero(ids != own)
+def best(ids: np.ndarray, x: np.ndarray, own: int, q: np.ndarray, rough: np.ndarray, k: int, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The k best ids and exact scores of the rows (among them, those marked); rough scores only leave out what cannot be among them."""
+    may = np.flatnonzero(ids != own) if among is None else np.flatnonzero(among & (ids != own))
     if len(may) > k:
         r = rough[may]
         low = np.partition(r, len(r) - k)[len(r) - k]
@@ -186,33 +186,52 @@ def search(df: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_id",
     needed = np.sort([place[n][leaf] + 1 for n, (i, _) in enumerate(trial) for leaf in truth.get(i, [])])
     visits = int(needed[min(len(needed) - 1, int(np.ceil(target * len(needed))) - 1)]) if len(needed) else tree.leaves
 
-    blocks = indexed.groupBy("leaf").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-    dealt = indexed.join(F.broadcast(blocks), "leaf").withColumn("block", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))  # one row for each leaf, at most SAMPLE
+    sizes = np.zeros(tree.leaves, np.int64)
+    for r in indexed.groupBy("leaf").count().collect():  # one row for each leaf, at most SAMPLE
+        sizes[r["leaf"]] = r["count"]
+    at, per = np.cumsum(sizes) - sizes, BLOCK_ROWS
+    queries = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))  # of rows that share an id the least vector asks
+    slices = max(1, -(-queries.count() // per))
+    layout = spark.createDataFrame(list(zip(range(tree.leaves), at.tolist(), sizes.tolist(), strict=True)), "leaf bigint, at bigint, n bigint").where("n > 0")
+    block = F.expr(f"(at + pmod(xxhash64(vec_id), n)) div {per}")
+    dealt = indexed.join(F.broadcast(layout), "leaf").select("leaf", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), "vec_id", "v")
 
     def walk(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            ids, leaves = [], []
-            for i, q in zip(batch.column(0).to_pylist(), _arrow_matrix(batch.column(1)), strict=True):
-                own = tree.visit(q, visits)
-                ids += [i] * len(own)
-                leaves += own
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(leaves, pa.int64())], ["query_id", "leaf"])
-
-    queries = asked.groupBy(F.col("vec_id").alias("query_id")).agg(F.min("v").alias("q"))  # of rows that share an id the least vector asks
-    visited = queries.mapInArrow(walk, "query_id bigint, leaf bigint").join(queries, "query_id").join(F.broadcast(blocks), "leaf").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            rows, q_of, blocks, leaves = [], _arrow_matrix(batch.column(1)), [], []
+            for i, q in enumerate(q_of):
+                own = np.array(tree.visit(q, visits), np.int64)
+                own = own[sizes[own] > 0]
+                first = at[own] // per
+                several = (at[own] + sizes[own] - 1) // per - first + 1
+                place = np.repeat(first, several) + np.arange(several.sum()) - np.repeat(np.cumsum(several) - several, several)
+                order = np.argsort(place, kind="stable")
+                own, place = np.repeat(own, several)[order], place[order]
+                cuts = np.flatnonzero(np.diff(place)) + 1
+                begin = np.concatenate([[0], cuts]) if len(place) else cuts
+                blocks.append(place[begin]), leaves.extend(np.split(own.astype(np.int32), cuts) if len(place) else []), rows.append(np.full(len(begin), i))
+            n = np.concatenate(rows)
+            ends = np.cumsum([0, *map(len, leaves)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *leaves])))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(n)), pa.array(np.concatenate(blocks)), batch.column(1).take(pa.array(n)), lists], ["query_id", "block", "q", "leaves"])
+
+    visited = queries.mapInArrow(walk, "query_id bigint, block bigint, q array<double>, leaves array<int>").withColumn("slice", F.pmod(F.xxhash64("query_id"), F.lit(slices)).cast("int"))
 
     def match(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if len(left) and len(right):
-            ids, x, q = left["vec_id"].to_numpy(), _matrix(left["v"]), _matrix(right["q"])
-            for at in range(0, len(q), 256):
-                rough = q[at : at + 256] @ x.T
-                for n, i in enumerate(right["query_id"].to_numpy()[at : at + 256]):
-                    found, score = best(ids, x, int(i), q[at + n], rough[n], k)
-                    out.append(pd.DataFrame({"query_id": i, "vec_id": found, "score": score}))
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-
-    pairs = dealt.select("leaf", "block", "vec_id", "v").groupBy("leaf", "block").cogroup(visited.select("leaf", "block", "query_id", "q").groupBy("leaf", "block"))
+            ids, x, q, asking = left["vec_id"].to_numpy(), _matrix(left["v"]), _matrix(right["q"]), right["query_id"].to_numpy()
+            here, leaf = np.unique(left["leaf"].to_numpy(), return_inverse=True)
+            for n, leaves in enumerate(right["leaves"]):
+                if n % 256 == 0:
+                    rough = q[n : n + 256] @ x.T
+                among = np.isin(here, leaves)[leaf]
+                found, score = best(ids, x, int(asking[n]), q[n], rough[n % 256], k, among)
+                for column, v in zip(out, (np.full(len(found), asking[n]), found, score), strict=True):
+                    column.append(v)
+        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("query_id", "vec_id", "score"), out, strict=True)})
+
+    pairs = dealt.groupBy("block", "slice").cogroup(visited.groupBy("block", "slice"))
     return top(pairs.applyInPandas(match, "query_id bigint, vec_id bigint, score double"), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

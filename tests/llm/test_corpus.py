@@ -163,6 +163,22 @@ def test_nearest(spark, equal):
     assert nearest.search(df.where("vec_id < 3"), k=5, every=2).count() == 4
 
 
+def test_nearest_meets_blocks_of_leaves(spark, monkeypatch):
+    """A query meets each block and slice once, whatever the leaves it visits there, and blocks and slices change no result."""
+    ship(spark)
+    x = np.random.default_rng(5).normal(size=(700, 12))
+    x[::3] = x[0]
+    df = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id bigint, embedding array<double>")
+    made, plain, results = [], nearest.top, []
+    monkeypatch.setattr(nearest, "top", lambda found, k: made.append(found) or plain(found, k))
+    for per in (4_000, 20):
+        monkeypatch.setattr(nearest, "BLOCK_ROWS", per)
+        results.append(sorted(tuple(r) for r in nearest.search(df, k=5, sample=300).collect()))
+        if per == 4_000:
+            assert made[-1].count() <= 35 * 5
+    assert results[0] == results[1] and len(results[0]) == 35 * 5
+
+
 def test_media(spark, docs):
     out = {r["doc_id"]: r for r in media.digests(frame(spark, docs)).collect()}
     for i, text, *_ in docs:
