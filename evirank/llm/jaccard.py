@@ -11,7 +11,7 @@ members (the least node and the one with most shared keys), which settles most g
 members still span several components is a count-vector R-tree of these, loaded by size band; a tree is joined with itself from the root down, and a pair of boxes is left out
 when sizes or summed coordinate minima rule out a link, or when all its members are in one component. Leaves are swept pair by pair. Every pair
 across components that the bounds leave is verified. Buckets of more than SHARE rows first give a share of their pairs, which joins most of their
-components, then the others across components; no pair is tried twice in a bucket, and pairs within a component are never emitted. Buckets over BLOCK_ROWS are trees of blocks and of pairs of blocks.
+components, large ones then a larger share, and last all others across components; no pair is tried twice in a bucket, and pairs within a component are never emitted. Buckets over BLOCK_ROWS are trees of blocks and of pairs of blocks.
 
 Defined results: null, empty and blank texts have no shingles and link with nothing; fewer words than the shingle width are
 one shingle; repeated rows and equal texts share a component; ids may be null or repeat with other texts; an empty table gives no rows; extra
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from evirank.llm.common import SMALL_IDS, components, distinct_texts, extended, few, joined, key_of, repeated_texts, written
 
-WIDTH, PERCENT, BLOCK_ROWS, FANOUT, SHARE, TREE_WIDTH = 5, 75, 2_000, 8, 4, 64
+WIDTH, PERCENT, BLOCK_ROWS, FANOUT, SHARE, WIDER, TREE_WIDTH = 5, 75, 2_000, 8, 4, 32, 64
 PIECE_CELLS, SLICES = 1 << 14, 64
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -224,11 +224,12 @@ def cells_of(hashes: np.ndarray) -> bytes:
     return count.astype(np.uint8 if count.max(initial=0) < 256 else "<u4").tobytes()
 
 
-def tree_pairs(rows: dict[str, np.ndarray], cells: list[bytes], share: bool, percent: int = PERCENT, stats: dict | None = None, rest: bool = False, each: int = SHARE) -> np.ndarray:
+def tree_pairs(rows: dict[str, np.ndarray], cells: list[bytes], share: bool, percent: int = PERCENT, stats: dict | None = None, rest: bool = False, each: int = SHARE, wider: int | None = None) -> np.ndarray:
     """Pairs (least node first) across components that the trees of many buckets leave; rows are sorted by (bucket, n, node).
 
     rows: bucket, node, n, at, component, m (the bucket's size) and own and cross, which say that only pairs across sides count. share: of a
-    bucket of more than `each` members only some pairs, by a hash of both, about `each` for each two members. rest: the pairs that share leaves out.
+    bucket of more than `each` members only some pairs, by a hash of both, about `each` for each two members. rest: the pairs that share leaves out. wider: of what is
+    left then, only the pairs of a larger share of large buckets (if share), or all but these (if rest).
     """
     node, n, at, component, m, own, cross = (rows[c] for c in ("node", "n", "at", "component", "m", "own", "cross"))
     forest = CountForest(rows["bucket"], n, component, matrix_of(cells))
@@ -237,8 +238,12 @@ def tree_pairs(rows: dict[str, np.ndarray], cells: list[bytes], share: bool, per
         ok = (component[a] != component[b]) & (node[a] != node[b]) & (~cross[a] | (own[a] != own[b])) & _may_link(n, at, a, b, percent)
         if share or rest:
             x, y = (f(node[a], node[b]).view(np.uint64) for f in (np.minimum, np.maximum))
-            step = np.maximum(1, -(-m[a] // each))
-            ok &= (_mix(x ^ _mix(y)) % step.astype(np.uint64) == 0) == share
+            name = _mix(x ^ _mix(y))
+            hit = lambda e: name % np.maximum(1, -(-m[a] // e)).astype(np.uint64) == 0  # noqa: E731, B023
+            if wider is None:
+                ok &= hit(each) == share
+            else:
+                ok &= ~hit(each) & ((hit(wider) & (m[a] > 2 * wider)) == share)
         x, y = node[a[ok]], node[b[ok]]
         if len(x):
             found.append(np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0))
@@ -400,12 +405,13 @@ def open_rows(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return joined(own, written(open_keys, "jaccard-open"), ["key"], "m")
 
 
-def tree_candidates(sized: DataFrame, of_node: DataFrame, share: bool, percent: int) -> DataFrame:
+def tree_candidates(sized: DataFrame, of_node: DataFrame, share: bool, percent: int, wider: int | None = None) -> DataFrame:
     """Pairs across components that the trees of the open buckets (key, node, n, at, component, m) leave, each pair once: a share of those of
-    each bucket, or all that are not of that share, which only buckets of more than SHARE members have."""
+    each bucket, or all that are not of that share, which only buckets of more than SHARE members have. wider: of buckets of more than twice as many members
+    a larger share of what the first share left out, or all that are in neither."""
     each = SHARE
-    if not share:
-        sized = sized.where(F.col("m") > each)
+    if not share or wider:
+        sized = sized.where(F.col("m") > (2 * wider if share else each))
 
     def search(frames):
         held: list[pd.DataFrame] = []
@@ -416,7 +422,7 @@ def tree_candidates(sized: DataFrame, of_node: DataFrame, share: bool, percent:
             rows = {c: whole[c].to_numpy() for c in ("node", "n", "at", "component", "m", "own")}
             rows["bucket"] = whole.groupby(["key", "i", "j"], sort=False).ngroup().to_numpy()
             rows["cross"] = (whole["i"] != whole["j"]).to_numpy()
-            return pd.DataFrame(tree_pairs(rows, whole["cells"].tolist(), share, percent, rest=not share, each=each), columns=["a", "b"], dtype="int64")
+            return pd.DataFrame(tree_pairs(rows, whole["cells"].tolist(), share, percent, rest=not share, each=each, wider=wider), columns=["a", "b"], dtype="int64")
 
         for frame in frames:
             held.append(frame)
@@ -509,8 +515,12 @@ def link_table(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = written(components(links), "jaccard-labels") if links is not None else rows.sparkSession.createDataFrame([], "id bigint, component bigint")
     rows = written(without_least(rows, least), "jaccard-left")
     eighth = F.pmod(F.xxhash64("key"), F.lit(8)) == 0
-    for some, share in ((rows.where(eighth), True), (rows.where(~eighth), True), (rows, False)):  # a share of the pairs of an eighth of the buckets, of the others, then all other pairs
-        links = linked(tree_candidates(open_rows(some, labels), of_node, share, percent))
+    # a share of the pairs of an eighth of the buckets, of the others, a larger share of the large buckets, then all other pairs
+    steps = [(rows.where(eighth), True, None), (rows.where(~eighth), True, None), (rows, False, WIDER)]
+    if (least.agg(F.max("m")).first()[0] or 0) > 2 * WIDER:
+        steps.insert(2, (rows, True, WIDER))
+    for some, share, wider in steps:
+        links = linked(tree_candidates(open_rows(some, labels), of_node, share, percent, wider))
         if links is not None and not links.isEmpty():
             labels = written(extended(labels, links), "jaccard-labels")
 

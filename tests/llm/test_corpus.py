@@ -446,6 +446,20 @@ def test_jaccard_trees(spark, docs):
     assert np.frombuffer(jaccard.cells_of(h), np.uint8).sum() == 500 and jaccard.matrix_of([jaccard.cells_of(h)]).sum() == 500
 
 
+def test_jaccard_shares_part_all_pairs():
+    """The first share, the larger one of large buckets and the rest are disjoint and together all pairs."""
+    rng = np.random.default_rng(2)
+    sets = [np.sort(rng.integers(0, 1 << 63, 40).astype(np.uint64)) for _ in range(300)]
+    rows = {"bucket": np.zeros(300, np.int64), "node": np.arange(300), "n": np.full(300, 40), "at": np.zeros(300, np.int64), "component": np.arange(300), "m": np.full(300, 300), "own": np.zeros(300, np.int64), "cross": np.zeros(300, bool)}
+    cells, wider = [jaccard.cells_of(h) for h in sets], jaccard.WIDER
+    pairs = lambda **k: {tuple(x) for x in jaccard.tree_pairs(rows, cells, percent=10, **k).tolist()}
+    every, first, second, last = pairs(share=False), pairs(share=True), pairs(share=True, wider=wider), pairs(share=False, rest=True, wider=wider)
+    assert first | second | last == every and len(first) + len(second) + len(last) == len(every)
+    assert 2 * len(first) < len(second) < len(last)
+    rows["m"] = np.full(300, 2 * wider)  # too small a bucket for a larger share
+    assert not pairs(share=True, wider=wider) and pairs(share=False, rest=True, wider=wider) == every - pairs(share=True)
+
+
 def test_jaccard_trees_are_entered_on_the_tables(spark, monkeypatch):
     """All candidates but the stars come out of trees, and on the tables some of these have inner boxes."""
     seen = []
