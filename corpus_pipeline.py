@@ -54,7 +54,7 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces of all texts with their sequences and places."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=150_000)  # Python workers also hold what earlier stages left
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), remember=150_000, at_once=1_000_000, stay=False)  # the executors also hold what earlier stages left
 
 
 STAGES = [

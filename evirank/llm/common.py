@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -87,6 +88,27 @@ def gathered(batches: Iterator[pa.RecordBatch], most: int = 6_000_000) -> Iterat
         yield rest[0]
 
 
+def give_back() -> None:
+    """Return what this process's allocators hold unused to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, a function of mapInArrow or mapInPandas, that ends with give_back: Spark keeps Python workers for later tasks, and what one task has
+    freed else counts against the executor through all of them."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 def crc_of_id(column: str = "doc_id"):
     """crc32 of the id written as decimal text, as a BIGINT expression; a null id is the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.common import SMALL_IDS, components, distinct_texts, extended, few, joined, key_of, repeated_texts, written
+from evirank.llm.common import SMALL_IDS, components, distinct_texts, extended, few, giving_back, joined, key_of, repeated_texts, written
 
 WIDTH, PERCENT, BLOCK_ROWS, FANOUT, SHARE, WIDER, TREE_WIDTH = 5, 75, 2_000, 8, 4, 32, 64
 PIECE_CELLS, SLICES = 1 << 14, 64
@@ -299,7 +299,7 @@ def levels_of(texts: DataFrame, text_col: str = "text", cells: int = 1 << 18, wi
 
     kinds = "part int, slice int, counts binary"
     dealt = texts.select(F.col(text_col).cast("binary").alias("raw")).coalesce(max(256, 2 * texts.sparkSession.sparkContext.defaultParallelism))
-    parts = dealt.mapInArrow(count, kinds).groupBy("part", "slice").applyInPandas(add, kinds).groupBy("part").applyInPandas(add, kinds).collect()
+    parts = dealt.mapInArrow(giving_back(count), kinds).groupBy("part", "slice").applyInPandas(add, kinds).groupBy("part").applyInPandas(add, kinds).collect()
     total = np.zeros(cells, np.int64)  # cells numbers, whatever the corpus
     for r in parts:
         total[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(r["counts"], "<i8")
@@ -336,7 +336,7 @@ def nodes(texts: DataFrame, levels: bytes, width: int = WIDTH, percent: int = PE
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], [x.split()[0] for x in _NODES.split(", ")])
 
-    return texts.select("text_key", F.col("text").cast("binary").alias("raw"), "copies").mapInArrow(run, _NODES)
+    return texts.select("text_key", F.col("text").cast("binary").alias("raw"), "copies").mapInArrow(giving_back(run), _NODES)
 
 
 _SETS = "node bigint, hashes binary"
@@ -361,7 +361,7 @@ def node_sets(documents: DataFrame, repeated: DataFrame, of_node: DataFrame, wan
         texts = distinct_texts(near.select("text"), repeated).join(F.broadcast(chosen), "text_key")
     else:
         texts = distinct_texts(texts, repeated).join(chosen, "text_key")
-    return texts.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(run, _SETS)
+    return texts.select("node", F.col("text").cast("binary").alias("raw")).mapInArrow(giving_back(run), _SETS)
 
 
 def _two_sided(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
@@ -379,7 +379,7 @@ def _checked(pairs: DataFrame, dtype: str, linked) -> DataFrame:
             kept = np.array([linked(*(np.frombuffer(batch.column(c)[i].as_buffer(), dtype) for c in (2, 3))) for i in range(len(a))], bool)
             yield pa.RecordBatch.from_arrays([pa.array(a[kept]), pa.array(b[kept])], ["a", "b"])
 
-    return pairs.select("a", "b", "x_a", "x_b").mapInArrow(run, "a bigint, b bigint")
+    return pairs.select("a", "b", "x_a", "x_b").mapInArrow(giving_back(run), "a bigint, b bigint")
 
 
 def bounded(pairs: DataFrame, of_node: DataFrame, percent: int) -> DataFrame:
@@ -442,7 +442,7 @@ def tree_candidates(sized: DataFrame, of_node: DataFrame, share: bool, percent:
     dealt = sized.withColumn("own", F.pmod(F.xxhash64("node", F.lit(3)), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "at", "component", "m").join(of_node.select("node", "cells"), "node")
     parts = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node")
-    return bounded(parts.mapInPandas(search, "a bigint, b bigint").distinct(), of_node, percent)
+    return bounded(parts.mapInPandas(giving_back(search), "a bigint, b bigint").distinct(), of_node, percent)
 
 
 def bucket_rows(of_node: DataFrame) -> DataFrame:

@@ -18,7 +18,7 @@ import re
 import zlib
 from collections import defaultdict
 from functools import lru_cache, partial
-from itertools import chain, islice
+from itertools import chain, count, islice
 
 import numpy as np
 import pandas as pd
@@ -26,9 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.common import gathered, written
+from evirank.llm.common import gathered, giving_back, written
 
-CAPACITY, END_ID, PER_PART, MAX_ROUNDS, REMEMBER = 4096, 1, 20_000, 8, 600_000
+CAPACITY, END_ID, PER_PART, MAX_ROUNDS, REMEMBER, AT_ONCE = 4096, 1, 20_000, 8, 600_000, 4_000_000
 #: Characters that str.split() takes as white space though the tokenizer does not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 #: Where lower-casing a text first or parting its marks could change the ids: capital sigma, dotted I, combining marks.
@@ -53,7 +53,7 @@ class Words:
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = defaultdict(lambda: len(self.number))
+        self.number: dict[str, int] = defaultdict(count().__next__)  # no reference to itself: it goes as soon as nothing needs it
         self.ids = np.empty(0, "<u4")
         self.start, self.size = np.empty(0, np.int64), np.empty(0, np.int64)
 
@@ -90,8 +90,8 @@ class Words:
         cut = [self.cut(x) for x in texts]
         before = len(self.number)
         get = self.number.__getitem__
-        count = np.fromiter(map(len, cut), np.int64, len(cut))
-        word = np.fromiter(map(get, chain.from_iterable(cut)), np.int64, int(count.sum()))
+        each = np.fromiter(map(len, cut), np.int64, len(cut))
+        word = np.fromiter(map(get, chain.from_iterable(cut)), np.int64, int(each.sum()))
         if len(self.number) > before:
             ids, size = self.tokens(list(islice(self.number, before, None)))
             self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
@@ -99,7 +99,7 @@ class Words:
         size = self.size[word]
         total = np.cumsum(size)
         flat = self.ids[np.arange(int(total[-1]) if len(total) else 0) + np.repeat(self.start[word] - total + size, size)]
-        bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(count)])].tolist()
+        bounds = np.concatenate([[0], total])[np.concatenate([[0], np.cumsum(each)])].tolist()
         return [flat[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
 
 
@@ -111,19 +111,20 @@ def words_of(path: str, remember: int) -> Words:
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBER) -> DataFrame:
-    """Token pieces of each whole text followed by end_id; only what is longer than capacity is cut."""
+def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", remember: int = REMEMBER, at_once: int = AT_ONCE, stay: bool = True) -> DataFrame:
+    """Token pieces of each whole text followed by end_id; only what is longer than capacity is cut. at_once: about so many characters of short texts
+    are encoded together. stay: a Python worker keeps the tokenizer and its words for later tasks, against its memory."""
     end, step = np.array([end_id], "<u4").tobytes(), 4 * capacity
     names = [x.split()[0] for x in _PIECES.split(", ")]
 
     def run(batches):
-        words = words_of(path, remember)
+        words = words_of(path, remember) if stay else Words(path, remember)
         for batch in gathered(batches):
             ids, texts = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             k = 0
             while k < len(ids):
                 size, first = 0, k
-                while k < len(ids) and size < 4_000_000:
+                while k < len(ids) and size < at_once:
                     size += len(texts[k])
                     k += 1
                 rows = [[], [], [], [], []]
@@ -135,7 +136,7 @@ def pieces(df: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END
                             c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(rows)], names)
 
-    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, _PIECES)
+    return df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run if stay else giving_back(run), _PIECES)
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -215,6 +216,6 @@ def pack(table: DataFrame, capacity: int = CAPACITY, per_part: int = PER_PART, m
     return done.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-def pack_documents(df: DataFrame, path: str, remember: int = REMEMBER, **options) -> DataFrame:
-    """Tokenise once into shared storage, then pack. remember: words that a Python worker keeps, against its memory."""
-    return pack(written(pieces(df, path, remember=remember), "pieces"), **options)
+def pack_documents(df: DataFrame, path: str, remember: int = REMEMBER, at_once: int = AT_ONCE, stay: bool = True, **options) -> DataFrame:
+    """Tokenise once into shared storage, then pack. remember: words that a Python worker keeps, against its memory; at_once, stay: see pieces."""
+    return pack(written(pieces(df, path, remember=remember, at_once=at_once, stay=stay), "pieces"), **options)

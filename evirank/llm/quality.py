@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.common import crc_of_id, written
+from evirank.llm.common import crc_of_id, giving_back, written
 from evirank.llm.toxicity import sample_labelled
 
 MAX_POSITIVE, START, ROUNDS, HIDDEN, STEPS, REMEMBER = 6_000, 12_000, 8, 12, 600, 100_000
@@ -186,7 +186,7 @@ def measured(documents: DataFrame, text_col: str = "text") -> DataFrame:
             x = pa.array([shapes.measure(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column(0), x], ["id", "x"])
 
-    return written(documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id bigint, x array<double>"), "quality-measures")
+    return written(documents.select(F.col("doc_id").cast("bigint").alias("id"), F.col(text_col).alias("text")).mapInArrow(giving_back(run), "id bigint, x array<double>"), "quality-measures")
 
 
 def _summed(rows: DataFrame, of) -> np.ndarray:
@@ -201,7 +201,7 @@ def _summed(rows: DataFrame, of) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], ["v"])
 
-    parts = rows.select("x", "half").mapInArrow(run, "v array<double>").select(F.posexplode("v").alias("at", "v"))
+    parts = rows.select("x", "half").mapInArrow(giving_back(run), "v array<double>").select(F.posexplode("v").alias("at", "v"))
     return np.array([r["v"] for r in parts.groupBy("at").agg(F.sum("v").alias("v")).orderBy("at").collect()])  # a few hundred numbers
 
 
@@ -250,7 +250,7 @@ def train(documents: DataFrame, labels: DataFrame, held_out, rows: DataFrame) ->
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shapes.measure(t or "") for t in batch.column(1).to_pylist()], pa.list_(pa.float64()))], ["id", "x"])
 
-    positives = chosen.select(F.col("id").cast("bigint"), "text").mapInArrow(run, "id bigint, x array<double>").toArrow().sort_by([("id", "ascending")])
+    positives = chosen.select(F.col("id").cast("bigint"), "text").mapInArrow(giving_back(run), "id bigint, x array<double>").toArrow().sort_by([("id", "ascending")])
     rows = rows.withColumn("half", F.pmod(F.xxhash64(F.lit(9), "id"), F.lit(2)).cast("int"))
     stats = rows.agg(F.count("*"), *(f(F.col("x")[i]) for f in (F.avg, F.stddev_pop) for i in range(Shapes.width))).first()
     n = stats[0]

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evirank.llm.common import distinct_texts, few, fresh, joined, key_of, repeated_texts, written
+from evirank.llm.common import distinct_texts, few, fresh, giving_back, joined, key_of, repeated_texts, written
 
 LENGTH, K, SEGMENT, CHUNK, BLOCK_CONTEXTS = 200, 32, 1 << 22, 10_000, 10_000
 _BASE = 0x9E3779B97F4A7C15
@@ -116,7 +116,7 @@ def occurrences(texts: DataFrame, length: int, k: int) -> DataFrame:
             if keys:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (heads, sides, keys, places)], ["anchor", "context", "text_key", "place"])
 
-    return texts.select("text_key", F.col("text").cast("binary").alias("raw")).mapInArrow(run, _OCCURRENCES)
+    return texts.select("text_key", F.col("text").cast("binary").alias("raw")).mapInArrow(giving_back(run), _OCCURRENCES)
 
 
 GAP = 256  # what stands beyond a text's ends; it equals nothing
@@ -244,7 +244,7 @@ def _cut_contexts(texts: DataFrame, kinds: DataFrame, length: int, k: int) -> Da
 
     by_text = written(kinds.groupBy("text_key").agg(F.collect_list(F.struct("anchor", "context", "place")).alias("wanted")), "substrings-by-text")
     some = texts.select("text_key", F.col("text").cast("binary").alias("raw")).join(few(by_text.select("text_key")), "text_key", "left_semi")
-    return some.join(by_text.hint("merge"), "text_key").select("raw", "wanted").mapInArrow(cut, _CONTEXTS)
+    return some.join(by_text.hint("merge"), "text_key").select("raw", "wanted").mapInArrow(giving_back(cut), _CONTEXTS)
 
 
 _CELLS = "anchor bigint, context bigint, start int, cell bigint"
@@ -268,7 +268,7 @@ def _cells(contexts: DataFrame, step: int, length: int, k: int) -> DataFrame:
                             column.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, (pa.int64(), pa.int64(), pa.int32(), pa.int64()), strict=True)], [x.split()[0] for x in _CELLS.split(", ")])
 
-    return contexts.select("anchor", "context", "before", "bytes", "starts").mapInArrow(run, _CELLS)
+    return contexts.select("anchor", "context", "before", "bytes", "starts").mapInArrow(giving_back(run), _CELLS)
 
 
 def _shared_cells(cells: DataFrame) -> DataFrame:
@@ -320,7 +320,7 @@ def _indexed(contexts: DataFrame, length: int, k: int) -> DataFrame:
     sizes = written(contexts.groupBy("anchor").agg(F.count("*").alias("m")).where("m > 1"), "substrings-sizes")
     sized = joined(contexts, sizes, ["anchor"], "m")
     few_each = sized.where(F.col("m") <= BLOCK_CONTEXTS).select("anchor", "context", "before", "bytes")
-    out = few_each.repartition("anchor").sortWithinPartitions("anchor", "context").mapInPandas(run, _FOUND)
+    out = few_each.repartition("anchor").sortWithinPartitions("anchor", "context").mapInPandas(giving_back(run), _FOUND)
     if sizes.where(F.col("m") > BLOCK_CONTEXTS).isEmpty():
         return out
     return out.unionAll(_by_cells(written(sized.where(F.col("m") > BLOCK_CONTEXTS).select("anchor", "context", "before", "bytes"), "substrings-large"), length, k))

@@ -3,10 +3,13 @@
 import hashlib
 import json
 import random
+import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -574,6 +577,20 @@ def test_packing(spark, docs):
         assert fill.max() <= 30 and fill.sum() == lengths.sum() and packing.lower_bound(lengths, 30) <= len(fill) and offsets.min() == 0
 
 
+def test_packing_of_the_pipeline_gives_its_memory_back(spark, monkeypatch):
+    import corpus_pipeline
+
+    df, seen = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string"), []
+    plain = type(df).mapInArrow
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, *rest: seen.append(f) or plain(self, f, *rest))
+    assert corpus_pipeline.packed(spark, df, "").count() == 1
+    held = lambda: int(re.search(r"RssAnon:\s+(\d+)", Path("/proc/self/status").read_text())[1])
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(8)), "text": [" ".join(f"w{k}q{i}" for i in range(15_000)) for k in range(8)]})
+    before = held()
+    assert sum(out.num_rows for out in seen[0](iter([batch]))) > 8
+    assert held() - before < 30_000  # kB; the tokenizer and its words take more
+
+
 def test_one_of_each_group(spark):
     import corpus_pipeline
 
